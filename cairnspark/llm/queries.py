@@ -22,5 +22,23 @@ def op8_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, train(spark, docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op7_jaccard_product, op8_quality_gbt)}
+def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairnspark.llm.repair_ids import shard_digests
+
+    return shard_digests(_read(spark, sf_dir, "documents"))
+
+
+def op9_bpe_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairnspark.llm.bpe_batch import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"))
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairnspark.llm.token_rollup import corpus_token_rollup
+
+    return corpus_token_rollup(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_repair_ids, op7_jaccard_product, op8_quality_gbt, op9_bpe_batch, op10_token_rollup)}
 ORACLE: dict[str, str] = {}
