@@ -18,9 +18,9 @@ from cairnspark.llm._common import span_hashes
 
 #: Distinct pieces that a worker keeps; beyond it the table starts anew.
 KEEP_PIECES = 1_500_000
-_SLOTS = 1 << 21
+_SLOT_BITS = 20
 #: Characters that are joined and cut at once.
-JOIN_CHARS = 2 << 20
+JOIN_CHARS = 512 << 10
 
 #: Ranges of characters that stay what they are under NFC and whose case and class no Unicode version changes.
 _PLAIN = "\t\n\x0b\x0c\r\x20-\x7e\xa1-\xffŒœ‐-―‘-‟†-•…€™"
@@ -100,8 +100,9 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot_hash, self.slot_at = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int64)
-        self.known: dict[int, int] = {}
+        # a table of the pieces met last, and below it all pieces, sorted by hash
+        self.slot_hash, self.slot_at = np.zeros(1 << _SLOT_BITS, np.uint64), np.full(1 << _SLOT_BITS, -1, np.int32)
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
@@ -119,23 +120,24 @@ class PieceEncoder:
         self.used, self.count = self.used + total, self.count + n
 
     def _places(self, hashes: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        slot = (hashes >> np.uint64(43)).astype(np.int64)
-        at = self.slot_at[slot]
+        slot = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        at = self.slot_at[slot].astype(np.int64)
         miss = np.flatnonzero((self.slot_hash[slot] != hashes) | (at < 0))
         if len(miss):
             names, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            keys = names.tolist()
-            found = np.array([self.known.get(k, -1) for k in keys], np.int64)
+            near = np.searchsorted(self.hashes, names)
+            found = np.full(len(names), -1, np.int64)
+            inside = np.flatnonzero(near < len(self.hashes))
+            inside = inside[self.hashes[near[inside]] == names[inside]]
+            found[inside] = self.places[near[inside]]
             new = np.flatnonzero(found < 0)
             if len(new):
                 a, b = starts[miss[first[new]]].tolist(), ends[miss[first[new]]].tolist()
                 found[new] = self.count + np.arange(len(new))
                 self._add(self.encode_pieces([text[i:j] for i, j in zip(a, b, strict=True)]))
-                for i in new.tolist():
-                    self.known[keys[i]] = int(found[i])
+                self.hashes, self.places = np.insert(self.hashes, near[new], names[new]), np.insert(self.places, near[new], found[new].astype(np.int32))
             where = slot[miss[first]]
             self.slot_hash[where], self.slot_at[where] = names, found
-            at = at.copy()
             at[miss] = found[back]
         return at
 

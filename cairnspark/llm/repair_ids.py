@@ -33,11 +33,11 @@ MAGIC = b"RPGRAM01"
 END_ID = 2
 #: Ids below it are the tokenizer's, rules are numbered from it on.
 FIRST_RULE = 1 << 16
-SHARD_IDS = 4_000_000
+SHARD_IDS = 1_000_000
 ROUNDS = 8
 #: A pair must be replaced so often in a round: a rule takes 12 bytes, a replaced symbol saves 3.
 LEAST = 8
-_BUCKETS = 22
+_BUCKETS = 20
 
 
 def grammar(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -220,7 +220,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str | None =
             yield flush()
 
     manifest = materialise(dealt.mapInArrow(run, "part int, seq int, file string, n_docs bigint, n_ids bigint"), "token-manifest")
-    # one row a shard: a few bytes for each 4 million ids
+    # one row a shard: a few bytes for each million ids
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
