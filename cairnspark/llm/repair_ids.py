@@ -52,8 +52,9 @@ def grammar(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, least: int
         often = np.bincount(bucket, minlength=1 << _BUCKETS)[bucket]
         often[last[:-1]] = 0
         pick = often >= least
-        pick[1:] &= often[1:] > often[:-1]
-        pick[:-1] &= often[:-1] >= often[1:]
+        order = (often << _BUCKETS) | bucket  # of two pairs that are as frequent, always the same one goes first
+        pick[1:] &= order[1:] > order[:-1]
+        pick[:-1] &= order[:-1] >= order[1:]
         at = np.flatnonzero(pick)
         pairs = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1].astype(np.uint64)
         names, which, times = np.unique(pairs, return_inverse=True, return_counts=True)
