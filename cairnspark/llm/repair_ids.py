@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnspark.llm._common import arrow_rows, materialise, open_shared, parallelism, scratch
-from cairnspark.llm.pieces import default_path, library_encoder
+from cairnspark.llm.pieces import JOIN_CHARS, default_path, library_encoder
 
 MAGIC = b"RPGRAM01"
 END_ID = 2
@@ -177,6 +177,19 @@ class Shard:
         return self.table.expand(symbols[a:b])[first - sums[a] : end - sums[a]]
 
 
+def runs_of(who: list, texts: list[str | None], chars: int) -> Iterator[tuple[list, list]]:
+    """Runs of rows with up to chars characters in all, or one longer text."""
+    a, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > a and size + n > chars:
+            yield who[a:i], texts[a:i]
+            a, size = i, 0
+        size += n
+    if a < len(texts):
+        yield who[a:], texts[a:]
+
+
 def write_shards(docs: DataFrame, folder: str | None = None, path: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode whole texts, append END_ID to each, and write the shards in ascending doc_id order.
 
@@ -207,16 +220,13 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str | None =
 
         total = 0
         for batch in batches:
-            who, (ids, offsets) = batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())
-            n = len(who)
-            if not n:
-                continue
-            all_ids = np.insert(ids, offsets[1:], END_ID)
-            held.append((who, all_ids, np.diff(offsets) + 1))
-            total += len(all_ids)
-            if total >= shard_ids:
-                yield flush()
-                total = 0
+            for who, texts in runs_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), min(JOIN_CHARS, shard_ids)):
+                ids, offsets = enc.encode(texts)
+                held.append((who, np.insert(ids, offsets[1:], END_ID), np.diff(offsets) + 1))
+                total += len(ids) + len(who)
+                if total >= shard_ids:
+                    yield flush()
+                    total = 0
         if held:
             yield flush()
 
