@@ -237,7 +237,7 @@ def resolve_names(targets: DataFrame, taken: DataFrame | None = None) -> DataFra
     folder = F.regexp_replace("dst", "/[^/]*$", "")
     rows = targets.select("id", "src", "dst", folder.alias("folder"))
     old = taken.select(F.col("dst"), folder.alias("folder")) if taken is not None else rows.select("dst", "folder").limit(0)
-    clash = rows.where("dst <> src").select("dst", "folder").unionByName(old).groupBy("dst", "folder").agg(F.count("*").alias("n")).where("n > 1").select("folder").distinct()
+    clash = rows.select("dst", "folder").unionByName(old).groupBy("dst", "folder").agg(F.count("*").alias("n")).where("n > 1").select("folder").distinct()
     easy = rows.join(clash, "folder", "left_anti").select("id", "src", "dst", F.col("dst").alias("final"))
     hard = rows.withColumn("taken", F.lit(False)).unionByName(old.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("src"), "dst", "folder", F.lit(True).alias("taken"))).join(clash, "folder", "left_semi")
 
