@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows that Spark hands to Python at once. Texts have no length bound, so few rows at a time.
 ARROW_ROWS = 512
 #: Text bytes that the numpy kernels work on at once; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

@@ -35,7 +35,7 @@ from cairnspark.llm.words import shingle_sets
 
 WIDTH = 5
 #: Entries that a task packs at once.
-PACK = 4_000_000
+PACK = 1_500_000
 #: Nodes of a candidate group that one task multiplies; larger groups are cut.
 BLOCK_NODES = 2048
 #: Cells of a dense block of columns.
@@ -131,7 +131,7 @@ def _incidence(blocks: int, width: int):
                 nodes = [node_of(s) if len(s) else None for s in sets]
                 n = np.array([len(s) for s in sets], np.int64)
                 signed = [None if x is None else x - (1 << 64 if x >> 63 else 0) for x in nodes]
-                spread = np.array([hash(x or i) % blocks for i, x in enumerate(signed)], np.int32)
+                spread = ((np.arange(a, b) * 40503 + len(data)) % blocks).astype(np.int32)  # copies of a text, too, go to all parts
                 yield pa.record_batch({"part": spread, "kind": np.zeros(b - a, np.int32), "doc_id": batch.column(0).slice(a, b - a), "node": pa.array(signed, pa.int64()), "n": n, "payload": pa.nulls(b - a, pa.binary())})
                 for s, x in zip(sets, nodes, strict=True):
                     if x is not None:

@@ -36,7 +36,7 @@ HASHES = 3
 CELLS_A_GRAM = 12
 FOLDS, HELD_OUT = 5, 0
 #: Characters that are looked up at once.
-JOIN_CHARS = 1 << 20
+JOIN_CHARS = 1 << 18
 
 
 @lru_cache(1)
@@ -184,7 +184,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, min_share: float = MI
                 g = np.unique(np.append(gram_hashes(_codes(text))[0], np.uint64(0)))
                 held.setdefault(lang, []).append(g)
                 size += len(g)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield from flush()
         yield from flush()
 
@@ -206,10 +206,13 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, min_share: float = MI
 
 
 def identify(docs: DataFrame, model: MaskFilter, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score and known of every whole text; only the text is looked at. carry names columns to keep."""
+    """doc_id, lang_pred, score and known of every whole text; only the text is looked at. carry names columns to keep.
+
+    A carried column that is named like a new one gives way to it.
+    """
     spark = docs.sparkSession
     arrow_rows(spark)
-    names = list(dict.fromkeys(["doc_id", *(carry or [])]))
+    names = list(dict.fromkeys(["doc_id", *(c for c in carry or [] if c.lower() not in ("lang_pred", "score", "known"))]))
     kinds = dict(docs.dtypes)
     shared = spark.sparkContext.broadcast(model)  # its size is bounded by the n-grams that training may keep
 
