@@ -240,8 +240,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
 
 
 def judge(docs: DataFrame, trees: Trees | None, keep_at: float = KEEP_AT, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and quality_score of every document; carry names columns to keep beside."""
-    carry = carry or []
+    """doc_id, the counts, base_failed, kept and quality_score of every document; carry names columns to keep beside.
+
+    A carried column that is named like a new one gives way to it.
+    """
+    carry = [c for c in carry or [] if c.lower() not in (*COUNTS, "base_failed", "kept", "quality_score")]
     spark = docs.sparkSession
     arrow_rows(spark)
     kinds = dict(docs.dtypes)

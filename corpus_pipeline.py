@@ -8,6 +8,7 @@ the columns that docs has.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairnspark.llm import bpe_batch, jaccard_product, langmask, poisson_mix, quality_gbt
 from cairnspark.llm._common import materialise
@@ -16,17 +17,25 @@ from cairnspark.llm._common import materialise
 MIN_KNOWN = 0.2
 
 
+def _aside(docs: DataFrame):
+    """docs with all columns but doc_id and text renamed out of the way, and the expressions that name them back."""
+    names = {c: c if c in ("doc_id", "text") else f"docs_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the trees reject go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality_gbt.judge(docs, quality_gbt.train(spark, docs, labels), carry=docs.columns)
-    return judged.where("kept").select(*docs.columns)
+    held, names = _aside(docs)
+    judged = quality_gbt.judge(held, quality_gbt.train(spark, docs, labels), carry=held.columns)
+    return judged.where("kept").select(*names)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: those without letters, and those whose n-grams no language knows."""
-    found = langmask.identify(docs, langmask.train(docs), carry=docs.columns)
-    return found.where(f"lang_pred <> 'und' AND known >= {MIN_KNOWN}").select(*docs.columns)
+    held, names = _aside(docs)
+    found = langmask.identify(held, langmask.train(docs), carry=held.columns)
+    return found.where(f"lang_pred <> 'und' AND known >= {MIN_KNOWN}").select(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
