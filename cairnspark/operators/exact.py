@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions.bits import full_hash, sample_hash
 from cairnspark.functions.paths import path_key
+from cairnspark.operators.ranking import descending, row_numbers
+from cairnspark.plans.checkpoint import cut
 
 WINDOW_BYTES = 64 << 10
 
@@ -39,12 +41,14 @@ def groups(files: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
     Groups by reclaimable bytes (all copies but one), then hash; members by path, component by component.
     """
     _, _, members = cascade(files.select("path", "size", "mtime", "content"), window)
-    members = members.select("path", "size", "mtime", "hash")
+    members = cut(members.select("path", "size", "mtime", "hash"))
     g = members.groupBy("hash", "size").agg(F.count("*").alias("files")).withColumn("reclaimable", F.col("size") * (F.col("files") - 1))
-    ranked = g.withColumn("group_rank", F.row_number().over(Window.orderBy(F.desc("reclaimable"), "hash")).cast("long"))
-    inside = Window.partitionBy("hash", "size").orderBy(path_key(F.col("path")))
-    rows = members.withColumn("member_rank", F.row_number().over(inside).cast("long"))
-    return rows.join(ranked, ["hash", "size"]).select("group_rank", "hash", "size", "files", "reclaimable", "member_rank", "path", "mtime")
+    ranked = cut(row_numbers(g, [descending("reclaimable"), "hash"], "group_rank"))
+    rows = members.join(ranked, ["hash", "size"])
+    # a group's members stand together in the order of all rows, however many they are
+    rows = cut(row_numbers(rows, ["group_rank", path_key(F.col("path"))], "place"))
+    first = rows.groupBy("group_rank").agg(F.min("place").alias("first"))
+    return rows.join(first, "group_rank").select("group_rank", "hash", "size", "files", "reclaimable", (F.col("place") - F.col("first") + 1).alias("member_rank"), "path", "mtime")
 
 
 def stage_counts(files: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:

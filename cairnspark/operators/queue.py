@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions import estimate as est
@@ -182,38 +182,49 @@ def orphan_dirs(items: DataFrame, dirs: DataFrame) -> DataFrame:
 
 # --- folds --------------------------------------------------------------------------------------------------------
 
-_STATE = "status string, skip_reason string, dst_path string, dst_size bigint, elapsed_ms bigint, error_code string, error_msg string"
+
+def change_marks(results: DataFrame) -> DataFrame:
+    """The last change of each kind that decides a column, a row an id: what fold_results needs of all changes.
+
+    Maxima, so changes may come in any order and more than once, and a stream of changes is reduced the same way.
+    """
+    kind = F.col("type")
+
+    def last(kinds: tuple[str, ...], *fields: str) -> Column:
+        return F.max(F.when(kind.isin(*kinds), F.struct("seq", *fields)))
+
+    return results.groupBy("id").agg(
+        last(("done", "failed", "skipped", "requeued"), "type").alias("_set"), last(("started",)).alias("_started"), last(("done", "skipped"), "type", "reason").alias("_reason"),
+        last(("done",), "dst_path", "dst_size", "elapsed_ms").alias("_done"), last(("done", "failed"), "type", "code", "msg").alias("_error"),
+    )
+
+
+def apply_marks(items: DataFrame, marks: DataFrame) -> DataFrame:
+    """items with the changes applied that marks stand for."""
+    both = items.join(marks, "id", "left")
+    base = F.when(F.col("_set").isNull(), F.col("status")).when(F.col("_set.type") == "requeued", "pending").otherwise(F.col("_set.type"))
+    begun = F.col("_started").isNotNull() & (F.col("_started.seq") > F.coalesce(F.col("_set.seq"), F.lit(-(2**63)).cast("long"))) & (base == "pending")
+
+    def over(mark: str, new: Column, old: str) -> Column:
+        return F.when(F.col(mark).isNotNull(), new).otherwise(F.col(old)).alias(old)
+
+    new = {
+        "status": F.when(begun, "running").otherwise(base).alias("status"),
+        "skip_reason": over("_reason", F.when(F.col("_reason.type") == "skipped", F.col("_reason.reason")), "skip_reason"),
+        **{c: over("_done", F.col(f"_done.{c}"), c) for c in ("dst_path", "dst_size", "elapsed_ms")},
+        **{c: over("_error", F.when(F.col("_error.type") == "failed", F.col(f"_error.{f}")), c) for c, f in (("error_code", "code"), ("error_msg", "msg"))},
+    }
+    return both.select(*[new.get(c, F.col(c)) for c in items.columns])
 
 
 def fold_results(items: DataFrame, results: DataFrame) -> DataFrame:
     """items with all changes applied in the order of seq.
 
     started counts only for pending items; done clears reason and error; failed leaves the output as it was; skipped sets
-    the reason; requeued makes an item pending again. Each item's changes are folded in one expression.
+    the reason; requeued makes an item pending again. What each column ends as depends on the last change of a few kinds
+    alone, so changes are reduced to those before the shuffle, and no item's changes are ever gathered.
     """
-    fields = [f.split()[0] for f in _STATE.split(", ")]
-    change = F.struct("seq", "type", "dst_path", "dst_size", "elapsed_ms", "code", "msg", "reason")
-    per = results.groupBy("id").agg(F.sort_array(F.collect_list(change)).alias("_changes"))
-    both = items.join(per, "id", "left")
-    start = F.struct(*(F.col(c).cast(t).alias(c) for c, t in (f.split() for f in _STATE.split(", "))))
-
-    def step(s: Column, r: Column) -> Column:
-        t = r["type"]
-        done, failed, skipped = (t == x for x in ("done", "failed", "skipped"))
-        begun = (t == "started") & (s["status"] == "pending")
-        none = F.lit(None)
-        return F.struct(
-            F.when(begun, "running").when(done | failed | skipped, t).when(t == "requeued", "pending").otherwise(s["status"]).alias("status"),
-            F.when(done, none).when(skipped, r["reason"]).otherwise(s["skip_reason"]).alias("skip_reason"),
-            F.when(done, r["dst_path"]).otherwise(s["dst_path"]).alias("dst_path"),
-            F.when(done, r["dst_size"]).otherwise(s["dst_size"]).cast("long").alias("dst_size"),
-            F.when(done, r["elapsed_ms"]).otherwise(s["elapsed_ms"]).cast("long").alias("elapsed_ms"),
-            F.when(done, none).when(failed, r["code"]).otherwise(s["error_code"]).alias("error_code"),
-            F.when(done, none).when(failed, r["msg"]).otherwise(s["error_msg"]).alias("error_msg"),
-        )
-
-    folded = both.withColumn("_s", F.aggregate(F.coalesce("_changes", F.array().cast(per.schema["_changes"].dataType)), start, step))
-    return folded.select(*[F.col(f"_s.{c}").alias(c) if c in fields else F.col(c) for c in items.columns])
+    return apply_marks(items, change_marks(results))
 
 
 def time_left(items: DataFrame, hardware: bool = False, gates: tuple[int, int] = (2, 8)) -> DataFrame:
@@ -279,6 +290,5 @@ def compare_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key by order."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last row of each key by order, reduced before the shuffle."""
+    return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), order).alias("_row")).select(key, "_row.*").select(*df.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions.paths import depth, path_key
@@ -29,9 +29,10 @@ def apply_policy(members: DataFrame, policy: str) -> DataFrame:
     if policy == "manual":
         return members.withColumn("keep", F.when(here, 1).otherwise(F.col("keep")))
     first = depth(F.col("path")) if policy == "shallowest_path" else F.col("mtime")
-    w = Window.partitionBy("group_id", here).orderBy(first, path_key(F.col("path")))
-    ranked = members.withColumn("_rank", F.row_number().over(w))
-    return ranked.withColumn("keep", F.when(~here, F.col("keep")).otherwise(F.when(F.col("_rank") == 1, 1).otherwise(0))).drop("_rank")
+    # the least of each group, summed up before the shuffle, and back by id: a huge group is no huge task
+    best = members.where(here).groupBy("group_id").agg(F.min(F.struct(first, path_key(F.col("path")), F.col("id").alias("id"))).alias("_best"))
+    keepers = best.select(F.col("_best.id").alias("id"), F.lit(True).alias("_keeper"))
+    return members.join(keepers, "id", "left").withColumn("keep", F.when(~here, F.col("keep")).when(F.col("_keeper"), 1).otherwise(0)).select(*members.columns)
 
 
 def set_keep(members: DataFrame, changes: DataFrame) -> DataFrame:

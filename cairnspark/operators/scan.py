@@ -36,10 +36,10 @@ def bundle_paths(files: DataFrame) -> DataFrame:
 def drop_hard_links(files: DataFrame, order: str = "path") -> DataFrame:
     """One row of those that share an inode, the first by order; files with a single link are left alone.
 
-    Only the rows with several links are ranked.
+    Only the rows with several links are looked at, and reduced before the shuffle.
     """
-    w = Window.partitionBy("inode").orderBy(F.split(order, "/") if order == "path" else F.col(order))
-    many = files.where("nlink > 1").withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    key = F.split(order, "/") if order == "path" else F.col(order)
+    many = files.where("nlink > 1").groupBy("inode").agg(F.min_by(F.struct(*files.columns), key).alias("_row")).select("_row.*")
     return files.where("nlink <= 1 OR nlink IS NULL").unionByName(many)
 
 

@@ -598,7 +598,8 @@ def fold_results(spark, sf_dir):
 
 @query(_FOLD)
 def stream_fold(spark, sf_dir):
-    return bookkeeping.run_to_end(spark, sf_dir)
+    r = v.results(spark, sf_dir)
+    return bookkeeping.run_to_end(spark, r, blank_items(r))
 
 
 @query(f"""WITH {v.ITEMS}, s AS (SELECT job_id, kind = 'video' AS video, count(*) FILTER (status = 'pending') AS pending, coalesce(sum(est_secs) FILTER (status IN ('pending', 'running')), 0) AS rem, coalesce(sum(est_secs) FILTER (status = 'done'), 0) AS did, coalesce(sum(elapsed_ms) FILTER (status = 'done'), 0) / 1000.0::DOUBLE AS act FROM items GROUP BY 1, 2),

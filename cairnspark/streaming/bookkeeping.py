@@ -1,91 +1,51 @@
-"""Bookkeeping of the queue as a stream: changes come in micro-batches, each item's state is folded in order.
+"""Bookkeeping of the queue as a stream: changes come in micro-batches, each item's state is folded as they come.
 
-State per item is kept by applyInPandasWithState, so a batch may end anywhere; changes that come twice (by seq) count
-once. The result is that of operators.queue.fold_results, however the input is cut into batches.
+The fold is an aggregate of maxima (operators.queue.change_marks), so Structured Streaming keeps its state natively.
+Changes may come late, out of order or twice, and batches may end anywhere: the result is that of fold_results.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cairnspark.operators.queue import apply_marks, change_marks
 from cairnspark.plans.checkpoint import shared_dir
 
-FIELDS = ("status", "skip_reason", "dst_path", "dst_size", "elapsed_ms", "error_code", "error_msg")
-OUT = "id bigint, version bigint, status string, skip_reason string, dst_path string, dst_size bigint, elapsed_ms bigint, error_code string, error_msg string"
-STATE = "last_seq bigint, version bigint, status string, skip_reason string, dst_path string, dst_size bigint, elapsed_ms bigint, error_code string, error_msg string"
 CHANGES = "seq bigint, type string, id bigint, dst_path string, dst_size bigint, elapsed_ms bigint, code string, msg string, reason string"
 
 
-def _none(x):
-    return None if x is None or x != x else x
-
-
-def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply an item's changes in the order of seq to its state, and give the state out."""
-    if state.exists:
-        last, version, *values = state.get
-    else:
-        last, version, values = -1, 0, ["pending", None, None, None, None, None, None]
-    s = dict(zip(FIELDS, values, strict=True))
-    for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-        if r.seq <= last:
-            continue
-        last, version = int(r.seq), version + 1
-        if r.type == "started":
-            s["status"] = "running" if s["status"] == "pending" else s["status"]
-        elif r.type == "requeued":
-            s["status"] = "pending"
-        elif r.type == "done":
-            s.update(status="done", skip_reason=None, error_code=None, error_msg=None, dst_path=_none(r.dst_path), dst_size=_none(r.dst_size), elapsed_ms=_none(r.elapsed_ms))
-        elif r.type == "failed":
-            s.update(status="failed", error_code=_none(r.code), error_msg=_none(r.msg))
-        elif r.type == "skipped":
-            s.update(status="skipped", skip_reason=_none(r.reason))
-    for c in ("dst_size", "elapsed_ms"):
-        s[c] = None if s[c] is None else int(s[c])
-    state.update((last, version, *(s[c] for c in FIELDS)))
-    row = {"id": [int(key[0])], "version": [version], **{c: pd.array([s[c]], dtype="Int64") if c in ("dst_size", "elapsed_ms") else [s[c]] for c in FIELDS}}
-    yield pd.DataFrame(row)
-
-
-def fold_stream(changes: DataFrame) -> DataFrame:
-    """A stream of changes to a stream of item states with a rising version."""
-    return changes.groupBy("id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
-
-
 def read_changes(spark: SparkSession, folder: str, files_per_batch: int = 4) -> DataFrame:
     """Change files as they arrive, so many a micro-batch: the stream's back-pressure."""
     return spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def start(changes: DataFrame, out: str, checkpoint: str, **trigger):
-    """Fold a stream into a folder of states, each batch written once under its number."""
+    """Fold a stream into a folder: each batch writes the marks of the ids it touched, once under its number.
+
+    A batch that is run again after a failure overwrites its own folder. By default twice a second; how many changes a
+    batch holds is up to the source.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return fold_stream(changes).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
-
+    return change_marks(changes).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
 
-def latest_states(spark: SparkSession, out: str) -> DataFrame:
-    rows = spark.read.schema(OUT).parquet(f"{out}/batch=*")
-    last = rows.groupBy("id").agg(F.max_by(F.struct(*FIELDS), "version").alias("s"))
-    return last.select("id", "s.*")
 
+def states(items: DataFrame, out: str) -> DataFrame:
+    """items as the stream has left them: the marks of each id's last batch, applied."""
+    rows = items.sparkSession.read.parquet(out)
+    fields = [c for c in rows.columns if c.startswith("_")]
+    last = rows.groupBy("id").agg(F.max_by(F.struct(*fields), "batch").alias("m")).select("id", "m.*")
+    return apply_marks(items, last)
 
-def run_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of sf_dir as a stream of changes, read to its end and folded."""
-    from cairnspark.plans.adapters import results
 
+def run_to_end(spark: SparkSession, changes: DataFrame, items: DataFrame, files: int = 4) -> DataFrame:
+    """A table of changes as a stream in several batches, read to its end and folded into items."""
     at = f"{shared_dir(spark)}/bookkeeping-{uuid.uuid4().hex}"
-    results(spark, sf_dir).repartitionByRange(4, "seq").write.parquet(f"{at}/in")
-    # files arrive in the order of their changes: one file a batch here, to cross batch boundaries
-    q = start(read_changes(spark, f"{at}/in", 1), f"{at}/out", f"{at}/checkpoint", availableNow=True)
-    q.awaitTermination()
-    return latest_states(spark, f"{at}/out")
+    changes.select(*(c.split()[0] for c in CHANGES.split(", "))).repartitionByRange(files, "seq").write.parquet(f"{at}/in")
+    start(read_changes(spark, f"{at}/in", 1), f"{at}/out", f"{at}/checkpoint", availableNow=True).awaitTermination()
+    return states(items, f"{at}/out")

@@ -149,3 +149,45 @@ def test_top_dirs_fold_the_rest(spark):
 def test_hard_links(spark):
     f = spark.createDataFrame([("/a-b", 1, 2), ("/a/b", 1, 2), ("/c", 1, 1), ("/d", 1, 1)], "path string, inode bigint, nlink bigint")
     assert sorted(r.path for r in scan.drop_hard_links(f).collect()) == ["/a/b", "/c", "/d"]
+
+
+def test_row_numbers_are_those_of_a_sort(spark):
+    from cairnspark.operators.ranking import descending, row_numbers
+
+    r = random.Random(3)
+    rows = [(i, r.choice([None, 1, 2, 2, 2, 2])) for i in range(300)]
+    df = spark.createDataFrame(rows, "i bigint, x bigint").repartition(7)
+    got = {x.i: x.rn for x in row_numbers(df, [descending("x"), "i"]).collect()}
+    order = sorted(rows, key=lambda t: (t[1] is None, -(t[1] or 0), t[0]))
+    assert got == {i: n + 1 for n, (i, _) in enumerate(order)}
+
+
+def test_changes_may_come_late_and_twice(spark, tmp_path):
+    from cairnspark.plans.catalog import blank_items
+    from cairnspark.streaming import bookkeeping
+
+    r = random.Random(8)
+    kinds = ["started", "done", "failed", "skipped", "requeued"]
+    rows = [(i, r.choice(kinds), r.randint(0, 9), f"/o{i}", i, i, f"c{i}", f"m{i}", f"r{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, bookkeeping.CHANGES)
+    want = sorted(map(tuple, queue.fold_results(blank_items(df), df).collect()))
+    model = {}
+    for seq, kind, i, dst, size, ms, code, msg, reason in rows:
+        s = model.setdefault(i, ["pending", None, None, None, None, None, None])
+        if kind == "started":
+            s[0] = "running" if s[0] == "pending" else s[0]
+        elif kind == "requeued":
+            s[0] = "pending"
+        elif kind == "done":
+            s[:] = ["done", None, dst, size, ms, None, None]
+        elif kind == "failed":
+            s[0], s[5], s[6] = "failed", code, msg
+        else:
+            s[0], s[1] = "skipped", reason
+    assert want == sorted((i, *s) for i, s in model.items())
+    late = df.unionByName(df.where("seq % 3 = 0")).withColumn("_at", -F.col("seq"))
+    at = f"file://{tmp_path}/in"
+    for k in range(3):
+        late.where(f"seq % 3 = {2 - k}").drop("_at").coalesce(1).write.mode("append").parquet(at)
+    bookkeeping.start(bookkeeping.read_changes(spark, at, 1), f"file://{tmp_path}/out", f"file://{tmp_path}/cp", availableNow=True).awaitTermination()
+    assert sorted(map(tuple, bookkeeping.states(blank_items(df), f"file://{tmp_path}/out").collect())) == want
