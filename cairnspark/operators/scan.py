@@ -68,20 +68,24 @@ def probe_columns() -> dict[str, Column]:
 def plan_items(media: DataFrame, profile: Profile | None = None) -> DataFrame:
     """media with kind, skip_reason, and out_bytes, seconds and queue of an estimate."""
     profile, p = profile or Profile(), probe_columns()
-    out, secs, queue = est.item(p, profile)
-    return media.withColumn("kind", media_kind(F.col("class"))).withColumn("skip_reason", decide(p, profile)).withColumn("out_bytes", out).withColumn("seconds", secs).withColumn("queue", queue)
+    base = est.basis(p, profile)
+    wide = media.withColumns({**{f"_{k}": c for k, c in base.items()}, "kind": media_kind(F.col("class")), "skip_reason": decide(p, profile)})
+    out, secs, queue = est.item(p, {k: F.col(f"_{k}") for k in base}, profile)
+    return wide.withColumns({"out_bytes": out, "seconds": secs, "queue": queue}).drop(*(f"_{k}" for k in base))
 
 
 def kind_groups(planned: DataFrame) -> DataFrame:
     """Files and bytes to be processed, by kind in display order."""
     order = reduce(lambda acc, kv: F.when(F.col("kind") == kv[0], kv[1]).otherwise(acc), KIND_ORDER.items(), F.lit(len(KIND_ORDER)))
-    g = planned.where("skip_reason IS NULL").groupBy("kind").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    # counted by condition: a filter on a decision would be pushed down, and with it all its rules be written out again
+    todo = F.col("skip_reason").isNull()
+    g = planned.groupBy("kind").agg(F.count_if(todo).alias("files"), F.sum(F.when(todo, F.col("size"))).alias("bytes")).where("files > 0")
     return g.withColumn("ord", order.cast("long"))
 
 
 def skip_groups(planned: DataFrame) -> DataFrame:
     """Files and bytes left alone, by reason; most files first, then by reason."""
-    g = planned.where("skip_reason IS NOT NULL").groupBy("skip_reason").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    g = planned.groupBy("skip_reason").agg(F.count("skip_reason").alias("files"), F.sum("size").alias("bytes")).where("files > 0")
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("files"), "skip_reason")).cast("long"))
 
 
@@ -125,13 +129,14 @@ def progress(planned: DataFrame) -> DataFrame:
 
 def estimate_summary(planned: DataFrame, hardware: bool = False, gates: tuple[int, int] = (2, 8)) -> DataFrame:
     """Sums of the estimates of what will be processed; every output is capped at its source before it is summed."""
-    out = est.capped(F.col("out_bytes"), F.col("size"))
-    todo = planned.where("skip_reason IS NULL").withColumn("out", out)
-    sums = [F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("src_bytes")]
+    # bounds as plain columns first: the sums then refer to them instead of repeating the estimate
+    flat = {f"_o_{b}": F.least(F.col(f"out_bytes.{b}"), F.col("size").cast("double")) for b in est.BOUNDS} | {f"_s_{b}": F.col(f"seconds.{b}") for b in est.BOUNDS}
+    todo = planned.select(F.when(F.col("skip_reason").isNull(), F.col("queue")).alias("queue"), F.when(F.col("skip_reason").isNull(), F.col("size")).alias("size"), *(F.when(F.col("skip_reason").isNull(), c).alias(k) for k, c in flat.items()))
+    sums = [F.count("queue").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("src_bytes")]
     for b in est.BOUNDS:
-        sums.append(F.coalesce(F.sum(f"out.{b}"), F.lit(0.0)).alias(f"out_{b}"))
+        sums.append(F.coalesce(F.sum(f"_o_{b}"), F.lit(0.0)).alias(f"out_{b}"))
         for q in ("video", "light"):
-            sums.append(F.coalesce(F.sum(F.when(F.col("queue") == q, F.col(f"seconds.{b}"))), F.lit(0.0)).alias(f"{q}_{b}"))
+            sums.append(F.coalesce(F.sum(F.when(F.col("queue") == q, F.col(f"_s_{b}"))), F.lit(0.0)).alias(f"{q}_{b}"))
     one = todo.agg(*sums)
     for b in est.BOUNDS:
         one = one.withColumn(f"wall_{b}", est.wall_seconds(F.col(f"video_{b}"), F.col(f"light_{b}"), hardware, gates))
@@ -144,7 +149,8 @@ def estimated_output(planned: DataFrame) -> DataFrame:
     """What a job is expected to write: the estimate of what it processes and the size of what it leaves alone."""
     mid = F.least(F.col("out_bytes.mid"), F.col("size").cast("double"))
     todo = F.col("skip_reason").isNull()
-    return planned.agg((F.greatest(F.coalesce(F.sum(F.when(todo, mid)), F.lit(0.0)), F.lit(0.0)).cast("long") + F.coalesce(F.sum(F.when(~todo, F.col("size"))), F.lit(0))).alias("est_out_bytes"))
+    parts = planned.agg(F.greatest(F.coalesce(F.sum(F.when(todo, mid)), F.lit(0.0)), F.lit(0.0)).cast("long").alias("processed"), F.coalesce(F.sum(F.when(~todo, F.col("size"))), F.lit(0)).alias("left_alone"))
+    return parts.withColumn("est_out_bytes", F.col("processed") + F.col("left_alone"))
 
 
 def queue_rows(planned: DataFrame, job_id: int) -> DataFrame:

@@ -312,13 +312,11 @@ def report_progress(spark, sf_dir):
     return scan.progress(planned(spark, sf_dir))
 
 
-@query(f"WITH {_PLANNED} SELECT CAST(trunc(greatest(coalesce(sum(least(CAST(out_mid AS DOUBLE), size)) FILTER (skip_reason IS NULL), 0), 0) / 1000) AS BIGINT) + CAST(coalesce(sum(size) FILTER (skip_reason IS NOT NULL), 0) // 1000 AS BIGINT) AS est_out_kb FROM planned")
+@query(f"WITH {_PLANNED} SELECT CAST(trunc(coalesce(sum(least(CAST(out_mid AS DOUBLE), size)) FILTER (skip_reason IS NULL), 0) / 1000) AS BIGINT) AS processed_kb, CAST(coalesce(sum(size) FILTER (skip_reason IS NOT NULL), 0) AS BIGINT) AS left_alone FROM planned")
 def estimated_output(spark, sf_dir):
     # compared in thousands: the last digits of a sum of doubles depend on its order
-    p = planned(spark, sf_dir)
-    todo = scan.estimated_output(p.where("skip_reason IS NULL")).select(F.call_function("div", F.col("est_out_bytes"), F.lit(1000)).alias("a"))
-    rest = scan.estimated_output(p.where("skip_reason IS NOT NULL")).select(F.call_function("div", F.col("est_out_bytes"), F.lit(1000)).alias("b"))
-    return todo.crossJoin(rest).select((F.col("a") + F.col("b")).alias("est_out_kb"))  # two single rows
+    e = scan.estimated_output(planned(spark, sf_dir))
+    return e.select(F.call_function("div", F.col("processed"), F.lit(1000)).alias("processed_kb"), "left_alone")
 
 
 @query(f"WITH {_PLANNED} SELECT {JOB}::BIGINT AS job_id, path AS src_path, size AS src_size, mtime AS src_mtime, kind, skip_reason, round(secs_mid, 3) AS est_secs FROM planned")
