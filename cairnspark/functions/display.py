@@ -37,3 +37,15 @@ def bitrate_text(bps: Column) -> Column:
 
 def pretty_codec(codec: Column) -> Column:
     return F.when(codec == "hevc", "H.265").when(codec == "h264", "H.264").otherwise(F.upper(F.element_at(F.split(codec, r"\."), -1)))
+
+
+def share_text(part: Column, whole: Column) -> Column:
+    """Percent with one decimal place, none if it is 0; what is over 0 but under 0.1 is said to be so."""
+    pct = part / whole * 100
+    tenth = F.floor(pct * 10 + 0.5)
+    text = F.when(tenth % 10 == 0, F.format_string("%d%%", F.floor(tenth / 10).cast("long"))).otherwise(F.format_string("%.1f%%", tenth / 10))
+    return F.when(whole <= 0, NOTHING).when((pct > 0) & (pct < 0.1), "<0.1%").otherwise(text)
+
+
+def count_text(n: Column) -> Column:
+    return F.format_number(F.floor(n + 0.5), 0)

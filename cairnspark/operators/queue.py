@@ -175,6 +175,29 @@ def resumable_job(jobs: DataFrame, items: DataFrame) -> DataFrame:
     return jobs.where(F.col("status").isin("running", "paused")).join(waiting, "id", "left_semi").orderBy(F.desc("id")).limit(1)
 
 
+def finish_status(items: DataFrame) -> DataFrame:
+    """The status of each job after a pass: paused if anything is pending still, else done."""
+    return items.groupBy("job_id").agg(F.when(F.count_if(F.col("status") == "pending") > 0, "paused").otherwise("done").alias("status"))
+
+
+def resume_frame(jobs: DataFrame, items: DataFrame) -> DataFrame:
+    """The progress of the job that can be resumed: at most one row."""
+    job = resumable_job(jobs, items).select(F.col("id").alias("job_id"), "name")
+    return job.join(job_progress(items.join(F.broadcast(job.select("job_id")), "job_id", "left_semi")), "job_id")
+
+
+def read_through(files: DataFrame, cache: DataFrame, probed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files with probe_json, the cache after): misses take what a probe gave (path, probe_json) and are cached.
+
+    A probe that failed gives a null, which is cached, too, as an empty object.
+    """
+    looked = cached_probe(files, cache)
+    new = looked.where("NOT hit").drop("probe_json").join(probed.select("path", "probe_json"), "path", "left").withColumn("probe_json", F.coalesce("probe_json", F.lit("{}")))
+    all_rows = looked.where("hit").unionByName(new.select(looked.columns))
+    puts = new.select("path", "size", "mtime", "probe_json", F.lit(1).cast("long").alias("at"))
+    return all_rows, upsert(cache.select("path", "size", "mtime", "probe_json"), puts, ["path"], "at")
+
+
 def orphan_dirs(items: DataFrame, dirs: DataFrame) -> DataFrame:
     """Folders to look through for temporary files after a crash: those that running items would have written to."""
     return running_items(items).join(dirs, ["job_id", "src_path"]).select("dst_dir").distinct()

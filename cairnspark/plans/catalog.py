@@ -573,6 +573,34 @@ def orphan_dirs(spark, sf_dir):
     return queue.orphan_dirs(items, dirs)
 
 
+@query(f"WITH {v.ITEMS} SELECT job_id, CASE WHEN count(*) FILTER (status = 'pending') > 0 THEN 'paused' ELSE 'done' END AS status FROM items WHERE job_id <> {JOB} OR status <> 'pending' GROUP BY job_id")
+def finish_status(spark, sf_dir):
+    return queue.finish_status(v.items(spark, sf_dir).where(f"job_id <> {JOB} OR status <> 'pending'"))
+
+
+@query(f"""WITH {v.JOBS}, {v.ITEMS}, j AS (SELECT id, name FROM jobs WHERE status IN ('running', 'paused') AND EXISTS (SELECT 1 FROM items WHERE job_id = jobs.id AND items.status = 'pending') ORDER BY id DESC LIMIT 1)
+SELECT job_id, any_value(name) AS name, count(*) AS total, {_ST}, CAST(coalesce(sum(src_size) FILTER (status = 'done'), 0) AS BIGINT) AS src_bytes, CAST(coalesce(sum(dst_size) FILTER (status = 'done'), 0) AS BIGINT) AS dst_bytes FROM items JOIN j ON job_id = j.id GROUP BY job_id""")
+def resume_frame(spark, sf_dir):
+    return queue.resume_frame(v.jobs(spark, sf_dir), v.items(spark, sf_dir))
+
+
+@query(f"WITH {v.MEDIA} SELECT path, doc_id % 5 <> 0 AND doc_id % 29 <> 0 AS hit, doc_id % 5 <> 0 AND doc_id % 29 <> 0 OR doc_id % 2 = 0 AS known FROM media")
+def read_through_cache(spark, sf_dir):
+    m = probe_json(v.media(spark, sf_dir))
+    cache = m.where("doc_id % 5 <> 0").select("path", "size", "mtime", "probe_json")
+    probed = m.where("doc_id % 2 = 0").select("path", F.lit('{"streams": []}').alias("probe_json"))
+    rows, after = queue.read_through(m.select("path", "size", "mtime"), cache, probed)
+    again = after.select("path", (F.col("probe_json") != "{}").alias("known"))
+    return rows.select("path", "hit").join(again, "path")
+
+
+@query(f"""WITH {_CATEGORY} SELECT CAST(count(*) * 2 AS BIGINT) AS files_seen, true AS cancelled FROM cat WHERE category IN ('other', 'media')""")
+def merge_walks(spark, sf_dir):
+    one = scan.counters(v.files(spark, sf_dir))
+    walks = one.withColumn("cancelled", F.lit(False)).unionByName(one.withColumn("cancelled", F.lit(True)))
+    return scan.merge_counters(walks).select("files_seen", "cancelled")
+
+
 _FOLD = f"""WITH RECURSIVE {v.RESULTS}, n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM results),
 s AS (SELECT DISTINCT id, 0::BIGINT AS k, 'pending' AS status, NULL::VARCHAR AS skip_reason, NULL::VARCHAR AS dst_path, NULL::BIGINT AS dst_size, NULL::BIGINT AS elapsed_ms, NULL::VARCHAR AS error_code, NULL::VARCHAR AS error_msg FROM results
   UNION ALL SELECT s.id, s.k + 1,

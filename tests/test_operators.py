@@ -191,3 +191,20 @@ def test_changes_may_come_late_and_twice(spark, tmp_path):
         late.where(f"seq % 3 = {2 - k}").drop("_at").coalesce(1).write.mode("append").parquet(at)
     bookkeeping.start(bookkeeping.read_changes(spark, at, 1), f"file://{tmp_path}/out", f"file://{tmp_path}/cp", availableNow=True).awaitTermination()
     assert sorted(map(tuple, bookkeeping.states(blank_items(df), f"file://{tmp_path}/out").collect())) == want
+
+
+def test_sessions(spark, sf_dir):
+    from cairnspark.plans import adapters, sessions
+
+    tables = sessions.scan_session(adapters.media(spark, sf_dir), ["/vol"], 5)
+    assert tables["items"].count() == tables["progress"].first().analyzed
+    assert tables["kinds"].agg(F.sum("files")).first()[0] == tables["estimate"].first().files
+    files = adapters.candidates(spark, sf_dir)
+    members = cut(sessions.dedup_session(files))
+    groups = members.select("group_id").distinct().count()
+    assert groups > 0 and members.where("keep = 1").count() == groups
+    after, summary = sessions.apply_session(members, files.select("path", "size", "mtime", F.lit(False).alias("is_symlink")))
+    assert summary.first().trashed == members.count() - groups == after.where("disposal = 'trashed'").count()
+    prints = spark.createDataFrame([("/a.jpg", 5, 1, 0), ("/b.png", 6, 1, 1), ("/c.cr2", 7, 1, 0), ("/d.jpg", 8, 1, -1)], "path string, size bigint, mtime bigint, fp0 bigint")
+    near_members = sessions.dedup_session(prints, "perceptual", 4, ["fp0"]).collect()
+    assert sorted((r.path, r.distance, r.keep) for r in near_members) == [("/a.jpg", 0, 1), ("/b.png", 1, 1)]
