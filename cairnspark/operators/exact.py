@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from cairnspark.functions.bits import full_hash, sample_hash
 from cairnspark.functions.paths import path_key
-from cairnspark.operators.ranking import descending, row_numbers
+from cairnspark.operators.ranking import descending, one_row, row_numbers
 from cairnspark.plans.checkpoint import cut
 
 WINDOW_BYTES = 64 << 10
+#: Paths that may be broadcast to pick the files of the second scan.
+BROADCAST_PATHS = 500_000
 
 
 def in_groups(df: DataFrame, *keys: str) -> DataFrame:
@@ -26,12 +28,17 @@ def in_groups(df: DataFrame, *keys: str) -> DataFrame:
 def cascade(files: DataFrame, window: int = WINDOW_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(same size, same sample, all with final hash). A file of up to two windows is hashed as a whole by its sample.
 
-    files has path, size, mtime and content; a null content can't be read and drops out.
+    files has path, size, mtime and content; a null content can't be read and drops out. Content is never shuffled: the
+    ends of files are hashed as they are scanned, and a second scan hashes the whole of those that need it.
     """
-    sized = in_groups(files.where("size IS NOT NULL"), "size")
-    sampled = sized.withColumn("sample", sample_hash(F.col("content"), F.col("size"), window)).where("sample IS NOT NULL")
-    same = in_groups(sampled, "size", "sample")
-    final = same.withColumn("hash", F.when(F.col("size") <= 2 * window, F.col("sample")).otherwise(full_hash(F.col("content"))))
+    narrow = cut(files.where("size IS NOT NULL").select("path", "size", "mtime", sample_hash(F.col("content"), F.col("size"), window).alias("sample")))
+    sized = in_groups(narrow, "size")
+    same = cut(in_groups(sized.where("sample IS NOT NULL"), "size", "sample"))
+    large = same.where(F.col("size") > 2 * window).select("path").distinct()
+    pick = F.broadcast(large) if large.count() <= BROADCAST_PATHS else large
+    full = files.join(pick, "path", "left_semi").groupBy("path", "size", "mtime").agg(F.min(full_hash(F.col("content"))).alias("hash"))
+    small = same.where(F.col("size") <= 2 * window).select("path", "size", "mtime", F.col("sample").alias("hash"))
+    final = small.unionByName(same.where(F.col("size") > 2 * window).join(full, ["path", "size", "mtime"]).select("path", "size", "mtime", "hash"))
     return sized, same, in_groups(final, "size", "hash")
 
 
@@ -61,10 +68,7 @@ def stage_counts(files: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
         same.agg(F.count("*").alias("after_sample"), F.count_if(~small).alias("fully_read"), F.count_if(small).alias("sample_was_final")),
         last.groupBy("size", "hash").agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("members")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # single rows
-    return out
+    return one_row(*parts)
 
 
 def with_cached_hash(files: DataFrame, cache: DataFrame, algo: str, compute: Column) -> DataFrame:

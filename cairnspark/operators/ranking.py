@@ -1,7 +1,9 @@
-"""Row numbers over a whole table without a task that sees all rows."""
+"""Row numbers over a whole table without a task that sees all rows, and single rows side by side."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,3 +29,9 @@ def row_numbers(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
 def descending(column) -> tuple:
     """A column of an order whose greatest value comes first."""
     return (F.col(column) if isinstance(column, str) else column,)
+
+
+def one_row(*rows: DataFrame) -> DataFrame:
+    """Single rows with different columns as one row."""
+    all_rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return all_rows.agg(*(F.max(c).alias(c) for c in all_rows.columns))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions.paths import depth, path_key
+from cairnspark.operators.ranking import one_row
 
 POLICIES = ("shallowest_path", "oldest", "manual")
 NOTES = 20
@@ -88,4 +89,4 @@ def apply_summary(outcomes: DataFrame) -> DataFrame:
     one = outcomes.agg(F.count_if(done).alias("trashed"), F.count_if(F.col("outcome") == "skipped").alias("skipped"), F.count_if(F.col("outcome") == "failed").alias("failed"), F.coalesce(F.sum(F.when(done, F.col("size"))), F.lit(0)).alias("reclaimed"))
     first = outcomes.where("note IS NOT NULL").groupBy("note").agg(F.min("id").alias("at")).orderBy("at").limit(NOTES)
     notes = first.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "note"))), lambda x: x["note"]), ",").alias("notes"))
-    return one.crossJoin(notes)  # two single rows
+    return one_row(one, notes)

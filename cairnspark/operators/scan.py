@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairnspark.functions import estimate as est
 from cairnspark.functions.paths import KIND_ORDER, classify, is_bundle, is_sidecar, is_skipped_dir, is_system_junk, is_under, media_kind, parent, root_label, segments
 from cairnspark.functions.policy import Profile, decide
+from cairnspark.operators.ranking import one_row
 
 TOP_DIRS = 8
 
@@ -51,7 +52,7 @@ def counters(files: DataFrame) -> DataFrame:
     base = keep.agg(F.count_if(seen).alias("files_seen"), F.count_if(F.col("category") == "other").alias("non_media"), F.count_if(F.col("category") == "sidecar").alias("sidecars"), F.count_if(F.col("category") == "media").alias("linked"))
     media = unique.agg(F.count("*").alias("media_found"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
     bundles = bundle_paths(keep).agg(F.count("*").alias("bundles_skipped"))
-    one = base.crossJoin(media).crossJoin(bundles)  # three single rows
+    one = one_row(base, media, bundles)
     return one.select("files_seen", "media_found", "bytes", (F.col("linked") - F.col("media_found")).alias("hardlinks_skipped"), "non_media", "sidecars", "bundles_skipped")
 
 
