@@ -40,8 +40,8 @@ PACK = 1_500_000
 BLOCK_NODES = 2048
 #: Cells of a dense block of columns.
 CELLS = 8_000_000
-#: Candidate documents whose ids may be broadcast (8 bytes each); beyond it the texts are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Document ids that may be broadcast (about 60 bytes each, hashed); beyond it the texts are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Posting lists up to this length give their pairs, filtered by position; longer ones give a chain.
 SHORT_LIST = 8
 
@@ -361,12 +361,13 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     edges = materialise(rare.repartitionById(blocks, F.col("part")).mapInArrow(_candidate_edges, "a bigint, b bigint"), "jaccard-candidates")
 
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight"))
+    # written down, so that both sides of the joins by root are plain shuffles, whose hot partitions Spark can split
     groups = connected_components(edges, "jaccard-groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = materialise(groups.groupBy("root").agg(F.count("*").alias("size")), "jaccard-sizes")
     wanted = materialise(nodes.join(groups.join(sizes, "root"), "node"), "jaccard-wanted")
 
     pick = wanted.select(F.col("first_id").alias("want_id"), "node", "weight", "root", "size")
-    pick = F.broadcast(pick) if wanted.count() <= BROADCAST_IDS // 4 else pick
+    pick = F.broadcast(pick) if wanted.count() <= BROADCAST_IDS // 2 else pick
     sets = texts.join(pick, F.col("doc_id").eqNullSafe(F.col("want_id"))).select("text", "node", "weight", "root", "size").mapInArrow(_sets(width), "node bigint, weight bigint, root bigint, size bigint, tokens binary")
     cuts = F.ceil(F.col("size") / BLOCK_NODES).cast("long")
     own = F.pmod(F.xxhash64("node"), F.col("cuts"))
@@ -382,7 +383,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         counts = links.groupBy("node").agg(F.sum("links").alias("links"))
         reached = connected_components(links.selectExpr("node a", "root b"), "jaccard-reached")
         roots = counts.join(reached, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "links")
-    smallest = roots.join(wanted.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component"))
+    smallest = materialise(roots.join(wanted.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component")), "jaccard-components")
     linked = roots.join(smallest, "root").select("node", "component", "links")
     many = materialise(nodes.join(linked, "node", "left").where("weight > 1 OR component IS NOT NULL").select("node", F.coalesce("component", "first_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")), "jaccard-classes")
     out = rows.join(many, "node", "left")
