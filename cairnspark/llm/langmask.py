@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm._common import arrow_rows, mix64, parallelism
+from cairnspark.llm._common import arrow_rows, mix64
 
 GRAMS = (3, 4)
 SAMPLE_ROWS = 1500
