@@ -19,7 +19,14 @@ SLICE_BYTES = 512 << 10
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch: batches are counted in rows, memory in text bytes."""
+    """Bound the rows of an Arrow batch: batches are counted in rows, memory in text bytes.
+
+    Python workers also get the place of this package, so that they can import it wherever they were started.
+    """
+    env = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -243,6 +243,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 def _read(manifest: DataFrame, with_ids: bool) -> DataFrame:
     spark = manifest.sparkSession
+    arrow_rows(spark)
     ddl = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
