@@ -13,9 +13,12 @@ NOTES = 20
 
 
 def neutral(exact: DataFrame, near: DataFrame) -> DataFrame:
-    """Exact and near groups in one shape: mode, group_hash, path, size, distance."""
+    """Exact and near groups (with seed_print) in one shape: mode, group_hash, path, size, distance.
+
+    A near group's hash is the hex of its seed's print, which no other seed can have.
+    """
     a = exact.select(F.lit("exact").alias("mode"), F.col("hash").alias("group_hash"), "path", "size", F.lit(0).cast("long").alias("distance"))
-    return a.unionByName(near.select(F.lit("perceptual").alias("mode"), F.col("seed_path").alias("group_hash"), "path", "size", "distance"))
+    return a.unionByName(near.select(F.lit("perceptual").alias("mode"), F.col("seed_print").alias("group_hash"), "path", "size", "distance"))
 
 
 def apply_policy(members: DataFrame, policy: str) -> DataFrame:

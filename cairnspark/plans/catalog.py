@@ -117,7 +117,7 @@ def fingerprint_codec(spark, sf_dir):
 SELECT mode, count(*) AS members, count(DISTINCT group_hash) AS groups, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(distance) AS BIGINT) AS distances FROM x GROUP BY mode""")
 def neutral_groups(spark, sf_dir):
     e = exact.groups(v.candidates(spark, sf_dir), WINDOW)
-    n = near.groups(v.fingerprints(spark, sf_dir).limit(0), THRESHOLD, ["fp0"], cut)
+    n = near.groups(v.fingerprints(spark, sf_dir), THRESHOLD, ["fp0"], cut, seed_print=True)
     both = review.neutral(e, n)
     return both.groupBy("mode").agg(F.count("*").alias("members"), F.count_distinct("group_hash").alias("groups"), F.sum("size").alias("bytes"), F.sum("distance").alias("distances"))
 

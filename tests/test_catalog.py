@@ -35,6 +35,13 @@ def test_query_has_the_rows_of_its_sql(spark, sf_dir, duck, name):
         assert _rows(got) == _rows(want)
 
 
+def test_neutral_groups_have_both_halves(spark, sf_dir, duck):
+    near = f"SELECT 'perceptual' AS mode, count(*) AS members, count(DISTINCT seed_path) AS groups, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(distance) AS BIGINT) AS distances FROM ({catalog.ORACLE['near_groups']})"
+    want = duck.sql(f"SELECT * FROM ({catalog.ORACLE['neutral_groups']}) UNION ALL {near}").to_arrow_table()
+    got = catalog.QUERIES["neutral_groups"](spark, sf_dir).toArrow()
+    assert "perceptual" in got.column("mode").to_pylist() and _rows(got) == _rows(want)
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__ as entry
 

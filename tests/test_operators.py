@@ -52,6 +52,14 @@ def test_near_group_rows(spark):
     assert near.groups(rows.limit(0), 4, ["fp0"], cut).count() == 0
 
 
+def test_neutral_groups_of_both_modes(spark):
+    prints = spark.createDataFrame([("/a", 100, 0xAB), ("/b", 200, 0xA8), ("/z", 50, -1)], "path string, size bigint, fp0 bigint")
+    e = spark.createDataFrame([("ff", "/c", 7), ("ff", "/d", 7)], "hash string, path string, size bigint")
+    got = sorted(tuple(r) for r in review.neutral(e, near.groups(prints, 4, ["fp0"], cut, seed_print=True)).collect())
+    seed = "00000000000000ab" + "0" * 48
+    assert got == [("exact", "ff", "/c", 7, 0), ("exact", "ff", "/d", 7, 0), ("perceptual", seed, "/a", 100, 0), ("perceptual", seed, "/b", 200, 2)]
+
+
 def test_pairs_over_four_lanes(spark):
     r = random.Random(1)
     base = [r.getrandbits(63) for _ in range(4)]
