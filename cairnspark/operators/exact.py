@@ -25,29 +25,46 @@ def in_groups(df: DataFrame, *keys: str) -> DataFrame:
     return df.join(many, list(keys), "left_semi")
 
 
-def cascade(files: DataFrame, window: int = WINDOW_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cascade(files: DataFrame, window: int = WINDOW_BYTES, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(same size, same sample, all with final hash). A file of up to two windows is hashed as a whole by its sample.
 
+    cache (path, algo, size, mtime, hash) is looked in for the hashes of whole files, which are not read if found there.
+
     files has path, size, mtime and content; a null content can't be read and drops out. Content is never shuffled: the
     ends of files are hashed as they are scanned, and a second scan hashes the whole of those that need it.
     """
     narrow = cut(files.where("size IS NOT NULL").select("path", "size", "mtime", sample_hash(F.col("content"), F.col("size"), window).alias("sample")))
     sized = in_groups(narrow, "size")
     same = cut(in_groups(sized.where("sample IS NOT NULL"), "size", "sample"))
-    large = same.where(F.col("size") > 2 * window).select("path").distinct()
-    pick = F.broadcast(large) if large.count() <= BROADCAST_PATHS else large
-    full = files.join(pick, "path", "left_semi").groupBy("path", "size", "mtime").agg(F.min(full_hash(F.col("content"))).alias("hash"))
+    full = full_hashes(files, same.where(F.col("size") > 2 * window), cache).drop("hit")
     small = same.where(F.col("size") <= 2 * window).select("path", "size", "mtime", F.col("sample").alias("hash"))
     final = small.unionByName(same.where(F.col("size") > 2 * window).join(full, ["path", "size", "mtime"]).select("path", "size", "mtime", "hash"))
     return sized, same, in_groups(final, "size", "hash")
 
 
-def groups(files: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
+def full_hashes(files: DataFrame, chosen: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """path, size, mtime, hash and hit of the chosen files: the cache's hash, else that of the content.
+
+    The rows without a hit are what is to be put into the cache.
+    """
+    todo, found = chosen.select("path", "size", "mtime").distinct(), None
+    if cache is not None:
+        looked = cut(with_cached_hash(todo, cache, "full", F.lit(None).cast("string")))
+        todo, found = looked.where("NOT hit").select("path", "size", "mtime"), looked.where("hit").select("path", "size", "mtime", "hash", "hit")
+    large = todo.select("path").distinct()
+    pick = F.broadcast(large) if large.count() <= BROADCAST_PATHS else large
+    read = files.join(pick, "path", "left_semi").groupBy("path", "size", "mtime").agg(F.min(full_hash(F.col("content"))).alias("hash")).withColumn("hit", F.lit(False))
+    if found is None:
+        return read
+    return found.unionByName(read.join(todo, ["path", "size", "mtime"], "left_semi"))
+
+
+def groups(files: DataFrame, window: int = WINDOW_BYTES, cache: DataFrame | None = None) -> DataFrame:
     """A row a member: group_rank, hash, size, files, reclaimable, member_rank, path, mtime.
 
     Groups by reclaimable bytes (all copies but one), then hash; members by path, component by component.
     """
-    _, _, members = cascade(files.select("path", "size", "mtime", "content"), window)
+    _, _, members = cascade(files.select("path", "size", "mtime", "content"), window, cache)
     members = cut(members.select("path", "size", "mtime", "hash"))
     g = members.groupBy("hash", "size").agg(F.count("*").alias("files")).withColumn("reclaimable", F.col("size") * (F.col("files") - 1))
     ranked = cut(row_numbers(g, [descending("reclaimable"), "hash"], "group_rank"))

@@ -250,16 +250,29 @@ def fold_results(items: DataFrame, results: DataFrame) -> DataFrame:
     return apply_marks(items, change_marks(results))
 
 
-def time_left(items: DataFrame, hardware: bool = False, gates: tuple[int, int] = (2, 8)) -> DataFrame:
-    """eta seconds of every job, null when nothing is pending: estimates of open items, scaled by how finished ones ran."""
+def time_left(items: DataFrame, hardware: bool = False, gates: tuple[int, int] = (2, 8), progress: DataFrame | None = None) -> DataFrame:
+    """eta seconds of every job, null when nothing is pending: estimates of open items, scaled by how finished ones ran.
+
+    progress (id, fraction, elapsed_ms; a row an id) tells how far running items are. What they have done is no longer
+    left and counts, with the time it took, as finished work; and a job whose last items run still has time left.
+    """
+    if progress is not None:
+        far = progress.select("id", F.when((F.col("fraction") > 0) & F.col("elapsed_ms").isNotNull(), F.col("fraction").cast("double")).alias("_part"), F.col("elapsed_ms").alias("_spent"), F.lit(True).alias("_flies"))
+        items = items.join(far, "id", "left")
+    else:
+        items = items.withColumns({"_part": F.lit(None).cast("double"), "_spent": F.lit(None).cast("long"), "_flies": F.lit(None).cast("boolean")})
+    flies = (F.col("status") == "running") & F.col("_flies")
+    part = F.when(flies, F.col("_part"))
+    items = items.withColumns({"_done_est": F.coalesce(F.col("est_secs") * part, F.lit(0.0)), "_done_ms": F.when(part.isNotNull(), F.col("_spent")).otherwise(0)})
     video, open_, done = F.col("kind") == "video", F.col("status").isin("pending", "running"), F.col("status") == "done"
-    sums = [F.count_if(F.col("status") == "pending").alias("pending")]
+    sums = [F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(flies).alias("flying")]
     for lane, mine in (("video", video), ("light", ~video)):
-        sums += [_sum_when(open_ & mine, "est_secs", "double").alias(f"{lane}_rem"), _sum_when(done & mine, "est_secs", "double").alias(f"{lane}_did"), (_sum_when(done & mine, "elapsed_ms") / 1000.0).alias(f"{lane}_act")]
+        half, spent = _sum_when(mine, "_done_est", "double"), _sum_when(mine, "_done_ms")
+        sums += [(_sum_when(open_ & mine, "est_secs", "double") - half).alias(f"{lane}_rem"), (_sum_when(done & mine, "est_secs", "double") + half).alias(f"{lane}_did"), ((_sum_when(done & mine, "elapsed_ms") + spent) / 1000.0).alias(f"{lane}_act")]
     g = items.groupBy("job_id").agg(*sums)
     left = {lane: est.calibrated(F.col(f"{lane}_rem"), F.col(f"{lane}_did"), F.col(f"{lane}_act")) for lane in ("video", "light")}
     wall = est.wall_seconds(left["video"], left["light"], hardware, gates)
-    return g.select("job_id", "pending", F.when((F.col("pending") > 0) & (wall > 0), wall).alias("eta"))
+    return g.select("job_id", "pending", F.when((F.col("pending") + F.col("flying") > 0) & (wall > 0), wall).alias("eta"))
 
 
 def resolve_names(targets: DataFrame, taken: DataFrame | None = None) -> DataFrame:

@@ -21,6 +21,23 @@ def neutral(exact: DataFrame, near: DataFrame) -> DataFrame:
     return a.unionByName(near.select(F.lit("perceptual").alias("mode"), F.col("seed_print").alias("group_hash"), "path", "size", "distance"))
 
 
+def group_page(groups: DataFrame, members: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of groups (id, hash, reclaimable), those that free most first, each with its members by id in one array."""
+    page = groups.select("id", "hash", "reclaimable").orderBy(F.desc("reclaimable"), "id").offset(offset).limit(limit)
+    fields = ["id", "path", "size", "mtime", "distance", "keep", "disposal"]
+    inside = members.join(F.broadcast(page.select(F.col("id").alias("group_id"))), "group_id").groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("members"))
+    full = page.join(inside, page["id"] == inside["group_id"], "left").select(page["id"], "hash", "reclaimable", F.coalesce("members", F.array()).alias("members"))
+    return full.orderBy(F.desc("reclaimable"), "id")
+
+
+def run_summary(groups: DataFrame, hashed: DataFrame) -> DataFrame:
+    """One row: groups, the bytes they could free, files hashed (path, hit), and how many hashes were cached."""
+    return one_row(
+        groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("reclaimable"), F.lit(0)).cast("long").alias("reclaimable")),
+        hashed.agg(F.count("*").alias("hashed"), F.count_if("hit").alias("cache_hits")),
+    )
+
+
 def apply_policy(members: DataFrame, policy: str) -> DataFrame:
     """members (id, group_id, path, mtime, disposal) with keep decided anew for all that still are there.
 

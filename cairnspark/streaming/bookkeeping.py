@@ -43,6 +43,15 @@ def states(items: DataFrame, out: str) -> DataFrame:
     return apply_marks(items, last)
 
 
+def counters(items: DataFrame) -> DataFrame:
+    """One row: how many items are settled as done, skipped and failed, how many run, and how many aren't settled.
+
+    Counted from the states, so repeated changes don't count twice. A running item is still pending, as it isn't settled.
+    """
+    n = {s: F.count_if(F.col("status") == s).alias(s) for s in ("done", "skipped", "failed", "running")}
+    return items.agg(*n.values(), F.count_if(F.col("status").isin("pending", "running")).alias("pending"))
+
+
 def run_to_end(spark: SparkSession, changes: DataFrame, items: DataFrame, files: int = 4) -> DataFrame:
     """A table of changes as a stream in several batches, read to its end and folded into items."""
     at = f"{shared_dir(spark)}/bookkeeping-{uuid.uuid4().hex}"

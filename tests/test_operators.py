@@ -74,6 +74,48 @@ def test_pairs_over_four_lanes(spark):
     assert sorted(tuple(x) for x in near.pairs(df, 16, ["fp0", "fp1", "fp2", "fp3"]).collect()) == want
 
 
+def test_running_items_count_by_their_fractions(spark):
+    rows = [(1, 1, "video", "running", 8.0, None), (2, 2, "video", "running", 40.0, None), (3, 2, "video", "pending", 10.0, None), (4, 3, "image", "running", 3.0, None), (5, 4, "video", "done", 10.0, 5000), (6, 4, "video", "running", 20.0, None)]
+    items = spark.createDataFrame(rows, "id bigint, job_id bigint, kind string, status string, est_secs double, elapsed_ms bigint")
+    progress = spark.createDataFrame([(1, 0.5, 9000), (2, 0.5, 10_000), (4, 0.0, 100), (6, 0.5, None)], "id bigint, fraction double, elapsed_ms bigint")
+    got = {r.job_id: r.eta and round(r.eta * 1.21, 6) for r in queue.time_left(items, progress=progress).collect()}
+    # 4 s of work are too few to calibrate by; 20 s of work in 10 s halve what is left; not started, no credit
+    assert (got[1], got[2], got[4]) == (4.0, 15.0, 10.0) and round(got[3], 6) == round(3.0 / 8**0.9 * 1.21, 6)
+    assert {r.job_id for r in queue.time_left(items).where("eta IS NOT NULL").collect()} == {2}
+
+
+def test_cached_prints_are_checked(spark):
+    files = spark.createDataFrame([("/a", 1, 1, "0" * 63 + "1"), ("/b", 1, 1, "f" * 64), ("/c", 1, 1, None), ("/d", 1, 2, "0" * 64)], "path string, size bigint, mtime bigint, digits string")
+    cache = spark.createDataFrame([("/a", "ahash", 1, 1, "0" * 63 + "2"), ("/b", "ahash", 1, 1, "not hex"), ("/c", "ahash", 1, 1, "0" * 63), ("/d", "ahash", 1, 1, "f" * 64)], "path string, algo string, size bigint, mtime bigint, hash string")
+    got = sorted((r.path, r.fp0, r.fp3, r.hit) for r in near.cached_prints(files, cache, "ahash", F.col("digits")).collect())
+    assert got == [("/a", 0, 2, True), ("/b", -1, -1, False), ("/d", 0, 0, False)]
+
+
+def test_whole_files_are_looked_up_in_the_cache(spark):
+    files = spark.createDataFrame([(p, 9, 1, c) for p, c in (("/a", b"ab12345yz"), ("/b", b"ab12345yz"), ("/c", b"ab99999yz"), ("/d", b"ab12345yz"))], "path string, size bigint, mtime bigint, content binary")
+    cache = spark.createDataFrame([("/c", "full", 9, 1, "same"), ("/d", "full", 9, 1, "same"), ("/a", "full", 9, 0, "old")], "path string, algo string, size bigint, mtime bigint, hash string")
+    paths = lambda c: sorted((r.group_rank, r.path) for r in exact.groups(files, 2, c).collect())
+    assert sorted(p for _, p in paths(cache)) == ["/a", "/b", "/c", "/d"] and len({g for g, _ in paths(cache)}) == 2
+    assert [p for _, p in paths(None)] == ["/a", "/b", "/d"]
+    hashed = exact.full_hashes(files, files, cache)
+    groups = spark.createDataFrame([(1, 9), (2, 9)], "id bigint, reclaimable bigint")
+    assert tuple(review.run_summary(groups, hashed).first()) == (2, 18, 4, 2)
+
+
+def test_pages_of_groups_have_their_members(spark):
+    groups = spark.createDataFrame([(1, "x", 5), (2, "y", 50), (3, "z", 5)], "id bigint, hash string, reclaimable bigint")
+    m = spark.createDataFrame([(i, g, f"/{i}", 5, 1, 0, 1, None) for i, g in ((4, 3), (3, 1), (1, 1), (2, 2))], "id bigint, group_id bigint, path string, size bigint, mtime bigint, distance bigint, keep int, disposal string")
+    page = lambda *a: [(r.id, [x.id for x in r.members]) for r in review.group_page(groups, m, *a).collect()]
+    assert page() == [(2, [2]), (1, [1, 3]), (3, [4])] and page(1, 1) == [(1, [1, 3])]
+
+
+def test_counters_of_states(spark):
+    from cairnspark.streaming import bookkeeping
+
+    s = spark.createDataFrame([(1, "done"), (2, "running"), (3, "pending"), (4, "failed"), (5, "skipped"), (6, "done")], "id bigint, status string")
+    assert bookkeeping.counters(s).first().asDict() == {"done": 2, "skipped": 1, "failed": 1, "running": 1, "pending": 2}
+
+
 MEMBER = "id bigint, group_id bigint, path string, size bigint, mtime bigint, keep int, disposal string"
 
 
