@@ -202,9 +202,11 @@ def to_pcm(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = decode_media(batch.column(batch.schema.get_field_index("media")).to_pylist())
-            pcm = [None if x is None else resample(x[1], x[0], rate).astype("<i2").tobytes() for x in found]
-            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(pcm, pa.binary())], names=[*keep, "pcm"])
+            for a, b, _, _ in text_slices(batch, "media", 1 << 20):
+                part = batch.slice(a, b - a)
+                found = decode_media(part.column(part.schema.get_field_index("media")).to_pylist())
+                pcm = [None if x is None else resample(x[1], x[0], rate).astype("<i2").tobytes() for x in found]
+                yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(pcm, pa.binary())], names=[*keep, "pcm"])
 
     return media.select(*keep).mapInArrow(run, f"{kinds}, pcm binary")
 
@@ -216,12 +218,12 @@ def feature(codec: str, samples: np.ndarray, pcm: np.ndarray) -> str:
     return f"{codec}:{len(x)}:{int(np.abs(x).max())}:{int(x @ x) // len(x)}:{flips}:{zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
 
 
-def media_digests(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
-    """doc_id, n_bytes, and digests of the stored form, the payload read back from it, and the audio it decodes to."""
-    arrow_rows(media.sparkSession)
+def media_digests(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, and digests of the stored media, the payload read back from them, and the stored PCM."""
+    arrow_rows(media.sparkSession, 64)
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
-        stored = part.column(2).to_pylist()
+        stored, pcm = part.column(2).to_pylist(), part.column(3).to_pylist()
         audio = decode_media(stored)
         payloads = [payload_of(m) for m in stored]
         return pa.record_batch({
@@ -232,22 +234,25 @@ def media_digests(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
             "tail_crc32": pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
             "media_bytes": pa.array([len(m) for m in stored], pa.int64()),
             "media_sha256": [hashlib.sha256(m).hexdigest() for m in stored],
-            "feature": [feature(parse_wav(m)[0], x, resample(x, r, rate)) for m, (r, x) in zip(stored, audio, strict=True)],
+            "feature": [feature(parse_wav(m)[0], x, np.frombuffer(p, "<i2")) for m, (_, x), p in zip(stored, audio, pcm, strict=True)],
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, _, _ in text_slices(batch, "media", 4 << 20):
+            for a, b, _, _ in text_slices(batch, "media", 1 << 20):
                 yield rows(batch.slice(a, b - a))
 
     ddl = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, ddl)
+    return media.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, ddl)
+
 
+def write_media(docs: DataFrame, at: str | None = None, rate: int = PCM_RATE) -> DataFrame:
+    """Write store(docs) with its resampled PCM as a Parquet table and return it as read back.
 
-def write_media(docs: DataFrame, at: str | None = None) -> DataFrame:
-    """Write store(docs) as a Parquet table and return it as read back."""
+    Row groups are small: PCM is several times the text, and a reader holds up to a whole group in memory.
+    """
     spark = docs.sparkSession
     at = at or scratch(spark, "telephony")
-    rows = store(docs)
-    rows.write.option("compression", "zstd").parquet(at)
+    rows = to_pcm(store(docs), rate)
+    rows.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(at)
     return spark.read.schema(rows.schema).parquet(at)

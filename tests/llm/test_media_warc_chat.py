@@ -81,6 +81,17 @@ def test_media_rows_match_brute_force(odd_docs, no_docs):
     assert telephony.media_digests(telephony.write_media(no_docs)).count() == 0
 
 
+def test_resampled_pcm_is_stored(spark, odd_docs, tmp_path):
+    media = telephony.write_media(odd_docs.where("doc_id IN (1, 4, 10)"), f"file://{tmp_path}/media")
+    rows = spark.read.parquet(f"file://{tmp_path}/media").collect()
+    assert len(rows) == 3
+    for r in rows:
+        [(rate, x)] = telephony.decode_media([bytes(r.media)])
+        assert np.array_equal(np.frombuffer(r.pcm, "<i2"), telephony.resample(x, rate, telephony.PCM_RATE))
+    digests = {r.doc_id: r.feature for r in telephony.media_digests(media).collect()}
+    assert all(digests[r.doc_id].endswith(f":{zlib.crc32(r.pcm):08x}") for r in rows)
+
+
 def test_stored_pcm_is_the_resampled_audio(odd_docs):
     small = odd_docs.where("length(text) < 2000 OR text IS NULL")
     rows = telephony.to_pcm(telephony.store(small), 16000).collect()
