@@ -343,11 +343,12 @@ def _sets(width: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def jaccard_classes(docs: DataFrame, width: int = WIDTH, keys: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every document; links are Jaccard similarities of 0.75 or more.
 
     component_id is the smallest doc_id that links reach; n_links counts the other documents linked directly, copies
-    included. The operator runs jobs and writes its steps to the shared folder.
+    included. With keys also node, the name of the document's shingle set, and root, which tells components apart even
+    where doc_ids repeat; both are null without shingles. The operator runs jobs and writes its steps to the shared folder.
     """
     spark = docs.sparkSession
     blocks = parallelism(spark)
@@ -384,22 +385,49 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         reached = connected_components(links.selectExpr("node a", "root b"), "jaccard-reached")
         roots = counts.join(reached, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "links")
     smallest = materialise(roots.join(wanted.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component")), "jaccard-components")
-    linked = roots.join(smallest, "root").select("node", "component", "links")
-    many = materialise(nodes.join(linked, "node", "left").where("weight > 1 OR component IS NOT NULL").select("node", F.coalesce("component", "first_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")), "jaccard-classes")
+    key = ["root"] * keys
+    linked = roots.join(smallest, "root").select("node", "component", "links", *key)
+    many = materialise(nodes.join(linked, "node", "left").where("weight > 1 OR component IS NOT NULL").select("node", F.coalesce("component", "first_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), *key), "jaccard-classes")
     out = rows.join(many, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), *(["node", F.coalesce("root", "node").alias("root")] if keys else []))
+
+
+def _nodes(width: int):
+    """Texts to the names of their shingle sets, null without shingles."""
+
+    def run(text: pa.Array) -> pa.Array:
+        out: list[int | None] = []
+        for _, _, data, offsets in text_slices(pa.record_batch({"text": text}), "text"):
+            out += [int(np.uint64(node_of(s)).astype(np.int64)) if len(s) else None for s in shingle_sets(data, offsets, width)]
+        return pa.array(out, pa.int64())
+
+    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "bigint")
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with one document of each component left: that with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id can't be told apart by it, and stay.
+    Rows that repeat a doc_id are told apart by their shingle sets: each stays or goes with its own component, and one of
+    those with equal sets stays. Rows without shingles are linked to none and stay. Rows without a doc_id can't be told
+    apart by it, and stay.
     """
-    classes = jaccard_classes(docs, width).where("doc_id = component_id").select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = materialise(classes, "jaccard-keep")
-    n_keep = keep.count()
-    pick = F.broadcast(keep) if n_keep <= BROADCAST_IDS else keep
-    out = docs.join(pick.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    spark = docs.sparkSession
+    classes = jaccard_classes(docs, width, keys=True)
+    first = F.col("doc_id") == F.col("component_id")
+    by_id = classes.groupBy("doc_id").agg(F.count_if(first).alias("firsts"), F.count("*").alias("n")).where("firsts > 0")
+    keep = materialise(by_id.select("doc_id", "n"), "jaccard-keep")
+    pick = F.broadcast(keep) if keep.count() <= BROADCAST_IDS else keep
+    out = docs.join(pick.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if not keep.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+        again = pick.where("n > 1").select("doc_id")
+        firsts = classes.where(first).join(again, "doc_id", "left_semi").where("node IS NOT NULL")
+        stay = materialise(firsts.groupBy("root").agg(F.min("doc_id").alias("stay_id"), F.min("node").alias("stay_node")), "jaccard-stay")
+        name = "shingle_node"
+        while name in (c.lower() for c in docs.columns):
+            name += "_"
+        arrow_rows(spark)
+        named = docs.join(again, "doc_id", "left_semi").withColumn(name, _nodes(width)(F.col("text")))
+        chosen = named.join(stay, (F.col("doc_id") == F.col("stay_id")) & (F.col(name) == F.col("stay_node")), "left_semi").dropDuplicates(["doc_id", name])
+        out = out.unionAll(chosen.select(*docs.columns)).unionAll(named.where(F.col(name).isNull()).select(*docs.columns))
     return out.unionAll(docs.where("doc_id IS NULL"))

@@ -201,6 +201,17 @@ def test_classes_of_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and 1 in ids and not {2, 3} & set(ids) and ids.count(None) == 2
 
 
+def test_rows_of_one_doc_id_go_with_their_own_components(spark):
+    a, b, c = (prose(k, 80) for k in (501, 502, 503))
+    rows = [(5, a), (5, b), (5, b.upper()), (2, c), (7, c), (7, prose(504, 80)), (9, a), (8, ""), (8, ""), (6, prose(505, 80))]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, shingle_node int")
+    kept = jaccard_product.keep_first(docs)
+    got = sorted((r.doc_id, r.text.lower()) for r in kept.collect())
+    assert kept.columns == docs.columns
+    # (7, c) is a copy of 2 and goes; the other row of 7 is linked to nothing, and its own component's first
+    assert got == sorted((i, t.lower()) for i, t in [(5, a), (5, b), (2, c), (7, rows[5][1]), (8, ""), (8, ""), (6, rows[9][1])])
+
+
 def _family(seed: int, n: int, words: int, edits: int) -> list[str]:
     r = random.Random(seed)
     base = [f"{w}{r.randint(0, 30)}" for w in prose(seed, words).split()]
