@@ -73,14 +73,19 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, rows: int | None = No
     there, so the files of the output, read in order, are in random order as a whole.
     """
     columns = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key", "rate")]
-    docs = docs.select(*columns)
-    table = rates(docs, weights if weights is not None else temperature_weights(docs), rows)
-    sources = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count()
+    # carried columns step aside, whatever their names
+    held = {c: f"docs_{i}" for i, c in enumerate(columns)}
+    plain = {c.lower(): n for c, n in held.items()}
+    docs = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in held.items()))
+    doc_id, source = F.col(plain["doc_id"]), F.col(plain["source"])
+    sized = docs.select(source.alias("source"))
+    table = rates(sized, weights if weights is not None else temperature_weights(sized), rows)
+    sources = sized.distinct().limit(BROADCAST_SOURCES + 1).count()
     table = table.withColumnRenamed("source", "rate_source")
     if sources <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    counted = docs.join(table, F.col("source").eqNullSafe(F.col("rate_source")))
+    key = F.coalesce(doc_id.cast("string"), F.lit("null"))
+    counted = docs.join(table, source.eqNullSafe(F.col("rate_source")))
     u = uniform(seed, key)
     times = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
     repeated = counted.withColumn("u", u).withColumn("times", times).where("times > 0").drop("cdf", "u", "rate_source")
@@ -88,7 +93,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, rows: int | None = No
     order = F.conv(F.substring(_hashed(seed, F.lit("order"), key, F.col("copy").cast("string")), 1, 15), 16, 10).cast("long")
     keyed = copies.withColumn("shuffle_key", order)
     n = parallelism(docs.sparkSession)
-    return keyed.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key").select(*columns, "copy", "shuffle_key", "rate")
+    return keyed.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key").select(*(F.col(n).alias(c) for c, n in held.items()), "copy", "shuffle_key", "rate")
 
 
 #: DuckDB: the rows that op5 returns.

@@ -17,9 +17,9 @@ from cairnspark.llm._common import materialise
 MIN_KNOWN = 0.2
 
 
-def _aside(docs: DataFrame):
-    """docs with all columns but doc_id and text renamed out of the way, and the expressions that name them back."""
-    names = {c: c if c in ("doc_id", "text") else f"docs_{i}" for i, c in enumerate(docs.columns)}
+def _aside(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")):
+    """docs with all columns but those to keep renamed out of the way, and the expressions that name them back."""
+    names = {c: c if c in keep else f"docs_{i}" for i, c in enumerate(docs.columns)}
     return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
 
 
@@ -45,7 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated by their sources' target rates, and shuffled globally."""
-    return poisson_mix.mix(docs).select(*docs.columns)
+    held, names = _aside(docs, ("doc_id", "source"))
+    return poisson_mix.mix(held).select(*names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The five stages on small tables."""
 
-from cairnspark.llm import jaccard_product
+from cairnspark.llm import jaccard_product, poisson_mix
 from cairnspark.llm._common import materialise
 
 
@@ -31,6 +31,19 @@ def test_no_links_are_left(spark, sf_dir):
     assert again.where("n_links > 0").count() == 0
 
 
+def test_mixing_carries_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = ["u", "times", "cdf", "rate_source", "n", "weight", "named", "rate", "copy", "shuffle_key", "docs_1", "a.b"]
+    docs = spark.createDataFrame([(i, "t", f"s{i % 2}", *(f"{c}{i}" for c in names)) for i in range(40)], ["doc_id", "text", "source", *names])
+    before = {r[0]: tuple(r) for r in docs.collect()}
+    out = corpus_pipeline.mixing(spark, docs, "")
+    rows = [tuple(r) for r in out.collect()]
+    assert out.columns == docs.columns and rows and all(before[r[0]] == r for r in rows)
+    mixed = poisson_mix.mix(docs)
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(r[0] for r in rows) and all(before[r.doc_id][3] == r.u for r in mixed.collect())
+
+
 def test_odd_rows_pass_through(spark, sf_dir, odd_docs, no_docs):
     import corpus_pipeline
 
