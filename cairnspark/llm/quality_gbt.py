@@ -6,7 +6,8 @@ sample of labelled documents, with monotonic constraints on chosen features, and
 
 Defined results: a null or empty text has no words and all counts 0, so the base rules reject it. A null doc_id stays
 null. Repeated rows are scored each by itself. Without labelled rows of both classes there is no model, and the
-verdict is that of the base rules. Other columns, whatever their names, are left out.
+verdict is that of the base rules. A sample too small to split gives trees of one leaf, and every document the share of
+good ones in it. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -232,7 +233,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
 
     found = rows.mapInArrow(score, T._parse_datatype_string(_STATS_DDL)).toArrow()
     y = found.column("quality").to_numpy()
-    if len(y) < 20 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     x = np.array(found.column("x").combine_chunks().flatten()).reshape(len(y), -1)
     order = np.lexsort((*x.T, y, found.column("doc_id").to_numpy()))  # the same trees whatever order the rows came in

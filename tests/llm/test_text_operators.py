@@ -127,6 +127,15 @@ def _walk(trees, row) -> float:
     return out
 
 
+def test_a_small_sample_of_both_classes_gives_a_model(spark):
+    docs = spark.createDataFrame([(i, prose(i, 80)) for i in range(4)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (3, 0)], "doc_id bigint, quality int")
+    trees = quality_gbt.train(spark, docs, labels)
+    rows = quality_gbt.judge(docs, trees).collect()
+    assert all(abs(r.quality_score - 0.25) < 1e-6 and not r.kept and not r.base_failed for r in rows) and len(rows) == 4
+    assert quality_gbt.train(spark, docs, labels.where("quality = 0")) is None
+
+
 def test_trees_are_monotonic_and_flat_scoring_is_the_walk():
     r = np.random.default_rng(4)
     x = r.random((800, 3))
