@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -53,11 +54,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished stages: it does when the driver's JVM collects its garbage."""
-    spark._jvm.System.gc()
-
-
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -122,47 +118,54 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and its inverse modulo 2 ** 64, for i < n at least; grown by doubling."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        out = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.ones(1, np.uint64)
-            while len(p) < size:
-                p = np.concatenate([p, p * np.uint64(pow(b, len(p), 1 << 64))])
-            out.append(p)
-        _powers = (out[0], out[1])
-    return _powers
-
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(codes, distinct): the distinct contents of the spans data[starts[i]:ends[i]], and which of them each span is.
 
-#: Positions that share one table of powers; longer arrays are hashed in runs of spans.
-_RUN = 1 << 22
-
-
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of codes[starts[i]:ends[i]], all at once by prefix sums of a polynomial; equal spans, equal hashes.
-
-    Spans are in ascending order and don't overlap.
+    Arrow compares the contents themselves, so no two contents ever share a code. Spans are in ascending order, not
+    empty, and don't overlap. The items of data may be wider than a byte; distinct then holds their bytes.
+    """
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[starts] += 1
+    mark[ends] -= 1
+    inside = np.ascontiguousarray(data[np.cumsum(mark[:-1], dtype=np.int8).view(bool)])
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum((ends - starts) * data.dtype.itemsize, out=bounds[1:])
+    wide = bounds[-1] >= 1 << 31
+    offsets = bounds if wide else bounds.astype(np.int32)
+    spans = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(inside)])
+    found = spans.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+#: Masks that keep the first k of 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of up to so many bytes are named by their contents, longer ones by a digest.
+_SHORT = 15
+
+
+def span_names(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit names of the spans codes[starts[i]:ends[i]], as two rows of 64-bit lanes.
+
+    Up to 15 characters under 256 are their own name (with their number, mixed by a Feistel network, which is one to
+    one), so no two short spans share a name. A longer span, or one with other characters, has its BLAKE2b digest.
+    Spans are in ascending order, not empty, and don't overlap.
     """
-    if len(codes) > _RUN and len(starts) > 1:
-        out, a = np.empty(len(starts), np.uint64), 0
-        while a < len(starts):
-            b = max(a + 1, int(np.searchsorted(ends, starts[a] + _RUN, side="right")))
-            lo, hi = int(starts[a]), int(ends[b - 1])
-            out[a:b] = _span_hashes(codes[lo:hi], starts[a:b] - lo, ends[a:b] - lo)
-            a = b
-        return out
-    return _span_hashes(codes, starts, ends)
-
-
-def _span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    length = ends - starts
+    padded = np.zeros(len(codes) + 16, np.uint8)
+    padded[: len(codes)] = codes
+    at = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    a, b = (at[x].view("<u8").ravel() for x in (starts, np.minimum(starts + 8, len(codes))))
+    left = a & _FIRST[np.minimum(length, 8)]
+    right = (b & _FIRST[np.clip(length - 8, 0, 7)]) | (np.minimum(length, 255).astype(np.uint64) << np.uint64(56))
+    for key in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93):
+        left, right = right ^ mix64(left ^ np.uint64(key)), left
+    out = np.stack([left, right])
+    digested = length > _SHORT
+    if codes.dtype != np.uint8:
+        others = np.concatenate([[0], np.cumsum(codes > 255)])
+        digested |= others[ends] > others[starts]
+    if digested.any():
+        which, distinct = distinct_spans(codes, starts[digested], ends[digested])
+        raw = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in distinct.to_pylist()])
+        out[:, digested] = np.frombuffer(raw, np.uint64).reshape(-1, 2).T[:, which]
+    return out

@@ -39,7 +39,11 @@ class MergeTable:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        model = file["model"]
+        model, split = file["model"], (file.get("pre_tokenizer") or {}).get("pretokenizers") or [file.get("pre_tokenizer") or {}]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+        if model.get("type") != "BPE" or odd or split[-1].get("type") != "ByteLevel":
+            raise ValueError(f"{path} is no plain byte-level BPE tokenizer: {odd or model.get('type')}")
+        self.decoder = file.get("decoder")
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.size = max([*self.vocab.values(), *(t["id"] for t in file["added_tokens"])]) + 1
@@ -119,14 +123,17 @@ def batch_encoder(path: str) -> PieceEncoder:
             if part in added:
                 out.append(np.array([added[part]], np.uint32))
             elif part:
-                out += table.merge([p for p, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(part)) if p])
+                clean = tok.normalizer.normalize_str(part) if tok.normalizer else part
+                out += table.merge([p for p, _ in tok.pre_tokenizer.pre_tokenize_str(clean) if p])
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
     return PieceEncoder(path, lambda new: table.merge([table.spell(p) for p in new]), text)
 
 
 def decode_ids(ids: np.ndarray, path: str) -> str:
-    """The text of ids: their strings with spaces between, as the file names no decoder."""
+    """The text of ids: their strings with spaces between where the file names no decoder, else as the library decodes."""
+    if merge_table(path).decoder is not None:
+        return tokenizer(path).decode(ids.tolist(), skip_special_tokens=False)
     strings = merge_table(path).strings
     return " ".join([s for s in map(strings.__getitem__, ids.tolist()) if s is not None])
 

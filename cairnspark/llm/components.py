@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of every node that has an edge, root being the component's smallest node.
 
     edges has long columns a and b; loops and repeated edges do no harm. Only aggregates (min by node) and equi-joins
@@ -21,7 +23,7 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     """
     now = materialise(edges.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b").distinct(), f"{name}-0")
     seen = _fingerprint(now)
-    for k in range(1, max_rounds + 1):
+    for k in itertools.count(1):
         # large-star: every larger neighbour of u goes to u's smallest neighbour (or u)
         both = now.unionAll(now.selectExpr("b a", "a b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -35,4 +37,3 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
             roots = now.groupBy("a").agg(F.min("b").alias("root"))
             return roots.withColumnRenamed("a", "node").unionAll(roots.selectExpr("root node", "root").distinct())
         seen = found
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")

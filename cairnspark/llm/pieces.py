@@ -2,7 +2,8 @@
 
 The tokenizer file's normaliser (NFC, white space to spaces, lower case) and split pattern are followed on arrays of
 characters for texts made of common Latin characters, for which both are known to be the same in every Unicode version.
-Any other text, and any text that spells a special token, is cut by the tokenizers library itself, one by one.
+Any other text, and any text that spells a special token, is cut by the tokenizers library itself, one by one; so are
+all texts if the file names another normaliser or split pattern.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 
-from cairnspark.llm._common import span_hashes
+from cairnspark.llm._common import span_names
 
 #: Distinct pieces that a worker keeps; beyond it the table starts anew.
-KEEP_PIECES = 1_500_000
-_SLOT_BITS = 20
+KEEP_PIECES = 1_200_000
+_SLOT_BITS = 19
 #: Characters that are joined and cut at once.
 JOIN_CHARS = 512 << 10
 
@@ -66,6 +67,22 @@ def specials(path: str) -> tuple[dict[str, int], re.Pattern | None]:
     return added, pattern
 
 
+#: The normaliser and the pre-tokeniser that cut() follows, as the tokenizer file names them.
+_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+@lru_cache(2)
+def cuts_here(path: str) -> bool:
+    """Whether cut() gives the pieces of this tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    split = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    byte_level = split[-1].get("type") == "ByteLevel" and not split[-1].get("add_prefix_space") and split[-1].get("use_regex") is False
+    plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in file["added_tokens"])
+    return file.get("normalizer") == _NORMALISER and split[:-1] == [_SPLIT] and byte_level and plain
+
+
 def cut(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the pieces of lower-case characters: contractions, runs of letters, single numbers, runs of others."""
     kind = np.zeros(len(codes) + 4, np.uint8)
@@ -96,13 +113,13 @@ class PieceEncoder:
 
     def __init__(self, path: str, encode_pieces: Callable[[list[str]], list[np.ndarray]], encode_text: Callable[[str], np.ndarray]):
         self.encode_pieces, self.encode_text = encode_pieces, encode_text
-        self.special = specials(path)[1]
+        self.special, self.cuts = specials(path)[1], cuts_here(path)
         self._clear()
 
     def _clear(self) -> None:
-        # a table of the pieces met last, and below it all pieces, sorted by hash
-        self.slot_hash, self.slot_at = np.zeros(1 << _SLOT_BITS, np.uint64), np.full(1 << _SLOT_BITS, -1, np.int32)
-        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        # a table of the pieces met last, and below it all pieces, sorted by the first lane of their names
+        self.slot_name, self.slot_at = np.zeros((2, 1 << _SLOT_BITS), np.uint64), np.full(1 << _SLOT_BITS, -1, np.int32)
+        self.names, self.places = np.zeros((2, 0), np.uint64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
@@ -119,28 +136,39 @@ class PieceEncoder:
         self.length[self.count : self.count + n] = lengths
         self.used, self.count = self.used + total, self.count + n
 
-    def _places(self, hashes: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        slot = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+    def _places(self, names: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where the ids of each piece stand. names are 128 bits wide, and both halves are compared."""
+        slot = (names[0] >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         at = self.slot_at[slot].astype(np.int64)
-        miss = np.flatnonzero((self.slot_hash[slot] != hashes) | (at < 0))
-        if len(miss):
-            names, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            near = np.searchsorted(self.hashes, names)
-            found = np.full(len(names), -1, np.int64)
-            inside = np.flatnonzero(near < len(self.hashes))
-            inside = inside[self.hashes[near[inside]] == names[inside]]
-            found[inside] = self.places[near[inside]]
-            new = np.flatnonzero(found < 0)
-            if len(new):
-                a, b = starts[miss[first[new]]].tolist(), ends[miss[first[new]]].tolist()
-                found[new] = self.count + np.arange(len(new))
-                self._add(self.encode_pieces([text[i:j] for i, j in zip(a, b, strict=True)]))
-                self.hashes, self.places = np.insert(self.hashes, near[new], names[new]), np.insert(self.places, near[new], found[new].astype(np.int32))
-            where = slot[miss[first]]
-            self.slot_hash[where], self.slot_at[where] = names, found
-            at[miss] = found[back]
+        miss = np.flatnonzero((self.slot_name[:, slot] != names).any(0) | (at < 0))
+        while len(miss):
+            _, first, back = np.unique(names[0, miss], return_index=True, return_inverse=True)
+            first = miss[first]
+            mine = names[1, first][back] == names[1, miss]
+            found = self._find(names[:, first], text, starts[first], ends[first])
+            self.slot_name[:, slot[first]], self.slot_at[slot[first]] = names[:, first], found
+            at[miss[mine]] = found[back[mine]]
+            miss = miss[~mine]  # other pieces with the same first half
         return at
 
+    def _find(self, names: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of pieces whose first halves differ and ascend; new pieces are encoded and added."""
+        near = np.searchsorted(self.names[0], names[0])
+        found, taken = np.full(names.shape[1], -1, np.int64), np.zeros(names.shape[1], bool)
+        inside = np.flatnonzero(near < self.names.shape[1])
+        inside = inside[self.names[0, near[inside]] == names[0, inside]]
+        taken[inside] = True
+        same = inside[self.names[1, near[inside]] == names[1, inside]]
+        found[same] = self.places[near[same]]
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self.count + np.arange(len(new))
+            self._add(self.encode_pieces([text[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]))
+            new = new[~taken[new]]  # the first half of another piece is taken: not kept, so encoded again when it comes again
+            self.names = np.insert(self.names, near[new], names[:, new], axis=1)
+            self.places = np.insert(self.places, near[new], found[new].astype(np.int32))
+        return found
+
     def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each text) of plain texts."""
         if self.count > KEEP_PIECES:
@@ -151,7 +179,7 @@ class PieceEncoder:
         except UnicodeEncodeError:
             codes = np.frombuffer(low.encode("utf-32-le"), np.uint32)
         starts, ends = cut(codes)
-        at = self._places(span_hashes(codes, starts, ends), low, starts, ends)
+        at = self._places(span_names(codes, starts, ends), low, starts, ends)
         lengths = self.length[at]
         total = np.cumsum(lengths)
         n = int(total[-1]) if len(total) else 0
@@ -176,7 +204,7 @@ class PieceEncoder:
                 run, chars = [], 0
 
         for t in texts:
-            if _OTHER_CHAR.search(t) or (self.special and "<|" in t and self.special.search(t)):
+            if not self.cuts or _OTHER_CHAR.search(t) or (self.special and "<|" in t and self.special.search(t)):
                 flush()
                 ids = self.encode_text(t)
                 out.append(ids)

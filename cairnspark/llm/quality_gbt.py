@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm._common import arrow_rows, mix64, span_hashes, text_slices
-from cairnspark.llm.words import _SPACE, window_hashes, word_hashes, word_spans
+from cairnspark.llm._common import arrow_rows, distinct_spans, text_slices
+from cairnspark.llm.words import _SPACE, word_spans
 
 #: Words that a document needs.
 MIN_WORDS = 50
@@ -55,25 +55,37 @@ def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def _again(text_no: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(repeated, later): whether a hash occurs in its text at least twice, and whether it did before."""
-    key = mix64(hashes + text_no.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    repeated, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
+def _again(text_no: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated, later): whether a code occurs in its text at least twice, and whether it did before."""
+    span = int(codes.max()) + 1 if len(codes) else 1
+    # text numbers ascend, so a stable order by code inside them is all that is needed
+    order = np.argsort(text_no * span + codes, kind="stable") if span < 1 << 40 else np.lexsort((codes, text_no))
+    same = (codes[order][1:] == codes[order][:-1]) & (text_no[order][1:] == text_no[order][:-1])
+    repeated, later = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
     later[order[1:][same]] = True
     repeated[order[1:][same]] = True
     repeated[order[:-1][same]] = True
     return repeated, later
 
 
+def _windows(codes: np.ndarray, width: int) -> np.ndarray:
+    """Codes of the windows of width codes: equal windows, equal codes, and no others."""
+    n, out = len(codes) - width + 1, codes
+    base = int(codes.max()) + 1 if len(codes) else 1
+    for k in range(1, width):
+        if int(out.max()) >= (1 << 62) // base:  # too large for another factor: numbered anew
+            out = np.unique(out, return_inverse=True)[1]
+        out = out[: len(codes) - k] * base + codes[k:]
+    return out[:n]
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The counts and features of each text, from the UTF-8 bytes of all."""
     n = len(offsets) - 1
     starts, ends, first = word_spans(data, offsets)
     n_words = np.diff(first)
     word_no = np.repeat(np.arange(n), n_words)
-    words = word_hashes(data, starts, ends)
+    words = distinct_spans(data, starts, ends)[0]
     chars = ~_SPACE[data] & ((data & 0xC0) != 0x80)
     out = {"n_words": n_words, "word_chars": _per_text(chars, offsets), "n_symbols": _per_text(_IS["symbol"][data], offsets)}
 
@@ -87,7 +99,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         line_ends = line_ends - (_IS["line"][data[np.maximum(line_ends - 1, 0)]] & (line_ends > line_starts))
         has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
         line_starts, line_ends, line_no = line_starts[has_word], line_ends[has_word], line_no[has_word]
-    _, later = _again(line_no, span_hashes(data, line_starts, line_ends))
+    _, later = _again(line_no, distinct_spans(data, line_starts, line_ends)[0])
     n_lines = np.bincount(line_no, minlength=n)
     out["n_dup_lines"] = np.bincount(line_no[later], minlength=n)
 
@@ -95,7 +107,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     covered = np.zeros(len(words) + WINDOW, bool)
     if len(words) >= WINDOW:
         at = np.flatnonzero(word_no[: len(words) - WINDOW + 1] == word_no[WINDOW - 1 :])
-        repeated, _ = _again(word_no[at], window_hashes(words, WINDOW)[at])
+        repeated, _ = _again(word_no[at], _windows(words, WINDOW)[at])
         for k in range(WINDOW):
             covered[at[repeated] + k] = True
     out["n_repeat_words"] = np.bincount(word_no[covered[: len(words)]], minlength=n)

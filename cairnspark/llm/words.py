@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from cairnspark.llm._common import mix64, span_hashes
+from cairnspark.llm._common import mix64, span_names
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,34 +38,52 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(data, starts, ends)
+#: Odd multipliers of the two lanes of a window's name.
+_STEP = np.array([[0xD6E8FEB86659FD93], [0xA24BAED4963EE407]], np.uint64)
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the windows of width words that begin at each word, as far as there are width words."""
-    n = max(0, len(words) - width + 1)
-    h = np.zeros(n, np.uint64)
+def _fold(lanes: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Names of word sequences with one more word at their ends."""
+    h = (lanes ^ word) * _STEP
+    return h ^ (h >> np.uint64(32))
+
+
+def window_names(words: np.ndarray, width: int) -> np.ndarray:
+    """128-bit names of the windows of width words that begin at each word, as far as there are width words."""
+    n = max(0, words.shape[1] - width + 1)
+    h = np.full((2, n), width, np.uint64)
     for k in range(width):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + words[k : k + n]
+        h = _fold(h, words[:, k : k + n])
     return mix64(h)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
-    """The sorted distinct hashes of the word shingles of each text; shorter texts have their whole word sequence as one."""
+    """The distinct word shingles of each text as 128-bit names (two rows of lanes), sorted by the first lane.
+
+    Shorter texts have their whole word sequence as one.
+    """
     low = lower_ascii(data)
     starts, ends, first = word_spans(low, offsets)
-    words = word_hashes(low, starts, ends)
-    windows = window_hashes(words, width)
+    words = span_names(low, starts, ends)
+    windows = window_names(words, width)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(windows[a : b - width + 1]))
+            out.append(_distinct(windows[:, a : b - width + 1]))
         elif b > a:
-            h = np.uint64(b - a)
-            for w in words[a:b]:
-                h = np.uint64((int(h) * 0xD6E8FEB86659FD93 + int(w)) & 0xFFFFFFFFFFFFFFFF)
-            out.append(mix64(np.array([h], np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))
+            out.append(window_names(words[:, a:b], b - a))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(np.zeros((2, 0), np.uint64))
     return out
+
+
+def _distinct(names: np.ndarray) -> np.ndarray:
+    order = np.argsort(names[0], kind="stable")
+    names = names[:, order]
+    same = names[0, 1:] == names[0, :-1]
+    if not same.any():
+        return names
+    if (names[1, 1:] != names[1, :-1])[same].any():  # one first lane, several second ones
+        names = names[:, np.lexsort(names[::-1])]
+        same = (names[:, 1:] == names[:, :-1]).all(0)
+    return names[:, np.concatenate([[True], ~same])]

@@ -196,8 +196,8 @@ def _brute(rows) -> list[tuple]:
     return [(r.doc_id, len(sets[i]), low.get(find(i)), links[i]) for i, r in enumerate(rows)]
 
 
-def _check(docs):
-    got = [tuple(r) for r in jaccard_product.jaccard_classes(docs).collect()]
+def _check(docs, **more):
+    got = [tuple(r) for r in jaccard_product.jaccard_classes(docs, **more).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, _brute(docs.select("doc_id", "text").collect())))
 
 
@@ -207,7 +207,8 @@ def test_classes_of_odd_rows(odd_docs, no_docs):
     assert jaccard_product.keep_first(no_docs).count() == 0
     kept = jaccard_product.keep_first(odd_docs)
     ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == odd_docs.columns and 1 in ids and not {2, 3} & set(ids) and ids.count(None) == 2
+    # the null row with the text of document 1 goes with it; the one without a text is linked to nothing
+    assert kept.columns == odd_docs.columns and 1 in ids and not {2, 3} & set(ids) and ids.count(None) == 1
 
 
 def test_rows_of_one_doc_id_go_with_their_own_components(spark):
@@ -233,14 +234,55 @@ def _family(seed: int, n: int, words: int, edits: int) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_classes_match_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard_product, "BLOCK_NODES", block)
+@pytest.mark.parametrize("way", ["whole", "cut", "hot", "shared names"])
+def test_classes_match_brute_force(spark, monkeypatch, way):
+    more = {"hot": {"hot": 8, "block_entries": 500}, "shared names": {"mask": 7}}.get(way, {})
+    if way == "cut":
+        for name in ("BLOCK_NODES", "SMALL_NODES"):
+            monkeypatch.setattr(jaccard_product, name, 16)
     texts = _family(1, 60, 80, 5) + _family(2, 25, 40, 3) + _family(3, 3, 300, 12) + _family(4, 20, 7, 1) + [prose(900 + i, 60) for i in range(20)]
     passage = prose(77, 55)
     texts += [f"{prose(1000 + i, 15)} {passage} {prose(2000 + i, 10)}" for i in range(25)] + ["one two three", "ONE two  three", "one two three four", "a b c d e", "a b c d e f"]
     order = random.Random(9).sample(range(len(texts)), len(texts))
-    _check(spark.createDataFrame([(order[i], t) for i, t in enumerate(texts)], "doc_id bigint, text string"))
+    _check(spark.createDataFrame([(order[i], t) for i, t in enumerate(texts)], "doc_id bigint, text string"), **more)
+
+
+def thue_morse(n: int, one: str = "a", two: str = "b") -> str:
+    return "".join((one, two)[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_texts_that_polynomial_hashes_confuse(spark, n):
+    pair = [thue_morse(n), thue_morse(n, "b", "a")]
+    assert _counts("\n".join(pair))[3] == 0
+    _check(spark.createDataFrame([(i, f"{t} one {t}" if k else t) for k in (0, 1) for i, t in enumerate(pair, 2 * k)], "doc_id bigint, text string"))
+    rows = spark.createDataFrame([(0, "\n".join(pair)), (1, " ".join([pair[0], "x", "y", pair[1], "x", "y"])), (2, " ".join(pair * 2))], "doc_id bigint, text string")
+    got = {r.doc_id: tuple(r[c] for c in quality_gbt.COUNTS) for r in quality_gbt.judge(rows, None).collect()}
+    assert got == {r.doc_id: _counts(r.text) for r in rows.collect()}
+
+
+def test_null_ids_and_copies_go_with_their_components(spark):
+    a, b, c = (prose(k, 80) for k in (601, 602, 603))
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, prose(604, 80)), (None, a), (None, prose(605, 80)), (None, prose(605, 80)), (None, None), (5, b)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(repr, map(tuple, jaccard_product.keep_first(docs).collect())))
+    assert got == sorted(map(repr, [(3, a), (5, b), (7, c), rows[4], rows[6], (None, None)]))
+
+
+def test_sparse_and_dense_products_agree():
+    r = np.random.default_rng(3)
+    sets = [np.stack([np.sort(r.choice(60, r.integers(1, 40), replace=False)).astype(np.uint64)] * 2) for _ in range(30)]
+    sets += [np.stack([s[0], s[1] + np.uint64(1)]) for s in sets[:3]]  # equal first lanes, other columns
+    both = np.array([[len({*map(tuple, x.T.tolist())} & {*map(tuple, y.T.tolist())}) for y in sets] for x in sets])
+    off = ~np.eye(len(sets), dtype=bool)  # columns of one set aren't counted, not even with itself
+    assert np.array_equal(jaccard_product.dense_overlaps(sets)[off], both[off])
+    assert np.array_equal(jaccard_product.dense_overlaps(sets[:9], sets[9:]), both[:9, 9:])
+    n = np.array([s.shape[1] for s in sets])
+    who = np.repeat(np.arange(len(sets)), n)
+    order, column = jaccard_product._columns(who, np.concatenate(sets, axis=1), np.zeros(len(who), int))
+    i, j = jaccard_product.sparse_links(n, who[order], column)
+    want = {(x, y) for x in range(len(sets)) for y in range(x) if 100 * both[x, y] >= 75 * (n[x] + n[y] - both[x, y])}
+    assert {(max(p), min(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want
 
 
 def test_components_of_chains_and_stars(spark):

@@ -30,6 +30,36 @@ def test_ids_are_the_librarys(make):
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [*map(_library, ODD), []]
 
 
+@pytest.mark.parametrize("make", [bpe_batch.batch_encoder, pieces.library_encoder])
+def test_pieces_that_polynomial_hashes_confuse(make):
+    word = lambda n, ab: "".join(ab[i.bit_count() & 1] for i in range(n))
+    texts = [word(n, ab) + end for n in (1024, 4096) for ab in ("ab", "ba") for end in ("", " “x”")]
+    ids, offsets = make(PATH).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [*map(_library, texts)]
+
+
+def test_pieces_that_share_half_a_name(monkeypatch):
+    real = pieces.span_names
+    monkeypatch.setattr(pieces, "span_names", lambda *a: real(*a) & np.array([[3], [0xFFFFFFFFFFFFFFFF]], np.uint64))
+    enc = pieces.PieceEncoder(PATH, bpe_batch.batch_encoder(PATH).encode_pieces, bpe_batch.batch_encoder(PATH).encode_text)
+    for _ in range(2):
+        texts = [f"word{i} and thing{i % 3}" for i in range(50)]
+        ids, offsets = enc.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [*map(_library, texts)]
+
+
+def test_other_tokenizer_files():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, texts = pieces.tokenizer(path), ["Hello there,  it's 12 o'clock", "Ünï 日本\n\nx", "", "aB <|endoftext|> c"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for make in (bpe_batch.batch_encoder, pieces.library_encoder):
+        ids, offsets = make(path).encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+    assert [bpe_batch.decode_ids(np.array(w), path) for w in want] == [tok.decode(w, skip_special_tokens=False) for w in want]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("abé'st lL\n1²!<|ΣßÀ’…_\u0301") | st.characters(codec="utf-8"), max_size=30), max_size=4))
 def test_any_text_encodes_and_decodes_as_the_library_does(texts):
