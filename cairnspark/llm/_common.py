@@ -13,29 +13,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark hands to Python at once. Texts have no length bound, so few rows at a time.
-ARROW_ROWS = 512
+#: Bytes that Spark hands to Python at once, about: batches are cut by size, as texts have no length bound.
+BATCH_BYTES = 16 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Text bytes that the numpy kernels work on at once; a longer text is worked on alone.
 SLICE_BYTES = 512 << 10
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch: batches are counted in rows, memory in text bytes.
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to BATCH_BYTES; a lower one stays.
 
+    It must hold when a result is computed, which may be later, so it isn't put back; the bound on rows isn't touched.
     Python workers also get the place of this package, so that they can import it wherever they were started.
     """
     env = spark.sparkContext.environment
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    now = spark.conf.get(_BATCH_KEY).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset and Spark is local."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cairnspark-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")

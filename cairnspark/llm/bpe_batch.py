@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cairnspark.llm._common import arrow_rows
+from cairnspark.llm._common import small_batches
 from cairnspark.llm.pieces import PieceEncoder, default_path, specials, tokenizer
 
 _NONE = np.int64(1 << 40)
@@ -141,7 +141,7 @@ def decode_ids(ids: np.ndarray, path: str) -> str:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) of every whole text."""
     path = path or default_path()
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = batch_encoder(path)
@@ -155,7 +155,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of rows of doc_id and ids; null ids count as none."""
     path = path or default_path()
-    arrow_rows(tokens.sparkSession)
+    small_batches(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = merge_table(path).size
@@ -169,7 +169,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded in one pass."""
     path = path or default_path()
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = batch_encoder(path)

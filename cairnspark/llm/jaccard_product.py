@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm._common import arrow_rows, materialise, mix64, parallelism, text_slices
+from cairnspark.llm._common import small_batches, materialise, mix64, parallelism, text_slices
 from cairnspark.llm.components import connected_components
 from cairnspark.llm.words import shingle_sets
 
@@ -558,7 +558,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, keys: bool = False, hot
     spark = docs.sparkSession
     parts, sample = parallelism(spark), max(1, hot // 64)
     texts = docs.select("doc_id", "text")
-    arrow_rows(spark)
+    small_batches(spark)
     named = materialise(texts.mapInArrow(_names(width, sample, mask), _NAMES), "jaccard-names")
     full = named.where("kind = 0 AND n > 0")
     nodes = materialise(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight"), F.min("n").alias("n")), "jaccard-nodes")
@@ -651,7 +651,7 @@ def keep_first(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     if odd.isEmpty():
         return out
     # the other rows are known by their set, too
-    arrow_rows(spark)
+    small_batches(spark)
     held = [F.col(f"`{c}`").alias(f"docs_{i}") for i, c in enumerate(docs.columns)]
     back = [F.col(f"docs_{i}").alias(c) for i, c in enumerate(docs.columns)]
     again = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("odd_id")), "left_semi").select("doc_id", _name_of(width)(F.col("text")).alias("name"), *held)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm._common import arrow_rows, mix64
+from cairnspark.llm._common import small_batches, mix64
 
 GRAMS = (3, 4)
 SAMPLE_ROWS = 1500
@@ -165,7 +165,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, min_share: float = MI
     for lang in languages:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / sizes[lang]))).otherwise(share)
     picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
-    arrow_rows(spark)
+    small_batches(spark)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of this task's documents by language and n-gram; gram 0 counts the documents."""
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: MaskFilter, carry: list[str] | None = None)
     A carried column that is named like a new one gives way to it.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    small_batches(spark)
     names = list(dict.fromkeys(["doc_id", *(c for c in carry or [] if c.lower() not in ("lang_pred", "score", "known"))]))
     kinds = dict(docs.dtypes)
     shared = spark.sparkContext.broadcast(model)  # its size is bounded by the n-grams that training may keep

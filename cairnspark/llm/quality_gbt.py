@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm._common import arrow_rows, distinct_spans, text_slices
+from cairnspark.llm._common import small_batches, distinct_spans, text_slices
 from cairnspark.llm.words import _SPACE, word_spans
 
 #: Words that a document needs.
@@ -231,11 +231,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     n = known.count()
     if not n:
         return None
-    keep = int(min(1.0, max_rows / n) * 1_000_000)
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < keep)
+    chance = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    picked = known.where(chance < min(1.0, max_rows / n))
     # max_rows bounds the rows on this side, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
-    arrow_rows(spark)
+    small_batches(spark)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +259,7 @@ def judge(docs: DataFrame, trees: Trees | None, keep_at: float = KEEP_AT, carry:
     """
     carry = [c for c in carry or [] if c.lower() not in (*COUNTS, "base_failed", "kept", "quality_score")]
     spark = docs.sparkSession
-    arrow_rows(spark)
+    small_batches(spark)
     kinds = dict(docs.dtypes)
     ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in dict.fromkeys(["doc_id", *carry])), *(f"{c} bigint" for c in COUNTS), "base_failed boolean, kept boolean, quality_score double"])
     names = list(dict.fromkeys(["doc_id", *carry]))

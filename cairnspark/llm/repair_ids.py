@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm._common import arrow_rows, materialise, open_shared, parallelism, scratch
+from cairnspark.llm._common import small_batches, materialise, open_shared, parallelism, scratch
 from cairnspark.llm.pieces import JOIN_CHARS, default_path, library_encoder
 
 MAGIC = b"RPGRAM01"
@@ -198,7 +198,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str | None =
     """
     spark = docs.sparkSession
     folder, path = folder or scratch(spark, "token-shards"), path or default_path()
-    arrow_rows(spark)
+    small_batches(spark)
     dealt = docs.select("doc_id", "text").repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 def _read(manifest: DataFrame, with_ids: bool) -> DataFrame:
     spark = manifest.sparkSession
-    arrow_rows(spark)
+    small_batches(spark)
     ddl = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,8 @@ Mu-law and A-law expand by 256-entry tables built from their formulas. ADPCM is
 between blocks, so numpy decodes the k-th nibble of all blocks of a batch together. Resampling is a polyphase filter
 with integer taps: the same samples on every machine.
 
-Defined results: a null or empty text has a payload of 576 filler bytes. Null media decode to null. Media that are no
-such WAV file raise an error. Equal texts give equal rows. Other columns are left out.
+Defined results: a null or empty text has a payload of 576 filler bytes. Null media decode to null: their PCM and all
+their digests are null, and PCM that is null has a null feature. Media that are no such WAV file raise an error. Equal texts give equal rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cairnspark.llm._common import arrow_rows, scratch, text_slices
+from cairnspark.llm._common import small_batches, scratch, text_slices
 
 #: Payloads are filled up with FILL to a positive multiple of UNIT bytes.
 UNIT, FILL = 576, 0xFF
@@ -179,7 +179,7 @@ def codec_for(payload: bytes) -> str:
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each whole text, filled up, as a WAV file in a binary column."""
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +196,7 @@ def store(docs: DataFrame) -> DataFrame:
 
 def to_pcm(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
     """All columns of media, and pcm: the decoded and resampled samples as little-endian 16-bit PCM at rate."""
-    arrow_rows(media.sparkSession, 64)
+    small_batches(media.sparkSession)
     kinds = ", ".join(f"`{c}` {t}" for c, t in media.dtypes if c != "pcm")
     keep = [c for c in media.columns if c != "pcm"]
 
@@ -220,21 +220,26 @@ def feature(codec: str, samples: np.ndarray, pcm: np.ndarray) -> str:
 
 def media_digests(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, and digests of the stored media, the payload read back from them, and the stored PCM."""
-    arrow_rows(media.sparkSession, 64)
+    small_batches(media.sparkSession)
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
         stored, pcm = part.column(2).to_pylist(), part.column(3).to_pylist()
         audio = decode_media(stored)
-        payloads = [payload_of(m) for m in stored]
+        payloads = [None if m is None else payload_of(m) for m in stored]
+
+        def each(values: list, make, kind: pa.DataType) -> pa.Array:
+            return pa.array([None if x is None else make(x) for x in values], kind)
+
+        heard = [None if m is None or p is None else feature(parse_wav(m)[0], x[1], np.frombuffer(p, "<i2")) for m, x, p in zip(stored, audio, pcm, strict=True)]
         return pa.record_batch({
             "doc_id": part.column(0),
             "n_bytes": part.column(1),
-            "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()),
-            "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads],
-            "tail_crc32": pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
-            "media_bytes": pa.array([len(m) for m in stored], pa.int64()),
-            "media_sha256": [hashlib.sha256(m).hexdigest() for m in stored],
-            "feature": [feature(parse_wav(m)[0], x, np.frombuffer(p, "<i2")) for m, (_, x), p in zip(stored, audio, pcm, strict=True)],
+            "payload_bytes": each(payloads, len, pa.int64()),
+            "payload_sha256": each(payloads, lambda p: hashlib.sha256(p).hexdigest(), pa.string()),
+            "tail_crc32": each(payloads, lambda p: zlib.crc32(p[-32:]), pa.int64()),
+            "media_bytes": each(stored, len, pa.int64()),
+            "media_sha256": each(stored, lambda m: hashlib.sha256(m).hexdigest(), pa.string()),
+            "feature": pa.array(heard, pa.string()),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,8 @@
 Every change is a signed row: an insert adds one document and its tokens, a delete takes them away, a revised count
 takes the old tokens away and adds the new. A batch of changes is summed by source, language and tokenizer version and
 committed once under its id: the summed rows are written aside and renamed into place, and a rename onto a committed
-batch fails. So a batch that is replayed, or sent by two drivers, counts once. Totals are sums over committed batches.
+batch fails. So a batch that is replayed, or sent by two drivers, counts once. Totals are sums over committed batches;
+compact() folds those so far into a snapshot, which is committed by a rename as well, so that totals stay cheap.
 
 Defined results: null source, lang or tokenizer are groups of their own; null counts count 0. A null or empty text has
 0 tokens. A repeated row counts again. Groups whose documents and tokens are all 0 are left out of the totals.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm._common import arrow_rows, materialise, scratch, text_or_empty
+from cairnspark.llm._common import small_batches, materialise, scratch, text_or_empty
 from cairnspark.llm.pieces import default_path, library_encoder
 
 KEYS = ("source", "lang", "tokenizer")
@@ -29,7 +30,7 @@ _DDL = "source string, lang string, tokenizer string, docs bigint, tokens bigint
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, source, lang, text_md5 and n_tokens of every whole text."""
     path = path or default_path()
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = library_encoder(path)
@@ -85,11 +86,40 @@ class Rollup:
             raise
         return True
 
-    def committed(self) -> list[str]:
-        """Ids of the batches that totals must read: those that no snapshot has folded in."""
-        at = f"{self.folder}/batches"
+    def _names(self, at: str) -> list[str]:
         fs = self._fs(at)
-        return sorted(s.getPath().getName()[6:] for s in fs.listStatus(self._path(at))) if fs.exists(self._path(at)) else []
+        return sorted(s.getPath().getName() for s in fs.listStatus(self._path(at))) if fs.exists(self._path(at)) else []
+
+    def committed(self) -> list[str]:
+        """Ids of all batches ever committed."""
+        return [n[6:] for n in self._names(f"{self.folder}/batches")]
+
+    def _snapshot(self) -> tuple[str | None, set[str]]:
+        """(folder of the latest snapshot, ids of the batches that it has folded in)."""
+        if not (names := self._names(f"{self.folder}/snapshots")):
+            return None, set()
+        at = f"{self.folder}/snapshots/{names[-1]}"
+        return at, {r[0] for r in self.spark.read.schema("batch string").parquet(f"{at}/folded").toLocalIterator()}
+
+    def compact(self) -> bool:
+        """Fold all committed batches into a new snapshot; False if there was nothing new, or another driver was first.
+
+        Batches committed meanwhile aren't in it, and are read beside it. Their folders stay, so that a replay of an old
+        batch is still known.
+        """
+        at, folded = self._snapshot()
+        new = [b for b in self.committed() if b not in folded]
+        if not new:
+            return False
+        aside = f"{self.folder}/aside/{scratch(self.spark, 'snapshot').rpartition('/')[2]}"
+        self._rows(at, new).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{aside}/totals")
+        self.spark.createDataFrame([(b,) for b in sorted(folded | set(new))], "batch string").write.parquet(f"{aside}/folded")
+        number = int(at.rpartition("-")[2]) + 1 if at else 1
+        return self._move(aside, f"{self.folder}/snapshots/snapshot-{number:09d}")
+
+    def _rows(self, snapshot: str | None, batches: list[str]) -> DataFrame:
+        at = ([f"{snapshot}/totals"] if snapshot else []) + [f"{self.folder}/batches/batch-{b}" for b in batches]
+        return self.spark.read.schema(_DDL).parquet(*at)
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch of change rows; False if a batch of this id was committed before, whose rows then stay."""
@@ -107,12 +137,12 @@ class Rollup:
         return False
 
     def totals(self) -> DataFrame:
-        """source, lang, tokenizer, docs, tokens over all committed batches."""
-        ids = self.committed()
-        if not ids:
+        """source, lang, tokenizer, docs, tokens over all committed batches: the snapshot and what came after it."""
+        at, folded = self._snapshot()
+        new = [b for b in self.committed() if b not in folded]
+        if not at and not new:
             return self.spark.sql(f"SELECT {', '.join(f'CAST(NULL AS {c.split()[1]}) {c.split()[0]}' for c in _DDL.split(', '))} WHERE false")
-        rows = self.spark.read.schema(_DDL).parquet(*(f"{self.folder}/batches/batch-{b}" for b in ids))
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        sums = self._rows(at, new).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 OR tokens <> 0")
 
 

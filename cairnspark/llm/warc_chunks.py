@@ -1,7 +1,8 @@
 """WARC: archives written per record, and read back as a table of chunks.
 
-A payload of any size is read as rows of record identifier and chunk number, each with the digest of the payload up to
-and including it, so no task holds more than one chunk of a record. Archives are gzip files with a member per record.
+A payload of any size is written and read as rows of record identifier and chunk number; those read carry the digest of
+the payload up to and including them. So no Python task holds more than a batch of chunks, however large a record is.
+Archives are gzip files with a member per record.
 Of records with equal payloads the one with the smallest page_id is a response and the others revisit it.
 
 Defined results: a null html is an empty payload. Payloads under min_revisit bytes are always responses. If the smallest
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm._common import arrow_rows, materialise, open_shared, parallelism, scratch
+from cairnspark.llm._common import small_batches, materialise, open_shared, parallelism, scratch
 
 CHUNK_BYTES = 256 << 10
 #: A task starts another archive after so many payload bytes.
@@ -40,7 +41,7 @@ def base32_sha1(digest) -> str:
 
 
 def plan_revisits(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """page_id, url, html and refers_to: the page that each revisit refers to, null for responses.
+    """page_id, url, html, sha1 (of html, in hex) and refers_to: the page of each revisit, null for responses.
 
     Only digests that occur twice or more are joined; the join's skewed partitions can be split by Spark.
     """
@@ -49,7 +50,7 @@ def plan_revisits(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     first = materialise(big.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n"), "warc-first")
     joined = page.join(first, "sha1", "left")
     revisit = F.when((F.octet_length("html") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return joined.select("page_id", "url", "html", revisit.alias("refers_to"))
+    return joined.select("page_id", "url", "html", "sha1", revisit.alias("refers_to"))
 
 
 def _record_id(page_id: int | None) -> str:
@@ -61,46 +62,64 @@ def _page_id(record_id: str) -> int | None:
     return None if name == "null" else int(name)
 
 
-def record_parts(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> Iterator[bytes]:
-    """The bytes of a WARC record; a revisit has the HTTP headers only."""
+def record_head(page_id: int | None, url: str | None, size: int, sha1: str, refers_to: int | None) -> bytes:
+    """The headers of a WARC record and of its HTTP message, from the size and the SHA-1 of the payload."""
     own = _record_id(page_id)
     uri = _RAW.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) if url else own
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     kind = "response" if refers_to is None else "revisit"
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{own}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{base32_sha1(hashlib.sha1(payload))}",
-        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (len(payload) if refers_to is None else 0)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{own}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
+        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (size if refers_to is None else 0)}",
     ]
     if refers_to is not None:
         head += [f"WARC-Refers-To: <{_record_id(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    yield "\r\n".join(head).encode() + b"\r\n\r\n" + http
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + http
+
+
+def record_parts(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> Iterator[bytes]:
+    """The bytes of a WARC record; a revisit has the HTTP headers only."""
+    yield record_head(page_id, url, len(payload), hashlib.sha1(payload).hexdigest(), refers_to)
     if refers_to is None:
         for a in range(0, len(payload), CHUNK_BYTES):
             yield payload[a : a + CHUNK_BYTES]
     yield b"\r\n\r\n"
 
 
-def write_archives(planned: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write the records; returns the committed manifest: file, n_records. A retried task writes under another name."""
+def payload_chunks(planned: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """A row for each chunk of a payload, in order, a record's rows one after another; a revisit has one row without payload."""
+    body = planned.select("page_id", "url", "refers_to", "sha1", F.encode("html", "utf-8").alias("body"))
+    sized = body.withColumn("size", F.octet_length("body").cast("long"))
+    last = F.when(F.col("refers_to").isNotNull() | (F.col("size") == 0), F.lit(0)).otherwise(F.call_function("div", F.col("size") - 1, F.lit(chunk_bytes)))
+    rows = sized.withColumn("last", last.cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk_no"))
+    chunk = F.when(F.col("refers_to").isNull(), F.substring(F.col("body"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)))
+    return rows.select("page_id", "url", "refers_to", "sha1", "size", "chunk_no", (F.col("chunk_no") == F.col("last")).alias("is_last"), chunk.alias("chunk"))
+
+
+def write_archives(planned: DataFrame, folder: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Write the records, chunk by chunk; returns the committed manifest: file, n_records.
+
+    A retried task writes under another name.
+    """
     spark = planned.sparkSession
     folder = folder or scratch(spark, "warc")
-    arrow_rows(spark, 256)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, file, n, size = None, "", 0, 0
+        out, member, file, n, size = None, None, "", 0, 0
         for batch in batches:
-            cols = [batch.column(i) for i in range(4)]
-            for i in range(batch.num_rows):
-                page_id, url, html, refers_to = (c[i].as_py() for c in cols)
+            for page_id, url, refers_to, sha1, whole, chunk_no, is_last, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     file, n, size = f"{folder}/pages-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = open_shared(file, "wb")
-                payload = html.encode()
-                member = zlib.compressobj(3, zlib.DEFLATED, 31)
-                for part in record_parts(page_id, url, payload, refers_to):
-                    out.write(member.compress(part))
-                out.write(member.flush())
-                n, size = n + 1, size + len(payload)
+                if chunk_no == 0:
+                    member = zlib.compressobj(3, zlib.DEFLATED, 31)
+                    out.write(member.compress(record_head(page_id, url, whole, sha1, refers_to)))
+                out.write(member.compress(chunk or b""))
+                if not is_last:
+                    continue
+                out.write(member.compress(b"\r\n\r\n") + member.flush())
+                n, size = n + 1, size + whole
                 if size >= ARCHIVE_BYTES:
                     out.close()
                     out = None
@@ -109,8 +128,7 @@ def write_archives(planned: DataFrame, folder: str | None = None) -> DataFrame:
             out.close()
             yield pa.record_batch({"file": [file], "n_records": pa.array([n], pa.int64())})
 
-    rows = planned.select("page_id", "url", "html", "refers_to")
-    return materialise(rows.mapInArrow(run, "file string, n_records bigint"), "warc-manifest")
+    return materialise(payload_chunks(planned, chunk_bytes).mapInArrow(run, "file string, n_records bigint"), "warc-manifest")
 
 
 def _headers(stream: io.BufferedIOBase) -> tuple[str, dict[str, str], int]:
@@ -168,7 +186,7 @@ def read_records(stream: io.BufferedIOBase, chunk_bytes: int = CHUNK_BYTES, with
 def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_payload: bool = True) -> DataFrame:
     """The chunk table of the archives that a manifest names."""
     spark = manifest.sparkSession
-    arrow_rows(spark, 256)
+    small_batches(spark)
     names = [c.split()[0] for c in CHUNK_DDL.split(", ")]
     types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     kinds = [types[c.split()[1]] for c in CHUNK_DDL.split(", ")]
@@ -194,8 +212,8 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_payloa
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write the archives of pages, read them back as chunks, and return a row per record from its last chunk."""
-    chunks = read_chunks(write_archives(plan_revisits(pages)), with_payload=False)
+    """Write the archives of pages, store their chunk table, and return a row per record from its last stored chunk."""
+    chunks = materialise(read_chunks(write_archives(plan_revisits(pages))), "warc-chunks")
     size = F.when(F.col("record_type") == "response", F.col("chunk_start") + F.col("chunk_bytes")).otherwise(F.col("payload_bytes"))
     return chunks.where("is_last").select("page_id", size.alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
 

@@ -100,6 +100,59 @@ def test_stored_pcm_is_the_resampled_audio(odd_docs):
         assert np.array_equal(np.frombuffer(r.pcm, "<i2"), telephony.resample(x, rate, 16000))
 
 
+def test_null_media_have_null_digests(spark):
+    media = spark.createDataFrame([(1, None, None), (2, None, telephony.wav("mulaw", b"\xff" * 576))], "doc_id bigint, n_bytes bigint, media binary")
+    rows = {r.doc_id: r for r in telephony.media_digests(telephony.to_pcm(media)).collect()}
+    assert tuple(rows[1]) == (1, *[None] * 7) and rows[2].payload_bytes == 576 and rows[2].feature.startswith("mulaw:576:0:0:0:")
+
+
+def _expand(code: int, law: str) -> int:
+    """One sample, from the bit fields of its code."""
+    if law == "mulaw":
+        code ^= 0xFF
+        size = ((2 * (code & 15) + 33) << (code >> 4 & 7)) - 33 << 2
+        return -size if code & 0x80 else size
+    code ^= 0x55
+    exponent, mantissa = code >> 4 & 7, code & 15
+    size = (2 * mantissa + 1 << 3) if exponent == 0 else (2 * mantissa + 33 << exponent + 2)
+    return size if code & 0x80 else -size
+
+
+def test_tables_are_the_formulas():
+    assert telephony.mulaw_table().tolist() == [_expand(c, "mulaw") for c in range(256)]
+    assert telephony.alaw_table().tolist() == [_expand(c, "alaw") for c in range(256)]
+
+
+@pytest.mark.parametrize("to", [16000, 12000, 6000, 11025])
+def test_resampling_is_a_sum_over_taps(to):
+    r = random.Random(to)
+    x = np.array([r.randint(-32768, 32767) for _ in range(90)], np.int16)
+    up, down = (to // (g := __import__("math").gcd(8000, to))), 8000 // g
+    taps = telephony._taps(up, down)
+    half, want = taps.shape[1] // 2, []
+    for m in range(-(-90 * up // down)):
+        at, phase = divmod(m * down, up)
+        total = sum(int(taps[phase, k]) * int(x[i]) for k in range(2 * half) if 0 <= (i := at + k - half + 1) < 90)
+        want.append(max(-32768, min(32767, total + 8192 >> 14)))
+    assert telephony.resample(x, 8000, to).tolist() == want
+
+
+def test_features_match_brute_force(odd_docs):
+    rows = telephony.media_digests(telephony.write_media(odd_docs.where("doc_id IN (1, 4, 5, 8, 10, 100, 101, 102)"))).collect()
+    texts = {r.doc_id: r.text for r in odd_docs.collect()}
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        codec = telephony.CODECS[zlib.crc32(payload) % 3]
+        if codec == "ima_adpcm":
+            x = [v for k in range(0, len(payload), 576) for v in _adpcm_one(bytes(4) + payload[k : k + 576])]
+        else:
+            x = [_expand(b, codec) for b in payload]
+        pcm = telephony.resample(np.array(x, np.int16), 8000, 16000).astype("<i2").tobytes()
+        flips = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert r.feature == f"{codec}:{len(x)}:{max(map(abs, x))}:{sum(v * v for v in x) // len(x)}:{flips}:{zlib.crc32(pcm):08x}"
+
+
 PAGES = "page_id bigint, url string, html string, sha1 string"
 
 
@@ -118,6 +171,19 @@ def test_archives_come_back(spark):
     assert warc_chunks.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_writers_get_chunks_and_chunk_tables_hold_payloads(spark):
+    texts = {1: "é" * 700, 2: "", 3: "x" * 256, 4: "y" * 257, 5: "x" * 256}
+    pages = spark.createDataFrame([(i, "u", t, None) for i, t in texts.items()], PAGES)
+    planned = warc_chunks.plan_revisits(pages)
+    rows = warc_chunks.payload_chunks(planned, 256).collect()
+    assert max(len(r.chunk or b"") for r in rows) == 256 and sum(r.page_id == 1 for r in rows) == 6
+    table = warc_chunks.read_chunks(warc_chunks.write_archives(planned, chunk_bytes=256), chunk_bytes=100).collect()
+    for i, t in texts.items():
+        mine = sorted((r for r in table if r.page_id == i), key=lambda r: r.chunk_no)
+        assert b"".join(bytes(r.payload or b"") for r in mine) == (b"" if i == 5 else t.encode())
+        assert mine[-1].is_last and mine[-1].digest_so_far == base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+
+
 def test_chunks_carry_running_digests():
     payload = bytes(range(256)) * 5
     data = gzip.compress(b"".join(warc_chunks.record_parts(9, "http://a", payload, None))) + gzip.compress(b"".join(warc_chunks.record_parts(10, None, payload, 9))) + gzip.compress(b"".join(warc_chunks.record_parts(11, "b", b"", None)))

@@ -1,5 +1,6 @@
 """Language ID, mixing, quality rules and the Jaccard join."""
 
+import hashlib
 import math
 import random
 import re
@@ -83,8 +84,20 @@ def test_mixing_odd_tables(odd_docs, no_docs, spark):
     assert out.count() > 0 and poisson_mix.mix(no_docs).count() == 0
     none = spark.createDataFrame([("a", 0.0), ("b", None)], "source string, weight double")
     assert poisson_mix.mix(odd_docs, none).count() == 0
-    with pytest.raises(Exception, match="repetition rate"):
-        poisson_mix.mix(odd_docs, rows=10**7).collect()
+    high = {r.rate: r["count"] for r in poisson_mix.mix(odd_docs, rows=60_000).groupBy("rate").count().collect()}
+    assert max(high) > 700 and abs(sum(high.values()) - 60_000) < 1500
+
+
+def test_high_rates_are_sums_of_quantiles(spark):
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "small").otherwise("large").alias("source"))
+    weights = spark.createDataFrame([("small", 3.0), ("large", 1.0)], "source string, weight double")
+    n = Counter(r.doc_id for r in poisson_mix.mix(docs, weights, rows=2000).collect())
+    for i in range(30):
+        rate = 500.0 if i < 3 else 500 / 27
+        draws = max(1, math.ceil(rate / poisson_mix.MAX_STEP))
+        names = [f"{poisson_mix.SEED}:{i}" if k == 1 else f"{poisson_mix.SEED}:draw:{i}:{k}" for k in range(1, draws + 1)]
+        us = [int(hashlib.md5(x.encode()).hexdigest()[:13], 16) / (1 << 52) for x in names]
+        assert n[i] == sum(_quantile(u, rate / draws) for u in us), i
 
 
 # --- quality rules ------------------------------------------------------------------------------------------------

@@ -141,6 +141,12 @@ def test_rollup_commits_once(spark, tmp_path):
     assert key(r.totals()) == {("a", "en", "v1"): (2, 27), ("b", None, "v1"): (1, 0)}
     with pytest.raises(ValueError):
         r.apply("a/b", token_rollup.inserts(rows, "v1"))
+    before = key(r.totals())
+    assert r.compact() and not r.compact() and key(r.totals()) == before
+    assert not r.apply("two", token_rollup.inserts(rows, "v1"))  # folded in, and still known
+    assert r.apply("four", token_rollup.inserts(rows.where("source = 'b'"), "v1"))
+    assert key(r.totals()) == {**before, ("b", None, "v1"): (2, 0)} and r.compact() and key(r.totals()) == {**before, ("b", None, "v1"): (2, 0)}
+    assert len(r.committed()) == 4 and r._snapshot()[1] == {"one", "two", "three", "four"}
 
 
 def test_a_rename_onto_a_committed_batch_fails(spark, tmp_path):
