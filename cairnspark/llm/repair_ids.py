@@ -1,20 +1,27 @@
 """Token-ID output: Re-Pair grammar compression of shards of documents' ids.
 
-A shard file holds whole documents in ascending doc_id order. Frequent pairs of neighbouring ids are replaced by new
-symbols, round by round (all pairs that are more frequent than both neighbours at once), never across documents; the
-file keeps the rules, the length of each rule's expansion, the remaining symbols and where each document's begin. So a
-document, or any range of its ids, is decoded without the rest of the shard.
+A shard file holds whole documents in ascending doc_id order. Frequent pairs of neighbouring symbols are replaced by new
+symbols, again and again until no pair occurs LEAST times, never across documents. A round replaces, wherever it stands
+between no more frequent ones, every pair that is replaced LEAST times so; the most frequent pair always is. Pairs are
+counted exactly, without overlaps. Only the places of frequent pairs are looked at again: a pair of old symbols never
+becomes more frequent, and new pairs stand where something was replaced.
 
-File, all little-endian: magic, then 5 counts (documents, rounds, rules, symbols, bytes of the packed high bytes) as
-u64; rules of each round u32; rules u32 pairs; expansion lengths u32; doc_id i64; doc_id is null u8; first symbol of
-each document u64 (and the end); ids of each document u64; symbols as u16 low halves, then their high bytes packed.
+The file keeps the rules, the length of each rule's expansion, the remaining symbols in packed blocks, and where each
+document's begin. So a document, or any range of its ids, is decoded from the rules and the blocks that it stands in.
+
+File, all little-endian: magic; documents, rounds, rules, symbols, blocks and the first rule's number as u64; rules of
+each round u32; rules u32 pairs; expansion lengths u64; doc_id i64; doc_id is null u8; first symbol of each document u64
+(and the end); ids of each document u64; where each block begins u64 (and the end); the blocks: BLOCK symbols each, as
+the planes of their 4 bytes, deflated.
 
 Defined results: a null or empty text has only the end id. Null doc_ids come first; rows of one doc_id stand in the
-order of their texts. An empty table has no shard and no rows. Other columns are left out.
+order of their texts. An empty table has no shard and no rows. Other columns are left out. Ids are from 0 to 2 ** 31 - 1;
+others raise an error.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 import zlib
@@ -29,149 +36,240 @@ from pyspark.sql import functions as F
 from cairnspark.llm._common import small_batches, materialise, open_shared, parallelism, scratch
 from cairnspark.llm.pieces import JOIN_CHARS, default_path, library_encoder
 
-MAGIC = b"RPGRAM01"
+MAGIC = b"RPGRAM02"
 END_ID = 2
-#: Ids below it are the tokenizer's, rules are numbered from it on.
-FIRST_RULE = 1 << 16
 SHARD_IDS = 1_000_000
-ROUNDS = 8
-#: A pair must be replaced so often in a round: a rule takes 12 bytes, a replaced symbol saves 3.
+#: A pair must be replaced so often in a round: a rule takes 16 bytes, and a replaced symbol saves 2 or more.
 LEAST = 8
-_BUCKETS = 20
-
-
-def grammar(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+#: Symbols that are packed together, and unpacked to read any one of them.
+BLOCK = 1 << 14
+#: Ids and rules stay below it.
+MAX_SYMBOL = 1 << 32
+
+
+def _every_other(at: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Of ascending places, those that a walk from the left takes if joined[i] says that at[i] overlaps the one before."""
+    k = np.arange(len(at))
+    return at[(k - np.maximum.accumulate(np.where(joined, 0, k))) % 2 == 0]
+
+
+class _Sequence:
+    """Symbols as a linked list in arrays, with the number of the pair that begins at each place (-1 for none)."""
+
+    def __init__(self, ids: np.ndarray, last: np.ndarray):
+        n = len(ids)
+        self.symbol, self.last = ids.astype(np.uint32), np.append(last, True)
+        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n)  # place n stands for the end
+        self.pair = np.full(n + 1, -1, np.int64)
+        self.names = np.zeros(0, np.uint64)
+        self.number(np.arange(n))
+
+    def number(self, places: np.ndarray) -> None:
+        """Number the pairs at places anew; none of them occurs elsewhere under an older number."""
+        self.pair[places] = -1
+        at = places[~self.last[places]]
+        names, which = np.unique((self.symbol[at].astype(np.uint64) << np.uint64(32)) | self.symbol[self.after[at]], return_inverse=True)
+        self.pair[at] = len(self.names) + which
+        self.names = np.concatenate([self.names, names])
+
+    def apart(self, at: np.ndarray) -> np.ndarray:
+        """Of ascending places those where a pair occurs without overlapping itself, as in x x x."""
+        same = np.zeros(len(at), bool)
+        same[1:] = (self.after[at[:-1]] == at[1:]) & (self.pair[at[:-1]] == self.pair[at[1:]])
+        return _every_other(at, same) if same.any() else at
+
+    def replace(self, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Put symbols in the place of the pairs at these places; returns the places where new pairs may begin."""
+        gone = self.after[at]
+        self.symbol[at] = symbols
+        self.last[at] |= self.last[gone]
+        self.after[at] = self.after[gone]
+        self.before[self.after[gone]] = at
+        self.pair[gone] = -1
+        new = np.zeros(len(self.symbol) + 1, bool)
+        new[at] = new[self.before[at]] = True  # -1 marks the place of the end
+        return np.flatnonzero(new[:-1])
+
+
+def grammar(ids: np.ndarray, last: np.ndarray, least: int = LEAST, first_rule: int | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(symbols, last, rules of each round): ids with frequent pairs replaced; last marks the ends of documents."""
-    seq, rules, count = ids.astype(np.uint32), [], 0
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        mixed = seq[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seq[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        bucket = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _BUCKETS)).astype(np.int32)
-        # how often a pair stands here, with others of its bucket: a guide which pairs to take, not what is stored
-        often = np.bincount(bucket, minlength=1 << _BUCKETS)[bucket]
-        often[last[:-1]] = 0
-        pick = often >= least
-        order = (often << _BUCKETS) | bucket  # of two pairs that are as frequent, always the same one goes first
-        pick[1:] &= order[1:] > order[:-1]
-        pick[:-1] &= order[:-1] >= order[1:]
-        at = np.flatnonzero(pick)
-        pairs = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1].astype(np.uint64)
-        names, which, times = np.unique(pairs, return_inverse=True, return_counts=True)
-        good = times >= least
-        good &= np.cumsum(good) <= (1 << 24) - FIRST_RULE - count
-        if not good.any():
-            break
-        number = FIRST_RULE + count + np.cumsum(good) - 1
-        at, which = at[good[which]], which[good[which]]
-        seq[at] = number[which]
-        last[at] |= last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules.append(np.column_stack([names[good] >> np.uint64(32), names[good] & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
-        count += int(good.sum())
-        if len(at) < 0.01 * len(seq):
+    first_rule = first_rule or (int(ids.max()) + 1 if len(ids) else 1)
+    seq, rules, count = _Sequence(ids, last), [], 0
+    alive = np.ones(len(ids), bool)
+    active = np.flatnonzero(seq.pair[:-1] >= 0)
+    order = np.zeros(len(ids) + 1, np.int64)  # how frequent the pair at a place is; its number breaks ties
+    while len(active):
+        often = np.bincount(seq.pair[seq.apart(active)], minlength=len(seq.names))
+        keep = often[seq.pair[active]] >= least
+        order[active[~keep]] = 0
+        active = active[keep]
+        if not len(active):
             break
-    return seq, last, rules
+        order[active] = (often[seq.pair[active]] << 32) | seq.pair[active]
+        mine = order[active]
+        top = active[(mine >= order[seq.after[active]]) & (mine >= order[seq.before[active]])]  # -1 is the end, too
+        at = seq.apart(top)
+        good = np.bincount(seq.pair[at], minlength=len(seq.names)) >= least
+        if first_rule + count + int(good.sum()) > MAX_SYMBOL:
+            raise ValueError("a shard has too many symbols")
+        at = at[good[seq.pair[at]]]
+        number = first_rule + count + (np.cumsum(good) - 1)[seq.pair[at]]
+        pairs = seq.names[good]
+        rules.append(np.column_stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
+        count += len(pairs)
+        gone = seq.after[at]
+        alive[gone], order[gone], order[at] = False, 0, 0
+        new = seq.replace(at, number)
+        order[new] = 0
+        seq.number(new)
+        stay = np.zeros(len(ids), bool)
+        stay[active] = True
+        stay[gone] = False
+        stay[new] = seq.pair[new] >= 0
+        active = np.flatnonzero(stay)
+    return seq.symbol[alive], seq.last[:-1][alive], rules
 
 
 @dataclass
 class Expansions:
-    """What each rule stands for: flat[at[k]:at[k] + length[k]] for rule FIRST_RULE + k."""
+    """What each rule stands for: flat[at[k]:at[k] + length[k]] for rule first + k."""
 
+    first: int
     flat: np.ndarray
     at: np.ndarray
     length: np.ndarray
 
     def lengths(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), np.int64)
-        rule = symbols >= FIRST_RULE
-        out[rule] = self.length[symbols[rule].astype(np.int64) - FIRST_RULE]
+        rule = symbols >= self.first
+        out[rule] = self.length[symbols[rule].astype(np.int64) - self.first]
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         lengths = self.lengths(symbols)
         total = np.cumsum(lengths)
         out = np.repeat(symbols, lengths).astype(np.uint32)
-        rule = np.repeat(symbols >= FIRST_RULE, lengths)
-        first = np.zeros(len(symbols), np.int64)
-        is_rule = symbols >= FIRST_RULE
-        first[is_rule] = self.at[symbols[is_rule].astype(np.int64) - FIRST_RULE]
-        place = np.repeat(first - (total - lengths), lengths) + np.arange(len(out))
+        is_rule = symbols >= self.first
+        rule = np.repeat(is_rule, lengths)
+        begin = np.zeros(len(symbols), np.int64)
+        begin[is_rule] = self.at[symbols[is_rule].astype(np.int64) - self.first]
+        place = np.repeat(begin - (total - lengths), lengths) + np.arange(len(out))
         out[rule] = self.flat[place[rule]]
         return out
 
 
-def expansions(rules: list[np.ndarray]) -> Expansions:
+def expansions(rules: list[np.ndarray], first: int) -> Expansions:
     """Expand the rules round by round; a rule only uses symbols of earlier rounds."""
-    out = Expansions(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    out = Expansions(first, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
     for pairs in rules:
         lengths = out.lengths(pairs.ravel()).reshape(-1, 2).sum(1)
         flat = out.expand(pairs.ravel())
         at = len(out.flat) + np.cumsum(lengths) - lengths
-        out = Expansions(np.concatenate([out.flat, flat]), np.concatenate([out.at, at]), np.concatenate([out.length, lengths]))
+        out = Expansions(first, np.concatenate([out.flat, flat]), np.concatenate([out.at, at]), np.concatenate([out.length, lengths]))
+    return out
+
+
+def rule_lengths(rules: list[np.ndarray], first: int) -> np.ndarray:
+    """The length of each rule's expansion."""
+    out = np.zeros(0, np.int64)
+    for pairs in rules:
+        sides = [np.where(x >= first, out[np.maximum(x - first, 0)] if len(out) else 1, 1) for x in pairs.astype(np.int64).T]
+        out = np.concatenate([out, sides[0] + sides[1]])
     return out
 
 
 def encode_shard(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> bytes:
+    wide = np.asarray(ids, np.int64)
+    if len(wide) and (wide.min() < 0 or wide.max() >= 1 << 31):
+        raise ValueError("token ids must be from 0 to 2 ** 31 - 1")
+    first = int(wide.max()) + 1 if len(wide) else 1
     last = np.zeros(len(ids), bool)
     ends = np.cumsum(lengths)
     last[ends[lengths > 0] - 1] = True
-    seq, last, rules = grammar(ids, last)
+    seq, last, rules = grammar(wide, last, first_rule=first)
     closes = np.flatnonzero(last) + 1
     starts = np.zeros(len(lengths) + 1, np.uint64)
     starts[1:][lengths > 0] = closes
     starts = np.maximum.accumulate(starts)
-    high = zlib.compress((seq >> 16).astype(np.uint8).tobytes(), 1)
+    blocks = [zlib.compress(np.ascontiguousarray(seq[a : a + BLOCK].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for a in range(0, len(seq), BLOCK)]
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    head = MAGIC + struct.pack("<5Q", len(lengths), len(rules), len(pairs), len(seq), len(high))
     return b"".join([
-        head, np.array([len(r) for r in rules], "<u4").tobytes(), pairs.astype("<u4").tobytes(), expansions(rules).length.astype("<u4").tobytes(),
+        MAGIC, struct.pack("<6Q", len(lengths), len(rules), len(pairs), len(seq), len(blocks), first),
+        np.array([len(r) for r in rules], "<u4").tobytes(), pairs.astype("<u4").tobytes(), rule_lengths(rules, first).astype("<u8").tobytes(),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), starts.astype("<u8").tobytes(), lengths.astype("<u8").tobytes(),
-        (seq & 0xFFFF).astype("<u2").tobytes(), high,
+        np.cumsum([0, *map(len, blocks)]).astype("<u8").tobytes(), *blocks,
     ])
 
 
 class Shard:
-    """A shard file in memory, decoded document by document."""
+    """A shard file, open for reading: documents, or ranges of their ids, are decoded from the blocks they stand in.
+
+    file has seek and read; of the file the header is read at once, and the rules and blocks when they are needed.
+    """
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, file):
+        self.file = file
+        head = self._read(0, 56)
+        if head[:8] != MAGIC:
             raise ValueError("not a shard of token ids")
-        docs, rounds, rules, symbols, high = struct.unpack_from("<5Q", data, 8)
-        at = 8 + 40
+        docs, rounds, self.n_rules, self.n_symbols, blocks, self.first_rule = struct.unpack_from("<6Q", head, 8)
+        self.at = {}
+        at = 56
+        for name, size in (("rounds", 4 * rounds), ("rules", 8 * self.n_rules), ("lengths", 8 * self.n_rules), ("doc_ids", 8 * docs), ("null", docs), ("starts", 8 * (docs + 1)), ("sizes", 8 * docs), ("blocks", 8 * (blocks + 1))):
+            self.at[name] = (at, size)
+            at += size
+        self.data = at
+        self.doc_ids = [None if z else i for i, z in zip(self._array("doc_ids", "<i8").tolist(), self._array("null", "u1").tolist(), strict=True)]
+        self.starts, self.lengths = self._array("starts", "<u8").astype(np.int64), self._array("sizes", "<u8").astype(np.int64)
+        self.block_at = self._array("blocks", "<u8").astype(np.int64)
+        self.blocks_read = 0
+        self._held: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint32))
+        self._table: Expansions | None = None
 
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes
-            return out
+    @classmethod
+    def of(cls, data: bytes) -> Shard:
+        return cls(io.BytesIO(data))
 
-        sizes = take("<u4", rounds)
-        pairs = take("<u4", 2 * rules).reshape(-1, 2)
-        self.expansion_lengths = take("<u4", rules)
-        self.rules = np.split(pairs, np.cumsum(sizes)[:-1].astype(int)) if rounds else []
-        ids, null = take("<i8", docs), take("u1", docs)
-        self.doc_ids = [None if z else i for i, z in zip(ids.tolist(), null.tolist(), strict=True)]
-        self.starts, self.lengths = take("<u8", docs + 1).astype(np.int64), take("<u8", docs).astype(np.int64)
-        low = take("<u2", symbols)
-        self.symbols = low.astype(np.uint32) | (np.frombuffer(zlib.decompress(data[at : at + high]), np.uint8).astype(np.uint32) << 16)
-        self._table: Expansions | None = None
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        out = self.file.read(size)
+        if len(out) != size:
+            raise ValueError("the shard is cut short")
+        return out
+
+    def _array(self, name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(self._read(*self.at[name]), kind)
+
+    @property
+    def expansion_lengths(self) -> np.ndarray:
+        return self._array("lengths", "<u8").astype(np.int64)
 
     @property
     def table(self) -> Expansions:
         if self._table is None:
-            self._table = expansions(self.rules)
+            pairs, sizes = self._array("rules", "<u4").reshape(-1, 2), self._array("rounds", "<u4")
+            self._table = expansions(np.split(pairs, np.cumsum(sizes)[:-1].astype(int)) if len(sizes) else [], self.first_rule)
         return self._table
 
+    def _block(self, k: int) -> np.ndarray:
+        if self._held[0] != k:
+            planes = zlib.decompress(self._read(self.data + int(self.block_at[k]), int(self.block_at[k + 1] - self.block_at[k])))
+            self._held = k, np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            self.blocks_read += 1
+        return self._held[1]
+
+    def symbols(self, first: int, end: int) -> np.ndarray:
+        """Symbols first to end of the shard, from the blocks that hold them."""
+        parts = [self._block(k)[max(0, first - k * BLOCK) : end - k * BLOCK] for k in range(first // BLOCK, -(-end // BLOCK))] if end > first else []
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
     def document(self, k: int) -> np.ndarray:
         """The ids of document k."""
-        return self.table.expand(self.symbols[self.starts[k] : self.starts[k + 1]])
+        return self.table.expand(self.symbols(self.starts[k], self.starts[k + 1]))
 
     def window(self, k: int, first: int, end: int) -> np.ndarray:
         """Ids first to end of document k; only the symbols that stand for them are expanded."""
-        symbols = self.symbols[self.starts[k] : self.starts[k + 1]]
+        symbols = self.symbols(self.starts[k], self.starts[k + 1])
         sums = np.concatenate([[0], np.cumsum(self.table.lengths(symbols))])
         a, b = int(np.searchsorted(sums, first, side="right")) - 1, int(np.searchsorted(sums, end, side="left"))
         return self.table.expand(symbols[a:b])[first - sums[a] : end - sums[a]]
@@ -231,9 +329,11 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str | None =
             yield flush()
 
     manifest = materialise(dealt.mapInArrow(run, "part int, seq int, file string, n_docs bigint, n_ids bigint"), "token-manifest")
-    # one row a shard: a few bytes for each million ids
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
+    # ids are summed by part first, so that one task sees a row a part, of which there are as many as partitions
+    rows = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(rows("part")), F.lit(0)).alias("parts_before"))
+    inside = F.coalesce(F.sum("n_ids").over(rows("part", "seq")), F.lit(0))
+    return manifest.withColumn("inside", inside).join(parts, "part").withColumn("base", (F.col("inside") + F.col("parts_before")).cast("long")).drop("inside", "parts_before")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -250,14 +350,14 @@ def _read(manifest: DataFrame, with_ids: bool) -> DataFrame:
         for batch in batches:
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with open_shared(file, "rb") as f:
-                    shard = Shard(f.read())
-                starts = base + np.cumsum(shard.lengths) - shard.lengths
-                for a in range(0, len(shard.doc_ids), 512):
-                    each = [shard.document(k) for k in range(a, min(a + 512, len(shard.doc_ids)))]
-                    out = {"doc_id": pa.array(shard.doc_ids[a : a + 512], pa.int64()), "start": starts[a : a + 512], "n_tokens": np.array([len(x) for x in each], np.int64), "ids_crc32": np.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], np.int64)}
-                    if with_ids:
-                        out["ids"] = pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32()))
-                    yield pa.record_batch(out)
+                    shard = Shard(f)
+                    starts = base + np.cumsum(shard.lengths) - shard.lengths
+                    for a in range(0, len(shard.doc_ids), 512):
+                        each = [shard.document(k) for k in range(a, min(a + 512, len(shard.doc_ids)))]
+                        out = {"doc_id": pa.array(shard.doc_ids[a : a + 512], pa.int64()), "start": starts[a : a + 512], "n_tokens": np.array([len(x) for x in each], np.int64), "ids_crc32": np.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], np.int64)}
+                        if with_ids:
+                            out["ids"] = pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32()))
+                        yield pa.record_batch(out)
 
     return manifest.select("file", "base").repartition(parallelism(spark)).mapInArrow(run, ddl)
 

@@ -98,7 +98,7 @@ def test_shards_come_back(docs, times):
     docs = [np.array(d * times + [2], np.uint32) for d in docs]
     ids, lengths = np.concatenate(docs), np.array([len(d) for d in docs])
     names = [None, *range(len(docs) - 1)]
-    shard = repair_ids.Shard(repair_ids.encode_shard(names, ids, lengths))
+    shard = repair_ids.Shard.of(repair_ids.encode_shard(names, ids, lengths))
     assert shard.doc_ids == names
     for k, d in enumerate(docs):
         assert np.array_equal(shard.document(k), d)
@@ -109,11 +109,57 @@ def test_shards_come_back(docs, times):
 
 def test_repeats_shrink_and_rules_expand():
     ids = np.tile(np.arange(50, dtype=np.uint32), 2000)
-    shard = repair_ids.Shard(repair_ids.encode_shard([1], ids, np.array([len(ids)])))
-    assert len(shard.symbols) < len(ids) / 8 and np.array_equal(shard.document(0), ids)
+    shard = repair_ids.Shard.of(repair_ids.encode_shard([1], ids, np.array([len(ids)])))
+    assert shard.n_symbols < len(ids) / 1000 and np.array_equal(shard.document(0), ids)
     assert np.array_equal(shard.window(0, 777, 791), ids[777:791])
 
 
+def _most_frequent(symbols, last) -> int:
+    """The count of the most frequent pair inside documents, each counted from the left without overlaps."""
+    best: dict = {}
+    doc: list = []
+    for x, end in zip(symbols, last):
+        doc.append(int(x))
+        if end:
+            seen: dict = {}
+            for k, pair in enumerate(zip(doc, doc[1:])):
+                if seen.get(pair) != k - 1:
+                    best[pair], seen[pair] = best.get(pair, 0) + 1, k
+            doc = []
+    return max(best.values(), default=0)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=200), min_size=1, max_size=6), st.integers(2, 9))
+def test_no_frequent_pair_is_left(docs, least):
+    ids, lengths = np.concatenate([np.array(d) for d in docs]), np.array([len(d) for d in docs])
+    last = np.zeros(len(ids), bool)
+    last[np.cumsum(lengths) - 1] = True
+    seq, ends, rules = repair_ids.grammar(ids, last, least)
+    assert _most_frequent(seq, ends) < least and ends.sum() == len(docs)
+    assert np.array_equal(repair_ids.expansions(rules, int(ids.max()) + 1).expand(seq), ids)
+    # no rule is used less often than it takes to be one
+    used = np.bincount(np.concatenate([seq, *[r.ravel() for r in rules]]).astype(int))
+    assert not rules or used[int(ids.max()) + 1 :].min() > 0
+
+
+def test_ids_of_any_size():
+    ids = np.array([70_000, 5, (1 << 31) - 1, 65_536] * 300)
+    shard = repair_ids.Shard.of(repair_ids.encode_shard([4], ids, np.array([len(ids)])))
+    assert np.array_equal(shard.document(0), ids) and np.array_equal(shard.window(0, 501, 777), ids[501:777])
+    for bad in (-1, 1 << 31):
+        with pytest.raises(ValueError):
+            repair_ids.encode_shard([4], np.array([3, bad]), np.array([2]))
+
+
+def test_a_document_is_read_from_its_own_blocks():
+    r = np.random.default_rng(8)
+    docs = [r.integers(0, 60_000, 3000) for _ in range(40)]
+    data = repair_ids.encode_shard(list(range(40)), np.concatenate(docs), np.array([3000] * 40))
+    shard = repair_ids.Shard.of(data)
+    assert np.array_equal(shard.document(17), docs[17]) and shard.blocks_read <= 2 < len(shard.block_at) - 1
+
+
 def test_shards_are_in_order(odd_docs, no_docs):
     manifest = repair_ids.write_shards(odd_docs, shard_ids=500)
     assert manifest.count() > 4
