@@ -34,19 +34,32 @@ def from_hex(text: Column) -> list[Column]:
     return [lane(k) for k in range(LANES)]
 
 
-def mean_print(values: Column, bits: int = 64) -> Column:
-    """A 64-bit print of numbers: bit i is set where number i is over the mean."""
+#: Tags of the hashes in a cache. A new way to hash needs a new tag, else old hashes would be taken for new ones.
+FULL_HASH_ALGO, PRINT_ALGO = "sha256", "mean-print-v1"
+
+
+def mean_print(values: Column, bits: int = 64, offset: float = 0.0) -> Column:
+    """A 64-bit print of numbers: bit i is set where number i is over the mean and offset."""
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    mean = total / F.size(values)
+    mean = total / F.size(values) + offset
     marks = F.transform(values, lambda x, i: F.when(x > mean, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(F.slice(marks, 1, bits), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
 def sample_hash(content: Column, size: Column, window: int) -> Column:
-    """SHA-256 of the size and the first and last window bytes (the last only if there are more than window)."""
+    """SHA-256 of the size and the first and last window bytes (the last only if there are more than window).
+
+    Null for content that isn't as long as size says: the file has changed since it was listed.
+    """
     body = content.cast("binary")
     tail = F.when(size > window, F.substring(body, -window, window)).otherwise(F.lit(b""))
-    return F.sha2(F.concat(F.lpad(F.hex(size), 16, "0").cast("binary"), F.substring(body, 1, window), tail), 256)
+    return F.when(F.octet_length(body) == size, F.sha2(F.concat(F.lpad(F.hex(size), 16, "0").cast("binary"), F.substring(body, 1, window), tail), 256))
+
+
+def spread(values: Column) -> Column:
+    """The population deviation of the numbers of an array: how much content a picture has."""
+    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(values))
 
 
 def full_hash(content: Column) -> Column:

@@ -20,6 +20,33 @@ def bytes_text(size: Column) -> Column:
     return out
 
 
+def rounded_bytes_text(size: Column, digits: int = 1) -> Column:
+    """As bytes_text, but without decimals from 100 of a unit on, up to TB, and a dash for what is no size."""
+    out = F.format_string("%d B", size.cast("long"))
+    for k in range(1, len(UNITS) - 1):
+        scaled = size.cast("double")
+        for _ in range(k):
+            scaled = scaled / 1000.0
+        text = F.when(scaled >= 100.0, F.format_string(f"%.0f {UNITS[k]}", scaled)).otherwise(F.format_string(f"%.{digits}f {UNITS[k]}", scaled))
+        out = F.when(scaled >= 1.0, text).otherwise(out)
+    return F.when(size >= 0, out).otherwise(NOTHING)
+
+
+#: What an estimated time is called, long and short: under a minute, minutes, hours, hours and minutes.
+ETA_LONG = ("不到 1 分钟", "约 %d 分钟", "约 %d 小时", "约 %d 小时 %d 分")
+ETA_SHORT = ("<1 分", "%d 分", "%d 时", "%d 时 %d 分")
+
+
+def eta_text(seconds: Column, words: tuple[str, str, str, str] = ETA_LONG) -> Column:
+    """An estimated time in whole minutes; estimates are too vague for seconds."""
+    under, minutes, hours, both = words
+    m = F.floor(seconds / 60 + 0.5).cast("long")
+    h, rest = F.call_function("div", m, F.lit(60)), m % 60
+    long = F.when(rest == 0, F.format_string(hours, h)).otherwise(F.format_string(both, h, rest))
+    text = F.when(seconds < 60, under).when(m < 60, F.format_string(minutes, m)).otherwise(long)
+    return F.when((seconds >= 0) & (seconds < 1e12), text).otherwise(NOTHING)
+
+
 def saving_text(src: Column, dst: Column) -> Column:
     return F.when(src <= 0, NOTHING).otherwise(F.concat(F.floor((1 - dst / src) * 100 + 0.5).cast("long").cast("string"), F.lit("%")))
 
@@ -35,8 +62,20 @@ def bitrate_text(bps: Column) -> Column:
     return F.when(bps.isNull() | (bps <= 0), NOTHING).when(bps >= 10_000_000, F.format_string("%.0f Mbps", mega)).when(bps >= 1_000_000, F.format_string("%.1f Mbps", mega)).otherwise(F.format_string("%d kbps", kilo))
 
 
+#: Codecs that aren't just written in capitals.
+CODEC_NAMES = {"h264": "H.264", "hevc": "HEVC", "mpeg4": "MPEG-4", "prores": "ProRes"}
+
+
 def pretty_codec(codec: Column) -> Column:
-    return F.when(codec == "hevc", "H.265").when(codec == "h264", "H.264").otherwise(F.upper(F.element_at(F.split(codec, r"\."), -1)))
+    """The name of a codec as people write it."""
+    named = F.create_map(*(F.lit(x) for pair in CODEC_NAMES.items() for x in pair))
+    return F.coalesce(named[codec], F.upper(codec))
+
+
+def pretty_type(uti: Column) -> Column:
+    """The format that a uniform type identifier ends in, in capitals; null where it ends in nothing."""
+    last = F.trim(F.element_at(F.split(uti, r"\."), -1))
+    return F.when(last != "", F.upper(last))
 
 
 def share_text(part: Column, whole: Column) -> Column:

@@ -38,18 +38,18 @@ def file_name(path: Column) -> Column:
 
 
 def parent(path: Column) -> Column:
-    cut = F.regexp_replace(path, "/[^/]*$", "")
+    cut = F.regexp_replace(path, r"/[^/]*\z", "")
     return F.when((cut == "") & path.startswith("/"), F.lit("/")).otherwise(cut)
 
 
 def extension(path: Column) -> Column:
     """The part after the last dot of the name, '' if there is none or the name only begins with its dot."""
-    return F.regexp_extract(file_name(path), r"^.+\.([^.]*)$", 1)
+    return F.regexp_extract(file_name(path), r"(?s)^.+\.([^.]*)\z", 1)
 
 
 def stem(path: Column) -> Column:
     name = file_name(path)
-    return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+    return F.when(name.rlike(r"(?s)^.+\.[^.]*\z"), F.regexp_replace(name, r"\.[^.]*\z", "")).otherwise(name)
 
 
 def classify(path: Column) -> Column:

@@ -117,7 +117,7 @@ class Profile:
         return Profile(**parts), fixes
 
 
-#: Least and most of each setting, and whether 0 switches it off.
+#: Least and most of each setting, and whether 0 switches it off.
 LIMITS = {
     ("image", "short_edge_cap"): (16, 65535, True),
     ("video", "short_edge_cap"): (16, 16384, True),
@@ -135,6 +135,7 @@ LIMITS = {
 
 
 def presets() -> dict[str, Profile]:
+    """Named settings; fixed values."""
     image, video, audio = ImageSettings, VideoSettings, AudioSettings
     return {
         "space": Profile(image(quality=70), video(crf=26, preset="slow"), audio(bitrate_kbps=96)),
@@ -249,6 +250,12 @@ def decide(p: dict[str, Column], profile: Profile) -> Column:
     return out
 
 
+def route(transfer: Column, primaries: Column, space: Column, tag: Column, profile: Profile) -> Column:
+    """The lane that encodes a video, or the reason to skip it."""
+    hdr = is_hdr(transfer, primaries, space, tag) & F.lit(profile.video.skip_hdr)
+    return F.when(hdr, "hdr_unsupported").otherwise(profile.video.lane)
+
+
 def video_filters(width: Column, height: Column, fps: Column, profile: Profile) -> tuple[Column, Column]:
     """(scale, limit_fps): which filters a video needs."""
     w, h = video_target(width, height, profile.video.short_edge_cap)
@@ -272,7 +279,7 @@ def power_scale(gate: Column, thermal: Column, low_power: Column) -> Column:
     return F.when(thermal == "critical", F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(gate * factor)))
 
 
-#: Scan parallelism of a volume; 0 is unlimited.
+#: Scan parallelism of a volume; 0 is unlimited.
 VOLUME_PARALLELISM = {"ssd": 0, "hdd": 1, "network": 4, "unknown": 2}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STREAM = (
@@ -27,7 +27,7 @@ def rate(text: Column) -> Column:
 
 def known(text: Column) -> Column:
     """A trimmed string; null where it is empty, unknown or N/A."""
-    t = F.trim(text)
+    t = F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
     return F.when(~t.isin("", "unknown", "N/A"), t)
 
 
@@ -38,9 +38,13 @@ def pick_stream(streams: Column, kind: str) -> Column:
 
 
 def duration_us(stream: Column, container: Column) -> Column:
-    """Microseconds; the stream's own length goes before the container's."""
-    secs = F.coalesce(stream["duration"].try_cast("double"), container.try_cast("double"))
-    return F.when(secs > 0, (secs * 1e6).cast("long"))
+    """Microseconds; the stream's own length goes before the container's, where it is a finite number over 0."""
+
+    def usable(text: Column) -> Column:
+        secs = text.try_cast("double")
+        return F.when((secs > 0) & (secs < float("inf")), secs)
+
+    return (F.coalesce(usable(stream["duration"]), usable(container)) * 1e6).cast("long")
 
 
 def probed(text: Column, cls: Column) -> dict[str, Column]:
@@ -78,6 +82,30 @@ def vmaf_mean(text: Column) -> Column:
     return F.get_json_object(text, "$.pooled_metrics.vmaf.mean").try_cast("double")
 
 
+#: Keys of progress lines, and the type that their values must have; others say nothing. Two names for the
+#: time that is done, both in microseconds.
+PROGRESS_KEYS = {"frame": "bigint", "fps": "double", "out_time_us": "bigint", "total_size": "bigint", "speed": "double"}
+_TIME_KEYS = ("out_time_us", "out_time_ms")
+
+
+def progress_frames(lines: DataFrame) -> DataFrame:
+    """process, seq and the values of PROGRESS_KEYS and done, a row for each line progress=, from lines (process, seq, line).
+
+    A value stays until a later line has one that can be read, so what a tool doesn't know for a while isn't forgotten.
+    """
+    parts = F.split("line", "=", 2)
+    key, value = F.trim(parts[0]), F.trim(F.get(parts, F.lit(1)))
+    said = lines.select("process", "seq", key.alias("key"), F.when(key == "speed", F.regexp_replace(value, "x+$", "")).otherwise(value).alias("value"))
+    before = Window.partitionBy("process").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def latest(name: str, kind: str) -> Column:
+        mine = F.col("key").isin(*_TIME_KEYS) if name in _TIME_KEYS else F.col("key") == name
+        return F.last(F.when(mine, F.col("value").try_cast(kind)), ignorenulls=True).over(before)
+
+    full = said.select("process", "seq", "key", *(latest(k, t).alias(k) for k, t in PROGRESS_KEYS.items()), (F.col("value") == "end").alias("done"))
+    return full.where(F.col("key") == "progress").drop("key")
+
+
 def progress(lines: Column) -> Column:
     """The last value of each key of key=value lines, as a map; lines of other forms say nothing."""
     pairs = F.filter(F.transform(lines, lambda t: F.split(F.trim(t), "=", 2)), lambda p: F.size(p) == 2)

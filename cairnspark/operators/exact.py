@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.functions.bits import full_hash, sample_hash
+from cairnspark.functions.bits import FULL_HASH_ALGO, full_hash, sample_hash
 from cairnspark.functions.paths import path_key
 from cairnspark.operators.ranking import descending, one_row, row_numbers
 from cairnspark.plans.checkpoint import cut
 
 WINDOW_BYTES = 64 << 10
-#: Paths that may be broadcast to pick the files of the second scan.
-BROADCAST_PATHS = 500_000
+#: Bytes of paths that may be broadcast to pick the files of the second scan.
+BROADCAST_BYTES = 32 << 20
 
 
 def in_groups(df: DataFrame, *keys: str) -> DataFrame:
@@ -30,7 +30,8 @@ def cascade(files: DataFrame, window: int = WINDOW_BYTES, cache: DataFrame | Non
 
     cache (path, algo, size, mtime, hash) is looked in for the hashes of whole files, which are not read if found there.
 
-    files has path, size, mtime and content; a null content can't be read and drops out. Content is never shuffled: the
+    files has path, size, mtime and content; a content that is null, or isn't as long as size says, drops out: the file
+    can't be read or has changed. So the cache serves only files that passed this check. Content is never shuffled: the
     ends of files are hashed as they are scanned, and a second scan hashes the whole of those that need it.
     """
     narrow = cut(files.where("size IS NOT NULL").select("path", "size", "mtime", sample_hash(F.col("content"), F.col("size"), window).alias("sample")))
@@ -49,10 +50,11 @@ def full_hashes(files: DataFrame, chosen: DataFrame, cache: DataFrame | None = N
     """
     todo, found = chosen.select("path", "size", "mtime").distinct(), None
     if cache is not None:
-        looked = cut(with_cached_hash(todo, cache, "full", F.lit(None).cast("string")))
+        looked = cut(with_cached_hash(todo, cache, FULL_HASH_ALGO, F.lit(None).cast("string")))
         todo, found = looked.where("NOT hit").select("path", "size", "mtime"), looked.where("hit").select("path", "size", "mtime", "hash", "hit")
     large = todo.select("path").distinct()
-    pick = F.broadcast(large) if large.count() <= BROADCAST_PATHS else large
+    size = large.agg(F.sum(F.octet_length("path") + 32)).first()[0] or 0
+    pick = F.broadcast(large) if size <= BROADCAST_BYTES else large
     read = files.join(pick, "path", "left_semi").groupBy("path", "size", "mtime").agg(F.min(full_hash(F.col("content"))).alias("hash")).withColumn("hit", F.lit(False))
     if found is None:
         return read
@@ -75,13 +77,26 @@ def groups(files: DataFrame, window: int = WINDOW_BYTES, cache: DataFrame | None
     return rows.join(first, "group_rank").select("group_rank", "hash", "size", "files", "reclaimable", (F.col("place") - F.col("first") + 1).alias("member_rank"), "path", "mtime")
 
 
+def cached_cascade(files: DataFrame, cache: DataFrame, window: int = WINDOW_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, hashed, puts): the groups' members as groups() gives them, path and hit of each file at the last tier,
+    and the rows that are to be put into the cache."""
+    files = files.select("path", "size", "mtime", "content")
+    hashed = cut(full_hashes(files, cascade(files, window)[1].where(F.col("size") > 2 * window), cache))
+    puts = hashed.where("NOT hit").select("path", F.lit(FULL_HASH_ALGO).alias("algo"), "size", "mtime", "hash")
+    known = hashed.select("path", F.lit(FULL_HASH_ALGO).alias("algo"), "size", "mtime", "hash")
+    return groups(files, window, known), hashed.select("path", "hit"), puts
+
+
 def stage_counts(files: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
-    """One row: candidates, after_size, after_sample, fully_read, sample_was_final, groups, members."""
+    """One row: candidates, after_size, after_sample, fully_read, sample_was_final, errors, groups, members.
+
+    errors are files that had to be read and couldn't be, or had changed.
+    """
     sized, same, last = cascade(files.select("path", "size", "mtime", "content"), window)
     small = F.col("size") <= 2 * window
     parts = [
         files.where("size IS NOT NULL").agg(F.count("*").alias("candidates")),
-        sized.agg(F.count("*").alias("after_size")),
+        sized.agg(F.count("*").alias("after_size"), F.count_if(F.col("sample").isNull()).alias("errors")),
         same.agg(F.count("*").alias("after_sample"), F.count_if(~small).alias("fully_read"), F.count_if(small).alias("sample_was_final")),
         last.groupBy("size", "hash").agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("members")),
     ]

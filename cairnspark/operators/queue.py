@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnspark.functions import estimate as est
+from cairnspark.functions.naming import fit
+from cairnspark.functions.paths import file_name, is_temp_file, parent
 from cairnspark.functions.policy import SKIP_REASONS
 
 PAGE_MAX = 500
@@ -97,6 +99,48 @@ def upsert(existing: DataFrame, puts: DataFrame, keys: list[str], order: str) ->
     return last.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
+def feed(items: DataFrame, current: DataFrame, job_id: int, kinds: list[str], after_id: int, dst: Column, taken: DataFrame | None = None, limit: int = 32, existing: str = "rename") -> DataFrame:
+    """The next batch of a job, each item with what becomes of it: id, src_path, kind, est_secs, action, reason, dst.
+
+    Items are taken in the order of id. One whose source is gone or has changed is skipped for that; then one that the
+    scan chose to skip is skipped for its reason; the others are dispatched to dst, made unique against each other and
+    against taken. dst is a column over src_path and kind. An item without a free name is failed.
+    """
+    why = items.where(F.col("job_id") == job_id).select("id", "skip_reason")
+    batch = take_pending(items, job_id, kinds, after_id, limit).join(why, "id")
+    checked = source_check(batch, current).withColumn("reason", F.coalesce("problem", "skip_reason")).withColumn("dst", dst)
+    named = resolve_names(checked.where("reason IS NULL").select("id", F.col("src_path").alias("src"), "dst"), taken, existing).select("id", F.lit(True).alias("_go"), "final")
+    action = F.when(F.col("_go").isNull(), "skip").when(F.col("final").isNull(), "fail").otherwise("dispatch")
+    return checked.join(named, "id", "left").select("id", "src_path", "kind", "est_secs", action.alias("action"), "reason", F.col("final").alias("dst"))
+
+
+def preserve_originals(items: DataFrame, mirror: Column) -> DataFrame:
+    """src_path, dst and transformed of the whole output tree: outputs that were written, and a copy of every source that
+    was left alone or whose output wasn't taken, at mirror, a column over src_path. Failed and open items have no row."""
+    done, skipped = F.col("status") == "done", F.col("status") == "skipped"
+    return items.where(done | skipped).select("src_path", F.when(done, F.col("dst_path")).otherwise(mirror).alias("dst"), done.alias("transformed"))
+
+
+def quality_report(items: DataFrame, scores: DataFrame) -> DataFrame:
+    """id, name, percent of its source's size and score of every written item; scores (id, window, score) are averaged,
+    and items without one have a null."""
+    mean = scores.groupBy("id").agg(F.avg("score").alias("score"), F.count("score").alias("windows"))
+    rows = items.where("status = 'done'").join(mean, "id", "left")
+    percent = F.round(F.try_divide(F.col("dst_size") * 100.0, F.col("src_size")), 1)
+    return rows.select("id", file_name(F.col("src_path")).alias("name"), percent.alias("percent"), "score", F.coalesce("windows", F.lit(0).cast("long")).alias("windows"))
+
+
+def orphan_temps(items: DataFrame, dirs: DataFrame, found: DataFrame) -> DataFrame:
+    """Paths of found (path) that a crash left: temporary files in the folders that running items would have written to."""
+    where = orphan_dirs(items, dirs).withColumnRenamed("dst_dir", "_dir")
+    return found.where(is_temp_file(file_name(F.col("path")))).join(where, parent(F.col("path")) == F.col("_dir"), "left_semi")
+
+
+def recover_all(jobs: DataFrame, items: DataFrame, dirs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, items, files to delete) after a crash. What was running is read before it is made pending again."""
+    return recover_jobs(jobs), recover(items), orphan_temps(items, dirs, found)
+
+
 def cached_probe(files: DataFrame, cache: DataFrame) -> DataFrame:
     """files with probe_json and hit: a hit has the path, size and mtime of the cache and JSON that can be read."""
     c = cache.select("path", "size", "mtime", F.col("probe_json").alias("_json"))
@@ -275,42 +319,82 @@ def time_left(items: DataFrame, hardware: bool = False, gates: tuple[int, int] =
     return g.select("job_id", "pending", F.when((F.col("pending") + F.col("flying") > 0) & (wall > 0), wall).alias("eta"))
 
 
-def resolve_names(targets: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """targets (id, src, dst) with final: dst, or dst-1, dst-2, ... where it is taken, in the order of id.
+#: Highest number that is put behind a name. More equal names than that are a sign of something else gone wrong.
+LAST_SUFFIX = 999
+_NAME_BYTES = 255
+
+
+def name_family(dst: Column) -> Column:
+    """What two names must share so that one, with numbers behind it, may meet the other: the folder, the extension, and the
+    stem without numbers (its first 60 characters, as long names are cut)."""
+    folder, base = F.regexp_extract(dst, r"(?s)^(.*/)?([^/]*)\z", 1), F.regexp_extract(dst, r"(?s)^(.*/)?([^/]*)\z", 2)
+    stem, ext = F.regexp_extract(base, r"(?s)^(.+?)(\.[^.]*)?\z", 1), F.regexp_extract(base, r"(?s)^(.+?)(\.[^.]*)?\z", 2)
+    return F.struct(folder.alias("folder"), F.substring(F.regexp_replace(stem, r"(-[0-9]{1,3})+\z", ""), 1, 60).alias("stem"), ext.alias("ext"))
+
+
+def _numbered(dst: str, n: int) -> str:
+    """dst with -n before its extension, cut to the longest name that a file may have."""
+    folder, slash, base = dst.rpartition("/")
+    stem, dot, ext = base.rpartition(".") if "." in base[1:] else (base, "", "")
+    tail = f"-{n}{dot}{ext}"
+    return f"{folder}{slash}{stem.encode()[: _NAME_BYTES - len(tail.encode())].decode(errors='ignore')}{tail}"
+
+
+def resolve_names(targets: DataFrame, taken: DataFrame | None = None, existing: str = "rename") -> DataFrame:
+    """targets (id, src, dst; ids differ) with final: dst, or dst-1, dst-2, ... where it is taken, in the order of id.
+
+    taken (dst) is what lies there already: with existing "rename" it is as good as given out, with "replace" it may be
+    overwritten under its own name, but never under a numbered one. A file that replaces its source keeps its name.
+    final is null where all numbers up to LAST_SUFFIX are taken: such files have no output, and must be reported.
 
-    Names are given out one after another inside a folder: a suffixed name may meet a natural one. Folders without any
-    two equal names need no more than a look-up; only the others go to a task each.
+    Only names of one family (name_family) can meet. In nearly all families all targets are equal, and there the number
+    is a file's rank by id; only families with several names are walked through, one task each. Of targets that are
+    equal, those after the first LAST_SUFFIX + 1 are never gathered.
     """
-    folder = F.regexp_replace("dst", "/[^/]*$", "")
-    rows = targets.select("id", "src", "dst", folder.alias("folder"))
-    old = taken.select(F.col("dst"), folder.alias("folder")) if taken is not None else rows.select("dst", "folder").limit(0)
-    clash = rows.select("dst", "folder").unionByName(old).groupBy("dst", "folder").agg(F.count("*").alias("n")).where("n > 1").select("folder").distinct()
-    easy = rows.join(clash, "folder", "left_anti").select("id", "src", "dst", F.col("dst").alias("final"))
-    hard = rows.withColumn("taken", F.lit(False)).unionByName(old.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("src"), "dst", "folder", F.lit(True).alias("taken"))).join(clash, "folder", "left_semi")
+    if existing not in ("rename", "replace"):
+        raise ValueError(f"existing is rename or replace, not {existing}")
+    rows = targets.select("id", "src", "dst", name_family(F.col("dst")).alias("family"), (F.col("src").eqNullSafe(F.col("dst"))).alias("itself"))
+    old = (taken.select("dst") if taken is not None else rows.select("dst").limit(0)).distinct().withColumn("family", name_family(F.col("dst")))
+    both = rows.select("family", "dst", F.lit(1).alias("n"), F.lit(0).alias("old")).unionByName(old.select("family", "dst", F.lit(0).alias("n"), F.lit(1).alias("old")))
+    names = both.groupBy("family", "dst").agg(F.sum("n").alias("n"), F.max("old").alias("old"))
+    kinds = names.groupBy("family").agg(F.count("*").alias("names"), F.max("old").alias("old"), F.max((F.col("n") > 1) | (F.col("n") > 0) & (F.col("old") > 0)).alias("clash")).where("clash")
+    alone = rows.join(kinds.select("family"), "family", "left_anti").select("id", "src", "dst", F.col("dst").alias("final"))
+
+    equal = rows.join(kinds.where("names = 1").select("family", "old"), "family")
+    kept = equal.where("itself").select("id", "src", "dst", F.col("dst").alias("final"))
+    place = F.row_number().over(Window.partitionBy("dst").orderBy("id"))
+    first = equal.where("NOT itself").withColumn("place", place).where(F.col("place") <= LAST_SUFFIX + 1)
+    own = equal.where("itself").groupBy("dst").agg(F.min("id").alias("own_id"))
+    lead = first.where("place = 1").join(own, "dst", "left").select("dst", ((F.col("old") > 0) & F.lit(existing == "rename") | F.coalesce(F.col("own_id") < F.col("id"), F.lit(False))).alias("held"))
+    given = first.join(lead, "dst").withColumn("number", F.col("place") - F.when(F.col("held"), 0).otherwise(1)).where(F.col("number") <= LAST_SUFFIX)
+    base = F.regexp_extract("dst", r"(?s)^(.*/)?([^/]*)\z", 2)
+    stem, ext = F.regexp_extract(base, r"(?s)^(.+?)(\.[^.]*)?\z", 1), F.regexp_extract(base, r"(?s)^(.+?)(\.[^.]*)?\z", 2)
+    tail = F.concat(F.lit("-"), F.col("number").cast("string"), ext)
+    final = F.when(F.col("number") == 0, F.col("dst")).otherwise(F.concat(F.regexp_extract("dst", r"(?s)^(.*/)?([^/]*)\z", 1), fit(stem, tail)))
+    given = given.select("id", "src", "dst", final.alias("final"))
+    late = equal.where("NOT itself").join(given.select("id"), "id", "left_anti").select("id", "src", "dst", F.lit(None).cast("string").alias("final"))
+
+    mixed = kinds.where("names > 1").select("family")
+    hard = rows.join(mixed, "family").select("id", "src", "dst", "family", F.lit(False).alias("old"))
+    there = old.join(mixed, "family").select(F.lit(-1).cast("long").alias("id"), F.lit("").alias("src"), "dst", "family", F.lit(True).alias("old"))
 
     def give(pdf):
-        used = set(pdf.loc[pdf["taken"], "dst"])
-        todo = pdf[~pdf["taken"]].sort_values("id").reset_index(drop=True)
-        last: dict[str, int] = {}
-        out = []
+        disk = set(pdf.loc[pdf["old"], "dst"])
+        todo = pdf[~pdf["old"]].sort_values("id").reset_index(drop=True)
+        used, last, out = set(), {}, []
         for src, dst in zip(todo["src"], todo["dst"], strict=True):
             name = dst
-            if dst != src and dst in used:
-                folder_, _, base = dst.rpartition("/")
-                stem, dot, ext = base.rpartition(".") if "." in base[1:] else (base, "", "")
-                for n in range(last.get(dst, 0) + 1, 1000):
-                    tail = f"-{n}{dot}{ext}"
-                    cut = stem.encode()[: 255 - len(tail.encode())].decode(errors="ignore")
-                    if (c := f"{folder_}/{cut}{tail}") not in used:
-                        name, last[dst] = c, n
-                        break
+            if dst != src and (dst in used or existing == "rename" and dst in disk):
+                numbers = range(last.get(dst, 0) + 1, LAST_SUFFIX + 1)
+                n = next((k for k in numbers if (c := _numbered(dst, k)) not in used and c not in disk), LAST_SUFFIX + 1)
+                last[dst], name = n, _numbered(dst, n) if n <= LAST_SUFFIX else None
             used.add(name)
             out.append(name)
         todo["final"] = out
-        todo["id"] = todo["id"].astype("int64")
-        return todo[["id", "src", "dst", "final"]]
+        return todo[["id", "src", "dst", "final"]].astype({"id": "int64"})
 
-    return easy.unionByName(hard.groupBy("folder").applyInPandas(give, "id bigint, src string, dst string, final string"))
+    walked = hard.unionByName(there).groupBy("family").applyInPandas(give, "id bigint, src string, dst string, final string")
+    return alone.unionByName(kept).unionByName(given).unionByName(late).unionByName(walked)
 
 
 def lower_median(df: DataFrame, column: str) -> Column:

@@ -67,8 +67,17 @@ def pending_removals(members: DataFrame) -> DataFrame:
     return members.agg(F.count_if(gone).alias("files"), F.coalesce(F.sum(F.when(gone, F.col("size"))), F.lit(0)).alias("bytes"))
 
 
+def delete_rows(members: DataFrame) -> DataFrame:
+    """What still is there of groups that would lose a member, a row a member: group_id, action (keep or remove), id, path,
+    size, mtime. Groups of any size."""
+    here = members.where("disposal IS NULL")
+    loses = here.where("keep = 0").select("group_id").distinct()
+    action = F.when(F.col("keep") == 1, "keep").otherwise("remove")
+    return here.join(loses, "group_id", "left_semi").select("group_id", action.alias("action"), "id", "path", "size", "mtime")
+
+
 def delete_plans(members: DataFrame) -> DataFrame:
-    """group_id, keep and remove (arrays of id, path, size, mtime) of groups that would lose a member."""
+    """delete_rows with a row a group, which must fit in a task: group_id, keep and remove (arrays of id, path, size, mtime) of groups that would lose a member."""
     item = F.struct("id", "path", "size", "mtime")
     here = members.where("disposal IS NULL")
     g = here.groupBy("group_id").agg(F.sort_array(F.collect_list(F.when(F.col("keep") == 1, item))).alias("keep"), F.sort_array(F.collect_list(F.when(F.col("keep") == 0, item))).alias("remove"))
@@ -79,13 +88,13 @@ def decide_deletes(members: DataFrame, current: DataFrame, cancelled: bool = Fal
     """id, group_id, size, outcome (trashed or skipped) and note of every member marked to go.
 
     current is what is there now: path, size, mtime, is_symlink. A group without a keeper loses nothing, nor does a path
-    that any group keeps; then what is missing, a link or changed is left alone. Nothing is deleted here.
+    that the group itself keeps; then what is missing, a link or changed is left alone. Nothing is deleted here.
     """
     here = members.where("disposal IS NULL")
     kept = here.where("keep = 1").select("group_id").distinct().withColumn("_keeper", F.lit(True))
-    kept_paths = here.where("keep = 1").select("path").distinct().withColumn("_kept", F.lit(True))
+    kept_paths = here.where("keep = 1").select("group_id", "path").distinct().withColumn("_kept", F.lit(True))
     now = current.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), "is_symlink", F.lit(True).alias("_there"))
-    rows = here.where("keep = 0").join(kept, "group_id", "left").join(kept_paths, "path", "left").join(now, "path", "left")
+    rows = here.where("keep = 0").join(kept, "group_id", "left").join(kept_paths, ["group_id", "path"], "left").join(now, "path", "left")
     note = (
         F.when(F.col("_keeper").isNull(), "no_keeper").when(F.lit(cancelled), "cancelled").when(F.col("_kept").isNotNull(), "also_kept").when(F.col("_there").isNull(), "missing")
         .when(F.col("is_symlink"), "symlink").when(F.col("_size") != F.col("size"), "size_changed").when(F.col("_mtime") != F.col("mtime"), "mtime_changed")

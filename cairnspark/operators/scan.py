@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnspark.functions import estimate as est
-from cairnspark.functions.paths import KIND_ORDER, classify, is_bundle, is_sidecar, is_skipped_dir, is_system_junk, is_under, media_kind, parent, root_label, segments
+from cairnspark.functions import probe
+from cairnspark.functions.media import image_size
+from cairnspark.functions.paths import KIND_ORDER, classify, extension, is_bundle, is_sidecar, is_skipped_dir, is_system_junk, is_under, media_kind, needs_probe, parent, root_label, segments
 from cairnspark.functions.policy import Profile, decide
+from cairnspark.operators.queue import cached_probe
 from cairnspark.operators.ranking import one_row
 
 TOP_DIRS = 8
@@ -35,25 +38,29 @@ def bundle_paths(files: DataFrame) -> DataFrame:
 
 
 def drop_hard_links(files: DataFrame, order: str = "path") -> DataFrame:
-    """One row of those that share an inode, the first by order; files with a single link are left alone.
+    """One row of those that share a device and an inode, the first by order; files with a single link are left alone.
 
-    Only the rows with several links are looked at, and reduced before the shuffle.
+    Inode numbers mean nothing across devices. Only the rows with several links are looked at, and reduced before the shuffle.
     """
     key = F.split(order, "/") if order == "path" else F.col(order)
-    many = files.where("nlink > 1").groupBy("inode").agg(F.min_by(F.struct(*files.columns), key).alias("_row")).select("_row.*")
+    many = files.where("nlink > 1").groupBy("dev", "inode").agg(F.min_by(F.struct(*files.columns), key).alias("_row")).select("_row.*")
     return files.where("nlink <= 1 OR nlink IS NULL").unionByName(many)
 
 
-def counters(files: DataFrame) -> DataFrame:
-    """One row of scan counters. Pruned folders and junk count nowhere; sidecars only as such; the rest as seen."""
+def counters(files: DataFrame, cancelled: bool = False) -> DataFrame:
+    """One row of scan counters. Pruned folders and junk count nowhere; sidecars only as such; the rest as seen.
+
+    Entries that aren't readable count as errors and nowhere else. cancelled tells whether the walk was broken off.
+    """
     seen = F.col("category").isin("other", "media")
-    keep = with_category(files)
+    errors = files.agg(F.count_if(~F.col("readable")).alias("errors"))
+    keep = with_category(files.where("readable"))
     unique = drop_hard_links(keep.where("category = 'media'"))
     base = keep.agg(F.count_if(seen).alias("files_seen"), F.count_if(F.col("category") == "other").alias("non_media"), F.count_if(F.col("category") == "sidecar").alias("sidecars"), F.count_if(F.col("category") == "media").alias("linked"))
     media = unique.agg(F.count("*").alias("media_found"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
     bundles = bundle_paths(keep).agg(F.count("*").alias("bundles_skipped"))
-    one = one_row(base, media, bundles)
-    return one.select("files_seen", "media_found", "bytes", (F.col("linked") - F.col("media_found")).alias("hardlinks_skipped"), "non_media", "sidecars", "bundles_skipped")
+    one = one_row(base, media, bundles, errors)
+    return one.select("files_seen", "media_found", "bytes", (F.col("linked") - F.col("media_found")).alias("hardlinks_skipped"), "non_media", "sidecars", "bundles_skipped", "errors", F.lit(cancelled).alias("cancelled"))
 
 
 def merge_counters(rows: DataFrame) -> DataFrame:
@@ -62,6 +69,32 @@ def merge_counters(rows: DataFrame) -> DataFrame:
     return rows.agg(*sums, *([F.coalesce(F.bool_or("cancelled"), F.lit(False)).alias("cancelled")] if "cancelled" in rows.columns else []))
 
 
+def analyze(found: DataFrame, cache: DataFrame, probed: DataFrame) -> DataFrame:
+    """found (path, size, mtime, content) with class, ext, probe_json, width and height of each file.
+
+    Pictures are read from their headers. Video and audio are looked up in the cache of probes (path, size, mtime,
+    probe_json), then in probed (path, probe_json), what a probe gave just now; a file that neither knows keeps its size
+    and class alone, and is judged with care. A null content of a picture is a picture that can't be read.
+    """
+    files = found.withColumns({"class": classify(F.col("path")), "ext": F.lower(extension(F.col("path")))}).where("class IS NOT NULL")
+    images = files.where(~needs_probe(F.col("class"))).withColumn("_px", image_size(F.col("content")))
+    images = images.select("path", "size", "mtime", "class", "ext", F.lit(None).cast("string").alias("probe_json"), F.col("_px.width").alias("width"), F.col("_px.height").alias("height"))
+    media = files.where(needs_probe(F.col("class"))).drop("content")
+    looked = cached_probe(media, cache).join(probed.select("path", F.col("probe_json").alias("_new")), "path", "left").withColumn("probe_json", F.coalesce("probe_json", "_new"))
+    px = probe.probed(F.col("probe_json"), F.col("class"))
+    return images.unionByName(looked.select("path", "size", "mtime", "class", "ext", "probe_json", *(F.coalesce(px[c], F.lit(0)).cast("long").alias(c) for c in ("width", "height"))))
+
+
+def shown(groups: DataFrame, count: str = "files") -> DataFrame:
+    """The rows of a report that a reader sees: those that count something."""
+    return groups.where(F.col(count) > 0)
+
+
+def report_scale(dirs: DataFrame, skipped: DataFrame) -> DataFrame:
+    """One row: the bytes of the largest folder, which bars are drawn against, and the bytes of all that is left alone."""
+    return one_row(dirs.agg(F.coalesce(F.max("bytes"), F.lit(0)).alias("largest_dir")), skipped.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("left_alone")))
+
+
 def probe_columns() -> dict[str, Column]:
     return {c: F.col(c) for c in ("class", "ext", "size", "width", "height", "codec", "codec_tag", "fps", "duration_us", "color_transfer", "color_primaries", "color_space")}
 
@@ -147,10 +180,13 @@ def estimate_summary(planned: DataFrame, hardware: bool = False, gates: tuple[in
 
 
 def estimated_output(planned: DataFrame) -> DataFrame:
-    """What a job is expected to write: the estimate of what it processes and the size of what it leaves alone."""
+    """What a job is expected to write: the estimate of what it processes and the size of what it leaves alone.
+
+    Summed in decimals, so that the order of rows doesn't matter.
+    """
     mid = F.least(F.col("out_bytes.mid"), F.col("size").cast("double"))
     todo = F.col("skip_reason").isNull()
-    parts = planned.agg(F.greatest(F.coalesce(F.sum(F.when(todo, mid)), F.lit(0.0)), F.lit(0.0)).cast("long").alias("processed"), F.coalesce(F.sum(F.when(~todo, F.col("size"))), F.lit(0)).alias("left_alone"))
+    parts = planned.agg(F.greatest(F.coalesce(F.sum(F.when(todo, mid.cast("decimal(28,3)"))), F.lit(0)), F.lit(0)).cast("long").alias("processed"), F.coalesce(F.sum(F.when(~todo, F.col("size"))), F.lit(0)).alias("left_alone"))
     return parts.withColumn("est_out_bytes", F.col("processed") + F.col("left_alone"))
 
 

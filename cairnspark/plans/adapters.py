@@ -23,7 +23,7 @@ def _step(name: str):
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An inventory of documents: path, name, ext, size, mtime, inode, nlink, scan_ord."""
+    """An inventory of documents: path, name, ext, size, mtime, dev, inode, nlink, readable; some inodes stand on two devices."""
     ext = F.get(F.array(*(F.lit(e) for e in EXTENSIONS)), (F.col("doc_id") % len(EXTENSIONS)).cast("int"))
     name = F.concat(F.when(F.col("doc_id") % 50 == 7, "._").otherwise(""), F.lit("doc_"), F.col("doc_id").cast("string"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
     sub = F.when(F.col("doc_id") % 41 == 3, "/Lib.photoslibrary").when(F.col("doc_id") % 43 == 5, "/.cache").otherwise("")
@@ -32,16 +32,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(folder, F.lit("/"), name).alias("path"), name.alias("name"), ext.alias("ext"), (F.octet_length("text").cast("long") * 64).alias("size"),
         (F.lit(1_700_000_000) + F.col("doc_id") * 7919 % 10_000_000).alias("mtime"), F.when(F.col("doc_id") % 9 == 2, F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("inode"), F.when(linked, 2).otherwise(1).cast("long").alias("nlink"),
+        F.when(F.col("doc_id") % 4 == 0, 2).otherwise(1).cast("long").alias("dev"), (F.col("doc_id") % 61 != 9).alias("readable"),
     )
 
 
 FILES = f"""files AS (
-  SELECT doc_id, folder || '/' || name AS path, name, ext, size, mtime, inode, nlink FROM (
+  SELECT doc_id, folder || '/' || name AS path, name, ext, size, mtime, inode, nlink, dev, readable FROM (
     SELECT doc_id, list_extract({list(EXTENSIONS)!r}, CAST(doc_id % {len(EXTENSIONS)} + 1 AS INTEGER)) AS ext,
       (CASE WHEN doc_id % 50 = 7 THEN '._' ELSE '' END) || 'doc_' || doc_id || (CASE WHEN ext = '' THEN '' ELSE '.' || ext END) AS name,
       CASE WHEN doc_id % 37 = 0 THEN '/vol' ELSE '/vol/' || source || '/' || lang || (CASE WHEN doc_id % 41 = 3 THEN '/Lib.photoslibrary' WHEN doc_id % 43 = 5 THEN '/.cache' ELSE '' END) END AS folder,
       CAST(strlen(text) * 64 AS BIGINT) AS size, 1700000000 + doc_id * 7919 % 10000000 AS mtime,
-      CASE WHEN doc_id % 9 = 2 THEN doc_id - 1 ELSE doc_id END AS inode, CAST(CASE WHEN doc_id % 9 IN (1, 2) THEN 2 ELSE 1 END AS BIGINT) AS nlink
+      CASE WHEN doc_id % 9 = 2 THEN doc_id - 1 ELSE doc_id END AS inode, CAST(CASE WHEN doc_id % 9 IN (1, 2) THEN 2 ELSE 1 END AS BIGINT) AS nlink,
+      CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS dev, doc_id % 61 <> 9 AS readable
     FROM documents))"""
 
 
@@ -102,21 +104,43 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 CANDIDATES = "candidates AS (SELECT '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS size, 1700000000 + doc_id * 7919 % 10000000 AS mtime, text AS content FROM documents WHERE text IS NOT NULL)"
 
 
-def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64-bit prints of the embeddings: path, size, label, fp0."""
+def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """candidates, some of which have grown, or can't be read any more, since they were listed."""
+    c = F.col("content")
+    return candidates(spark, sf_dir).withColumn("content", F.when(F.col("mtime") % 13 == 0, F.concat(c, F.lit("x"))).when(F.col("mtime") % 17 != 0, c))
+
+
+CHANGED = CANDIDATES.replace("text AS content", "CASE WHEN mtime % 13 = 0 THEN text || 'x' WHEN mtime % 17 <> 0 THEN text END AS content")
+#: What each lane of a 256-bit print adds to the mean that numbers are compared with.
+LANE_OFFSETS = (0.203125, 0.1875, -0.1875, -0.203125)
+LANES = [f"fp{k}" for k in range(len(LANE_OFFSETS))]
+
+
+def fingerprints(spark: SparkSession, sf_dir: str, offsets: tuple[float, ...] = (0.0,)) -> DataFrame:
+    """Prints of the embeddings, 64 bits a lane: path, size, label, fp0 and a lane for each further offset."""
     from cairnspark.functions.bits import mean_print
 
     vec = table(spark, sf_dir, "embeddings")
-    return vec.select(F.concat(F.lit("/vec/"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("path"), (F.col("vec_id") * 37 % 1000 + 100).alias("size"), F.col("label").cast("long").alias("label"), mean_print(F.transform("embedding", lambda x: x.cast("double"))).alias("fp0"))
+    values = F.transform("embedding", lambda x: x.cast("double"))
+    return vec.select(F.concat(F.lit("/vec/"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("path"), (F.col("vec_id") * 37 % 1000 + 100).alias("size"), F.col("label").cast("long").alias("label"), *(mean_print(values, offset=o).alias(n) for n, o in zip(LANES, offsets, strict=False)))
 
 
-FINGERPRINTS = """means AS (SELECT vec_id, label, embedding, list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b) / len(embedding) AS mean FROM embeddings),
+def _lane_sql(offset: float) -> str:
+    bits = f"list_transform(range(0, 64), lambda i: CASE WHEN CAST(embedding[i + 1] AS DOUBLE) > mean + {offset}::DOUBLE THEN CAST(1 AS UBIGINT) << CAST(i AS UBIGINT) ELSE CAST(0 AS UBIGINT) END)"
+    return f"CAST(list_sum({bits}) AS UBIGINT)"
+
+
+def fingerprints_sql(offsets: tuple[float, ...]) -> str:
+    return f"""means AS (SELECT vec_id, label, embedding, list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b) / len(embedding) AS mean FROM embeddings),
 fingerprints AS (
   SELECT '/vec/' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS path, vec_id * 37 % 1000 + 100 AS size, CAST(label AS BIGINT) AS label,
-    CAST(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN CAST(embedding[i + 1] AS DOUBLE) > mean THEN CAST(1 AS UBIGINT) << CAST(i AS UBIGINT) ELSE CAST(0 AS UBIGINT) END)) AS UBIGINT) AS fp0
+    {", ".join(f"{_lane_sql(o)} AS {n}" for n, o in zip(LANES, offsets, strict=False))}
   FROM means)"""
 
 
+FINGERPRINTS = fingerprints_sql((0.0,))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A work queue: a row for each order line."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")

@@ -12,6 +12,7 @@ from cairnspark.functions import estimate as est
 from cairnspark.functions import policy as pol
 from cairnspark.functions.paths import depth, extension, file_name, is_bundle, is_hashable, is_junk, is_skipped_dir, is_temp_file, media_kind, needs_probe, parent, path_key, root_label, stem, target_ext
 from cairnspark.operators import exact, near, queue, review, scan
+from cairnspark.operators.ranking import row_numbers
 from cairnspark.plans import adapters as v
 from cairnspark.plans.checkpoint import cut
 from cairnspark.sources import corpus
@@ -41,28 +42,34 @@ def query(sql: str | None = None):
 
 # --- exact duplicates ---------------------------------------------------------------------------------------------
 
-_TIERS = f"""WITH {v.CANDIDATES},
+
+def tiers(candidates: str, known: str = "") -> str:
+    """The tiers of the cascade over a view named candidates; known gives the hash of a large file, else its content does."""
+    return f"""WITH {candidates},
 t1 AS (SELECT * FROM candidates WHERE size IN (SELECT size FROM candidates GROUP BY size HAVING count(*) > 1)),
-s AS (SELECT *, sha256(encode(printf('%016X', size)) || encode(content)[1:{WINDOW}] || CASE WHEN size > {WINDOW} THEN encode(content)[-{WINDOW}:] ELSE ''::BLOB END) AS sample FROM t1),
-t2 AS (SELECT * FROM s WHERE (size, sample) IN (SELECT (size, sample) FROM s GROUP BY size, sample HAVING count(*) > 1)),
-h AS (SELECT *, CASE WHEN size <= {2 * WINDOW} THEN sample ELSE sha256(content) END AS hash FROM t2),
+s AS (SELECT *, CASE WHEN strlen(content) = size THEN sha256(encode(printf('%016X', size)) || encode(content)[1:{WINDOW}] || CASE WHEN size > {WINDOW} THEN encode(content)[-{WINDOW}:] ELSE ''::BLOB END) END AS sample FROM t1),
+t2 AS (SELECT * FROM s WHERE sample IS NOT NULL AND (size, sample) IN (SELECT (size, sample) FROM s GROUP BY size, sample HAVING count(*) > 1)),
+h AS (SELECT *, CASE WHEN size <= {2 * WINDOW} THEN sample ELSE {known or "sha256(content)"} END AS hash FROM t2),
 t3 AS (SELECT * FROM h WHERE (size, hash) IN (SELECT (size, hash) FROM h GROUP BY size, hash HAVING count(*) > 1)),
 g AS (SELECT hash, size, count(*) AS files, size * (count(*) - 1) AS reclaimable FROM t3 GROUP BY hash, size),
 r AS (SELECT *, row_number() OVER (ORDER BY reclaimable DESC, hash) AS group_rank FROM g)
 """
 
 
+_TIERS = tiers(v.CANDIDATES)
+
+
 @query(f"""{_TIERS} SELECT group_rank, r.hash, r.size, files, CAST(reclaimable AS BIGINT) AS reclaimable, row_number() OVER (PARTITION BY r.hash, r.size ORDER BY string_split(path, '/')) AS member_rank, path, mtime
 FROM r JOIN t3 ON r.hash = t3.hash AND r.size = t3.size""")
 def exact_dup_groups(spark, sf_dir):
     return exact.groups(v.candidates(spark, sf_dir), WINDOW)
 
 
-@query(f"""{_TIERS} SELECT (SELECT count(*) FROM candidates) AS candidates, (SELECT count(*) FROM t1) AS after_size, (SELECT count(*) FROM t2) AS after_sample,
+@query(f"""{tiers(v.CHANGED)} SELECT (SELECT count(*) FROM candidates) AS candidates, (SELECT count(*) FROM s WHERE sample IS NULL) AS errors, (SELECT count(*) FROM t1) AS after_size, (SELECT count(*) FROM t2) AS after_sample,
  (SELECT count(*) FROM t2 WHERE size > {2 * WINDOW}) AS fully_read, (SELECT count(*) FROM t2 WHERE size <= {2 * WINDOW}) AS sample_was_final,
  (SELECT count(*) FROM g) AS groups, (SELECT CAST(coalesce(sum(files), 0) AS BIGINT) FROM g) AS members""")
 def exact_dup_stats(spark, sf_dir):
-    return exact.stage_counts(v.candidates(spark, sf_dir), WINDOW)
+    return exact.stage_counts(v.changed(spark, sf_dir), WINDOW)
 
 
 @query(f"""WITH {v.CANDIDATES}, {v.CACHE_PUTS},
@@ -76,7 +83,15 @@ def hash_cache_lookup(spark, sf_dir):
 
 # --- near duplicates ----------------------------------------------------------------------------------------------
 
-_ORD = f"WITH RECURSIVE {v.FINGERPRINTS}, o AS (SELECT *, row_number() OVER (ORDER BY string_split(path, '/')) AS ord FROM fingerprints), e AS (SELECT a.ord AS a, b.ord AS b, CAST(bit_count(xor(a.fp0, b.fp0)) AS BIGINT) AS distance FROM o a JOIN o b ON a.ord < b.ord WHERE bit_count(xor(a.fp0, b.fp0)) <= {THRESHOLD})"
+
+def pairs_sql(offsets: tuple[float, ...], threshold: int) -> str:
+    """Views of the prints in order (o) and of the pairs within threshold (e)."""
+    d = " + ".join(f"CAST(bit_count(xor(a.fp{k}, b.fp{k})) AS BIGINT)" for k in range(len(offsets)))
+    return f"""WITH RECURSIVE {v.fingerprints_sql(offsets)}, o AS (SELECT *, row_number() OVER (ORDER BY string_split(path, '/')) AS ord FROM fingerprints),
+e AS (SELECT a.ord AS a, b.ord AS b, CAST({d} AS BIGINT) AS distance FROM o a JOIN o b ON a.ord < b.ord WHERE {d} <= {threshold})"""
+
+
+_ORD = pairs_sql((0.0,), THRESHOLD)
 
 
 @query(f"{_ORD} SELECT a, b, distance FROM e")
@@ -84,21 +99,29 @@ def hamming_pairs(spark, sf_dir):
     return near.pairs(cut(near.with_order(v.fingerprints(spark, sf_dir))), THRESHOLD, ["fp0"]).select("a", "b", "distance")
 
 
-@query(f"""{_ORD},
+_WALK = """,
 walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS seeds UNION ALL
   SELECT k + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.b = k + 1 AND list_contains(seeds, e.a)) THEN seeds ELSE list_append(seeds, k + 1) END FROM walk WHERE k < (SELECT count(*) FROM o)),
 seed AS (SELECT unnest(seeds) AS s FROM (SELECT seeds FROM walk ORDER BY k DESC LIMIT 1)),
 m AS (SELECT e.b AS member, min(e.a) AS seed FROM e JOIN seed ON e.a = s WHERE e.b NOT IN (SELECT s FROM seed) GROUP BY e.b),
 md AS (SELECT member, seed, distance FROM m JOIN e ON e.a = seed AND e.b = member),
 f AS (SELECT member, seed, distance FROM md UNION ALL SELECT DISTINCT seed, seed, -1 FROM md),
-g AS (SELECT seed, CAST(sum(size) AS BIGINT) AS reclaimable FROM md JOIN o ON o.ord = member GROUP BY seed),
-gr AS (SELECT seed, reclaimable, row_number() OVER (ORDER BY reclaimable DESC, seed) AS group_rank FROM g)
-SELECT group_rank, so.path AS seed_path, reclaimable, row_number() OVER (PARTITION BY f.seed ORDER BY distance, member) - 1 AS member_rank, o.path, o.size, CAST(greatest(distance, 0) AS BIGINT) AS distance
-FROM f JOIN gr USING (seed) JOIN o ON o.ord = member JOIN o so ON so.ord = f.seed""")
+freed AS (SELECT seed, CAST(sum(size) AS BIGINT) AS reclaimable FROM md JOIN o ON o.ord = member GROUP BY seed),
+gr AS (SELECT seed, reclaimable, row_number() OVER (ORDER BY reclaimable DESC, seed) AS group_rank FROM freed),
+near AS (SELECT group_rank, so.path AS seed_path, reclaimable, row_number() OVER (PARTITION BY f.seed ORDER BY distance, member) - 1 AS member_rank, o.path, o.size, CAST(greatest(distance, 0) AS BIGINT) AS distance
+  FROM f JOIN gr USING (seed) JOIN o ON o.ord = member JOIN o so ON so.ord = f.seed)"""
+
+
+@query(f"{_ORD}{_WALK} SELECT * FROM near")
 def near_groups(spark, sf_dir):
     return near.groups(v.fingerprints(spark, sf_dir), THRESHOLD, ["fp0"], cut)
 
 
+@query(f"{pairs_sql(v.LANE_OFFSETS, pol.clamp_threshold(None))}{_WALK} SELECT * FROM near")
+def near_groups_256(spark, sf_dir):
+    return near.groups(v.fingerprints(spark, sf_dir, v.LANE_OFFSETS), pol.clamp_threshold(None), v.LANES, cut)
+
+
 @query(f"""WITH {v.FINGERPRINTS}, p AS (SELECT a.label = b.label AS same, CAST(bit_count(xor(a.fp0, b.fp0)) AS BIGINT) AS d FROM fingerprints a JOIN fingerprints b ON a.path < b.path)
 SELECT same, count(*) AS pairs, min(d) AS min_d, max(d) AS max_d, round(avg(d), 6) AS mean_d, round(stddev_pop(d), 6) AS sd_d FROM p GROUP BY same""")
 def separation_stats(spark, sf_dir):
@@ -113,7 +136,9 @@ def fingerprint_codec(spark, sf_dir):
     return p.select("path", bits.bit_population(back).alias("bits"), bits.hamming([back[0]], [F.lit(255).cast("long")]).alias("to_low"), "hex")
 
 
-@query(f"""{_TIERS}, x AS (SELECT 'exact' AS mode, r.hash AS group_hash, path, r.size, 0::BIGINT AS distance FROM r JOIN t3 ON r.hash = t3.hash AND r.size = t3.size)
+@query(f"""{_ORD}{_WALK}, {_TIERS.removeprefix("WITH ")}, x AS (
+  SELECT 'exact' AS mode, r.hash AS group_hash, path, r.size, 0::BIGINT AS distance FROM r JOIN t3 ON r.hash = t3.hash AND r.size = t3.size
+  UNION ALL SELECT 'perceptual', seed_path, path, size, distance FROM near)
 SELECT mode, count(*) AS members, count(DISTINCT group_hash) AS groups, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(distance) AS BIGINT) AS distances FROM x GROUP BY mode""")
 def neutral_groups(spark, sf_dir):
     e = exact.groups(v.candidates(spark, sf_dir), WINDOW)
@@ -130,11 +155,8 @@ _MEMBERS = f"""{_TIERS}, members AS (SELECT row_number() OVER (ORDER BY group_ra
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of exact groups, some gone already, some groups with no keeper."""
-    from pyspark.sql import Window
-
-    g = exact.groups(v.candidates(spark, sf_dir), WINDOW)
-    number = F.row_number().over(Window.orderBy("group_rank", path_key(F.col("path")))).cast("long")
-    return cut(g.select(number.alias("id"), F.col("group_rank").alias("group_id"), "path", "size", "mtime", F.when(F.col("group_rank") % 7 == 0, 0).otherwise(1).alias("keep"), F.when(F.col("mtime") % 11 == 0, "trashed").alias("disposal")))
+    g = row_numbers(exact.groups(v.candidates(spark, sf_dir), WINDOW), ["group_rank", path_key(F.col("path"))], "id")
+    return cut(g.select("id", F.col("group_rank").alias("group_id"), "path", "size", "mtime", F.when(F.col("group_rank") % 7 == 0, 0).otherwise(1).alias("keep"), F.when(F.col("mtime") % 11 == 0, "trashed").alias("disposal")))
 
 
 def _policy_sql(order: str) -> str:
@@ -205,7 +227,7 @@ def record_disposals(spark, sf_dir):
 # --- scan and report ----------------------------------------------------------------------------------------------
 
 _CATEGORY = f"""{v.MEDIA}, cat AS (SELECT *, CASE WHEN contains(path, '.photoslibrary/') THEN 'bundle' WHEN contains(path, '/.cache/') THEN 'pruned' WHEN system_junk THEN 'junk' WHEN sidecar THEN 'sidecar' WHEN class IS NULL THEN 'other' ELSE 'media' END AS category FROM classed)"""
-_LINKS = ", uniq AS (SELECT * FROM cat WHERE category = 'media' QUALIFY nlink <= 1 OR row_number() OVER (PARTITION BY inode, nlink > 1 ORDER BY string_split(path, '/')) = 1)"
+_LINKS = ", uniq AS (SELECT * FROM cat WHERE category = 'media' QUALIFY nlink <= 1 OR row_number() OVER (PARTITION BY dev, inode, nlink > 1 ORDER BY string_split(path, '/')) = 1)"
 
 
 @query(f"WITH {_CATEGORY} SELECT path, class, category FROM cat")
@@ -213,12 +235,12 @@ def scan_classify(spark, sf_dir):
     return scan.with_category(v.files(spark, sf_dir)).select("path", "class", "category")
 
 
-@query(f"WITH {_CATEGORY}{_LINKS} SELECT path, inode FROM uniq")
+@query(f"WITH {_CATEGORY}{_LINKS} SELECT path, dev, inode FROM uniq")
 def hardlink_distinct(spark, sf_dir):
-    return scan.drop_hard_links(scan.with_category(v.files(spark, sf_dir)).where("category = 'media'")).select("path", "inode")
+    return scan.drop_hard_links(scan.with_category(v.files(spark, sf_dir)).where("category = 'media'")).select("path", "dev", "inode")
 
 
-@query(f"""WITH {_CATEGORY}{_LINKS} SELECT count(*) FILTER (category IN ('other', 'media')) AS files_seen, (SELECT count(*) FROM uniq) AS media_found, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM uniq) AS bytes,
+@query(f"""WITH {_CATEGORY.replace(" FROM classed)", " FROM classed WHERE readable)")}{_LINKS} SELECT (SELECT count(*) FROM files WHERE NOT readable) AS errors, false AS cancelled, count(*) FILTER (category IN ('other', 'media')) AS files_seen, (SELECT count(*) FROM uniq) AS media_found, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM uniq) AS bytes,
  count(*) FILTER (category = 'media') - (SELECT count(*) FROM uniq) AS hardlinks_skipped, count(*) FILTER (category = 'other') AS non_media, count(*) FILTER (category = 'sidecar') AS sidecars,
  count(DISTINCT CASE WHEN category = 'bundle' THEN regexp_replace(path, '/[^/]*$', '') END) AS bundles_skipped FROM cat""")
 def scan_counters(spark, sf_dir):
@@ -226,10 +248,10 @@ def scan_counters(spark, sf_dir):
 
 
 @query(f"""WITH {v.FILES} SELECT path, regexp_replace(path, '/[^/]*$', '') AS parent, CASE WHEN contains(name, '.') AND NOT (starts_with(name, '.') AND len(string_split(name, '.')) = 2) THEN regexp_extract(name, '[^.]*$') ELSE '' END AS ext,
- CASE WHEN contains(name, '.') AND NOT (starts_with(name, '.') AND len(string_split(name, '.')) = 2) THEN regexp_replace(name, '\\.[^.]*$', '') ELSE name END AS stem, len(string_split(path, '/')) AS depth, name AS label, starts_with(name, '._') OR ends_with(lower(name), '.xmp') AS junk, false AS temp FROM files""")
+ CASE WHEN contains(name, '.') AND NOT (starts_with(name, '.') AND len(string_split(name, '.')) = 2) THEN regexp_replace(name, '\\.[^.]*$', '') ELSE name END AS stem, len(string_split(path, '/')) AS depth, name AS label, starts_with(name, '._') OR ends_with(lower(name), '.xmp') AS junk, doc_id % 4 = 0 AS temp FROM files""")
 def path_parts(spark, sf_dir):
     p = F.col("path")
-    return v.files(spark, sf_dir).select("path", parent(p).alias("parent"), extension(p).alias("ext"), stem(p).alias("stem"), depth(p).alias("depth"), root_label(p).alias("label"), is_junk(file_name(p)).alias("junk"), is_temp_file(file_name(p)).alias("temp"))
+    return v.files(spark, sf_dir).select("path", parent(p).alias("parent"), extension(p).alias("ext"), stem(p).alias("stem"), depth(p).alias("depth"), root_label(p).alias("label"), is_junk(file_name(p)).alias("junk"), is_temp_file(F.concat(F.when(F.col("doc_id") % 2 == 0, ".").otherwise("x"), F.col("name"), F.when(F.col("doc_id") % 4 == 1, ".zz").otherwise(".zz-8"), F.when(F.col("doc_id") % 4 == 2, ".tm").otherwise(".tmp"))).alias("temp"))
 
 
 _W = "CASE WHEN class IN ('image', 'modern_image', 'raw_image') THEN 'image' ELSE class END"
@@ -312,11 +334,9 @@ def report_progress(spark, sf_dir):
     return scan.progress(planned(spark, sf_dir))
 
 
-@query(f"WITH {_PLANNED} SELECT CAST(trunc(coalesce(sum(least(CAST(out_mid AS DOUBLE), size)) FILTER (skip_reason IS NULL), 0) / 1000) AS BIGINT) AS processed_kb, CAST(coalesce(sum(size) FILTER (skip_reason IS NOT NULL), 0) AS BIGINT) AS left_alone FROM planned")
+@query(f"WITH {_PLANNED}, s AS (SELECT CAST(trunc(coalesce(sum(CAST(least(CAST(out_mid AS DOUBLE), size) AS DECIMAL(28, 3))) FILTER (skip_reason IS NULL), 0)) AS BIGINT) AS processed, CAST(coalesce(sum(size) FILTER (skip_reason IS NOT NULL), 0) AS BIGINT) AS left_alone FROM planned) SELECT processed, left_alone, processed + left_alone AS est_out_bytes FROM s")
 def estimated_output(spark, sf_dir):
-    # compared in thousands: the last digits of a sum of doubles depend on its order
-    e = scan.estimated_output(planned(spark, sf_dir))
-    return e.select(F.call_function("div", F.col("processed"), F.lit(1000)).alias("processed_kb"), "left_alone")
+    return scan.estimated_output(planned(spark, sf_dir))
 
 
 @query(f"WITH {_PLANNED} SELECT {JOB}::BIGINT AS job_id, path AS src_path, size AS src_size, mtime AS src_mtime, kind, skip_reason, round(secs_mid, 3) AS est_secs FROM planned")
@@ -338,7 +358,7 @@ def output_names(spark, sf_dir):
 
 @query(f"""WITH {_PLANNED}, t AS (SELECT doc_id AS id, path AS src, '/out/' || source || '/' || (doc_id % 23) || '.avif' AS dst FROM planned JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
 n AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY id) - 1 AS k FROM t)
-SELECT id, src, dst, CASE WHEN k = 0 THEN dst ELSE regexp_replace(dst, '\\.avif$', '-' || k || '.avif') END AS final FROM n""")
+SELECT id, src, dst, CASE WHEN k = 0 THEN dst WHEN k > 999 THEN NULL ELSE regexp_replace(dst, '\\.avif$', '-' || k || '.avif') END AS final FROM n""")
 def collision_names(spark, sf_dir):
     src = v.table(spark, sf_dir, "documents").select("doc_id", "source")
     t = planned(spark, sf_dir).join(src, "doc_id").select(F.col("doc_id").alias("id"), F.col("path").alias("src"), F.concat(F.lit("/out/"), F.col("source"), F.lit("/"), (F.col("doc_id") % 23).cast("string"), F.lit(".avif")).alias("dst"))
@@ -369,9 +389,9 @@ def media_predicates(spark, sf_dir):
     return v.media(spark, sf_dir).select("path", pol.audio_route(F.col("codec"), PROFILE).alias("route"), needs_probe(c).alias("probe"), is_hashable(c).alias("hashable"), accepts(c, "perceptual").alias("near_ok"), ((c == "video") & pol.video_filters(F.col("width"), F.col("height"), F.col("fps"), PROFILE)[1]).alias("limit_fps"), est.bitrate(F.col("size"), F.col("duration_us")).alias("bitrate"))
 
 
-@query("WITH r AS (SELECT CAST(range AS BIGINT) AS id FROM range(2000)) SELECT id, CAST(id // 100 AS BIGINT) AS dir, CASE WHEN id % 100 < 92 THEN 'image' WHEN id % 100 < 97 THEN 'video' WHEN id % 100 < 99 THEN 'audio' ELSE 'other' END AS kind FROM r")
+@query("WITH r AS (SELECT CAST(range AS BIGINT) AS id FROM range(100000)) SELECT id, CAST(id // 100 AS BIGINT) AS dir, CASE WHEN id % 100 < 92 THEN 'image' WHEN id % 100 < 97 THEN 'video' WHEN id % 100 < 99 THEN 'audio' ELSE 'other' END AS kind FROM r")
 def synthetic_corpus(spark, sf_dir):
-    return corpus.inventory(spark, 2000).select("id", "dir", "kind")
+    return corpus.inventory(spark, 100_000).select("id", "dir", "kind")
 
 
 # --- probing ------------------------------------------------------------------------------------------------------
@@ -389,7 +409,8 @@ def probe_json(m: DataFrame) -> DataFrame:
         F.lit('"width": '), F.col("width").cast("string"), F.lit(', "height": '), F.col("height").cast("string"), F.lit("}"),
     )
     cover = F.lit('{"index": 1, "codec_type": "video", "codec_name": "mjpeg", "width": 500, "height": 500, "disposition": {"attached_pic": 1}}, ')
-    text = F.concat(F.lit('{"streams": ['), F.when(F.col("doc_id") % 3 == 0, cover).otherwise(""), stream, F.lit("]"), F.when(F.col("duration_us").isNotNull(), F.concat(F.lit(', "format": {"duration": "'), (F.col("duration_us") / 1_000_000).cast("long").cast("string"), F.lit('.0"}'))).otherwise(""), F.lit("}"))
+    subtitle = F.concat(F.lit(', {"codec_type": "subtitle", "codec_name": "'), F.when(F.col("doc_id") % 5 == 1, "mov_text").when(F.col("doc_id") % 5 == 2, "ass"), F.lit('"}'))
+    text = F.concat(F.lit('{"streams": ['), F.when(F.col("doc_id") % 3 == 0, cover).otherwise(""), stream, F.coalesce(subtitle, F.lit("")), F.lit("]"), F.when(F.col("duration_us").isNotNull(), F.concat(F.lit(', "format": {"duration": "'), (F.col("duration_us") / 1_000_000).cast("long").cast("string"), F.lit('.0"}'))).otherwise(""), F.lit("}"))
     return m.withColumn("probe_json", F.when(F.col("doc_id") % 29 == 0, F.substring(text, 1, 20)).otherwise(text))
 
 
@@ -401,7 +422,7 @@ def probe_parse(spark, sf_dir):
     return m.select("path", p["width"].cast("long").alias("width"), p["height"].cast("long").alias("height"), p["codec"].alias("codec"), F.round(p["fps"], 3).alias("fps"), p["duration_us"].alias("duration_us"), p["color_transfer"].alias("color_transfer"))
 
 
-@query(f"""WITH {v.MEDIA} SELECT path, CASE WHEN class = 'audio' AND doc_id % 29 <> 0 THEN codec END AS audio_codec, CAST(CASE WHEN doc_id % 3 = 0 AND doc_id % 29 <> 0 THEN 1 END AS INTEGER) AS cover_index, 'mp4' AS container FROM media""")
+@query(f"""WITH {v.MEDIA} SELECT path, CASE WHEN class = 'audio' AND doc_id % 29 <> 0 THEN codec END AS audio_codec, CAST(CASE WHEN doc_id % 3 = 0 AND doc_id % 29 <> 0 THEN 1 END AS INTEGER) AS cover_index, CASE WHEN doc_id % 29 <> 0 AND doc_id % 5 = 2 THEN 'mkv' ELSE 'mp4' END AS container FROM media""")
 def probe_sources(spark, sf_dir):
     m = probe_json(v.media(spark, sf_dir))
     a, b = probe.audio_source(F.col("probe_json")), probe.video_source(F.col("probe_json"))
@@ -573,9 +594,9 @@ def orphan_dirs(spark, sf_dir):
     return queue.orphan_dirs(items, dirs)
 
 
-@query(f"WITH {v.ITEMS} SELECT job_id, CASE WHEN count(*) FILTER (status = 'pending') > 0 THEN 'paused' ELSE 'done' END AS status FROM items WHERE job_id <> {JOB} OR status <> 'pending' GROUP BY job_id")
+@query(f"WITH {v.ITEMS} SELECT id // 8 AS job_id, CASE WHEN count(*) FILTER (status = 'pending') > 0 THEN 'paused' ELSE 'done' END AS status FROM items GROUP BY id // 8")
 def finish_status(spark, sf_dir):
-    return queue.finish_status(v.items(spark, sf_dir).where(f"job_id <> {JOB} OR status <> 'pending'"))
+    return queue.finish_status(v.items(spark, sf_dir).withColumn("job_id", F.call_function("div", F.col("id"), F.lit(8))))
 
 
 @query(f"""WITH {v.JOBS}, {v.ITEMS}, j AS (SELECT id, name FROM jobs WHERE status IN ('running', 'paused') AND EXISTS (SELECT 1 FROM items WHERE job_id = jobs.id AND items.status = 'pending') ORDER BY id DESC LIMIT 1)
@@ -594,7 +615,7 @@ def read_through_cache(spark, sf_dir):
     return rows.select("path", "hit").join(again, "path")
 
 
-@query(f"""WITH {_CATEGORY} SELECT CAST(count(*) * 2 AS BIGINT) AS files_seen, true AS cancelled FROM cat WHERE category IN ('other', 'media')""")
+@query(f"""WITH {_CATEGORY} SELECT CAST(count(*) * 2 AS BIGINT) AS files_seen, true AS cancelled FROM cat WHERE readable AND category IN ('other', 'media')""")
 def merge_walks(spark, sf_dir):
     one = scan.counters(v.files(spark, sf_dir))
     walks = one.withColumn("cancelled", F.lit(False)).unionByName(one.withColumn("cancelled", F.lit(True)))
@@ -641,18 +662,18 @@ def sample_medians(spark, sf_dir):
     return items.groupBy("job_id").agg(queue.lower_median(items, "src_size").cast("double").alias("median_bytes"), F.max("src_size").alias("peak_bytes"), F.round(F.avg("est_secs"), 6).alias("mean_secs"))
 
 
-@query(f"WITH {v.ITEMS} SELECT job_id, CAST(trunc(sum(est_secs) * 1.5::DOUBLE) AS BIGINT) AS required, sum(est_secs) * 1.2::DOUBLE < trunc(sum(est_secs) * 1.5::DOUBLE) AS short FROM items GROUP BY job_id")
+@query(f"WITH {v.ITEMS} SELECT job_id, CAST(trunc(sum(est_secs) * 1.5::DOUBLE) AS BIGINT) AS required, CASE WHEN job_id % 4 < 3 THEN sum(est_secs) * (1 + job_id % 4) < trunc(sum(est_secs) * 1.5::DOUBLE) ELSE false END AS short FROM items GROUP BY job_id")
 def space_check(spark, sf_dir):
     g = v.items(spark, sf_dir).groupBy("job_id").agg(F.sum("est_secs").alias("e"))
-    return g.select("job_id", est.space_required(F.col("e")).alias("required"), est.space_is_short(F.col("e"), F.col("e") * 1.2).alias("short"))
+    return g.select("job_id", est.space_required(F.col("e")).alias("required"), est.space_is_short(F.col("e"), F.when(F.col("job_id") % 4 < 3, F.col("e") * (1 + F.col("job_id") % 4))).alias("short"))
 
 
 @query(f"""WITH {v.ITEMS} SELECT id, CASE WHEN b < 1000 THEN b || ' B' WHEN b < 1000000 THEN printf('%.1f KB', b / 1000.0::DOUBLE) WHEN b < 1000000000 THEN printf('%.1f MB', b / 1000.0::DOUBLE / 1000.0::DOUBLE) ELSE printf('%.1f GB', b / 1000.0::DOUBLE / 1000.0::DOUBLE / 1000.0::DOUBLE) END AS bytes,
- CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS duration, CASE WHEN b >= 1000000 THEN 'fast' ELSE (CAST(floor(b / 1000.0::DOUBLE + 0.5) AS BIGINT)) || ' kbps' END AS rate
-FROM (SELECT id, src_size * (id % 1000) AS b, CAST(id % 9000 AS BIGINT) AS s FROM items) WHERE b > 0""")
+ CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS duration, CASE WHEN b <= 0 THEN '—' WHEN b >= 10000000 THEN printf('%.0f Mbps', b / 1e6) WHEN b >= 1000000 THEN printf('%.1f Mbps', b / 1e6) ELSE (CAST(floor(b / 1000.0::DOUBLE + 0.5) AS BIGINT)) || ' kbps' END AS rate
+FROM (SELECT id, src_size * (id % 1000) AS b, CAST(id % 9000 AS BIGINT) AS s FROM items)""")
 def display_texts(spark, sf_dir):
-    rows = v.items(spark, sf_dir).select("id", (F.col("src_size") * (F.col("id") % 1000)).alias("b"), (F.col("id") % 9000).alias("s")).where("b > 0")
-    return rows.select("id", display.bytes_text(F.col("b")).alias("bytes"), display.duration_text(F.col("s").cast("double")).alias("duration"), F.when(F.col("b") >= 1_000_000, "fast").otherwise(display.bitrate_text(F.col("b").cast("double"))).alias("rate"))
+    rows = v.items(spark, sf_dir).select("id", (F.col("src_size") * (F.col("id") % 1000)).alias("b"), (F.col("id") % 9000).alias("s"))
+    return rows.select("id", display.bytes_text(F.col("b")).alias("bytes"), display.duration_text(F.col("s").cast("double")).alias("duration"), display.bitrate_text(F.col("b").cast("double")).alias("rate"))
 
 
 @query("""SELECT id, CASE WHEN thermal = 'critical' THEN 0 ELSE greatest(1, CAST(floor(gate * CASE WHEN thermal = 'serious' THEN 0.5 ELSE 1 END * CASE WHEN low THEN 0.5 ELSE 1 END) AS BIGINT)) END AS permits

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that all executors share; one of our own where it is unset (local runs)."""
+    """spark.checkpoint.dir, the folder that all executors share; one of our own where it is unset and Spark is local."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cairnspark-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

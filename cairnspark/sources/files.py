@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,21 @@ def read_sample_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=" ", comment="#", schema=ddl)
 
 
+def save_settings(spark: SparkSession, path: str, profile: Profile) -> None:
+    """Write settings beside path and rename them into place, so that a reader finds the old ones or the new, never half."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.tmp"))
+    out = target.getFileSystem(conf).create(aside, True)
+    try:
+        out.write(bytearray(profile.to_json().encode()))
+    finally:
+        out.close()
+    overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = overwrite
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(aside, target, options)
+
+
 def load_settings(spark: SparkSession, path: str) -> tuple[Profile, list[str]]:
     """Settings from a JSON file and what was moved into range; a missing or broken file gives the defaults."""
     jvm = spark._jvm

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from cairnspark.functions import bits
 from cairnspark.operators import exact, near, queue, review, scan
 from cairnspark.plans.checkpoint import cut
 
@@ -87,19 +88,30 @@ def test_running_items_count_by_their_fractions(spark):
 def test_cached_prints_are_checked(spark):
     files = spark.createDataFrame([("/a", 1, 1, "0" * 63 + "1"), ("/b", 1, 1, "f" * 64), ("/c", 1, 1, None), ("/d", 1, 2, "0" * 64)], "path string, size bigint, mtime bigint, digits string")
     cache = spark.createDataFrame([("/a", "ahash", 1, 1, "0" * 63 + "2"), ("/b", "ahash", 1, 1, "not hex"), ("/c", "ahash", 1, 1, "0" * 63), ("/d", "ahash", 1, 1, "f" * 64)], "path string, algo string, size bigint, mtime bigint, hash string")
-    got = sorted((r.path, r.fp0, r.fp3, r.hit) for r in near.cached_prints(files, cache, "ahash", F.col("digits")).collect())
+    got = sorted((r.path, r.fp0, r.fp3, r.hit) for r in near.cached_prints(files, cache, F.col("digits"), "ahash").collect())
     assert got == [("/a", 0, 2, True), ("/b", -1, -1, False), ("/d", 0, 0, False)]
 
 
 def test_whole_files_are_looked_up_in_the_cache(spark):
     files = spark.createDataFrame([(p, 9, 1, c) for p, c in (("/a", b"ab12345yz"), ("/b", b"ab12345yz"), ("/c", b"ab99999yz"), ("/d", b"ab12345yz"))], "path string, size bigint, mtime bigint, content binary")
-    cache = spark.createDataFrame([("/c", "full", 9, 1, "same"), ("/d", "full", 9, 1, "same"), ("/a", "full", 9, 0, "old")], "path string, algo string, size bigint, mtime bigint, hash string")
+    cache = spark.createDataFrame([("/c", bits.FULL_HASH_ALGO, 9, 1, "same"), ("/d", bits.FULL_HASH_ALGO, 9, 1, "same"), ("/a", bits.FULL_HASH_ALGO, 9, 0, "old")], "path string, algo string, size bigint, mtime bigint, hash string")
     paths = lambda c: sorted((r.group_rank, r.path) for r in exact.groups(files, 2, c).collect())
     assert sorted(p for _, p in paths(cache)) == ["/a", "/b", "/c", "/d"] and len({g for g, _ in paths(cache)}) == 2
     assert [p for _, p in paths(None)] == ["/a", "/b", "/d"]
     hashed = exact.full_hashes(files, files, cache)
     groups = spark.createDataFrame([(1, 9), (2, 9)], "id bigint, reclaimable bigint")
     assert tuple(review.run_summary(groups, hashed).first()) == (2, 18, 4, 2)
+    rows, hashed, puts = exact.cached_cascade(files, cache, 2)
+    assert rows.count() == 4 and sorted((r.path, r.hit) for r in hashed.collect()) == [("/a", False), ("/b", False), ("/c", True), ("/d", True)]
+    assert sorted(r.path for r in puts.collect()) == ["/a", "/b"]
+
+
+def test_files_that_changed_since_they_were_listed_drop_out(spark):
+    rows = [("/a", 4, b"abcd"), ("/b", 4, b"abcd"), ("/c", 4, b"abcde"), ("/d", 4, None), ("/e", 4, b"abc")]
+    files = spark.createDataFrame([(p, n, 1, c) for p, n, c in rows], "path string, size bigint, mtime bigint, content binary")
+    assert sorted(r.path for r in exact.groups(files).collect()) == ["/a", "/b"]
+    s = exact.stage_counts(files).first()
+    assert (s.candidates, s.after_size, s.errors, s.after_sample) == (5, 5, 3, 2)
 
 
 def test_pages_of_groups_have_their_members(spark):
@@ -120,24 +132,38 @@ MEMBER = "id bigint, group_id bigint, path string, size bigint, mtime bigint, ke
 
 
 def test_policies(spark):
-    m = spark.createDataFrame([(1, 1, "/vol/backup/2019/a.jpg", 50, 300, 1, None), (2, 1, "/vol/a.jpg", 50, 200, 1, None), (3, 1, "/vol/backup/b.jpg", 50, 100, 1, None), (4, 2, "/x", 9, 1, 0, "trashed"), (5, 2, "/y/z", 9, 2, 1, None)], MEMBER)
-    kept = lambda p: sorted(r.id for r in review.apply_policy(m, p).where("keep = 1").collect())
-    assert kept("shallowest_path") == [2, 5] and kept("oldest") == [3, 5] and kept("manual") == [1, 2, 3, 5]
-    shallow = review.apply_policy(m, "shallowest_path")
-    assert tuple(review.pending_removals(shallow).first()) == (2, 100)
-    [plan] = review.delete_plans(shallow).collect()
-    assert [x.id for x in plan["keep"]] == [2] and [x.id for x in plan["remove"]] == [1, 3]
+    r, rows = random.Random(12), []
+    for i in range(90):
+        path = "/" + "/".join(r.choice("pqr") for _ in range(r.randint(1, 5))) + f"/{i % 4}"
+        rows.append((i, i % 11, path, 10 + i % 11, r.randint(0, 6), 1, "trashed" if r.random() < 0.2 else None))
+    m = spark.createDataFrame(rows, MEMBER)
+    for policy, first in (("shallowest_path", lambda x: x[2].count("/")), ("oldest", lambda x: x[4])):
+        best = {}
+        for x in rows:
+            rank = (first(x), x[2].split("/"), x[0])
+            if x[6] is None and (x[1] not in best or rank < best[x[1]]):
+                best[x[1]] = rank
+        keepers = {rank[2] for rank in best.values()}
+        after = review.apply_policy(m, policy)
+        assert {x.id for x in after.where("keep = 1 AND disposal IS NULL").collect()} == keepers
+        gone = [x for x in rows if x[6] is None and x[0] not in keepers]
+        assert tuple(review.pending_removals(after).first()) == (len(gone), sum(x[3] for x in gone))
+        plans = {p.group_id: ([x.id for x in p["keep"]], [x.id for x in p["remove"]]) for p in review.delete_plans(after).collect()}
+        assert plans == {g: ([best[g][2]], sorted(x[0] for x in gone if x[1] == g)) for g in {x[1] for x in gone}}
+        long = {(x.group_id, x.action, x.id) for x in review.delete_rows(after).collect()}
+        assert long == {(g, a, i) for g, both in plans.items() for a, ids in zip(("keep", "remove"), both, strict=True) for i in ids}
+    assert review.apply_policy(m, "manual").where("keep = 0").count() == 0
 
 
 def test_deletes_are_careful(spark):
-    rows = [(1, 1, "/k", 5, 1, 1, None), (2, 1, "/gone", 5, 1, 0, None), (3, 1, "/size", 5, 1, 0, None), (4, 1, "/time", 5, 1, 0, None), (5, 1, "/link", 5, 1, 0, None), (6, 1, "/ok", 5, 1, 0, None), (7, 2, "/no", 5, 1, 0, None), (8, 3, "/k", 5, 1, 0, None), (9, 3, "/k2", 5, 1, 1, None)]
+    rows = [(1, 1, "/k", 5, 1, 1, None), (2, 1, "/gone", 5, 1, 0, None), (3, 1, "/size", 5, 1, 0, None), (4, 1, "/time", 5, 1, 0, None), (5, 1, "/link", 5, 1, 0, None), (6, 1, "/ok", 5, 1, 0, None), (7, 2, "/no", 5, 1, 0, None), (8, 3, "/k", 5, 1, 0, None), (9, 3, "/k2", 5, 1, 1, None), (10, 3, "/k2", 5, 1, 0, None)]
     now = spark.createDataFrame([("/k", 5, 1, False), ("/size", 6, 1, False), ("/time", 5, 2, False), ("/link", 5, 1, True), ("/ok", 5, 1, False), ("/no", 5, 1, False)], "path string, size bigint, mtime bigint, is_symlink boolean")
     m = spark.createDataFrame(rows, MEMBER)
     got = review.decide_deletes(m, now)
-    assert {r.id: r.note for r in got.collect()} == {2: "missing", 3: "size_changed", 4: "mtime_changed", 5: "symlink", 6: None, 7: "no_keeper", 8: "also_kept"}
+    assert {r.id: r.note for r in got.collect()} == {2: "missing", 3: "size_changed", 4: "mtime_changed", 5: "symlink", 6: None, 7: "no_keeper", 8: None, 10: "also_kept"}
     s = review.apply_summary(got).first()
-    assert (s.trashed, s.skipped, s.failed, s.reclaimed, s.notes) == (1, 6, 0, 5, "missing,size_changed,mtime_changed,symlink,no_keeper,also_kept")
-    assert [r.id for r in review.record_disposals(m, got).where("disposal = 'trashed'").collect()] == [6]
+    assert (s.trashed, s.skipped, s.failed, s.reclaimed, s.notes) == (2, 6, 0, 10, "missing,size_changed,mtime_changed,symlink,no_keeper,also_kept")
+    assert [r.id for r in review.record_disposals(m, got).where("disposal = 'trashed'").orderBy("id").collect()] == [6, 8]
     assert {r.note for r in review.decide_deletes(m, now, cancelled=True).collect()} == {"cancelled", "no_keeper"}
 
 
@@ -147,6 +173,48 @@ def test_names_are_given_in_order(spark):
     assert [r.final for r in queue.resolve_names(t).orderBy("id").collect()] == ["/o/a.avif", "/o/a-1.avif", "/o/a-1-1.avif", "/o/a-2.avif", "/p/x", "/o2/b.avif", "/p/x-1"]
     taken = spark.createDataFrame([("/o2/b.avif",)], "dst string")
     assert [r.final for r in queue.resolve_names(t, taken).where("id = 6").collect()] == ["/o2/b-1.avif"]
+    assert [r.final for r in queue.resolve_names(t, taken, "replace").where("id = 6").collect()] == ["/o2/b.avif"]
+
+
+def _one_by_one(rows, disk, existing):
+    """Names given out in the order of id, as a single process would."""
+    used, out = set(), {}
+    for i, src, dst in sorted(rows):
+        name = dst
+        if dst != src and (dst in used or existing == "rename" and dst in disk):
+            folder, _, base = dst.rpartition("/")
+            stem, dot, ext = base.rpartition(".") if "." in base[1:] else (base, "", "")
+            name = None
+            for n in range(1, 1000):
+                tail = f"-{n}{dot}{ext}"
+                c = f"{folder}/{stem.encode()[: 255 - len(tail.encode())].decode(errors='ignore')}{tail}"
+                if c not in used and c not in disk:
+                    name = c
+                    break
+        used.add(name)
+        out[i] = name
+    return out
+
+
+def test_names_are_those_of_one_process(spark):
+    r = random.Random(21)
+    long = "ä" * 124
+    stems = ["a", "a-1", "a-1-1", "a-2", "b", "b-07", ".c", "d.e", long, long + "x", long[:-2] + "-1"]
+    for existing in ("rename", "replace"):
+        rows = []
+        for i in range(300):
+            dst = f"/o{r.randint(0, 2)}/{r.choice(stems)}{r.choice(['.avif', '.avif', '.mp4', ''])}"
+            rows.append((i, dst if r.random() < 0.05 else f"/s/{i}", dst))
+        disk = {r.choice(rows)[2] for _ in range(12)} | {"/o0/a-3.avif", "/o9/z"}
+        t = spark.createDataFrame(rows, "id bigint, src string, dst string")
+        got = {x.id: x.final for x in queue.resolve_names(t, spark.createDataFrame([(d,) for d in disk], "dst string"), existing).collect()}
+        assert got == _one_by_one(rows, disk, existing)
+
+
+def test_names_run_out_loudly(spark):
+    t = spark.range(1005).select("id", F.concat(F.lit("/s/"), F.col("id").cast("string")).alias("src"), F.lit("/o/a.avif").alias("dst"))
+    got = {x.id: x.final for x in queue.resolve_names(t).collect()}
+    assert got == {i: "/o/a.avif" if i == 0 else f"/o/a-{i}.avif" if i < 1000 else None for i in range(1005)}
 
 
 def test_folds_are_in_order(spark):
@@ -180,13 +248,31 @@ def test_prune_keeps_by_null_safe_id(spark):
 
 
 def test_roots(spark):
-    df = spark.createDataFrame([("/A/B/c.jpg",), ("/z/a.jpg",), ("/A/x/y/c.jpg",)], "p string")
-    dirs = lambda roots, out: [r[0] for r in df.select(scan.output_dir(F.col("p"), roots, out)).collect()]
-    assert dirs(["/A", "/A/B"], "/out") == ["/out/B", "/out", "/out/A/x/y"]
-    assert dirs(["/A"], "/out/") == ["/out/B", "/out/", "/out/x/y"]
-    assert dirs(["/A"], None) == ["/A/B", "/z", "/A/x/y"]
-    assert [r[0] for r in df.select(scan.bucket(F.col("p"), ["/A", "/A/B"])).collect()] == ["/A/B", "/z", "/A/x"]
-    assert scan.job_name(["/a/x", "/b/y/", "/c/x"]) == "x、y"
+    r, roots = random.Random(31), ["/media/disk", "/media/disk/trips", "/media", "/archive/old"]
+    paths = ["/".join(["", *(r.choice(["media", "disk", "trips", "archive", "old", "2020"]) for _ in range(r.randint(1, 5))), f"f{i}.png"]) for i in range(80)]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+
+    def holders(p):
+        return [x for x in roots if p.startswith(x + "/")]
+
+    def mirrored(p):
+        found = sorted(holders(p), key=lambda x: -x.count("/"))
+        if not found:
+            return "/mirror"
+        return "/mirror/" + found[0].rpartition("/")[2] + p[len(found[0]) :].rpartition("/")[0]
+
+    def bucket(p):
+        if not (found := holders(p)):
+            return p.rpartition("/")[0] or "/"
+        inside = p[len(found[0]) + 1 :].split("/")
+        return found[0] + ("/" + inside[0] if len(inside) > 1 else "")
+
+    col = lambda c: [x[0] for x in df.select(c).collect()]
+    assert col(scan.output_dir(F.col("p"), roots, "/mirror")) == [mirrored(p) for p in paths]
+    assert col(scan.output_dir(F.col("p"), ["/media"], "/mirror")) == ["/mirror" + p[6:].rpartition("/")[0] if p.startswith("/media/") else "/mirror" for p in paths]
+    assert col(scan.output_dir(F.col("p"), roots, None)) == [p.rpartition("/")[0] or "/" for p in paths]
+    assert col(scan.bucket(F.col("p"), roots)) == [bucket(p) for p in paths]
+    assert scan.job_name(["/m/one", "/n/two/", "/k/one", "/"]) == "one、two、/"
 
 
 def test_top_dirs_fold_the_rest(spark):
@@ -197,8 +283,8 @@ def test_top_dirs_fold_the_rest(spark):
 
 
 def test_hard_links(spark):
-    f = spark.createDataFrame([("/a-b", 1, 2), ("/a/b", 1, 2), ("/c", 1, 1), ("/d", 1, 1)], "path string, inode bigint, nlink bigint")
-    assert sorted(r.path for r in scan.drop_hard_links(f).collect()) == ["/a/b", "/c", "/d"]
+    f = spark.createDataFrame([("/a-b", 1, 1, 2), ("/a/b", 1, 1, 2), ("/c", 1, 1, 1), ("/d", 1, 1, 1), ("/e/b", 2, 1, 2)], "path string, dev bigint, inode bigint, nlink bigint")
+    assert sorted(r.path for r in scan.drop_hard_links(f).collect()) == ["/a/b", "/c", "/d", "/e/b"]
 
 
 def test_row_numbers_are_those_of_a_sort(spark):

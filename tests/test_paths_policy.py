@@ -1,5 +1,7 @@
 """Column functions against literal cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ def test_names(spark):
     assert many(spark, paths.classify, p) == ["image", None, None, None, None, "modern_image", "raw_image", "video", "audio", None, None]
     assert many(spark, paths.extension, p[:5]) == ["JPG", "", "", "gz", ""]
     assert many(spark, paths.stem, p[:5]) == ["b", ".xmp", "b", "b.tar", "b"]
+    assert many(spark, paths.classify, ["/v/a\nb.jpg", "/v/a\n.jpg\n"]) == ["image", None] and many(spark, paths.stem, ["/v/a\nb.jpg"]) == ["a\nb"]
     assert many(spark, paths.parent, ["/a/b", "/a", "a"]) == ["/a", "/", "a"]
     assert many(spark, paths.is_junk, ["._x.jpg", ".DS_Store", "Thumbs.db", "a.XMP", ".xmp", "a.jpg", "Icon\r"]) == [True, True, True, True, True, False, True]
     assert many(spark, paths.is_skipped_dir, ["$RECYCLE.BIN", "My.photoslibrary", "x.app", "photos"]) == [True, True, True, False]
@@ -37,12 +40,23 @@ def test_paths_sort_by_components(spark):
     assert [r.p for r in rows.orderBy(paths.path_key(F.col("p"))).collect()] == ["/a/b", "/a-b"]
 
 
-@pytest.mark.parametrize(
-    ("w", "h", "want"),
-    [(4032, 3024, (1440, 1080)), (3024, 4032, (1080, 1440)), (1920, 1080, (1920, 1080)), (3840, 2160, (1920, 1080)), (2160, 3840, (1080, 1920)), (1080, 15000, (1080, 15000)), (800, 600, (800, 600)), (0, 5, (0, 5))],
-)
-def test_short_edge(spark, w, h, want):
-    assert tuple(one(spark, c) for c in pol.fit_short_edge(F.lit(w), F.lit(h), 1080)) == want
+@pytest.mark.parametrize("cap", [0, 1, 7, 720, 1080])
+def test_short_edge(spark, cap):
+    r = random.Random(cap)
+    edges = [0, 1, 2, cap - 1, cap, cap + 1, 2 * cap, 65_535]
+    sizes = [(abs(r.choice(edges)), abs(r.choice(edges + [r.randint(0, 9000)]))) for _ in range(150)]
+
+    def model(w, h):
+        short = min(w, h)
+        if cap == 0 or short <= cap:
+            return w, h
+        return tuple(max(1, round_half_up(x * cap, short)) for x in (w, h))
+
+    def round_half_up(a, b):
+        return (2 * a + b) // (2 * b) if b % 2 == 0 else (a + b // 2) // b
+
+    both = [many(spark, lambda w, h, k=k: pol.fit_short_edge(w, h, cap)[k], sizes, "w bigint, h bigint") for k in (0, 1)]
+    assert list(zip(*both, strict=True)) == [model(w, h) for w, h in sizes]
 
 
 def test_gain_gate(spark):
@@ -93,15 +107,24 @@ def test_settings():
 def test_templates(spark):
     assert [naming.problem(t) is None for t in ("{name}.{ext}", "{name}_{srcext}.{ext}", "", "a/{name}.{ext}", "{nam}.{ext}", "x.{ext}", "{name}", "{name}{.{ext}", "{name}}.{ext}")] == [True, True] + [False] * 7
     r = lambda t: lambda p: naming.render(t, p, F.lit("avif"))
-    assert many(spark, r(naming.DEFAULT), ["/照片/IMG_0001.HEIC", "/r/a.2020.01.jpg", "/r/IMG_0001"]) == ["IMG_0001.avif", "a.2020.01.avif", "IMG_0001.avif"]
-    assert many(spark, r("{name}_{srcext}.{ext}"), ["/i/IMG_0001.HEIC", "/i/{ext}.JPG"]) == ["IMG_0001_HEIC.avif", "{ext}_JPG.avif"]
-    [long] = many(spark, r(naming.DEFAULT), ["/x/" + "é" * 200 + ".jpg"])
-    assert len(long.encode()) <= 255 and long.startswith("é" * 125) and long.endswith(".avif")
+    stems, exts = ["tide", "so.many.dots", "{name}", "ü 1", "x" * 300, "ñ" * 140, "日" * 90], ["", "gif", "TIFF"]
+    paths_ = [f"/k/{s}{'.' * bool(e)}{e}" for s in stems for e in exts]
+
+    def model(stem, ext, tail):
+        room = 255 - len(".avif")
+        return (stem + tail.replace("{srcext}", ext)).encode()[:room].decode(errors="ignore") + ".avif"
+
+    for template, tail in ((naming.DEFAULT, ""), ("{name}~{srcext}.{ext}", "~{srcext}")):
+        # what follows the last dot of so.many.dots is its extension where it has no other
+        split = [("so.many", "dots") if (s, e) == ("so.many.dots", "") else (s, e) for s in stems for e in exts]
+        assert many(spark, r(template), paths_) == [model(s, e, tail) for s, e in split]
 
 
 def test_probe_fields(spark):
     assert many(spark, probe.rate, ["30000/1001", "0/0", "25/1", "x", "-1/2", None]) == [pytest.approx(29.97003), None, 25.0, None, None, None]
-    assert many(spark, probe.known, [" h264 ", "unknown", "N/A", "", None]) == ["h264", None, None, None, None]
+    assert many(spark, probe.known, [" h264 ", "unknown", "\tN/A\n", "", None, "\u3000x y\u00a0"]) == ["h264", None, None, None, None, "x y"]
+    ends = lambda s, c: one(spark, probe.duration_us(F.struct(F.lit(s).alias("duration")), F.lit(c)))
+    assert [ends("0", "3"), ends("-1", "3"), ends("NaN", "3"), ends("Infinity", "3"), ends("2", "3"), ends("x", "0")] == [3_000_000] * 4 + [2_000_000, None]
     text = '{"streams": [{"codec_type": "video", "codec_name": "png", "width": 5, "height": 5, "disposition": {"attached_pic": 1}}, {"codec_type": "video", "codec_name": "hevc", "width": 1920, "height": 1080, "avg_frame_rate": "60/1", "duration": "2.5", "color_transfer": "arib-std-b67"}, {"codec_type": "subtitle", "codec_name": "ass"}], "format": {"duration": "9"}}'
     p = {k: one(spark, c) for k, c in probe.probed(F.lit(text), F.lit("video")).items()}
     assert (p["width"], p["codec"], p["fps"], p["duration_us"], p["color_transfer"]) == (1920, "hevc", 60.0, 2_500_000, "arib-std-b67")
@@ -125,11 +148,12 @@ def test_display(spark):
     assert many(spark, display.bytes_text, [0, 999, 1000, 1_500_000, 10**15, 10**18], "x bigint") == ["0 B", "999 B", "1.0 KB", "1.5 MB", "1.0 PB", "1000.0 PB"]
     assert many(spark, display.saving_text, [(1000, 130), (0, 1)], "a bigint, b bigint") == ["87%", "—"]
     assert many(spark, display.duration_text, [5025.0, 125.0, -1.0], "x double") == ["1:23:45", "2:05", "—"]
-    assert many(spark, display.pretty_codec, ["hevc", "h264", "public.heic"]) == ["H.265", "H.264", "HEIC"]
+    assert many(spark, display.pretty_codec, ["hevc", "h264", "opus", None]) == ["HEVC", "H.264", "OPUS", None]
+    assert many(spark, display.pretty_type, ["public.heic", "jpeg", "public.", None]) == ["HEIC", "JPEG", None, None]
 
 
 def test_estimates(spark):
-    assert [round(est.quality_factor(q), 3) for q in (10, 70, 77.5, 85, 90, 95, 100)] == [0.62, 0.62, 0.81, 1.0, 1.4, 1.8, 1.8]
+    assert [round(x, 3) for x in many(spark, est.quality_factor, [10.0, 70.0, 77.5, 85.0, 90.0, 95.0, 100.0], "x double")] == [0.62, 0.62, 0.81, 1.0, 1.4, 1.8, 1.8]
     assert one(spark, est.saved(F.lit(100), est.interval(F.lit(10.0), F.lit(50.0), F.lit(120.0)))) == (0.0, 50.0, 90.0)
     assert one(spark, est.wall_seconds(F.lit(121.0), F.lit(0.0))) == pytest.approx(100.0)
     assert one(spark, est.wall_seconds(F.lit(10.0), F.lit(10.0), True, (2, 1))) == 10.0
