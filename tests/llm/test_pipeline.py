@@ -1,7 +1,13 @@
 """The five stages on small tables."""
 
-from cairnspark.llm import jaccard_product, poisson_mix
+import hashlib
+from collections import Counter
+
+import numpy as np
+
+from cairnspark.llm import jaccard_product, langmask, pieces, poisson_mix, quality_gbt
 from cairnspark.llm._common import materialise
+from tests.llm.test_text_operators import _brute, _quantile, kept_one_by_one
 
 
 def test_stages(spark, sf_dir):
@@ -24,6 +30,30 @@ def test_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == sizes[-1]
 
 
+def test_run_matches_brute_force(spark, sf_dir):
+    """The rows of run(), each stage done one by one; the two models are those that the stages train."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.collect()
+    trees = quality_gbt.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = [r for r in rows if kept_one_by_one(r.text, trees)]
+    model = langmask.train(spark.createDataFrame(rows, docs.schema))
+    names, _, known = model.predict([r.text for r in rows])
+    rows = [r for r, name, k in zip(rows, names, known, strict=True) if name != "und" and k >= corpus_pipeline.MIN_KNOWN]
+    rows = [r for r, (i, _, component, _) in zip(rows, _brute(rows), strict=True) if i == component]
+    sizes = Counter(r.source for r in rows)
+    weight = {s: n**poisson_mix.TEMPERATURE for s, n in sizes.items()}
+    tok, want = pieces.tokenizer(pieces.default_path()), []
+    for r in rows:
+        rate = weight[r.source] / sum(weight.values()) * len(rows) / sizes[r.source]
+        u = int(hashlib.md5(f"{poisson_mix.SEED}:{r.doc_id}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        ids = tok.encode(r.text, add_special_tokens=False).ids
+        row = (r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        want += [row] * _quantile(u, rate)
+    assert len(want) > 50 and sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(want)
+
+
 def test_no_links_are_left(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = materialise(jaccard_product.keep_first(docs), "test-kept")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -36,6 +37,45 @@ def test_odd_texts_have_a_language_or_und(odd_docs, no_docs):
     assert {r.lang_pred for r in langmask.identify(odd_docs, langmask.train(no_docs)).collect()} == {"und"}
 
 
+def _grams(text: str) -> list[str]:
+    """Letter n-grams of 3 and 4 that may begin or end with a blank, one by one; letter-less characters are blanks."""
+    s = "".join(c if c.isalpha() and ord(c) < 0x30000 else " " for c in f" {text.lower()} ")
+    found = (s[i : i + n] for n in langmask.GRAMS for i in range(len(s) - n + 1))
+    return [g for g in found if " " not in g[1:-1] and not g[0] == g[-1] == " "]
+
+
+def test_predictions_are_those_of_sets(spark, sf_dir):
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text", "lang").where("length(text) < 3000")
+    model = langmask.train(docs)  # the sample is larger than the table, so it holds all rows
+    rows, seen, of = docs.collect(), Counter(), {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            seen[r.lang] += 1
+            of.setdefault(r.lang, Counter()).update(set(_grams(r.text)))
+    share = {x: {g: n / seen[x] for g, n in c.items() if n >= max(2.0, langmask.MIN_SHARE * seen[x])} for x, c in of.items()}
+    top = Counter()
+    for c in share.values():
+        for g, s in c.items():
+            top[g] = max(top[g], s)
+    sets = {x: {g for g, s in c.items() if s * langmask.CONTRAST >= top[g]} for x, c in share.items()}
+    assert model.languages == sorted(sets)
+    # every n-gram is in its languages' filters, and what is in them besides is as rare as the filters promise
+    for k, x in enumerate(model.languages):
+        for g in sorted(sets[x])[::50]:
+            codes = np.array([0x20 if c == " " else ord(c) for c in g], np.uint32)
+            assert int(model.masks(langmask.gram_hashes(codes, (len(g),))[0])[0]) >> k & 1
+    got = {r.doc_id: r for r in langmask.identify(docs, model).collect()}
+    for r in rows:
+        grams = _grams(r.text or "")
+        hits = {x: sum(g in s for g in grams) for x, s in sets.items()}
+        order = sorted(hits, key=lambda x: (-hits[x], x))
+        if not any(map(str.isalpha, r.text or "")):
+            assert got[r.doc_id].lang_pred == "und"
+        elif hits[order[0]] - hits[order[1]] > 5 * max(1.0, (len(grams) * float(model.chance.max())) ** 0.5):  # beyond chance hits
+            assert got[r.doc_id].lang_pred == order[0], (r, hits)
+            assert abs(got[r.doc_id].known - hits[order[0]] / max(1, len(grams))) < 0.03
+
+
 def test_masks_return_every_language_of_an_ngram():
     r = np.random.default_rng(1)
     names = [f"l{i:02d}" for i in range(70)]
@@ -131,6 +171,37 @@ def test_counts_match_brute_force(odd_docs, no_docs):
     assert quality_gbt.judge(no_docs, None).count() == 0
 
 
+def _features(text: str | None) -> list[float]:
+    """The features of a text in the order of FEATURES, from the text itself."""
+    t = text or ""
+    raw, w = t.encode(), WORD.findall(t)
+    n_words, chars, symbols, dup, repeat = _counts(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    words, any_chars = max(1, n_words), max(1, chars)
+    count = lambda of: sum(b in of for b in raw)
+    upper, digits = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
+    letters = count(upper + upper.lower() + bytes(range(0xC0, 0x100)))
+    punct, space = b".,;:'\"()-", b" \t\n\x0b\x0c\r"
+    return [
+        math.log1p(n_words), chars / words, symbols / any_chars, dup / max(1, len(lines)), repeat / words, count(upper) / max(1, letters), count(digits) / any_chars, count(b"!?") / words,
+        len(set(w)) / words if w else 1.0, count(b"|") / words, count(punct) / words, n_words / max(1, len(lines)), 1 - (letters + count(digits + punct + space)) / max(1, len(raw)),
+    ]
+
+
+def kept_one_by_one(text: str | None, trees) -> bool:
+    c = _counts(text)
+    failed = c[0] < 50 or 100 * c[4] > 50 * c[0]
+    return not failed and (trees is None or 1 / (1 + math.exp(-_walk(trees, _features(text)))) >= quality_gbt.KEEP_AT)
+
+
+def test_verdicts_match_brute_force(spark, sf_dir, odd_docs):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    trees = quality_gbt.train(spark, docs, labels)
+    for table in (docs.select("doc_id", "text"), odd_docs.where("doc_id IS NULL OR doc_id <> 7").select("doc_id", "text")):
+        got = sorted((str(r.text), r.kept) for r in quality_gbt.judge(table, trees, carry=["text"]).collect())
+        assert got == sorted((str(r.text), kept_one_by_one(r.text, trees)) for r in table.collect())
+
+
 def _walk(trees, row) -> float:
     out = trees.bias
     for at in trees.roots:
