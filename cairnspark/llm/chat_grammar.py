@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, COLON = "### ", "</turn>\n", ": "
@@ -72,29 +72,27 @@ def format_chats(rows: DataFrame, learnt_role: str = LEARNT_ROLE) -> DataFrame:
     clear = [~F.contains(F.col(c), F.lit(sign)) for c in ("role", "text") for sign, _ in _CONTROL]
     fine = F.coalesce(reduce(Column.__and__, clear, _same(plain, one)), F.lit(False))
     turn = clean.withColumn("hard", render(escape(F.col("role"), True), escape(F.col("text")))).withColumn("mild", F.when(fine, plain).otherwise(F.col("hard")))
-    item = F.struct("turn", "role", "text", "mild", "hard")
-    chats = turn.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("turns"))
-    joined = {"mild": F.array_join(F.transform("turns", lambda t: t["mild"]), ""), "hard": F.array_join(F.transform("turns", lambda t: t["hard"]), "")}
+    # where each turn begins, summed up turn by turn as they stream by in order: linear, however many turns there are
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = turn.withColumns({f"{c}_at": F.coalesce(F.sum(F.length(c)).over(before), F.lit(0)).cast("int") for c in ("mild", "hard")})
+    item = F.struct("turn", "role", "text", "mild", "hard", "mild_at", "hard_at")
+    chats = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("turns"))
+    joined = {c: F.array_join(F.col(f"turns.{c}"), "") for c in ("mild", "hard")}
     source = F.transform("turns", lambda t: F.struct(t["role"], t["text"]))
-    ok = F.coalesce(_same(F.col("mild_all"), F.col("source")), F.lit(False))
-    ok_hard = F.coalesce(_same(F.col("hard_all"), F.col("source")), F.lit(False))
-    both = chats.select("conv_id", joined["mild"].alias("mild_all"), joined["hard"].alias("hard_all"), source.alias("source"))
-    text = F.when(ok, F.col("mild_all")).when(ok_hard, F.col("hard_all")).otherwise(F.raise_error(F.lit("a conversation does not come back from its format")).cast("string"))
-    return both.select("conv_id", text.alias("formatted")).select("conv_id", "formatted", loss_spans(F.col("formatted"), learnt_role).alias("loss_spans"))
-
-
-def loss_spans(formatted: Column, learnt_role: str = LEARNT_ROLE) -> Column:
-    """Spans of the learnt texts in the formatted string, from one walk over its turns."""
-    pieces = F.split(formatted, CLOSE, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start: int, length: int>>)").alias("spans"))
-    mark = OPEN + learnt_role + COLON
-
-    def step(acc: Column, piece: Column) -> Column:
-        span = F.struct((acc["at"] + len(mark)).cast("int").alias("start"), (F.length(piece) - len(mark)).cast("int").alias("length"))
-        spans = F.when(F.startswith(piece, F.lit(mark)), F.array_append(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct((acc["at"] + F.length(piece) + len(CLOSE)).cast("int").alias("at"), spans.alias("spans"))
-
-    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda acc: acc["spans"])
+    both = chats.select("conv_id", "turns", joined["mild"].alias("mild_all"), joined["hard"].alias("hard_all"), source.alias("source"))
+    ok, ok_hard = (F.coalesce(_same(F.col(f"{c}_all"), F.col("source")), F.lit(False)) for c in ("mild", "hard"))
+    way = F.when(ok, "mild").when(ok_hard, "hard").otherwise(F.raise_error(F.lit("a conversation does not come back from its format")).cast("string"))
+    chosen = both.withColumn("way", way)
+    mild = F.col("way") == "mild"
+    spans = F.when(mild, loss_spans("mild", learnt_role)).otherwise(loss_spans("hard", learnt_role))
+    return chosen.select("conv_id", F.when(mild, F.col("mild_all")).otherwise(F.col("hard_all")).alias("formatted"), spans.alias("loss_spans"))
+
+
+def loss_spans(way: str, learnt_role: str = LEARNT_ROLE) -> Column:
+    """Spans of the learnt texts: behind the mark of their turn, up to its end. The role has nothing to be escaped."""
+    mark = len(OPEN) + len(learnt_role) + len(COLON)
+    learnt = F.filter("turns", lambda t: t["role"] == learnt_role)
+    return F.transform(learnt, lambda t: F.struct((t[f"{way}_at"] + mark).alias("start"), (F.length(t[way]) - mark - len(CLOSE)).cast("int").alias("length")))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
