@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), where docs has the columns of documents, and works on all rows of it. Every
 stage's result is written to the shared folder and read again as the next one's docs. All stages but the last return
 the columns that docs has.
+
+Defined results: a null or empty text, and one without letters, goes with the quality rules or the language. A null lang
+only keeps a row out of the training of languages, and a null source is a source of its own. Rows that repeat a doc_id are
+judged each by itself; of rows with equal or similar texts one stays, with the smallest doc_id (a null one only where there
+is no other), whatever their sources; the copies of all rows of one doc_id are drawn alike. Without labels of both classes
+the base rules alone decide, and without labelled languages no document is kept. An empty table gives an empty result.
+Further columns, whatever their names, are carried along to the last stage, which returns its own.
 """
 
 from __future__ import annotations
