@@ -73,6 +73,14 @@ def test_pairs_over_four_lanes(spark):
     df = spark.createDataFrame(rows, "ord bigint, fp0 bigint, fp1 bigint, fp2 bigint, fp3 bigint")
     want = sorted((a[0], b[0], d) for a in rows for b in rows if a[0] < b[0] and (d := sum(bin(x ^ y).count("1") for x, y in zip(a[1:], b[1:], strict=True))) <= 16)
     assert sorted(tuple(x) for x in near.pairs(df, 16, ["fp0", "fp1", "fp2", "fp3"]).collect()) == want
+    # prints that are alike crowd the bands, which are split then
+    lanes = {tuple(sum({1 << r.randrange(63) for _ in range(r.randint(0, 3))}) for _ in range(4)) for _ in range(60)}
+    sparse = [(i, *x) for i, x in enumerate(sorted(lanes))]
+    df = spark.createDataFrame(sparse, df.schema)
+    want = sorted((a[0], b[0], d) for a in sparse for b in sparse if a[0] < b[0] and (d := sum(bin(x ^ y).count("1") for x, y in zip(a[1:], b[1:], strict=True))) <= 9)
+    for hot in (5, 2000):
+        got = sorted(tuple(x) for x in near.distinct_pairs(df, 9, ["fp0", "fp1", "fp2", "fp3"], hot=hot).collect())
+        assert len(want) > 100 and got == want
 
 
 def test_running_items_count_by_their_fractions(spark):
