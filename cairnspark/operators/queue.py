@@ -397,6 +397,28 @@ def resolve_names(targets: DataFrame, taken: DataFrame | None = None, existing:
     return alone.unionByName(kept).unionByName(given).unionByName(late).unionByName(walked)
 
 
+def run_job(items: DataFrame, current: DataFrame, job_id: int, dst: Column, work, cut, batch: int = 100_000, stopped=lambda: False) -> tuple[DataFrame, str]:
+    """(items, status) after passes over a job's pending items, batch by batch, until none is left or stopped() says so.
+
+    work gets what feed() dispatches and returns changes (of types done, failed or skipped) for it; what feed() skips or
+    fails is noted here. cut writes a table down between batches. What is still pending makes the job paused, else it is done.
+    """
+    after = -(2**63)
+    while not stopped():
+        fed = cut(feed(items, current, job_id, list(KINDS), after, dst, limit=batch))
+        last = fed.agg(F.max("id")).first()[0]
+        if last is None:
+            break
+        after, none = last, F.lit(None).cast("string")
+        left = fed.where("action <> 'dispatch'").select(
+            F.lit(0).cast("long").alias("seq"), F.when(F.col("action") == "skip", "skipped").otherwise("failed").alias("type"), "id", none.alias("dst_path"), F.lit(None).cast("long").alias("dst_size"),
+            F.lit(None).cast("long").alias("elapsed_ms"), F.when(F.col("action") == "fail", "other").alias("code"), F.when(F.col("action") == "fail", "no free name").alias("msg"), "reason",
+        )
+        items = cut(fold_results(items, left.unionByName(work(fed.where("action = 'dispatch'")))))
+    pending = items.where((F.col("job_id") == job_id) & (F.col("status") == "pending"))
+    return items, "done" if pending.isEmpty() else "paused"
+
+
 def lower_median(df: DataFrame, column: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column})")
 

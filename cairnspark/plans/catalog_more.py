@@ -174,6 +174,27 @@ def feed_batch(spark, sf_dir):
     return queue.feed(items, now, 3, ["image", "audio"], 1000, dst, taken, 200)
 
 
+@query(f"""WITH {_SINGLE}, j AS (SELECT id, CASE WHEN status <> 'pending' THEN status WHEN {_SEEN} IS NOT NULL OR skip_reason IS NOT NULL THEN 'skipped' WHEN id % 4 = 0 THEN 'failed' ELSE 'done' END AS status,
+  CASE WHEN status <> 'pending' THEN skip_reason WHEN {_SEEN} IS NOT NULL THEN {_SEEN} WHEN skip_reason IS NULL AND id % 4 > 0 THEN NULL ELSE skip_reason END AS skip_reason, CASE WHEN status = 'pending' AND {_SEEN} IS NULL AND skip_reason IS NULL AND id % 4 > 0 THEN '/out/' || id ELSE dst_path END AS dst_path
+  FROM (SELECT * REPLACE (CASE WHEN id % 7 = 3 THEN 'too_small' ELSE skip_reason END AS skip_reason) FROM single) WHERE job_id = 3)
+SELECT 'done' AS job_status, status, skip_reason, count(*) AS n, count(dst_path) AS written, CAST(sum(strlen(dst_path)) AS BIGINT) AS path_bytes FROM j GROUP BY status, skip_reason""")
+def job_run(spark, sf_dir):
+    items = cut(_single(v.items(spark, sf_dir)).withColumn("skip_reason", F.when(F.col("id") % 7 == 3, "too_small").otherwise(F.col("skip_reason"))))
+    n = F.col("id") % 9
+    now = items.where(n != 0).select(F.col("src_path").alias("path"), (F.col("src_size") + F.when(n == 1, 1).otherwise(0)).alias("size"), F.col("src_mtime").alias("mtime"))
+
+    def work(fed: DataFrame) -> DataFrame:
+        bad = F.col("id") % 4 == 0
+        return fed.select(
+            F.lit(0).cast("long").alias("seq"), F.when(bad, "failed").otherwise("done").alias("type"), "id", F.when(~bad, F.col("dst")).alias("dst_path"), F.when(~bad, F.length("dst")).cast("long").alias("dst_size"),
+            F.lit(1).cast("long").alias("elapsed_ms"), F.when(bad, "io").alias("code"), F.when(bad, "broken").alias("msg"), F.lit(None).cast("string").alias("reason"),
+        )
+
+    done, status = queue.run_job(items, now, 3, F.concat(F.lit("/out/"), F.col("id").cast("string")), work, cut, 2000)
+    g = done.where("job_id = 3").groupBy("status", "skip_reason").agg(F.count("*").alias("n"), F.count("dst_path").alias("written"), F.sum(F.octet_length("dst_path")).cast("long").alias("path_bytes"))
+    return g.select(F.lit(status).alias("job_status"), "status", "skip_reason", "n", "written", "path_bytes")
+
+
 @query(f"WITH {v.ITEMS} SELECT src_path, CASE WHEN status = 'done' THEN dst_path ELSE '/out' || src_path END AS dst, status = 'done' AS transformed FROM items WHERE status IN ('done', 'skipped')")
 def mirror_tree(spark, sf_dir):
     return queue.preserve_originals(v.items(spark, sf_dir), F.concat(F.lit("/out"), F.col("src_path")))
