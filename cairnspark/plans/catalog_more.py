@@ -17,7 +17,7 @@ from cairnspark.operators import exact, jobs, near, queue, review, scan
 from cairnspark.plans import adapters as v
 from cairnspark.plans.catalog import ORACLE, QUERIES, WINDOW, _FOLD, _PLANNED, blank_items, members, planned, probe_json, query, tiers
 from cairnspark.plans.checkpoint import cut, shared_dir
-from cairnspark.sources import files
+from cairnspark.sources import corpus, files
 from cairnspark.streaming import bookkeeping
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -77,6 +77,16 @@ def content_spread(spark, sf_dir):
     return v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), s.alias("spread"), (s >= 0.124).alias("has_content"))
 
 
+_M = "CAST(18446744073709551615 AS HUGEINT)"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT 0 AS k, CAST({corpus.FIRST_STATE} AS HUGEINT) AS x UNION ALL SELECT k + 1, xor(c, (c << 17) & {_M}) FROM (SELECT k, xor(b, b >> 7) AS c FROM (SELECT k, xor(x, (x << 13) & {_M}) AS b FROM s WHERE k < 2000)))
+SELECT '/rnd/' || lpad(CAST((k - 1) // 4 AS VARCHAR), 9, '0') AS path, CAST((k - 1) % 4 AS INTEGER) AS lane, lower(printf('%016X', CAST(x AS UBIGINT))) AS hex FROM s WHERE k > 0""")
+def random_prints(spark, sf_dir):
+    p = corpus.random_prints(spark, 500)
+    return p.select("path", F.posexplode(F.array(*(F.lower(F.lpad(F.hex(x), 16, "0")) for x in v.LANES))).alias("lane", "hex"))
+
+
 # --- rows of jobs and runs ----------------------------------------------------------------------------------------
 
 _FULL_JOBS = f"{v.JOBS}, full_jobs AS (SELECT id, name, CAST(NULL AS VARCHAR) AS roots_json, CAST(NULL AS VARCHAR) AS output_root, CAST(NULL AS VARCHAR) AS profile_json, status, created_at, finished_at, CAST(NULL AS BIGINT) AS est_out_bytes FROM jobs)"
