@@ -66,10 +66,8 @@ class MergeTable:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], _NONE)
 
-    def merge(self, pieces: list[str]) -> list[np.ndarray]:
-        """Token ids of pieces that are spelt in byte symbols, all pieces in the same rounds."""
-        if not pieces:
-            return []
+    def merge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of pieces that are spelt in byte symbols, all pieces in the same rounds, and how many each has."""
         flat = [t for p in pieces if p for t in (*map(self.inside.__getitem__, p[:-1]), self.last[p[-1]])]
         sizes = np.array([len(p) for p in pieces], np.int64)
         symbol, word = np.array(flat, np.int64), np.repeat(np.arange(len(pieces)), sizes)
@@ -100,7 +98,7 @@ class MergeTable:
             symbol, word = symbol[keep], word[keep]
         symbol, word = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_symbol, done_word))
         order = np.argsort(word, kind="stable")
-        return np.split(symbol[order].astype(np.uint32), np.cumsum(np.bincount(word, minlength=len(pieces)))[:-1])
+        return symbol[order].astype(np.uint32), np.bincount(word, minlength=len(pieces))
 
     def spell(self, piece: str) -> str:
         return "".join(map(self.byte_to_symbol.__getitem__, piece.encode("utf-8")))
@@ -124,7 +122,7 @@ def batch_encoder(path: str) -> PieceEncoder:
                 out.append(np.array([added[part]], np.uint32))
             elif part:
                 clean = tok.normalizer.normalize_str(part) if tok.normalizer else part
-                out += table.merge([p for p, _ in tok.pre_tokenizer.pre_tokenize_str(clean) if p])
+                out.append(table.merge([p for p, _ in tok.pre_tokenizer.pre_tokenize_str(clean) if p])[0])
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
     return PieceEncoder(path, lambda new: table.merge([table.spell(p) for p in new]), text)

@@ -22,6 +22,8 @@ KEEP_PIECES = 1_200_000
 _SLOT_BITS = 19
 #: Characters that are joined and cut at once.
 JOIN_CHARS = 512 << 10
+#: New pieces that the library encodes as one text.
+JOIN_PIECES = 200
 
 #: Ranges of characters that stay what they are under NFC and whose case and class no Unicode version changes.
 _PLAIN = "\t\n\x0b\x0c\r\x20-\x7e\xa1-\xffŒœ‐-―‘-‟†-•…€™"
@@ -109,9 +111,10 @@ def cut(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PieceEncoder:
-    """Texts to token ids. encode_pieces gets distinct lower-case pieces, encode_text a text that must not be cut here."""
+    """Texts to token ids. encode_pieces gets distinct lower-case pieces and gives all their ids and how many each has;
+    encode_text gets a text that must not be cut here."""
 
-    def __init__(self, path: str, encode_pieces: Callable[[list[str]], list[np.ndarray]], encode_text: Callable[[str], np.ndarray]):
+    def __init__(self, path: str, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_text: Callable[[str], np.ndarray]):
         self.encode_pieces, self.encode_text = encode_pieces, encode_text
         self.special, self.cuts = specials(path)[1], cuts_here(path)
         self._clear()
@@ -123,15 +126,13 @@ class PieceEncoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def _add(self, ids: list[np.ndarray]) -> None:
-        lengths = np.array([len(x) for x in ids], np.int64)
-        total, n = int(lengths.sum()), len(ids)
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        total, n = len(ids), len(lengths)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.count + n > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate(ids)
+        self.flat[self.used : self.used + total] = ids
         self.start[self.count : self.count + n] = self.used + np.cumsum(lengths) - lengths
         self.length[self.count : self.count + n] = lengths
         self.used, self.count = self.used + total, self.count + n
@@ -163,7 +164,7 @@ class PieceEncoder:
         new = np.flatnonzero(found < 0)
         if len(new):
             found[new] = self.count + np.arange(len(new))
-            self._add(self.encode_pieces([text[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]))
+            self._add(*self.encode_pieces([text[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]))
             new = new[~taken[new]]  # the first half of another piece is taken: not kept, so encoded again when it comes again
             self.names = np.insert(self.names, near[new], names[:, new], axis=1)
             self.places = np.insert(self.places, near[new], found[new].astype(np.int32))
@@ -223,8 +224,23 @@ class PieceEncoder:
 def library_encoder(path: str) -> PieceEncoder:
     """An encoder whose ids all come from the tokenizers library."""
     tok = tokenizer(path)
-
-    def pieces(new: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(new, add_special_tokens=False)]
+    with open(path, encoding="utf-8") as f:
+        suffix = json.load(f)["model"].get("end_of_word_suffix")
+    ends = np.zeros(tok.get_vocab_size(), bool)
+    ends[[i for s, i in tok.get_vocab().items() if suffix and s.endswith(suffix)]] = True
+
+    def pieces(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many pieces as one text, with blanks between: the ids that end words tell them apart again."""
+        ids, lengths = [], []
+        runs = [new[i : i + JOIN_PIECES] for i in range(0, len(new), JOIN_PIECES)]
+        for run, e in zip(runs, tok.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, np.uint32)
+            last = np.flatnonzero(ends[found])
+            if len(last) != len(run) or last[-1] != len(found) - 1:  # not so: one by one
+                each = [np.array(x.ids, np.uint32) for x in tok.encode_batch_fast(run, add_special_tokens=False)]
+                found, last = np.concatenate(each), np.cumsum([len(x) for x in each]) - 1
+            ids.append(found)
+            lengths.append(np.diff(last, prepend=-1))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     return PieceEncoder(path, pieces, lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, np.uint32))

@@ -11,8 +11,8 @@ document's begin. So a document, or any range of its ids, is decoded from the ru
 
 File, all little-endian: magic; documents, rounds, rules, symbols, blocks and the first rule's number as u64; rules of
 each round u32; rules u32 pairs; expansion lengths u64; doc_id i64; doc_id is null u8; first symbol of each document u64
-(and the end); ids of each document u64; where each block begins u64 (and the end); the blocks: BLOCK symbols each, as
-the planes of their 4 bytes, deflated.
+(and the end); ids of each document u64; where each block begins u64 (and the end); the blocks: the lowest bytes
+of BLOCK symbols each, then the planes of their other 3 bytes, deflated.
 
 Defined results: a null or empty text has only the end id. Null doc_ids come first; rows of one doc_id stand in the
 order of their texts. An empty table has no shard and no rows. Other columns are left out. Ids are from 0 to 2 ** 31 - 1;
@@ -45,24 +45,29 @@ LEAST = 8
 BLOCK = 1 << 14
 #: Ids and rules stay below it.
 MAX_SYMBOL = 1 << 32
+_BUCKETS = 21
 
 
-def _every_other(at: np.ndarray, joined: np.ndarray) -> np.ndarray:
-    """Of ascending places, those that a walk from the left takes if joined[i] says that at[i] overlaps the one before."""
-    k = np.arange(len(at))
-    return at[(k - np.maximum.accumulate(np.where(joined, 0, k))) % 2 == 0]
+def _odd_ones(joined: np.ndarray) -> np.ndarray:
+    """Of ascending places, whether a walk from the left leaves each out, if joined[i] says that place i overlaps the one
+    before: every other one of a run."""
+    k = np.arange(len(joined))
+    return (k - np.maximum.accumulate(np.where(joined, 0, k))) % 2 == 1
 
 
 class _Sequence:
     """Symbols as a linked list in arrays, with the number of the pair that begins at each place (-1 for none)."""
 
-    def __init__(self, ids: np.ndarray, last: np.ndarray):
+    def __init__(self, ids: np.ndarray, last: np.ndarray, least: int):
         n = len(ids)
         self.symbol, self.last = ids.astype(np.uint32), np.append(last, True)
         self.after, self.before = np.arange(1, n + 1), np.arange(-1, n)  # place n stands for the end
         self.pair = np.full(n + 1, -1, np.int64)
-        self.names = np.zeros(0, np.uint64)
-        self.number(np.arange(n))
+        self.names, self.twin = np.zeros(0, np.uint64), np.zeros(0, bool)
+        # pairs by the bucket of a hash first: those of a bucket with few places can't be frequent, and needn't be sorted
+        mixed = self.symbol[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.symbol[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        bucket = (mixed >> np.uint64(64 - _BUCKETS)).astype(np.int64)
+        self.number(np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKETS)[bucket] >= least))
 
     def number(self, places: np.ndarray) -> None:
         """Number the pairs at places anew; none of them occurs elsewhere under an older number."""
@@ -71,12 +76,16 @@ class _Sequence:
         names, which = np.unique((self.symbol[at].astype(np.uint64) << np.uint64(32)) | self.symbol[self.after[at]], return_inverse=True)
         self.pair[at] = len(self.names) + which
         self.names = np.concatenate([self.names, names])
-
-    def apart(self, at: np.ndarray) -> np.ndarray:
-        """Of ascending places those where a pair occurs without overlapping itself, as in x x x."""
-        same = np.zeros(len(at), bool)
-        same[1:] = (self.after[at[:-1]] == at[1:]) & (self.pair[at[:-1]] == self.pair[at[1:]])
-        return _every_other(at, same) if same.any() else at
+        self.twin = np.concatenate([self.twin, names >> np.uint64(32) == names & np.uint64(0xFFFFFFFF)])
+
+    def overlapping(self, at: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Which of ascending places, with the pairs there, don't count as their pair overlaps the one before, as in x x x."""
+        out = np.flatnonzero(self.twin[pairs])
+        if len(out):
+            same, twins = np.zeros(len(out), bool), at[out]
+            same[1:] = (self.after[twins[:-1]] == twins[1:]) & (pairs[out[:-1]] == pairs[out[1:]])
+            out = out[_odd_ones(same)]
+        return out
 
     def replace(self, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Put symbols in the place of the pairs at these places; returns the places where new pairs may begin."""
@@ -94,26 +103,31 @@ class _Sequence:
 def grammar(ids: np.ndarray, last: np.ndarray, least: int = LEAST, first_rule: int | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(symbols, last, rules of each round): ids with frequent pairs replaced; last marks the ends of documents."""
     first_rule = first_rule or (int(ids.max()) + 1 if len(ids) else 1)
-    seq, rules, count = _Sequence(ids, last), [], 0
+    seq, rules, count = _Sequence(ids, last, least), [], 0
     alive = np.ones(len(ids), bool)
     active = np.flatnonzero(seq.pair[:-1] >= 0)
     order = np.zeros(len(ids) + 1, np.int64)  # how frequent the pair at a place is; its number breaks ties
     while len(active):
-        often = np.bincount(seq.pair[seq.apart(active)], minlength=len(seq.names))
-        keep = often[seq.pair[active]] >= least
+        pairs, total = seq.pair[active], len(seq.names)
+        often = np.bincount(pairs, minlength=total)
+        if len(over := seq.overlapping(active, pairs)):
+            often -= np.bincount(pairs[over], minlength=total)
+        keep = often[pairs] >= least
         order[active[~keep]] = 0
-        active = active[keep]
+        active, pairs = active[keep], pairs[keep]
         if not len(active):
             break
-        order[active] = (often[seq.pair[active]] << 32) | seq.pair[active]
-        mine = order[active]
-        top = active[(mine >= order[seq.after[active]]) & (mine >= order[seq.before[active]])]  # -1 is the end, too
-        at = seq.apart(top)
-        good = np.bincount(seq.pair[at], minlength=len(seq.names)) >= least
+        mine = (often[pairs] << 32) | pairs
+        order[active] = mine
+        top = (mine >= order[seq.after[active]]) & (mine >= order[seq.before[active]])  # -1 is the end, too
+        at, pairs = active[top], pairs[top]
+        if len(over := seq.overlapping(at, pairs)):
+            at, pairs = np.delete(at, over), np.delete(pairs, over)
+        good = np.bincount(pairs, minlength=total) >= least
         if first_rule + count + int(good.sum()) > MAX_SYMBOL:
             raise ValueError("a shard has too many symbols")
-        at = at[good[seq.pair[at]]]
-        number = first_rule + count + (np.cumsum(good) - 1)[seq.pair[at]]
+        chosen = good[pairs]
+        at, number = at[chosen], first_rule + count + (np.cumsum(good) - 1)[pairs[chosen]]
         pairs = seq.names[good]
         rules.append(np.column_stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
         count += len(pairs)
@@ -178,6 +192,17 @@ def rule_lengths(rules: list[np.ndarray], first: int) -> np.ndarray:
     return out
 
 
+def _pack_block(symbols: np.ndarray) -> bytes:
+    """The planes of the symbols' bytes: the lowest, which hardly shrinks, as it is, the others deflated."""
+    planes = np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return planes[0].tobytes() + zlib.compress(planes[1:].tobytes(), 1)
+
+
+def _unpack_block(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(data[:n] + zlib.decompress(data[n:]), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def encode_shard(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> bytes:
     wide = np.asarray(ids, np.int64)
     if len(wide) and (wide.min() < 0 or wide.max() >= 1 << 31):
@@ -191,7 +216,7 @@ def encode_shard(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray
     starts = np.zeros(len(lengths) + 1, np.uint64)
     starts[1:][lengths > 0] = closes
     starts = np.maximum.accumulate(starts)
-    blocks = [zlib.compress(np.ascontiguousarray(seq[a : a + BLOCK].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for a in range(0, len(seq), BLOCK)]
+    blocks = [_pack_block(seq[a : a + BLOCK]) for a in range(0, len(seq), BLOCK)]
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return b"".join([
         MAGIC, struct.pack("<6Q", len(lengths), len(rules), len(pairs), len(seq), len(blocks), first),
@@ -253,8 +278,8 @@ class Shard:
 
     def _block(self, k: int) -> np.ndarray:
         if self._held[0] != k:
-            planes = zlib.decompress(self._read(self.data + int(self.block_at[k]), int(self.block_at[k + 1] - self.block_at[k])))
-            self._held = k, np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            data = self._read(self.data + int(self.block_at[k]), int(self.block_at[k + 1] - self.block_at[k]))
+            self._held = k, _unpack_block(data, min(BLOCK, self.n_symbols - k * BLOCK))
             self.blocks_read += 1
         return self._held[1]
 
@@ -267,6 +292,11 @@ class Shard:
         """The ids of document k."""
         return self.table.expand(self.symbols(self.starts[k], self.starts[k + 1]))
 
+    def documents(self, first: int, end: int) -> list[np.ndarray]:
+        """The ids of documents first to end, expanded together."""
+        ids = self.table.expand(self.symbols(self.starts[first], self.starts[end]))
+        return np.split(ids, np.cumsum(self.lengths[first:end])[:-1]) if end > first else []
+
     def window(self, k: int, first: int, end: int) -> np.ndarray:
         """Ids first to end of document k; only the symbols that stand for them are expanded."""
         symbols = self.symbols(self.starts[k], self.starts[k + 1])
@@ -353,7 +383,7 @@ def _read(manifest: DataFrame, with_ids: bool) -> DataFrame:
                     shard = Shard(f)
                     starts = base + np.cumsum(shard.lengths) - shard.lengths
                     for a in range(0, len(shard.doc_ids), 512):
-                        each = [shard.document(k) for k in range(a, min(a + 512, len(shard.doc_ids)))]
+                        each = shard.documents(a, min(a + 512, len(shard.doc_ids)))
                         out = {"doc_id": pa.array(shard.doc_ids[a : a + 512], pa.int64()), "start": starts[a : a + 512], "n_tokens": np.array([len(x) for x in each], np.int64), "ids_crc32": np.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], np.int64)}
                         if with_ids:
                             out["ids"] = pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32()))

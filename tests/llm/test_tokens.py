@@ -105,6 +105,7 @@ def test_shards_come_back(docs, times):
         a = len(d) // 3
         assert np.array_equal(shard.window(k, a, len(d)), d[a:])
     assert np.array_equal(shard.expansion_lengths, shard.table.length)
+    assert all(np.array_equal(a, b) for a, b in zip(shard.documents(0, len(docs)), docs, strict=True)) and shard.documents(1, 1) == []
 
 
 def test_repeats_shrink_and_rules_expand():
