@@ -47,6 +47,8 @@ WIDTH = 5
 PACK = 1_500_000
 #: Entries of a column block, about: a task holds one block at a time.
 BLOCK_ENTRIES = 2_000_000
+#: Column blocks may have so many times the session's shuffle partitions.
+MORE_TASKS = 4
 #: Nodes that make a column hot, and the most columns that are treated so (8 bytes each are broadcast).
 HOT, MAX_HOT = 1 << 20, 1 << 20
 #: Nodes of a block of a candidate group, at most; groups of up to SMALL_NODES aren't cut, larger ones into up to
@@ -542,9 +544,11 @@ def _sets(width: int, mask: int):
 
 
 def _sorted_parts(df: DataFrame, blocks: int, parts: int) -> DataFrame:
-    """Rows dealt by part; a partition of several parts is sorted, so that a task meets one after another."""
-    out = df.repartitionById(parts, F.col("part"))
-    return out.sortWithinPartitions("part") if blocks > parts else out
+    """Rows dealt by part, a partition each; beyond MORE_TASKS times the session's partitions several parts share one, which
+    is then sorted, so that a task meets one after another."""
+    tasks = min(blocks, MORE_TASKS * parts)
+    out = df.repartitionById(tasks, F.col("part"))
+    return out.sortWithinPartitions("part") if blocks > tasks else out
 
 
 def jaccard_classes(docs: DataFrame, width: int = WIDTH, keys: bool = False, hot: int = HOT, block_entries: int = BLOCK_ENTRIES, mask: int = (1 << 64) - 1) -> DataFrame:
