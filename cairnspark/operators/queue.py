@@ -9,6 +9,7 @@ from cairnspark.functions import estimate as est
 from cairnspark.functions.naming import fit
 from cairnspark.functions.paths import file_name, is_temp_file, parent
 from cairnspark.functions.policy import SKIP_REASONS
+from cairnspark.plans.checkpoint import cut
 
 PAGE_MAX = 500
 STATUSES = ("pending", "running", "done", "skipped", "failed")
@@ -108,7 +109,8 @@ def feed(items: DataFrame, current: DataFrame, job_id: int, kinds: list[str], af
     """
     why = items.where(F.col("job_id") == job_id).select("id", "skip_reason")
     batch = take_pending(items, job_id, kinds, after_id, limit).join(why, "id")
-    checked = source_check(batch, current).withColumn("reason", F.coalesce("problem", "skip_reason")).withColumn("dst", dst)
+    # the batch is written down: naming looks at it many times, and must not read the whole queue for each
+    checked = cut(source_check(batch, current).withColumn("reason", F.coalesce("problem", "skip_reason")).withColumn("dst", dst))
     named = resolve_names(checked.where("reason IS NULL").select("id", F.col("src_path").alias("src"), "dst"), taken, existing).select("id", F.lit(True).alias("_go"), "final")
     action = F.when(F.col("_go").isNull(), "skip").when(F.col("final").isNull(), "fail").otherwise("dispatch")
     return checked.join(named, "id", "left").select("id", "src_path", "kind", "est_secs", action.alias("action"), "reason", F.col("final").alias("dst"))
@@ -397,11 +399,11 @@ def resolve_names(targets: DataFrame, taken: DataFrame | None = None, existing:
     return alone.unionByName(kept).unionByName(given).unionByName(late).unionByName(walked)
 
 
-def run_job(items: DataFrame, current: DataFrame, job_id: int, dst: Column, work, cut, batch: int = 100_000, stopped=lambda: False) -> tuple[DataFrame, str]:
+def run_job(items: DataFrame, current: DataFrame, job_id: int, dst: Column, work, batch: int = 100_000, stopped=lambda: False) -> tuple[DataFrame, str]:
     """(items, status) after passes over a job's pending items, batch by batch, until none is left or stopped() says so.
 
     work gets what feed() dispatches and returns changes (of types done, failed or skipped) for it; what feed() skips or
-    fails is noted here. cut writes a table down between batches. What is still pending makes the job paused, else it is done.
+    fails is noted here. Tables are written down between batches. What is still pending makes the job paused, else it is done.
     """
     after = -(2**63)
     while not stopped():

@@ -200,7 +200,7 @@ def job_run(spark, sf_dir):
             F.lit(1).cast("long").alias("elapsed_ms"), F.when(bad, "io").alias("code"), F.when(bad, "broken").alias("msg"), F.lit(None).cast("string").alias("reason"),
         )
 
-    done, status = queue.run_job(items, now, 3, F.concat(F.lit("/out/"), F.col("id").cast("string")), work, cut, 2000)
+    done, status = queue.run_job(items, now, 3, F.concat(F.lit("/out/"), F.col("id").cast("string")), work, 2000)
     g = done.where("job_id = 3").groupBy("status", "skip_reason").agg(F.count("*").alias("n"), F.count("dst_path").alias("written"), F.sum(F.octet_length("dst_path")).cast("long").alias("path_bytes"))
     return g.select(F.lit(status).alias("job_status"), "status", "skip_reason", "n", "written", "path_bytes")
 
