@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import chat_grammar, poisson_mix, warc_chunks
+from cairnspark.llm import chat_grammar, filter_shapley, poisson_mix, warc_chunks
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,5 +74,9 @@ def op8_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, train(spark, docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_telephony, op2_warc_chunks, op3_chat_grammar, op4_langmask, op5_poisson_mix, op6_repair_ids, op7_jaccard_product, op8_quality_gbt, op9_bpe_batch, op10_token_rollup)}
-ORACLE: dict[str, str] = {"op2_warc_chunks": warc_chunks.ORACLE, "op3_chat_grammar": chat_grammar.ORACLE, "op5_poisson_mix": poisson_mix.ORACLE}
+def op11_filter_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_shapley.audit(filter_shapley.mask_counts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_telephony, op2_warc_chunks, op3_chat_grammar, op4_langmask, op5_poisson_mix, op6_repair_ids, op7_jaccard_product, op8_quality_gbt, op9_bpe_batch, op10_token_rollup, op11_filter_shapley)}
+ORACLE: dict[str, str] = {"op2_warc_chunks": warc_chunks.ORACLE, "op3_chat_grammar": chat_grammar.ORACLE, "op5_poisson_mix": poisson_mix.ORACLE, "op11_filter_shapley": filter_shapley.ORACLE}
