@@ -78,5 +78,11 @@ def op11_filter_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_shapley.audit(filter_shapley.mask_counts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_telephony, op2_warc_chunks, op3_chat_grammar, op4_langmask, op5_poisson_mix, op6_repair_ids, op7_jaccard_product, op8_quality_gbt, op9_bpe_batch, op10_token_rollup, op11_filter_shapley)}
+def op12_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairnspark.llm.golay_simhash import simhash_classes
+
+    return simhash_classes(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_telephony, op2_warc_chunks, op3_chat_grammar, op4_langmask, op5_poisson_mix, op6_repair_ids, op7_jaccard_product, op8_quality_gbt, op9_bpe_batch, op10_token_rollup, op11_filter_shapley, op12_golay_simhash)}
 ORACLE: dict[str, str] = {"op2_warc_chunks": warc_chunks.ORACLE, "op3_chat_grammar": chat_grammar.ORACLE, "op5_poisson_mix": poisson_mix.ORACLE, "op11_filter_shapley": filter_shapley.ORACLE}
