@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import chat_grammar, filter_shapley, poisson_mix, warc_chunks
+from cairnspark.llm import bitplane_negatives, chat_grammar, filter_shapley, poisson_mix, warc_chunks
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,5 +84,9 @@ def op12_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_telephony, op2_warc_chunks, op3_chat_grammar, op4_langmask, op5_poisson_mix, op6_repair_ids, op7_jaccard_product, op8_quality_gbt, op9_bpe_batch, op10_token_rollup, op11_filter_shapley, op12_golay_simhash)}
-ORACLE: dict[str, str] = {"op2_warc_chunks": warc_chunks.ORACLE, "op3_chat_grammar": chat_grammar.ORACLE, "op5_poisson_mix": poisson_mix.ORACLE, "op11_filter_shapley": filter_shapley.ORACLE}
+def op13_bitplane_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplane_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_telephony, op2_warc_chunks, op3_chat_grammar, op4_langmask, op5_poisson_mix, op6_repair_ids, op7_jaccard_product, op8_quality_gbt, op9_bpe_batch, op10_token_rollup, op11_filter_shapley, op12_golay_simhash, op13_bitplane_negatives)}
+ORACLE: dict[str, str] = {"op2_warc_chunks": warc_chunks.ORACLE, "op3_chat_grammar": chat_grammar.ORACLE, "op5_poisson_mix": poisson_mix.ORACLE, "op11_filter_shapley": filter_shapley.ORACLE, "op13_bitplane_negatives": bitplane_negatives.ORACLE}
