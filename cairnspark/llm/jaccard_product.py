@@ -551,6 +551,47 @@ def _sorted_parts(df: DataFrame, blocks: int, parts: int) -> DataFrame:
     return out.sortWithinPartitions("part") if blocks > tasks else out
 
 
+def _name_of(width: int):
+    """Texts to the names of their shingle sets; null without shingles."""
+
+    def run(text: pa.Array) -> pa.Array:
+        out: list[dict | None] = []
+        for _, _, data, offsets in text_slices(pa.record_batch({"text": text}), "text"):
+            for s in shingle_sets(data, offsets, width):
+                out.append(dict(zip(("hi", "lo"), np.array(set_name(s), np.uint64).view(np.int64).tolist(), strict=True)) if s.shape[1] else None)
+        return pa.array(out, pa.struct([("hi", pa.int64()), ("lo", pa.int64())]))
+
+    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "hi bigint, lo bigint")
+
+
+def _picked(texts: DataFrame, named: DataFrame, wanted: DataFrame, width: int, mask: int) -> DataFrame:
+    """text, hi, lo, node, weight, root and cuts: a text for each wanted node.
+
+    A doc_id of one row is enough to find the text by. The texts of null and repeated doc_ids are named again and found by
+    doc_id and set together, so that the rows of such a doc_id don't meet all nodes that it stands for; one row for each
+    node goes on.
+    """
+    fields = ("hi", "lo", "node", "weight", "root", "cuts")
+    pick = wanted.select(F.col("first_id").alias("want_id"), *fields)
+    few = wanted.count() <= BROADCAST_IDS // 2
+    hint = F.broadcast if few else (lambda df: df)
+    same_id = F.col("doc_id").eqNullSafe(F.col("want_id"))
+    rows = named.where("kind = 0").select("doc_id").join(hint(pick.select("want_id")), same_id, "left_semi")
+    odd = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NULL OR n > 1").select(F.col("doc_id").alias("odd_id")), "jaccard-odd-nodes")
+    if odd.isEmpty():
+        return texts.join(hint(pick), same_id).select("text", *fields)
+    is_odd = F.col("want_id").eqNullSafe(F.col("odd_id"))
+    known = texts.join(hint(pick.join(odd, is_odd, "left_anti")), same_id).select("text", *fields)
+    again = texts.join(odd, F.col("doc_id").eqNullSafe(F.col("odd_id")), "left_semi").withColumn("name", _name_of(width)(F.col("text"))).where("name IS NOT NULL")
+    # written down, so that the join is of plain shuffles, whose hot partitions Spark can split
+    again = materialise(again.select("doc_id", "text", F.col("name.hi").bitwiseAND(mask if mask < 1 << 63 else mask - (1 << 64)).alias("set_hi"), F.col("name.lo").alias("set_lo")), "jaccard-odd-texts")
+    by_set = same_id & (F.col("set_hi") == F.col("hi")) & (F.col("set_lo") == F.col("lo"))
+    found = again.join(hint(pick.join(odd, is_odd, "left_semi")), by_set)
+    first = found.groupBy(*fields).agg(F.first("text").alias("text")).select("text", *fields)
+    return known.unionAll(first)
+
+
 def jaccard_classes(docs: DataFrame, width: int = WIDTH, keys: bool = False, hot: int = HOT, block_entries: int = BLOCK_ENTRIES, mask: int = (1 << 64) - 1) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every document; links are Jaccard similarities of 0.75 or more.
 
@@ -589,9 +630,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, keys: bool = False, hot
     sizes = materialise(sizes.select("root", F.least(cuts, "size").alias("cuts")), "jaccard-sizes")
     wanted = materialise(wanted.join(sizes, "root"), "jaccard-wanted")
 
-    pick = wanted.select(F.col("first_id").alias("want_id"), "hi", "lo", "node", "weight", "root", "cuts")
-    pick = F.broadcast(pick) if wanted.count() <= BROADCAST_IDS // 2 else pick
-    picked = texts.join(pick, F.col("doc_id").eqNullSafe(F.col("want_id"))).select("text", "hi", "lo", "node", "weight", "root", "cuts")
+    picked = _picked(texts, named, wanted, width, mask)
     sets = picked.mapInArrow(_sets(width, mask), "node bigint, weight bigint, root bigint, cuts bigint, lanes binary")
     cut = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
@@ -617,20 +656,6 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, keys: bool = False, hot
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), *more)
 
 
-def _name_of(width: int):
-    """Texts to the names of their shingle sets; null without shingles."""
-
-    def run(text: pa.Array) -> pa.Array:
-        out: list[dict | None] = []
-        for _, _, data, offsets in text_slices(pa.record_batch({"text": text}), "text"):
-            for s in shingle_sets(data, offsets, width):
-                out.append(dict(zip(("hi", "lo"), np.array(set_name(s), np.uint64).view(np.int64).tolist(), strict=True)) if s.shape[1] else None)
-        return pa.array(out, pa.struct([("hi", pa.int64()), ("lo", pa.int64())]))
-
-    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "hi bigint, lo bigint")
-
-
 def keep_first(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with one row of each component left: that with the smallest doc_id.
 

@@ -223,7 +223,8 @@ _STATS_DDL = "doc_id bigint, quality int, x array<double>"
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Trees | None:
     """Grow the trees on up to about max_rows labelled documents, picked by a hash of doc_id; None without two classes.
 
-    Only the features of the picked rows (a few dozen numbers each) come to the driver.
+    Only the features of the picked rows (a few dozen numbers each) come to the driver: where rows repeat a doc_id, of its
+    features the least in their order, so that it counts once.
     """
     from pyspark.sql import types as T
 
@@ -243,7 +244,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
                 x = statistics(data, offsets)["x"]
                 yield pa.record_batch({"doc_id": batch.column(0).slice(a, b - a), "quality": batch.column(1).slice(a, b - a), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))})
 
-    found = rows.mapInArrow(score, T._parse_datatype_string(_STATS_DDL)).toArrow()
+    scored = rows.mapInArrow(score, T._parse_datatype_string(_STATS_DDL))
+    found = scored.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow()
     y = found.column("quality").to_numpy()
     if not len(y) or y.min() == y.max():
         return None

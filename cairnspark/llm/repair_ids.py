@@ -43,6 +43,8 @@ SHARD_IDS = 1_000_000
 LEAST = 8
 #: Symbols that are packed together, and unpacked to read any one of them.
 BLOCK = 1 << 14
+#: Characters by which the rows of a repeated doc_id are dealt out, and the most repeated doc_ids that are broadcast.
+PREFIX, BROADCAST_IDS = 512, 200_000
 #: Ids and rules stay below it.
 MAX_SYMBOL = 1 << 32
 _BUCKETS = 21
@@ -318,6 +320,24 @@ def runs_of(who: list, texts: list[str | None], chars: int) -> Iterator[tuple[li
         yield who[a:], texts[a:]
 
 
+def _in_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text in ranges of the order of both.
+
+    Ranges end between doc_ids, but where a doc_id is null or repeated also between texts: its rows are dealt by the first
+    PREFIX characters, which the order of texts agrees with. So only rows of a doc_id that agree in these share a task.
+    """
+    parts = parallelism(docs.sparkSession)
+    counts = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    odd = materialise(counts.where("n > 1").select(F.col("doc_id").alias("odd_id"), F.lit(True).alias("odd")), "token-odd-ids")
+    found = odd.count()
+    if not found:
+        return docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    odd = F.broadcast(odd) if found <= BROADCAST_IDS else odd
+    start = F.when(F.col("odd"), F.substring("text", 1, PREFIX))
+    marked = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("odd_id")), "left").select("doc_id", "text", start.alias("start"))
+    return marked.repartitionByRange(parts, "doc_id", "start").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
+
+
 def write_shards(docs: DataFrame, folder: str | None = None, path: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode whole texts, append END_ID to each, and write the shards in ascending doc_id order.
 
@@ -327,7 +347,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str | None =
     spark = docs.sparkSession
     folder, path = folder or scratch(spark, "token-shards"), path or default_path()
     small_batches(spark)
-    dealt = docs.select("doc_id", "text").repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = _in_order(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
