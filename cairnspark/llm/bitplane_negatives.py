@@ -35,8 +35,8 @@ POSITIVES, NEGATIVES = 5, 3
 GROUP_ROWS, TILE = 16384, 64
 #: Scores of admitted rows, and their intervals, fit a long.
 MOST_SQUARES = float(1 << 60)
-#: Pairs are gathered one by one once so small a share of them is left.
-SPARSE = 1 / 8
+#: Pairs are gathered one by one once so small a share of them is left, so many at once.
+SPARSE, PAIRS = 1 / 8, 1 << 15
 _LEAST = np.iinfo(np.int64).min
 
 
@@ -66,12 +66,12 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 class Planes:
-    """The bit-planes of a group of rows: plane 0 is the sign, with a negative weight."""
+    """The bit-planes of a group of rows: the first is the sign, with a negative weight."""
 
     def __init__(self, v: np.ndarray):
         top = max(int(v.max(initial=0)), -int(v.min(initial=0)) - 1, 0).bit_length()
         self.bits = list(range(top, -1, -1))
-        self.planes = [(v >> b & 1).astype(np.uint8) for b in self.bits]
+        self.planes = [(v >> b & 1).astype(np.float32) for b in self.bits]
 
     def weight(self, k: int) -> int:
         return (-1 if k == 0 else 1) << self.bits[k]
@@ -81,43 +81,45 @@ class Planes:
         return (1 << self.bits[k]) - 1
 
 
-def _kth(values: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest of each row; the least long where there are fewer."""
-    if values.shape[1] < k:
-        return np.full(len(values), _LEAST)
-    return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
+def scores_left(planes: Planes, anchors: np.ndarray, rows: slice, alive: np.ndarray | None, coarse, fine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, row, score) of the pairs of anchors and rows that can qualify; alive has the pairs to begin with, or None.
 
-
-def scores_left(planes: Planes, anchors: np.ndarray, alive: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, row, score) of the pairs that keep() leaves; alive has the pairs to begin with.
-
-    keep(begins, ends, alive) takes the intervals of the pairs and gives the pairs that can still qualify.
+    coarse(begins, ends) takes the intervals of all pairs as matrices, fine(anchor, begins, ends) those of single pairs in
+    the order of anchors; both tell which pairs can still qualify.
     """
-    low, high = np.minimum(anchors, 0).sum(1), np.maximum(anchors, 0).sum(1)
-    kind = np.float32 if int(np.abs(anchors).sum(1).max(initial=0)) < 1 << 24 else np.float64
+    low, high = np.minimum(anchors, 0).sum(1)[:, None], np.maximum(anchors, 0).sum(1)[:, None]
+    kind = np.float32 if int((high - low).max(initial=0)) < 1 << 24 else np.float64  # sums of a plane are exact
     a = anchors.astype(kind)
-    total = np.zeros(alive.shape, np.int64)
-    pairs = None
+    total = np.zeros((len(anchors), rows.stop - rows.start), np.int64)
+    alive = np.ones(total.shape, bool) if alive is None else alive
+    i, j = np.zeros((2, 0), np.int64)
+    gathered = False
     for k, plane in enumerate(planes.planes):
-        if pairs is None and alive.mean() < SPARSE:
-            pairs = np.nonzero(alive)
-        if pairs is None:
-            total += (a @ plane.T.astype(kind)).astype(np.int64) * planes.weight(k)
-        else:
-            i, j = pairs
-            for s in range(0, len(i), 1 << 15):
-                x, y = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-                total[x, y] += np.einsum("ij,ij->i", a[x], plane[y].astype(kind)).astype(np.int64) * planes.weight(k)
-        rest = planes.rest(k)
-        if pairs is None:
-            alive = keep(total + (low * rest)[:, None], total + (high * rest)[:, None], alive)
+        own, rest = plane[rows], planes.rest(k)
+        if not gathered:
+            total += (a @ own.T.astype(kind, copy=False)).astype(np.int64) * planes.weight(k)
+            alive &= coarse(total + low * rest, total + high * rest)
+            if np.count_nonzero(alive) < SPARSE * alive.size or k == len(planes.planes) - 1:
+                i, j = np.nonzero(alive)
+                total, gathered = total[i, j], True
         else:
-            begins, ends = np.full(alive.shape, _LEAST), np.full(alive.shape, _LEAST)
-            begins[i, j], ends[i, j] = total[i, j] + low[i] * rest, total[i, j] + high[i] * rest
-            alive = keep(begins, ends, alive)
-            pairs = np.nonzero(alive)
-    i, j = np.nonzero(alive) if pairs is None else pairs
-    return i, j, total[i, j]
+            for s in range(0, len(i), PAIRS):
+                x, y = i[s : s + PAIRS], j[s : s + PAIRS]
+                total[s : s + PAIRS] += np.einsum("ij,ij->i", a[x], own[y].astype(kind, copy=False)).astype(np.int64) * planes.weight(k)
+        if gathered:
+            keep = fine(i, total + low[i, 0] * rest, total + high[i, 0] * rest)
+            i, j, total = i[keep], j[keep], total[keep]
+    return i, j + rows.start, total
+
+
+def _kth(n: int, anchor: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest value of each of n anchors; the least long where there are fewer. anchor is in order."""
+    out = np.full(n, _LEAST)
+    values = values[np.lexsort([-values, anchor])]
+    start = np.searchsorted(anchor, np.arange(n))
+    has = np.bincount(anchor, minlength=n) >= k
+    out[has] = values[start[has] + k - 1]
+    return out
 
 
 def _best(group: list[np.ndarray], score: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
@@ -131,27 +133,40 @@ def _best(group: list[np.ndarray], score: np.ndarray, tie: np.ndarray, k: int) -
     return order[rank < k]
 
 
-def _keep_best(k: int):
-    """Pairs whose scores can be among the anchor's k best."""
+def among_best(n: int, k: int):
+    """Whether a score can be among its anchor's k best, of n anchors: for matrices, and for single pairs."""
+
+    def coarse(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if begins.shape[1] < k:
+            return np.ones(begins.shape, bool)
+        at = begins.shape[1] - k
+        return ends >= np.partition(begins, at, axis=1)[:, at, None]
+
+    def fine(i: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return ends >= _kth(n, i, begins, k)[i]
 
-    def keep(begins: np.ndarray, ends: np.ndarray, alive: np.ndarray) -> np.ndarray:
-        return alive & (ends >= _kth(np.where(alive, begins, _LEAST), k)[:, None])
+    return coarse, fine
 
-    return keep
 
+def among_inside(low: np.ndarray, high: np.ndarray, k: int):
+    """Whether a score can be among the k best inside one of its anchor's windows, from low to high."""
+    some = low <= high
+    least = np.where(some, low, -_LEAST - 1).min(1)[:, None] if low.shape[1] else np.full((len(low), 1), -_LEAST - 1)
+    most = np.where(some, high, _LEAST).max(1)[:, None] if low.shape[1] else np.full((len(low), 1), _LEAST)
 
-def _keep_inside(low: np.ndarray, high: np.ndarray, k: int):
-    """Pairs whose scores can be among the k best inside one of the anchor's windows: columns of low and high."""
+    def coarse(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (ends >= least) & (begins <= most)
 
-    def keep(begins: np.ndarray, ends: np.ndarray, alive: np.ndarray) -> np.ndarray:
-        out = np.zeros(alive.shape, bool)
-        for lo, hi in zip(low.T[:, :, None], high.T[:, :, None], strict=True):
-            sure = alive & (begins >= lo) & (ends <= hi)
-            cut = np.maximum(_kth(np.where(sure, begins, _LEAST), k)[:, None], lo)
-            out |= alive & (ends >= cut) & (begins <= hi) & (lo <= hi)
+    def fine(i: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for w in range(low.shape[1]):
+            lo, hi = low[i, w], high[i, w]
+            sure = (begins >= lo) & (ends <= hi)
+            cut = np.maximum(_kth(len(low), i[sure], begins[sure], k)[i], lo)
+            out |= (ends >= cut) & (begins <= hi) & (lo <= hi)
         return out
 
-    return keep
+    return coarse, fine
 
 
 def _windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,16 +198,23 @@ def _search(k: int, inside: bool):
             group.pop("planes", None)
         if "planes" not in group:
             group["planes"] = Planes(group["v"])
-        for t in range(0, batch.num_rows, TILE):
-            tile = batch.slice(t, TILE)
-            own, label = (tile.column(c).to_numpy()[:, None] for c in ("row", "label"))
-            same, v = label == group["label"], anchors[t : t + TILE]
+        label = batch.column("label").to_numpy()
+        cuts = range(0, batch.num_rows, TILE)
+        if not inside:  # anchors stand in the order of their labels, and meet the rows of one label at a time
+            cuts = sorted({*cuts, *np.flatnonzero(label[1:] != label[:-1]) + 1})
+        for t, end in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+            tile, v = batch.slice(t, end - t), anchors[t:end]
+            own = tile.column("row").to_numpy()[:, None]
             if not inside:
-                i, j, score = scores_left(group["planes"], v, same & (own != group["row"]), _keep_best(k))
+                mine = slice(*np.searchsorted(group["label"], [label[t], label[t] + 1]).tolist())
+                i, j, score = scores_left(group["planes"], v, mine, None, *among_best(len(v), k + 1))
+                other = own[i, 0] != group["row"][j]
+                i, j, score = i[other], j[other], score[other]
                 yield found(tile, i, np.zeros(len(i), np.int64), group["vec_id"][j], score)
                 continue
             of, low, high = _windows(tile.column("windows"))
-            i, j, score = scores_left(group["planes"], v, ~same, _keep_inside(low, high, k))
+            others = label[t:end, None] != group["label"]
+            i, j, score = scores_left(group["planes"], v, slice(0, len(group["row"])), others, *among_inside(low, high, k))
             at, w = np.nonzero((low[i] <= score[:, None]) & (score[:, None] <= high[i]))
             yield found(tile, i[at], of[i[at], w], group["vec_id"][j[at]], score[at])
 
@@ -204,7 +226,7 @@ def _search(k: int, inside: bool):
                 rows.append(batch.slice(0, split))
             if split < batch.num_rows and rows:
                 if group is None:
-                    table = pa.Table.from_batches(rows)
+                    table = pa.Table.from_batches(rows).sort_by("label")
                     group = {c: table[c].to_numpy() for c in ("row", "vec_id", "label")} | {"v": _matrix(table["v"].combine_chunks(), 0)}
                 yield from visit(group, batch.slice(split))
 
@@ -218,7 +240,7 @@ def _visits(rows: DataFrame, anchors: DataFrame, groups: int, k: int, inside: bo
     own = rows.select(F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("part"), F.lit(0).alias("kind"), *fields, none.alias("windows"))
     each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     guests = anchors.select(each.alias("part"), F.lit(1).alias("kind"), *fields, ("windows" if inside else none.alias("windows")))
-    dealt = own.unionByName(guests).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
+    dealt = own.unionByName(guests).repartitionById(groups, F.col("part")).sortWithinPartitions("kind", "label")
     return dealt.mapInArrow(_search(k, inside), _FOUND)
 
 
