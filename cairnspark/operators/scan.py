@@ -63,6 +63,18 @@ def counters(files: DataFrame, cancelled: bool = False) -> DataFrame:
     return one.select("files_seen", "media_found", "bytes", (F.col("linked") - F.col("media_found")).alias("hardlinks_skipped"), "non_media", "sidecars", "bundles_skipped", "errors", F.lit(cancelled).alias("cancelled"))
 
 
+def walk_counters(walked: DataFrame, cancelled: bool = False) -> DataFrame:
+    """counters() of what a walk has met (sources.tree): its bundles stayed closed, and its errors are rows."""
+    files = with_category(walked.where("kind = 'file'"))
+    media = files.where("category = 'media'")
+    unique = drop_hard_links(media)
+    base = files.agg(F.count_if(F.col("category").isin("other", "media")).alias("files_seen"), *(F.count_if(F.col("category") == c).alias(n) for c, n in (("other", "non_media"), ("sidecar", "sidecars"), ("media", "linked"))))
+    found = unique.agg(F.count("*").alias("media_found"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    rest = walked.agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in (("bundle", "bundles_skipped"), ("error", "errors"))))
+    one = one_row(base, found, rest)
+    return one.select("files_seen", "media_found", "bytes", (F.col("linked") - F.col("media_found")).alias("hardlinks_skipped"), "non_media", "sidecars", "bundles_skipped", "errors", F.lit(cancelled).alias("cancelled"))
+
+
 def merge_counters(rows: DataFrame) -> DataFrame:
     """Counters of several walks as one: sums, and cancelled if any was."""
     sums = [F.sum(c).alias(c) for c in rows.columns if c != "cancelled"]

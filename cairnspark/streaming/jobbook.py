@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cairnspark.functions.estimate import calibrated, wall_seconds
-from cairnspark.plans.checkpoint import shared_dir
+from cairnspark.plans.checkpoint import importable, shared_dir
 from cairnspark.streaming.bookkeeping import BATCH_CHANGES, BATCH_MILLIS, TICK_MILLIS
 
 MESSAGE = "job_id bigint, part bigint, seq bigint, at bigint, type string, id bigint, est bigint, video boolean, percent bigint, src_size bigint, dst_size bigint, parts bigint"
@@ -284,6 +284,7 @@ def read_messages(spark: SparkSession, folder: str, files_per_batch: int = 4) ->
 
 def books(messages: DataFrame, delay: str, count: int = BATCH_CHANGES, millis: int = BATCH_MILLIS, tick: int = TICK_MILLIS, live: bool = False) -> DataFrame:
     """What the books of all jobs give, from a stream of messages. delay is how late a message may come in event time."""
+    importable(messages.sparkSession)
     marked = messages.select(*_FIELDS, F.timestamp_millis("at").alias("time")).withWatermark("time", delay)
     processor = JobBook(count, millis, tick, live)
     return marked.groupBy("job_id").transformWithState(processor, OUT, "Append", "ProcessingTime" if live else "EventTime")

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from cairnspark.plans import catalog_live as catalog
+from cairnspark.plans import catalog_disk as catalog
 from cairnspark.sources import corpus, files
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
