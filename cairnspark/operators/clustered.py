@@ -58,7 +58,7 @@ def page(spark: SparkSession, folder: str, job_id: int, status: str | None = Non
     return queue.page(_rows(spark, folder, [r["file"] for r in found]), job_id, status, limit, offset - skipped)
 
 
-def take_pending(spark: SparkSession, folder: str, job_id: int, kinds: list[str], after_id: int, limit: int = 32) -> DataFrame:
+def take_pending(spark: SparkSession, folder: str, job_id: int, kinds: list[str], after_id: int, limit: int = 32, more: list[str] | None = None) -> DataFrame:
     """queue.take_pending of a clustered table."""
     n = sum((F.col(f"pending_{k}") for k in kinds), F.lit(0))
     left = index(spark, folder).where((F.col("job_id") == job_id) & (F.col("last_id") > after_id)).where(n > 0)
@@ -66,4 +66,4 @@ def take_pending(spark: SparkSession, folder: str, job_id: int, kinds: list[str]
     inside = F.col("first_id") <= after_id
     here = [r["file"] for r in left.where(inside).select("file").collect()]
     files = here + [r["file"] for r in _until(left.where(~inside), n, limit).select("file").orderBy("first_id").collect()]
-    return queue.take_pending(_rows(spark, folder, files), job_id, kinds, after_id, limit)
+    return queue.take_pending(_rows(spark, folder, files), job_id, kinds, after_id, limit, more)

@@ -34,13 +34,22 @@ def cascade(files: DataFrame, window: int = WINDOW_BYTES, cache: DataFrame | Non
     can't be read or has changed. So the cache serves only files that passed this check. Content is never shuffled: the
     ends of files are hashed as they are scanned, and a second scan hashes the whole of those that need it.
     """
+    sized, same = sampled(files, window)
+    return sized, same, final_tier(same, full_hashes(files, same.where(F.col("size") > 2 * window), cache), window)
+
+
+def sampled(files: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The first tiers: files of the same size, and those of the same sample, written down. Content is scanned once."""
     narrow = cut(files.where("size IS NOT NULL").select("path", "size", "mtime", sample_hash(F.col("content"), F.col("size"), window).alias("sample")))
     sized = in_groups(narrow, "size")
-    same = cut(in_groups(sized.where("sample IS NOT NULL"), "size", "sample"))
-    full = full_hashes(files, same.where(F.col("size") > 2 * window), cache).drop("hit")
+    return sized, cut(in_groups(sized.where("sample IS NOT NULL"), "size", "sample"))
+
+
+def final_tier(same: DataFrame, full: DataFrame, window: int) -> DataFrame:
+    """Members of groups of the same final hash: that of a small file is its sample, that of a large one is in full."""
     small = same.where(F.col("size") <= 2 * window).select("path", "size", "mtime", F.col("sample").alias("hash"))
-    final = small.unionByName(same.where(F.col("size") > 2 * window).join(full, ["path", "size", "mtime"]).select("path", "size", "mtime", "hash"))
-    return sized, same, in_groups(final, "size", "hash")
+    large = same.where(F.col("size") > 2 * window).join(full.select("path", "size", "mtime", "hash"), ["path", "size", "mtime"])
+    return in_groups(small.unionByName(large.select("path", "size", "mtime", "hash")), "size", "hash")
 
 
 def full_hashes(files: DataFrame, chosen: DataFrame, cache: DataFrame | None = None) -> DataFrame:
@@ -66,7 +75,11 @@ def groups(files: DataFrame, window: int = WINDOW_BYTES, cache: DataFrame | None
 
     Groups by reclaimable bytes (all copies but one), then hash; members by path, component by component.
     """
-    _, _, members = cascade(files.select("path", "size", "mtime", "content"), window, cache)
+    return ranked_groups(cascade(files.select("path", "size", "mtime", "content"), window, cache)[2])
+
+
+def ranked_groups(members: DataFrame) -> DataFrame:
+    """The rows of groups(), from the members of the last tier."""
     members = cut(members.select("path", "size", "mtime", "hash"))
     g = members.groupBy("hash", "size").agg(F.count("*").alias("files")).withColumn("reclaimable", F.col("size") * (F.col("files") - 1))
     ranked = cut(row_numbers(g, [descending("reclaimable"), "hash"], "group_rank"))
@@ -80,11 +93,17 @@ def groups(files: DataFrame, window: int = WINDOW_BYTES, cache: DataFrame | None
 def cached_cascade(files: DataFrame, cache: DataFrame, window: int = WINDOW_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, hashed, puts): the groups' members as groups() gives them, path and hit of each file at the last tier,
     and the rows that are to be put into the cache."""
+    return counted_cascade(files, cache, window)[:3]
+
+
+def counted_cascade(files: DataFrame, cache: DataFrame, window: int = WINDOW_BYTES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """cached_cascade() and the row of stage_counts(), from one scan of the samples and one of the large files' content."""
     files = files.select("path", "size", "mtime", "content")
-    hashed = cut(full_hashes(files, cascade(files, window)[1].where(F.col("size") > 2 * window), cache))
+    sized, same = sampled(files, window)
+    hashed = cut(full_hashes(files, same.where(F.col("size") > 2 * window), cache))
     puts = hashed.where("NOT hit").select("path", F.lit(FULL_HASH_ALGO).alias("algo"), "size", "mtime", "hash")
-    known = hashed.select("path", F.lit(FULL_HASH_ALGO).alias("algo"), "size", "mtime", "hash")
-    return groups(files, window, known), hashed.select("path", "hit"), puts
+    last = cut(final_tier(same, hashed, window))
+    return ranked_groups(last), hashed.select("path", "hit"), puts, _counted(files, sized, same, last, window)
 
 
 def stage_counts(files: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
@@ -92,7 +111,10 @@ def stage_counts(files: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
 
     errors are files that had to be read and couldn't be, or had changed.
     """
-    sized, same, last = cascade(files.select("path", "size", "mtime", "content"), window)
+    return _counted(files, *cascade(files.select("path", "size", "mtime", "content"), window), window)
+
+
+def _counted(files: DataFrame, sized: DataFrame, same: DataFrame, last: DataFrame, window: int) -> DataFrame:
     small = F.col("size") <= 2 * window
     parts = [
         files.where("size IS NOT NULL").agg(F.count("*").alias("candidates")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from cairnspark.functions import estimate as est
 from cairnspark.functions.naming import fit
 from cairnspark.functions.paths import file_name, is_temp_file, parent
 from cairnspark.functions.policy import SKIP_REASONS
-from cairnspark.plans.checkpoint import cut
+from cairnspark.plans.checkpoint import cut, shared_dir
 
 PAGE_MAX = 500
 STATUSES = ("pending", "running", "done", "skipped", "failed")
@@ -32,11 +34,11 @@ def page(items: DataFrame, job_id: int, status: str | None = None, limit: int =
     return cut.join(F.broadcast(reasons(items.sparkSession)), "skip_reason", "left").select(*columns, "skip_message")
 
 
-def take_pending(items: DataFrame, job_id: int, kinds: list[str], after_id: int, limit: int = 32) -> DataFrame:
-    """The next items to do after an id; no kinds, no items."""
+def take_pending(items: DataFrame, job_id: int, kinds: list[str], after_id: int, limit: int = 32, more: list[str] | None = None) -> DataFrame:
+    """The next items to do after an id; no kinds, no items. more names further columns to take along."""
     rows = items.where((F.col("job_id") == job_id) & (F.col("status") == "pending") & (F.col("id") > after_id))
     rows = rows.where(F.col("kind").isin(*kinds)) if kinds else rows.where(F.lit(False))
-    return rows.select("id", "src_path", "src_size", "src_mtime", "kind", "est_secs").orderBy("id").limit(limit)
+    return rows.select("id", "src_path", "src_size", "src_mtime", "kind", "est_secs", *(more or [])).orderBy("id").limit(limit)
 
 
 def count_items(items: DataFrame, job_id: int, status: str | None = None) -> DataFrame:
@@ -108,7 +110,11 @@ def feed(items: DataFrame, current: DataFrame, job_id: int, kinds: list[str], af
     against taken. dst is a column over src_path and kind. An item without a free name is failed.
     """
     why = items.where(F.col("job_id") == job_id).select("id", "skip_reason")
-    batch = take_pending(items, job_id, kinds, after_id, limit).join(why, "id")
+    return decide_batch(take_pending(items, job_id, kinds, after_id, limit).join(why, "id"), current, dst, taken, existing)
+
+
+def decide_batch(batch: DataFrame, current: DataFrame, dst: Column, taken: DataFrame | None = None, existing: str = "rename") -> DataFrame:
+    """What becomes of a batch of items (as take_pending() gives them, and skip_reason): the rows of feed()."""
     # the batch is written down: naming looks at it many times, and must not read the whole queue for each
     checked = cut(source_check(batch, current).withColumn("reason", F.coalesce("problem", "skip_reason")).withColumn("dst", dst))
     named = resolve_names(checked.where("reason IS NULL").select("id", F.col("src_path").alias("src"), "dst"), taken, existing).select("id", F.lit(True).alias("_go"), "final")
@@ -403,20 +409,32 @@ def run_job(items: DataFrame, current: DataFrame, job_id: int, dst: Column, work
     """(items, status) after passes over a job's pending items, batch by batch, until none is left or stopped() says so.
 
     work gets what feed() dispatches and returns changes (of types done, failed or skipped) for it; what feed() skips or
-    fails is noted here. Tables are written down between batches. What is still pending makes the job paused, else it is done.
+    fails is noted here. What is still pending makes the job paused, else it is done.
+
+    Pending items are written down once, clustered, so a batch opens only the files that it lies in; an item behind the
+    cursor is never looked at again, so each batch only writes its changes, and all are folded in at the end. stopped() is
+    asked on the driver, between batches.
     """
-    after = -(2**63)
+    from cairnspark.operators import clustered
+
+    spark, after = items.sparkSession, -(2**63)
+    folder = f"{shared_dir(spark)}/job-{uuid.uuid4().hex}"
+    clustered.write(items.where((F.col("job_id") == job_id) & (F.col("status") == "pending")), f"{folder}/queue", min(batch, clustered.FILE_ROWS))
+    none, done = F.lit(None).cast("string"), 0
     while not stopped():
-        fed = cut(feed(items, current, job_id, list(KINDS), after, dst, limit=batch))
+        rows = clustered.take_pending(spark, f"{folder}/queue", job_id, list(KINDS), after, batch, ["skip_reason"])
+        fed = cut(decide_batch(rows, current, dst))
         last = fed.agg(F.max("id")).first()[0]
         if last is None:
             break
-        after, none = last, F.lit(None).cast("string")
         left = fed.where("action <> 'dispatch'").select(
             F.lit(0).cast("long").alias("seq"), F.when(F.col("action") == "skip", "skipped").otherwise("failed").alias("type"), "id", none.alias("dst_path"), F.lit(None).cast("long").alias("dst_size"),
             F.lit(None).cast("long").alias("elapsed_ms"), F.when(F.col("action") == "fail", "other").alias("code"), F.when(F.col("action") == "fail", "no free name").alias("msg"), "reason",
         )
-        items = cut(fold_results(items, left.unionByName(work(fed.where("action = 'dispatch'")))))
+        left.unionByName(work(fed.where("action = 'dispatch'"))).write.parquet(f"{folder}/changes/batch={done}")
+        after, done = last, done + 1
+    if done:
+        items = cut(fold_results(items, spark.read.parquet(*(f"{folder}/changes/batch={k}" for k in range(done)))))
     pending = items.where((F.col("job_id") == job_id) & (F.col("status") == "pending"))
     return items, "done" if pending.isEmpty() else "paused"
 

@@ -175,15 +175,15 @@ ITEMS = """items AS (
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight jobs in the states that a restart may find."""
+    """The jobs of the queue's items in the states that a restart may find."""
     k = F.col("id")
     status = F.when(k % 4 == 0, "running").when(k % 4 == 1, "paused").when(k % 4 == 2, "done").otherwise("scanning")
-    return spark.range(8).select(k, F.concat(F.lit("job "), k.cast("string")).alias("name"), status.alias("status"), (k * 1000 + 1_700_000_000).alias("created_at"), F.when(status == "done", k * 1000 + 1_700_000_500).alias("finished_at"))
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 8).alias("id")).distinct().select(k, F.concat(F.lit("job "), k.cast("string")).alias("name"), status.alias("status"), (k * 1000 + 1_700_000_000).alias("created_at"), F.when(status == "done", k * 1000 + 1_700_000_500).alias("finished_at"))
 
 
 JOBS = """jobs AS (
   SELECT id, 'job ' || id AS name, status, id * 1000 + 1700000000 AS created_at, CASE WHEN status = 'done' THEN id * 1000 + 1700000500 END AS finished_at
-  FROM (SELECT range AS id, ['running', 'paused', 'done', 'scanning'][range % 4 + 1] AS status FROM range(8)))"""
+  FROM (SELECT DISTINCT o_custkey % 8 AS id, ['running', 'paused', 'done', 'scanning'][o_custkey % 8 % 4 + 1] AS status FROM orders))"""
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

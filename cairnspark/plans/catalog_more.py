@@ -51,10 +51,10 @@ SELECT (SELECT count(*) FROM g) AS groups, (SELECT CAST(coalesce(sum(reclaimable
  (SELECT count(*) FROM s WHERE sample IS NULL) AS errors, (SELECT count(*) FROM big WHERE NOT hit) AS puts""")
 def dedup_run_summary(spark, sf_dir):
     c = v.changed(spark, sf_dir)
-    rows, hashed, puts = exact.cached_cascade(c, _cached_hashes(c), WINDOW)
+    rows, hashed, puts, counts = exact.counted_cascade(c, _cached_hashes(c), WINDOW)
     groups = cut(rows).where("member_rank = 1").select("reclaimable")
     one = review.run_summary(groups, hashed)
-    return one.crossJoin(exact.stage_counts(c, WINDOW).select("errors")).crossJoin(puts.agg(F.count("*").alias("puts")))
+    return one.crossJoin(counts.select("errors")).crossJoin(puts.agg(F.count("*").alias("puts")))
 
 
 _PRINTED = f"WITH {v.fingerprints_sql(v.LANE_OFFSETS)}, p AS (SELECT path, size, size % 7 AS k, fp0, fp1, fp2, fp3 FROM fingerprints)"

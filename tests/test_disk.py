@@ -204,3 +204,39 @@ def test_separation_is_that_of_all_pairs(spark, block):
     assert sorted(map(tuple, near.separation(df, ["fp0"], block=block).collect())) == want
     one = near.separation(df.where("label = 1").limit(1), ["fp0"], block=block)
     assert one.count() == 0
+
+
+# --- passes of a job, and scans of content ------------------------------------------------------------------------
+
+
+def test_a_job_writes_its_queue_once_whatever_its_batches(spark, sf_dir, monkeypatch):
+    rows = v.items(spark, sf_dir)
+    items = rows.groupBy("id").agg(F.min(F.struct(*[c for c in rows.columns if c != "id"])).alias("r")).select("id", "r.*").select(*rows.columns)
+    now = items.select(F.col("src_path").alias("path"), F.col("src_size").alias("size"), F.col("src_mtime").alias("mtime"))
+    folds = []
+    monkeypatch.setattr(queue, "fold_results", lambda a, b, f=queue.fold_results: folds.append(1) or f(a, b))
+
+    def work(fed):
+        return fed.selectExpr("0L AS seq", "'done' AS type", "id", "dst AS dst_path", "1L AS dst_size", "1L AS elapsed_ms", "CAST(NULL AS string) AS code", "CAST(NULL AS string) AS msg", "CAST(NULL AS string) AS reason")
+
+    n = items.where("job_id = 3 AND status = 'pending'").count()
+    done, status = queue.run_job(items, now, 3, F.concat(F.lit("/out/"), F.col("id").cast("string")), work, n // 3 + 1)
+    assert status == "done" and len(folds) == 1 and done.where("job_id = 3 AND status = 'pending'").count() == 0
+    assert done.where("dst_size = 1").count() == n - items.where("job_id = 3 AND status = 'pending' AND skip_reason IS NOT NULL").count()
+    calls = iter([False, True])
+    half, status = queue.run_job(items, now, 3, F.concat(F.lit("/out/"), F.col("id").cast("string")), work, n // 2, lambda: next(calls))
+    assert status == "paused" and half.where("job_id = 3 AND status = 'pending'").count() == n - n // 2
+
+
+def test_the_cascade_scans_content_twice_at_most(spark, sf_dir, monkeypatch):
+    from cairnspark.operators import exact
+
+    scans = []
+    for name in ("sample_hash", "full_hash"):
+        monkeypatch.setattr(exact, name, lambda *a, f=getattr(exact, name), n=name: scans.append(n) or f(*a))
+    c = v.candidates(spark, sf_dir)
+    none = spark.createDataFrame([], "path string, algo string, size bigint, mtime bigint, hash string")
+    rows, hashed, _, counts = exact.counted_cascade(c, none, 1024)
+    assert scans == ["sample_hash", "full_hash"]
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, exact.groups(c, 1024).collect()))
+    assert counts.collect() == exact.stage_counts(c, 1024).collect() and hashed.count() > 0
