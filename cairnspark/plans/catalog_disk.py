@@ -11,7 +11,8 @@ from cairnspark.functions import pictures
 from cairnspark.functions.policy import Profile
 from cairnspark.operators import clustered, filework, near, review, scan
 from cairnspark.plans import adapters as v
-from cairnspark.plans.catalog import _DELETES, JOB, THRESHOLD, _CATEGORY, _LINKS, _WALK, _outcomes, members
+from cairnspark.plans.catalog import _CATEGORY, _DELETES, _TIERS, _WALK, JOB, PROFILE, ROOTS, THRESHOLD, WINDOW, members
+from cairnspark.plans import sessions
 from cairnspark.plans.catalog_live import ORACLE, QUERIES, query
 from cairnspark.plans.checkpoint import cut, importable, shared_dir
 from cairnspark.sources import tree
@@ -205,3 +206,45 @@ def removed_files(spark, sf_dir):
     done = filework.apply_removals(m, root, trash)
     now = tree.file_states(m.select("path"), root).select("path", F.lit(True).alias("here"))
     return done.join(now, "path", "left").select("id", "outcome", "note", F.col("here").isNull().alias("gone"))
+
+
+# --- whole sessions -----------------------------------------------------------------------------------------------
+
+
+def _told(name: str, columns: str) -> str:
+    return f"SELECT {columns} FROM ({ORACLE[name]})"
+
+
+@query(
+    " UNION ALL ".join([
+        _told("report_kind_groups", "'kind' AS part, kind AS name, files, bytes"),
+        _told("report_skip_groups", "'skipped', skip_reason, files, bytes"),
+        _told("report_top_dirs", "'dir', path, files, bytes"),
+        _told("report_progress", "'planned', '', planned, bytes"),
+        _told("estimate_summary", "'estimate', '', files, src_bytes"),
+        _told("queue_rows", "'items', kind, count(*), CAST(sum(src_size) AS BIGINT)") + " GROUP BY kind",
+    ])
+)
+def scan_session(spark, sf_dir):
+    """A whole scan: the report's tables and the rows of the new job, from rows that are planned once."""
+    t = sessions.scan_session(v.media(spark, sf_dir), ROOTS, JOB, PROFILE)
+    items = t["items"].groupBy("kind").agg(F.count("*").alias("files"), F.sum("src_size").alias("bytes"))
+    parts = {
+        "kind": t["kinds"].select(F.col("kind").alias("name"), "files", "bytes"), "skipped": t["skipped"].select(F.col("skip_reason").alias("name"), "files", "bytes"), "dir": t["dirs"].select(F.col("path").alias("name"), "files", "bytes"),
+        "planned": t["progress"].select(F.lit("").alias("name"), F.col("planned").alias("files"), "bytes"), "estimate": t["estimate"].select(F.lit("").alias("name"), "files", F.col("src_bytes").alias("bytes")),
+        "items": items.select(F.col("kind").alias("name"), "files", "bytes"),
+    }
+    out = None
+    for part, rows in parts.items():
+        rows = rows.select(F.lit(part).alias("part"), "name", F.col("files").cast("long").alias("files"), F.col("bytes").cast("long").alias("bytes"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""{_TIERS}, mem AS (
+  SELECT row_number() OVER (ORDER BY group_rank, string_split(path, '/')) AS id, group_rank AS group_id, path, r.size, mtime FROM r JOIN t3 ON r.hash = t3.hash AND r.size = t3.size),
+k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY len(list_filter(string_split(path, '/'), lambda s: s <> '')) + 1, string_split(path, '/')) AS rn FROM mem)
+SELECT id, group_id, path, size, mtime, CASE WHEN rn = 1 THEN 1 ELSE 0 END AS keep FROM k""")
+def dedup_session(spark, sf_dir):
+    """A whole search for exact duplicates, with the shallowest path of each group kept."""
+    return sessions.dedup_session(v.candidates(spark, sf_dir), window=WINDOW).select("id", "group_id", "path", "size", "mtime", "keep")

@@ -145,9 +145,10 @@ def dedup_group_page(spark, sf_dir):
     return page.select("id", "hash", "reclaimable", F.size("members").cast("long").alias("members"), F.array_join(F.transform("members", lambda x: x["path"]), ",").alias("paths"))
 
 
-@query(f"{_ALL} SELECT (SELECT count(*) FROM jobs) AS runs, (SELECT count(DISTINCT group_id) FROM mem WHERE group_id % 3 <> 0) AS groups, (SELECT count(*) FROM mem WHERE group_id % 3 <> 0) AS members".replace("WITH ", f"WITH {v.JOBS.replace('FROM range(8)', 'FROM range(2)')}, ", 1))
+@query(f"""{_ALL} SELECT (SELECT count(DISTINCT group_id % 3) FROM mem WHERE group_id % 3 <> 0) AS runs, (SELECT count(DISTINCT group_id) FROM mem WHERE group_id % 3 <> 0) AS groups,
+  (SELECT count(*) FROM mem WHERE group_id % 3 <> 0) AS members""")
 def delete_run(spark, sf_dir):
-    runs = spark.range(3).select("id")
+    runs = _saved(spark, sf_dir)[0].select((F.col("id") % 3).alias("id")).distinct()
     g, m = _saved(spark, sf_dir)
     parts = jobs.delete_run(runs, g.withColumn("run_id", F.col("id") % 3), m, 0)
     return parts[0].agg(F.count("*").alias("runs")).crossJoin(parts[1].agg(F.count("*").alias("groups"))).crossJoin(parts[2].agg(F.count("*").alias("members")))

@@ -20,7 +20,7 @@ def scan_session(media: DataFrame, roots: list[str], job_id: int, profile: Profi
     }
 
 
-def dedup_session(files: DataFrame, mode: str = "exact", threshold: int | None = None, lanes: list[str] | None = None) -> DataFrame:
+def dedup_session(files: DataFrame, mode: str = "exact", threshold: int | None = None, lanes: list[str] | None = None, window: int = exact.WINDOW_BYTES) -> DataFrame:
     """Members of duplicate groups with keep marks: id, group_id, path, size, mtime, distance, keep, disposal.
 
     exact takes files with content and marks all but the shallowest path of each group; perceptual takes still images
@@ -29,7 +29,7 @@ def dedup_session(files: DataFrame, mode: str = "exact", threshold: int | None =
     chosen = files.where(accepts(classify(F.col("path")), mode)) if mode != "exact" else files
     none = F.lit(None).cast("string")
     if mode == "exact":
-        g = exact.groups(chosen).select(F.col("group_rank").alias("group_id"), F.col("member_rank").alias("at"), "path", "size", "mtime", F.lit(0).cast("long").alias("distance"))
+        g = exact.groups(chosen, window).select(F.col("group_rank").alias("group_id"), F.col("member_rank").alias("at"), "path", "size", "mtime", F.lit(0).cast("long").alias("distance"))
     else:
         g = near.groups(chosen, clamp_threshold(threshold), lanes or ["fp0", "fp1", "fp2", "fp3"], cut)
         g = g.join(chosen.select("path", "mtime"), "path").select(F.col("group_rank").alias("group_id"), F.col("member_rank").alias("at"), "path", "size", "mtime", "distance")
