@@ -348,6 +348,27 @@ def _numbered(dst: str, n: int) -> str:
     return f"{folder}{slash}{stem.encode()[: _NAME_BYTES - len(tail.encode())].decode(errors='ignore')}{tail}"
 
 
+def met_names(names: DataFrame) -> DataFrame:
+    """dst of the names that may meet another's numbered ones: from family, dst, n (claims), old (lies there) and clash.
+
+    A name that is numbered gets at most as many numbers as it has claims, besides those that other names hold. So it meets
+    a name with the number k behind it only if k is no more than its claims and such names together. A name that meets one
+    before it may be numbered for that, so its own followers meet it, too. Names so long that numbers cut them may meet any
+    of their family.
+    """
+    base = F.regexp_extract("dst", r"(?s)^(.*/)?([^/]*)\z", 2)
+    stem, ext = F.regexp_extract(base, r"(?s)^(.+?)(\.[^.]*)?\z", 1), F.regexp_extract(base, r"(?s)^(.+?)(\.[^.]*)?\z", 2)
+    number = F.regexp_extract(stem, r"(?s)^.+-([1-9][0-9]{0,2})\z", 1)
+    before = F.concat(F.regexp_extract("dst", r"(?s)^(.*/)?([^/]*)\z", 1), F.regexp_extract(stem, r"(?s)^(.+)-[1-9][0-9]{0,2}\z", 1), ext)
+    follows = names.withColumn("k", F.when(number != "", number.cast("int"))).withColumn("before", before).where("k IS NOT NULL").select("dst", "k", "before")
+    lead = names.join(follows.groupBy(F.col("before").alias("dst")).agg(F.count("*").alias("followers")), "dst")
+    second = follows.select("dst", F.lit(True).alias("second"))  # it may be numbered for the name before it
+    lead = lead.join(second, "dst", "left").where("n > 0 AND (clash OR second)")
+    pairs = follows.join(lead.select(F.col("dst").alias("before"), (F.col("n") + F.col("followers")).alias("reach")), "before").where("k <= reach")
+    several = names.groupBy("family").agg(F.count("*").alias("names"), F.max(F.octet_length(base)).alias("most")).where((F.col("names") > 1) & (F.col("most") > _NAME_BYTES - len(f"-{LAST_SUFFIX}")))
+    return pairs.select("dst").union(pairs.select("before")).union(names.join(several, "family").select("dst")).distinct()
+
+
 def resolve_names(targets: DataFrame, taken: DataFrame | None = None, existing: str = "rename") -> DataFrame:
     """targets (id, src, dst; ids differ) with final: dst, or dst-1, dst-2, ... where it is taken, in the order of id.
 
@@ -355,20 +376,23 @@ def resolve_names(targets: DataFrame, taken: DataFrame | None = None, existing:
     overwritten under its own name, but never under a numbered one. A file that replaces its source keeps its name.
     final is null where all numbers up to LAST_SUFFIX are taken: such files have no output, and must be reported.
 
-    Only names of one family (name_family) can meet. In nearly all families all targets are equal, and there the number
-    is a file's rank by id; only families with several names are walked through, one task each. Of targets that are
-    equal, those after the first LAST_SUFFIX + 1 are never gathered.
+    A name is numbered if it is claimed twice or lies there, so a file's number is its rank by id, unless a numbered name is
+    a target, or lies there, itself. Only such names (met_names) are walked through, a task for each family, and of equal
+    targets those after the first LAST_SUFFIX + 1 are never gathered.
     """
     if existing not in ("rename", "replace"):
         raise ValueError(f"existing is rename or replace, not {existing}")
     rows = targets.select("id", "src", "dst", name_family(F.col("dst")).alias("family"), (F.col("src").eqNullSafe(F.col("dst"))).alias("itself"))
     old = (taken.select("dst") if taken is not None else rows.select("dst").limit(0)).distinct().withColumn("family", name_family(F.col("dst")))
     both = rows.select("family", "dst", F.lit(1).alias("n"), F.lit(0).alias("old")).unionByName(old.select("family", "dst", F.lit(0).alias("n"), F.lit(1).alias("old")))
-    names = both.groupBy("family", "dst").agg(F.sum("n").alias("n"), F.max("old").alias("old"))
-    kinds = names.groupBy("family").agg(F.count("*").alias("names"), F.max("old").alias("old"), F.max((F.col("n") > 1) | (F.col("n") > 0) & (F.col("old") > 0)).alias("clash")).where("clash")
-    alone = rows.join(kinds.select("family"), "family", "left_anti").select("id", "src", "dst", F.col("dst").alias("final"))
-
-    equal = rows.join(kinds.where("names = 1").select("family", "old"), "family")
+    names = both.groupBy("family", "dst").agg(F.sum("n").alias("n"), F.max("old").alias("old")).withColumn("clash", (F.col("n") > 1) | (F.col("n") > 0) & (F.col("old") > 0))
+    names = cut(names)
+    met = cut(met_names(names))
+    kinds = names.join(met, "dst", "left_anti").where("clash").select("dst", "old")
+    plain = rows.join(met, "dst", "left_anti")
+    alone = plain.join(kinds.select("dst"), "dst", "left_anti").select("id", "src", "dst", F.col("dst").alias("final"))
+
+    equal = plain.join(kinds, "dst")
     kept = equal.where("itself").select("id", "src", "dst", F.col("dst").alias("final"))
     place = F.row_number().over(Window.partitionBy("dst").orderBy("id"))
     first = equal.where("NOT itself").withColumn("place", place).where(F.col("place") <= LAST_SUFFIX + 1)
@@ -382,9 +406,13 @@ def resolve_names(targets: DataFrame, taken: DataFrame | None = None, existing:
     given = given.select("id", "src", "dst", final.alias("final"))
     late = equal.where("NOT itself").join(given.select("id"), "id", "left_anti").select("id", "src", "dst", F.lit(None).cast("string").alias("final"))
 
-    mixed = kinds.where("names > 1").select("family")
-    hard = rows.join(mixed, "family").select("id", "src", "dst", "family", F.lit(False).alias("old"))
-    there = old.join(mixed, "family").select(F.lit(-1).cast("long").alias("id"), F.lit("").alias("src"), "dst", "family", F.lit(True).alias("old"))
+    if met.isEmpty():
+        return alone.unionByName(kept).unionByName(given).unionByName(late)
+    theirs = rows.join(met, "dst")
+    ranked = theirs.where("NOT itself").withColumn("place", place)
+    hard = ranked.where(F.col("place") <= LAST_SUFFIX + 1).drop("place").unionByName(theirs.where("itself")).select("id", "src", "dst", "family", F.lit(False).alias("old"))
+    over = ranked.where(F.col("place") > LAST_SUFFIX + 1).select("id", "src", "dst", F.lit(None).cast("string").alias("final"))
+    there = old.join(met, "dst").select(F.lit(-1).cast("long").alias("id"), F.lit("").alias("src"), "dst", "family", F.lit(True).alias("old"))
 
     def give(pdf):
         disk = set(pdf.loc[pdf["old"], "dst"])
@@ -402,7 +430,7 @@ def resolve_names(targets: DataFrame, taken: DataFrame | None = None, existing:
         return todo[["id", "src", "dst", "final"]].astype({"id": "int64"})
 
     walked = hard.unionByName(there).groupBy("family").applyInPandas(give, "id bigint, src string, dst string, final string")
-    return alone.unionByName(kept).unionByName(given).unionByName(late).unionByName(walked)
+    return alone.unionByName(kept).unionByName(given).unionByName(late).unionByName(over).unionByName(walked)
 
 
 def run_job(items: DataFrame, current: DataFrame, job_id: int, dst: Column, work, batch: int = 100_000, stopped=lambda: False) -> tuple[DataFrame, str]:

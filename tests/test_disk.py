@@ -240,3 +240,22 @@ def test_the_cascade_scans_content_twice_at_most(spark, sf_dir, monkeypatch):
     assert scans == ["sample_hash", "full_hash"]
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, exact.groups(c, 1024).collect()))
     assert counts.collect() == exact.stage_counts(c, 1024).collect() and hashed.count() > 0
+
+
+def test_only_names_that_meet_are_walked_through(spark):
+    rows = [(i, f"/s/{i}", "/o/scan.avif") for i in range(1200)] + [(2000 + i, f"/s/x{i}", f"/o/scan-{i:03}.avif") for i in range(1, 900)] + [(5000, "/s/y", "/o/scan-5-2.avif"), (5001, "/s/z", "/o/other.avif"), (5002, "/s/w", "/o/other.avif"), (5003, "/s/v", "/o/other-900.avif")]
+    t = spark.createDataFrame(rows, "id bigint, src string, dst string")
+    names = t.groupBy(queue.name_family(F.col("dst")).alias("family"), "dst").agg(F.count("*").alias("n"), F.lit(0).alias("old")).withColumn("clash", F.col("n") > 1)
+    met = {r.dst for r in queue.met_names(names).collect()}
+    # of the names with three digits only those without a leading zero can be met, and 900 is out of reach of two claims
+    assert met == {"/o/scan.avif"} | {f"/o/scan-{i}.avif" for i in range(100, 900)}
+    got = {r.id: r.final for r in queue.resolve_names(t).collect()}
+    used, want = set(), {}
+    for i, _, dst in rows:
+        stem, k, name = dst.removesuffix(".avif"), 0, dst
+        while name in used and k < 999:
+            k += 1
+            name = f"{stem}-{k}.avif"
+        want[i] = None if name in used else name
+        used.add(name)
+    assert got == want
