@@ -30,6 +30,14 @@ def problem(template: str) -> str | None:
     return None if template.endswith(".{ext}") else "it doesn't end in .{ext}"
 
 
+def usable(template: Column) -> Column:
+    """Whether problem() finds nothing wrong with templates of a column."""
+    pattern = F.lit(_FIELD.pattern)
+    fields, rest = F.regexp_extract_all(template, pattern, F.lit(1)), F.regexp_replace(template, pattern, F.lit(""))
+    known = F.forall(fields, lambda f: f.isin("name", "ext", "srcext"))
+    return (F.trim(template) != "") & ~template.contains("/") & ~rest.rlike("[{}]") & known & F.array_contains(fields, "name") & template.endswith(".{ext}")
+
+
 def render(template: str, path: Column, target: Column) -> Column:
     """The output name of a path. The template is taken apart on the driver, so a stem that holds a field stays as it is."""
     body = template[: -len(".{ext}")] if template.endswith(".{ext}") else "{name}"

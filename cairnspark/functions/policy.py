@@ -273,6 +273,11 @@ def clamp_threshold(threshold: int | None, low: int = 4, high: int = 56, default
     return default if threshold is None else max(low, min(high, threshold))
 
 
+def clamped_threshold(threshold: Column, low: int = 4, high: int = 56, default: int = 16) -> Column:
+    """clamp_threshold of a column."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(threshold, F.lit(default))))
+
+
 def power_scale(gate: Column, thermal: Column, low_power: Column) -> Column:
     """Permits of a gate under thermal pressure and low power: halved by each, closed at critical, at least 1 else."""
     factor = F.when(thermal == "critical", 0.0).when(thermal == "serious", 0.5).otherwise(1.0) * F.when(low_power, 0.5).otherwise(1.0)
@@ -287,3 +292,20 @@ def scan_parallelism(volumes: list[str]) -> int:
     """The least of the volumes', unlimited ones aside; 0 if all are."""
     limits = [n for v in volumes if (n := VOLUME_PARALLELISM.get(v, VOLUME_PARALLELISM["unknown"]))]
     return min(limits, default=0)
+
+
+def scan_limit(volume: Column) -> Column:
+    """scan_parallelism of all volumes of a group: an aggregate."""
+    known = F.lit(None).cast("int")
+    for name, n in VOLUME_PARALLELISM.items():
+        known = F.when(volume == name, n or None).otherwise(known) if name != "unknown" else known
+    limit = F.when(volume.isin(*VOLUME_PARALLELISM), known).otherwise(VOLUME_PARALLELISM["unknown"])
+    return F.coalesce(F.min(limit), F.lit(0))
+
+
+def preset_name(profile_json: Column) -> Column:
+    """The preset that settings, as JSON, are equal to; null for others."""
+    out = F.lit(None).cast("string")
+    for name, p in presets().items():
+        out = F.when(profile_json == p.to_json(), name).otherwise(out)
+    return out

@@ -212,6 +212,12 @@ def job_name(roots: list[str]) -> str:
     return "、".join(dict.fromkeys(r.rstrip("/").rpartition("/")[2] or r for r in roots))
 
 
+def job_names(roots: Column) -> Column:
+    """job_name of arrays of roots."""
+    label = F.transform(roots, lambda r: F.coalesce(F.nullif(F.element_at(F.split(F.regexp_replace(r, "/+$", ""), "/"), -1), F.lit("")), r))
+    return F.array_join(F.array_distinct(label), "、")
+
+
 def output_dir(path: Column, roots: list[str], output_root: str | None) -> Column:
     """The folder of an output: beside its source, or the source's tree mirrored below output_root.
 

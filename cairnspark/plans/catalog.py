@@ -389,9 +389,10 @@ def media_predicates(spark, sf_dir):
     return v.media(spark, sf_dir).select("path", pol.audio_route(F.col("codec"), PROFILE).alias("route"), needs_probe(c).alias("probe"), is_hashable(c).alias("hashable"), accepts(c, "perceptual").alias("near_ok"), ((c == "video") & pol.video_filters(F.col("width"), F.col("height"), F.col("fps"), PROFILE)[1]).alias("limit_fps"), est.bitrate(F.col("size"), F.col("duration_us")).alias("bitrate"))
 
 
-@query("WITH r AS (SELECT CAST(range AS BIGINT) AS id FROM range(100000)) SELECT id, CAST(id // 100 AS BIGINT) AS dir, CASE WHEN id % 100 < 92 THEN 'image' WHEN id % 100 < 97 THEN 'video' WHEN id % 100 < 99 THEN 'audio' ELSE 'other' END AS kind FROM r")
+@query("WITH r AS (SELECT unnest(range((SELECT count(*) * 100 FROM documents))) AS id) SELECT id, CAST(id // 100 AS BIGINT) AS dir, CASE WHEN id % 100 < 92 THEN 'image' WHEN id % 100 < 97 THEN 'video' WHEN id % 100 < 99 THEN 'audio' ELSE 'other' END AS kind FROM r")
 def synthetic_corpus(spark, sf_dir):
-    return corpus.inventory(spark, 100_000).select("id", "dir", "kind")
+    """A generated folder of 100 files for each document."""
+    return corpus.inventory(spark, v.table(spark, sf_dir, "documents").count() * 100).select("id", "dir", "kind")
 
 
 # --- probing ------------------------------------------------------------------------------------------------------

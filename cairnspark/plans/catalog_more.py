@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,10 +79,11 @@ def content_spread(spark, sf_dir):
 _M = "CAST(18446744073709551615 AS HUGEINT)"
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT 0 AS k, CAST({corpus.FIRST_STATE} AS HUGEINT) AS x UNION ALL SELECT k + 1, xor(c, (c << 17) & {_M}) FROM (SELECT k, xor(b, b >> 7) AS c FROM (SELECT k, xor(x, (x << 13) & {_M}) AS b FROM s WHERE k < 2000)))
+@query(f"""WITH RECURSIVE s AS (SELECT 0 AS k, CAST({corpus.FIRST_STATE} AS HUGEINT) AS x UNION ALL SELECT k + 1, xor(c, (c << 17) & {_M}) FROM (SELECT k, xor(b, b >> 7) AS c FROM (SELECT k, xor(x, (x << 13) & {_M}) AS b FROM s WHERE k < (SELECT count(*) * 4 FROM embeddings))))
 SELECT '/rnd/' || lpad(CAST((k - 1) // 4 AS VARCHAR), 9, '0') AS path, CAST((k - 1) % 4 AS INTEGER) AS lane, lower(printf('%016X', CAST(x AS UBIGINT))) AS hex FROM s WHERE k > 0""")
 def random_prints(spark, sf_dir):
-    p = corpus.random_prints(spark, 500)
+    """As many random prints as there are vectors."""
+    p = corpus.random_prints(spark, v.table(spark, sf_dir, "embeddings").count())
     return p.select("path", F.posexplode(F.array(*(F.lower(F.lpad(F.hex(x), 16, "0")) for x in v.LANES))).alias("lane", "hex"))
 
 
@@ -114,9 +114,15 @@ def open_job_items(spark, sf_dir):
     return jobs.open_job(full_jobs(spark, sf_dir), v.items(spark, sf_dir), ROOT_LIST, pol.Profile(), NOW)[1].groupBy("job_id").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT * FROM (VALUES (1::BIGINT, '["/a", "/b"]', 'exact', 'scanning', NULL::INTEGER, {NOW}::BIGINT, NULL::BIGINT), (2, '["/a"]', 'perceptual', 'scanning', 16, {NOW}, NULL)) t(id, roots_json, mode, status, threshold, created_at, finished_at)""")
+@query(f"""SELECT DISTINCT o_custkey % 8 AS id, '["/vol/' || (o_custkey % 8) || '", "/vol"]' AS roots_json, CASE WHEN o_custkey % 2 = 0 THEN 'exact' ELSE 'perceptual' END AS mode, 'scanning' AS status,
+  CASE WHEN o_custkey % 2 = 1 THEN 16 END AS threshold, {NOW}::BIGINT AS created_at, NULL::BIGINT AS finished_at FROM orders""")
 def create_runs(spark, sf_dir):
-    return jobs.create_run(spark, 1, ["/a", "/b", "/a"], "exact", NOW, 16).unionByName(jobs.create_run(spark, 2, ["/a"], "perceptual", NOW, pol.clamp_threshold(None)))
+    """A run for each job of the queue; their ids are few."""
+    out = None
+    for (k,) in v.jobs(spark, sf_dir).select("id").orderBy("id").collect():
+        run = jobs.create_run(spark, k, [f"/vol/{k}", "/vol", f"/vol/{k}"], "perceptual" if k % 2 else "exact", NOW, pol.clamp_threshold(None))
+        out = run if out is None else out.unionByName(run)
+    return out
 
 
 _ALL = f"{tiers(v.CANDIDATES)}, mem AS (SELECT row_number() OVER (ORDER BY group_rank, string_split(path, '/')) + 500 AS id, group_rank + 70 AS group_id, path, r.size, mtime, 0::BIGINT AS distance, 1 AS keep, NULL::VARCHAR AS disposal, r.hash, reclaimable FROM r JOIN t3 ON r.hash = t3.hash AND r.size = t3.size)"
@@ -337,40 +343,70 @@ def fitted_names(spark, sf_dir):
 
 # --- settings and sources -------------------------------------------------------------------------------------------
 
-TEMPLATES = ("{name}.{ext}", "{name}_{srcext}.{ext}", " ", "a/{name}.{ext}", "{x}{name}.{ext}", "z.{ext}", "{name}", "{{name}.{ext}")
+#: Parts that templates are put together from.
+_HEADS, _BODIES, _TAILS = ("", "{srcext}_", "{x}", "a/", "{{", " ", "z-"), ("{name}", "", "{name}}", "{ext}"), (".{ext}", ".{ext}", "", ".jpg")
 
 
-@query(f"""SELECT * FROM (VALUES {", ".join(f"('{t}', {str(ok).lower()})" for t, ok in zip(TEMPLATES, (True, True, False, False, False, False, False, False), strict=True))}) t(template, usable)""")
+@query(f"""WITH t AS (
+  SELECT DISTINCT {v.sql_list(_HEADS)}[CAST(p_partkey % {len(_HEADS)} + 1 AS INT)] || {v.sql_list(_BODIES)}[CAST(p_partkey // 7 % {len(_BODIES)} + 1 AS INT)] || {v.sql_list(_TAILS)}[CAST(p_partkey // 28 % {len(_TAILS)} + 1 AS INT)] AS template FROM part),
+f AS (SELECT template, regexp_extract_all(template, '\\{{([^{{}}]*)\\}}', 1) AS fields, regexp_replace(template, '\\{{([^{{}}]*)\\}}', '', 'g') AS rest FROM t)
+SELECT template, trim(template) <> '' AND NOT contains(template, '/') AND NOT contains(rest, '{{') AND NOT contains(rest, '}}') AND len(list_filter(fields, lambda x: x NOT IN ('name', 'ext', 'srcext'))) = 0
+  AND list_contains(fields, 'name') AND ends_with(template, '.{{ext}}') AS usable FROM f""")
 def template_checks(spark, sf_dir):
-    return spark.createDataFrame([(t, naming.problem(t) is None) for t in TEMPLATES], "template string, usable boolean")
+    """Templates put together from parts by the keys of the parts table."""
+    def pick(values, by):
+        return F.get(F.array(*(F.lit(x) for x in values)), F.pmod(F.call_function("div", F.col("p_partkey"), F.lit(by)), F.lit(len(values))).cast("int"))
 
+    template = F.concat(pick(_HEADS, 1), pick(_BODIES, 7), pick(_TAILS, 28))
+    return v.table(spark, sf_dir, "part").select(template.alias("template")).distinct().select("template", naming.usable(F.col("template")).alias("usable"))
 
-@query("""SELECT * FROM (VALUES ('threshold', 'none', '16'), ('threshold', '1', '4'), ('threshold', '30', '30'), ('threshold', '99', '56'), ('scan', 'ssd', '0'), ('scan', 'ssd,network', '4'), ('scan', 'network,hdd', '1'), ('scan', 'floppy', '2'),
-('preset', 'space', 'space'), ('preset', 'balanced', 'balanced'), ('preset', 'quality', 'quality'), ('preset', 'fast', 'fast'), ('preset', 'own', 'none')) t(rule, given, got)""")
-def setting_rules(spark, sf_dir):
-    rows = [("threshold", str(t).lower(), str(pol.clamp_threshold(t))) for t in (None, 1, 30, 99)]
-    rows += [("scan", x, str(pol.scan_parallelism(x.split(",")))) for x in ("ssd", "ssd,network", "network,hdd", "floppy")]
-    own = pol.Profile(image=pol.ImageSettings(quality=61))
-    rows += [("preset", n, pol.detect_preset(p) or "none") for n, p in {**pol.presets(), "own": own}.items()]
-    return spark.createDataFrame(rows, "rule string, given string, got string")
+
+_VOLUMES = ("ssd", "hdd", "network", "floppy")
+_PROFILES = [*(p.to_json() for p in pol.presets().values()), pol.Profile(image=pol.ImageSettings(quality=61)).to_json()]
+_PRESETS = [*pol.presets(), "none"]
 
 
-@query(f"""WITH RECURSIVE c AS (SELECT 0 AS k, 1.0::DOUBLE AS ways UNION ALL SELECT k + 1, ways * (256 - k) / (k + 1) FROM c WHERE k < 100)
-SELECT t AS threshold, round(log10((SELECT sum(ways) FROM c WHERE k <= t)) - 256 * log10(2), 6) AS log_chance FROM (SELECT unnest([4, 16, 30, 56, 100]) AS t)""")
+@query(f"""WITH volumes AS (SELECT DISTINCT l_orderkey, {v.sql_list(_VOLUMES)}[CAST(l_partkey % 4 + 1 AS INT)] AS volume FROM lineitem),
+limits AS (SELECT l_orderkey, string_agg(volume, ',' ORDER BY volume) AS given, coalesce(min(CASE volume WHEN 'hdd' THEN 1 WHEN 'network' THEN 4 WHEN 'floppy' THEN 2 END), 0) AS got FROM volumes GROUP BY l_orderkey),
+thresholds AS (SELECT CASE WHEN l_linenumber <> 7 THEN CAST(l_quantity AS INTEGER) * 2 - 10 END AS given FROM lineitem)
+SELECT 'threshold' AS rule, coalesce(CAST(given AS VARCHAR), 'none') AS given, CAST(greatest(4, least(56, coalesce(given, 16))) AS VARCHAR) AS got, count(*) AS n FROM thresholds GROUP BY given
+UNION ALL SELECT 'scan', given, CAST(got AS VARCHAR), count(*) FROM limits GROUP BY given, got
+UNION ALL SELECT 'preset', CAST(p_partkey % {len(_PRESETS)} AS VARCHAR), {v.sql_list(_PRESETS)}[CAST(p_partkey % {len(_PRESETS)} + 1 AS INT)], count(*) FROM part GROUP BY p_partkey % {len(_PRESETS)}""")
+def setting_rules(spark, sf_dir):
+    """Thresholds of quantities, limits of the volumes of each order, and presets of settings that parts have."""
+    li, part = v.table(spark, sf_dir, "lineitem"), v.table(spark, sf_dir, "part")
+    given = F.when(F.col("l_linenumber") != 7, F.col("l_quantity").cast("int") * 2 - 10)
+    thresholds = li.select(F.lit("threshold").alias("rule"), F.coalesce(given.cast("string"), F.lit("none")).alias("given"), pol.clamped_threshold(given).cast("string").alias("got"))
+    volume = F.get(F.array(*(F.lit(x) for x in _VOLUMES)), (F.col("l_partkey") % 4).cast("int"))
+    by_order = li.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set(volume)), ",").alias("given"), pol.scan_limit(volume).cast("string").alias("got"))
+    limits = by_order.select(F.lit("scan").alias("rule"), "given", "got")
+    at = (F.col("p_partkey") % len(_PROFILES)).cast("int")
+    name = pol.preset_name(F.get(F.array(*(F.lit(x) for x in _PROFILES)), at))
+    named = part.select(F.lit("preset").alias("rule"), at.cast("string").alias("given"), F.coalesce(name, F.lit("none")).alias("got"))
+    return thresholds.unionByName(limits).unionByName(named).groupBy("rule", "given", "got").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT 0 AS k, 1.0::DOUBLE AS ways UNION ALL SELECT k + 1, ways * (256 - k) / (k + 1) FROM c WHERE k < 100), t AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) * 2 AS t FROM lineitem)
+SELECT t AS threshold, round(log10(sum(ways)) - 256 * log10(2), 6) AS log_chance FROM t JOIN c ON k <= t GROUP BY t""")
 def collision_chances(spark, sf_dir):
-    rows = [(t, round(math.log10(est.collision_probability(t)), 6)) for t in (4, 16, 30, 56, 100)]
-    return spark.createDataFrame(rows, "threshold int, log_chance double")
+    """Chances at thresholds that quantities give."""
+    t = v.table(spark, sf_dir, "lineitem").select((F.col("l_quantity").cast("int") * 2).alias("threshold")).distinct()
+    return t.select("threshold", F.round(F.log10(est.collision_chance(F.col("threshold"))), 6).alias("log_chance"))
 
 
-@query("""SELECT * FROM (VALUES ('saved', 90, 1080, 0), ('missing', 85, 1080, 0), ('broken', 85, 1080, 0), ('out of range', 100, 16, 2)) t(file, quality, cap, fixes)""")
+@query("""WITH f AS (SELECT DISTINCT l_linenumber AS n FROM lineitem)
+SELECT 'own ' || n AS file, CAST(least(n * 20, 100) AS INTEGER) AS quality, 1080 AS cap, CAST(n > 5 AS INTEGER) AS fixes FROM f
+UNION ALL SELECT file, 85, 1080, 0 FROM (SELECT unnest(['missing', 'broken']) AS file)""")
 def settings_files(spark, sf_dir):
+    """Settings saved for each line number, and read back, beside a file that is missing and one that is broken."""
     at = f"{shared_dir(spark)}/settings-{uuid.uuid4().hex}"
-    files.save_settings(spark, f"{at}/saved.json", pol.Profile())
-    files.save_settings(spark, f"{at}/saved.json", pol.Profile(image=pol.ImageSettings(quality=90)))
-    files.save_settings(spark, f"{at}/out of range.json", pol.Profile(image=pol.ImageSettings(quality=500, short_edge_cap=1)))
+    numbers = [r[0] for r in v.table(spark, sf_dir, "lineitem").select("l_linenumber").distinct().collect()]  # a few
+    for n in numbers:
+        files.save_settings(spark, f"{at}/own {n}.json", pol.Profile())
+        files.save_settings(spark, f"{at}/own {n}.json", pol.Profile(image=pol.ImageSettings(quality=20 * n)))
     spark.range(1).coalesce(1).select(F.lit("{").alias("value")).write.text(f"{at}/broken.json")
     rows = []
-    for name in ("saved", "missing", "broken", "out of range"):
+    for name in (*(f"own {n}" for n in numbers), "missing", "broken"):
         p, fixes = files.load_settings(spark, f"{at}/{name}.json")
         rows.append((name, p.image.quality, p.image.short_edge_cap, len(fixes)))
     return spark.createDataFrame(rows, "file string, quality int, cap int, fixes int")
@@ -395,14 +431,23 @@ def scanned_files(spark, sf_dir):
     return found.select(F.regexp_extract("path", "name=([^/]*)", 1).alias("name"), "size", F.md5("content").alias("hash"))
 
 
-@query("SELECT * FROM (VALUES ('照片、b')) t(name)")
+@query("""WITH r AS (SELECT DISTINCT o_custkey AS job_id, '/vol' || (o_orderkey % 3) || '/p' || (o_orderkey % 5) || CASE WHEN o_orderkey % 2 = 0 THEN '/' ELSE '' END AS root FROM orders),
+l AS (SELECT job_id, root, regexp_extract(root, '([^/]+)/*$', 1) AS label FROM r), f AS (SELECT job_id, label, min(root) AS first FROM l GROUP BY job_id, label)
+SELECT job_id, string_agg(label, '、' ORDER BY first) AS name FROM f GROUP BY job_id""")
 def job_names(spark, sf_dir):
-    return spark.createDataFrame([(scan.job_name(ROOT_LIST),)], "name string")
+    """Names of jobs whose roots are those of a customer's orders."""
+    o = F.col("o_orderkey")
+    root = F.concat(F.lit("/vol"), (o % 3).cast("string"), F.lit("/p"), (o % 5).cast("string"), F.when(o % 2 == 0, "/").otherwise(""))
+    roots = v.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("job_id")).agg(F.sort_array(F.collect_set(root)).alias("roots"))
+    return roots.select("job_id", scan.job_names(F.col("roots")).alias("name"))
 
 
-@query("SELECT 0::BIGINT AS taken")
+@query(f"WITH {v.ITEMS} SELECT 'none' AS kinds, 0::BIGINT AS taken UNION ALL SELECT 'image', least(count(*), 32) FROM items WHERE job_id = {3} AND status = 'pending' AND kind = 'image'")
 def no_kinds(spark, sf_dir):
-    return queue.take_pending(v.items(spark, sf_dir), 3, [], 0).agg(F.count("*").alias("taken"))
+    i = v.items(spark, sf_dir)
+    taken = {name: queue.take_pending(i, 3, kinds, 0).agg(F.count("*").alias("taken")) for name, kinds in (("none", []), ("image", ["image"]))}
+    none, image = (t.select(F.lit(name).alias("kinds"), "taken") for name, t in taken.items())
+    return none.unionByName(image)
 
 
 @query(f"WITH {_PLANNED}, x AS (SELECT skip_reason, size, regexp_replace(path, '/[^/]*$', '') AS d FROM planned) SELECT (SELECT max(b) FROM (SELECT CAST(sum(size) AS BIGINT) AS b FROM x GROUP BY d)) AS largest_dir, (SELECT CAST(sum(size) FILTER (skip_reason IS NOT NULL) AS BIGINT) FROM x) AS left_alone")

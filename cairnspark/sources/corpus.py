@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnspark.plans.checkpoint import importable
+
 #: Of each folder of 100 files: images, videos, audio files; the rest is other.
 MIX = (92, 5, 2)
 
@@ -71,4 +73,5 @@ def random_prints(spark: SparkSession, n: int, state: int = FIRST_STATE) -> Data
             out = {"path": [f"/rnd/{i:09d}" for i in ids], "size": pa.array([1000] * len(ids), pa.int64())}
             yield pa.record_batch(out | {f"fp{k}": pa.array(lanes[k::4], pa.int64()) for k in range(4)})
 
+    importable(spark)
     return spark.range(n).mapInArrow(make, "path string, size bigint, fp0 bigint, fp1 bigint, fp2 bigint, fp3 bigint")
