@@ -26,9 +26,11 @@ is shown at the first message, then tick after the last frame at the earliest, i
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -50,6 +52,21 @@ _NEVER = -(1 << 62)
 _BOOK = "totals map<string,bigint>, clock map<string,bigint>, control string"
 
 
+_KINDS = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+_SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in MESSAGE.split(", ")])
+
+
+def _pack(rows: list[dict]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _SCHEMA) as out:
+        out.write_batch(pa.RecordBatch.from_pylist(rows, _SCHEMA))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes) -> list[dict]:
+    return pa.ipc.open_stream(data).read_all().to_pylist()
+
+
 class JobBook(StatefulProcessor):
     """One job's books; count, millis and tick are the bounds of batches and frames. live takes messages as they come."""
 
@@ -60,7 +77,8 @@ class JobBook(StatefulProcessor):
         self.handle = handle
         self.book = handle.getValueState("book", _BOOK)
         self.flight = handle.getMapState("flight", "id bigint", "est bigint, video boolean, percent bigint, start bigint")
-        self.waiting = handle.getListState("waiting", MESSAGE + ", epoch bigint")
+        # what waits, by the number of barriers before it: many messages are one value, so that state is read and written fast
+        self.waiting = handle.getMapState("waiting", "epoch bigint", "rows binary")
         self.open = handle.getListState("open", "seq bigint, at bigint, type string, id bigint")
 
     def close(self) -> None:
@@ -75,9 +93,16 @@ class JobBook(StatefulProcessor):
         self.clock = dict.fromkeys(("now", "since", "shown", "wake"), _NEVER) | dict.fromkeys(("dirty", "batch", "frame", "epoch"), 0) | dict(clock)
         self.items = {k[0]: list(v) for k, v in self.flight.iterator()}
         self.before = {k: tuple(v) for k, v in self.items.items()}
-        self.rows = [tuple(r) for r in self.waiting.get()]
+        self.packed = {k[0]: v[0] for k, v in self.waiting.iterator()}
+        self.rows: dict[int, list[dict]] = {}
         self.changes = [tuple(r) for r in self.open.get()]
         self.out: list[Row] = []
+        self.touched: set[int] = set()
+
+    def _waits(self, epoch: int) -> list[dict]:
+        if epoch not in self.rows:
+            self.rows[epoch] = _unpack(self.packed[epoch]) if epoch in self.packed else []
+        return self.rows[epoch]
 
     def _store(self) -> None:
         for k, v in self.items.items():
@@ -85,14 +110,19 @@ class JobBook(StatefulProcessor):
                 self.flight.updateValue((k,), tuple(v))
         for k in self.before.keys() - self.items.keys():
             self.flight.removeKey((k,))
-        for state, rows in ((self.waiting, self.rows), (self.open, self.changes)):
-            state.put(rows) if rows else state.clear()
+        for epoch in self.touched:
+            if self.rows[epoch]:
+                self.waiting.updateValue((epoch,), (_pack(self.rows[epoch]),))
+            elif epoch in self.packed:
+                self.waiting.removeKey((epoch,))
+        self.open.put(self.changes) if self.changes else self.open.clear()
         self._wake()
         self.book.update((self.totals, self.clock, self.control))
 
     def _wake(self) -> None:
         """One timer at what comes first: the end of the batch, the next frame, or a message that waits."""
-        due = [] if self.live else [r[3] + 1 for r in self.rows if r[-1] == self.clock["epoch"]]
+        due = [] if self.live else [m["at"] + 1 for m in self._waits(self.clock["epoch"]) if m["type"] not in MARKERS]
+        due = [min(due)] if due else []
         due += [self.clock["since"] + self.millis] if self.changes else []
         due += [self.clock["shown"] + self.tick] if self.clock["dirty"] else []
         wake = min(due, default=_NEVER)
@@ -213,22 +243,18 @@ class JobBook(StatefulProcessor):
 
     def _ready(self, watermark: int) -> None:
         """Take what is before the barriers that are complete, then what the watermark has passed."""
-        names = [*_FIELDS, "epoch"]
-        seen, rows = set(), []
-        for r in self.rows:  # a message that came twice counts once
-            m = dict(zip(names, r, strict=True))
-            if (m["part"], m["seq"]) not in seen:
-                seen.add((m["part"], m["seq"]))
-                rows.append(m)
-        rows.sort(key=lambda m: (m["epoch"], m["at"], m["seq"]))
-        while True:
+        complete = True
+        while complete:
             epoch = self.clock["epoch"]
-            marks = [m for m in rows if m["type"] in MARKERS and m["id"] == epoch]
+            rows = self._waits(epoch)
+            marks = [m for m in rows if m["type"] in MARKERS]
+            work = sorted((m for m in rows if m["type"] not in MARKERS), key=lambda m: (m["at"], m["seq"]))
             complete = bool(marks) and len(marks) >= marks[0]["parts"]
-            work = [m for m in rows if m["epoch"] == epoch and m["type"] not in MARKERS]
-            go = work if complete or self.live else [m for m in work if m["at"] < watermark]
-            self._take_all(go)
-            gone = {id(m) for m in go}
+            ready = len(work) if complete or self.live else bisect_left(work, watermark, key=lambda m: m["at"])
+            self._take_all(work[:ready])
+            if ready or complete:
+                self.rows[epoch] = [] if complete else [*marks, *work[ready:]]
+                self.touched.add(epoch)
             if complete:
                 at = max(self.clock["now"], *(m["at"] for m in marks))
                 self._until(at)
@@ -236,12 +262,7 @@ class JobBook(StatefulProcessor):
                 if marks[0]["type"] == "end":
                     self._frame(at, last=True)
                 self._emit("ack", epoch, at, max(m["seq"] for m in marks), marks[0]["type"], totals={"batches": self.clock["batch"], "settled": sum(self.totals[x] for x in SETTLING)})
-                gone |= {id(m) for m in marks}
                 self.clock["epoch"] += 1
-            rows = [m for m in rows if id(m) not in gone]
-            if not complete:
-                break
-        self.rows = [tuple(m[c] for c in names) for m in rows]
         if watermark > self.clock["now"] and self.clock["now"] != _NEVER:
             self._until(watermark)
 
@@ -254,8 +275,8 @@ class JobBook(StatefulProcessor):
                 continue  # repeated: a partition's messages come in order
             self.clock[f"last {m['part']}"] = m["seq"]
             epoch = self.clock.get(f"marks {m['part']}", 0)
-            at = now if self.live else m["at"]
-            self.rows.append((*(at if c == "at" else m[c] for c in _FIELDS), epoch))
+            self._waits(epoch).append(dict(zip(m.__fields__, m, strict=True)) | ({"at": now} if self.live else {}))
+            self.touched.add(epoch)
             if m["type"] in MARKERS:
                 self.clock[f"marks {m['part']}"] = epoch + 1
         self._ready(now)
