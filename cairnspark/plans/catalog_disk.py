@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from cairnspark.functions import pictures
 from cairnspark.functions.policy import Profile
-from cairnspark.operators import clustered, filework, near, review, scan
+from cairnspark.operators import clustered, exact, filework, near, review, scan
 from cairnspark.plans import adapters as v
-from cairnspark.plans.catalog import _CATEGORY, _DELETES, _TIERS, _WALK, JOB, PROFILE, ROOTS, THRESHOLD, WINDOW, members
 from cairnspark.plans import sessions
+from cairnspark.plans.catalog import _CATEGORY, _DELETES, _TIERS, _WALK, JOB, PROFILE, ROOTS, THRESHOLD, WINDOW, members
 from cairnspark.plans.catalog_live import ORACLE, QUERIES, query
 from cairnspark.plans.checkpoint import cut, importable, shared_dir
 from cairnspark.sources import tree
@@ -196,7 +196,9 @@ def removed_files(spark, sf_dir):
     m = cut(review.apply_policy(members(spark, sf_dir), "oldest"))
     c = v.candidates(spark, sf_dir).select("path", "content")
     n = F.col("id") % 6
-    held = m.where("disposal IS NULL").join(c, "path")
+    here = m.where("disposal IS NULL").select("id", "path", "keep", "mtime")
+    size = here.agg(F.sum(F.octet_length("path") + 32)).first()[0] or 0
+    held = c.join(F.broadcast(here) if size <= exact.BROADCAST_BYTES else here, "path")  # content needn't be shuffled
     changed = F.when((F.col("keep") == 0) & (n == 2), F.concat("content", F.lit("+"))).otherwise(F.col("content"))
     there = held.where((F.col("keep") == 1) | ~n.isin(0, 1)).select("path", changed.alias("content"), (F.col("mtime") + F.when((F.col("keep") == 0) & (n == 3), 1).otherwise(0)).alias("mtime"))
     tree.write_files(there, root)
