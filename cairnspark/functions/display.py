@@ -9,6 +9,20 @@ UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 NOTHING = "—"
 
 
+def one_place(x: Column) -> Column:
+    """A number from 0 to 2^53 with one decimal place as C prints it: its exact value is rounded, and a tie goes to the even digit.
+
+    format_string rounds the shortest digits of a double half up, so that 203.45, which is a little less, becomes 203.5.
+    """
+    whole = F.floor(x)
+    rest = x - whole
+    k = F.floor(rest * 10)
+    over = (rest * 16.0 - (k * 2 + 1)) + rest * 4.0  # 20 * rest - (2 * k + 1): no step of it is rounded
+    n = whole * 10 + k
+    n = n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.call_function("div", n, F.lit(10)).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def bytes_text(size: Column) -> Column:
     """Thousands as units, one decimal place from KB on."""
     out = F.format_string("%d B", size.cast("long"))
@@ -16,7 +30,7 @@ def bytes_text(size: Column) -> Column:
         scaled = size.cast("double")
         for _ in range(k):
             scaled = scaled / 1000.0
-        out = F.when(scaled >= 1.0, F.format_string(f"%.1f {UNITS[k]}", scaled)).otherwise(out)
+        out = F.when(scaled >= 1.0, F.concat(one_place(scaled), F.lit(f" {UNITS[k]}"))).otherwise(out)
     return out
 
 
@@ -59,7 +73,7 @@ def duration_text(seconds: Column) -> Column:
 
 def bitrate_text(bps: Column) -> Column:
     mega, kilo = bps / 1e6, F.floor(bps / 1e3 + 0.5).cast("long")
-    return F.when(bps.isNull() | (bps <= 0), NOTHING).when(bps >= 10_000_000, F.format_string("%.0f Mbps", mega)).when(bps >= 1_000_000, F.format_string("%.1f Mbps", mega)).otherwise(F.format_string("%d kbps", kilo))
+    return F.when(bps.isNull() | (bps <= 0), NOTHING).when(bps >= 10_000_000, F.concat(F.rint(mega).cast("long").cast("string"), F.lit(" Mbps"))).when(bps >= 1_000_000, F.concat(one_place(mega), F.lit(" Mbps"))).otherwise(F.format_string("%d kbps", kilo))
 
 
 #: Codecs that aren't just written in capitals.
