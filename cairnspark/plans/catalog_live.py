@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnspark.functions import estimate as est
@@ -62,9 +62,9 @@ def _delay(messages: DataFrame) -> str:
     return f"{(high - low) + 1} milliseconds"
 
 
-def _run(spark: SparkSession, sf_dir: str, stops: int = 1) -> DataFrame:
+def _run(spark: SparkSession, sf_dir: str, stops: int = 1, listed: bool = False) -> DataFrame:
     m = messages(spark, sf_dir)
-    return jobbook.run_to_end(spark, m, "step", _delay(m), stops, count=COUNT)
+    return jobbook.run_to_end(spark, m, "step", _delay(m), stops, count=COUNT, listed=listed)
 
 
 #: Messages in the order in which a job's books take them, with what each does to its item.
@@ -168,8 +168,8 @@ full_frames AS (
   FROM frames f JOIN cum ON cum.job_id = f.job_id AND cum.rn = f.rn)"""
 
 
-def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run(spark, sf_dir).where("kind = 'frame'")
+def _frames(spark: SparkSession, sf_dir: str, listed: bool = False) -> DataFrame:
+    out = _run(spark, sf_dir, listed=listed).where("kind = 'frame'")
     return out.select("job_id", "n", F.col("at").alias("at_ms"), (F.col("type") == "last").alias("is_last"), "running", "totals")
 
 
@@ -183,7 +183,7 @@ SELECT f.job_id, f.n, f.running AS n_running, coalesce(string_agg(CAST(id AS VAR
 FROM full_frames f LEFT JOIN runs r ON r.job_id = f.job_id AND r.rn <= f.rn AND f.rn < r.until GROUP BY ALL""")
 def live_running(spark, sf_dir):
     """What runs at each frame, by id."""
-    return _frames(spark, sf_dir).select("job_id", "n", F.col("totals")["running"].alias("n_running"), F.array_join(F.transform("running", lambda x: x.cast("string")), ",").alias("ids"))
+    return _frames(spark, sf_dir, listed=True).select("job_id", "n", F.col("totals")["running"].alias("n_running"), F.array_join(F.transform("running", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query(f"""WITH RECURSIVE {_MESSAGES}, {_FRAMES},
@@ -209,7 +209,17 @@ def flush_barriers(spark, sf_dir):
     out = _run(spark, sf_dir)
     acks = out.where("kind = 'ack'").select("job_id", F.col("n").alias("barrier"), F.col("type").alias("kind"), F.col("at").alias("at_ms"), "totals", F.col("seq").alias("mark"), F.col("batch").alias("acked"))
     changes = out.where("kind = 'change'").select("job_id", "seq", "batch")
-    before = acks.join(changes, "job_id", "left").groupBy("job_id", "barrier").agg(F.count_if((F.col("seq") < F.col("mark")) & (F.col("batch") <= F.col("acked"))).alias("committed"))
+    # acknowledgements come in the order of barriers: a change counts from the first one on that is behind it and isn't earlier
+    marks = acks.select("job_id", F.col("mark").alias("at"), "barrier", "acked")
+    by_seq = Window.partitionBy("job_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    behind = marks.select("job_id", "at", "barrier", F.lit(None).cast("long").alias("batch")).unionByName(changes.select("job_id", F.col("seq").alias("at"), F.lit(None).cast("long").alias("barrier"), "batch"))
+    placed = behind.withColumn("first", F.min("barrier").over(by_seq)).where("batch IS NOT NULL").groupBy("job_id", "first", "batch").agg(F.count("*").alias("n"))
+    by_batch = Window.partitionBy("job_id").orderBy(F.desc("batch")).rangeBetween(Window.unboundedPreceding, 0)
+    seen = marks.select("job_id", F.col("acked").alias("batch"), "barrier", F.lit(None).cast("long").alias("first"), F.lit(0).cast("long").alias("n"))
+    both = seen.unionByName(placed.select("job_id", "batch", F.lit(None).cast("long").alias("barrier"), "first", "n")).withColumn("acked", F.min("barrier").over(by_batch))
+    found = both.where("first IS NOT NULL AND acked IS NOT NULL").groupBy("job_id", F.greatest("first", "acked").alias("barrier")).agg(F.sum("n").alias("n"))
+    so_far = Window.partitionBy("job_id").orderBy("barrier").rowsBetween(Window.unboundedPreceding, 0)
+    before = marks.join(found, ["job_id", "barrier"], "left").select("job_id", "barrier", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("committed"))
     return acks.join(before, ["job_id", "barrier"]).select("job_id", "barrier", "kind", "at_ms", *(F.col("totals")[c].alias(c) for c in ("batches", "settled")), "committed")
 
 
@@ -237,7 +247,7 @@ def live_control(spark, sf_dir):
     """Items as a second stream of pauses, lost volumes, resumes and cancels leaves them, and their jobs."""
     m = messages(spark, sf_dir, control=True)
     steers = F.col("part") == PARTS - 1
-    out = jobbook.run_to_end(spark, m.where(~steers), "step", _delay(m), control=m.where(steers), count=COUNT)
+    out = jobbook.run_to_end(spark, m.where(~steers), "step", _delay(m), control=m.where(steers), count=COUNT, listed=False)
     last = out.where("kind = 'change'").groupBy("job_id", "id").agg(F.max_by("type", F.struct("at", "seq")).alias("last_change"))
     job = out.where("kind = 'control'").groupBy("job_id").agg(F.max_by("type", F.struct("at", "seq")).alias("job"))
     status = F.when(F.col("last_change") == "started", "running").when(F.col("last_change") == "requeued", "pending").otherwise(F.col("last_change"))

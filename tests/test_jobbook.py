@@ -157,3 +157,25 @@ def test_a_live_stream_commits_on_the_clock(spark, tmp_path):
     finally:
         query.stop()
     assert sorted((r["n"], r["type"], r["totals"]["changes"]) for r in found) == [(0, "count", 5), (1, "time", 2)]
+
+
+def test_a_frame_at_a_barriers_moment_has_all_messages_of_that_moment():
+    b = Book(tick=100)
+    b.feed(_m(1, 10, "started"), _m(2, 110, "started", 2), _m(3, 110, "barrier", 0, parts=1), _m(4, 110, "started", 3), _m(5, 400, "end", 1, parts=1))
+    assert b.of("frame", "at", "running") == [(10, [1]), (110, [1, 2, 3]), (400, [1, 2, 3])]
+
+
+def test_messages_that_wait_are_packed():
+    b = Book()
+    b.feed(*(_m(k, 1000 + k, "started", k) for k in range(20_000)), watermark=5)
+    pieces = b.book.waiting
+    assert b.of("change", "id") == [] and len(pieces) == 1 and sum(len(v[0]) for v in pieces.values()) <= 100 * 20_000
+    b.feed(_m(20_000, 99_999, "end", 0, parts=1))
+    assert b.of("change", "id") == [(k,) for k in range(20_000)] and not pieces
+
+
+def test_frames_need_not_name_what_runs():
+    b = Book(listed=False)
+    b.feed(_m(1, 10, "claimed", est=100, video=True), _m(2, 10, "started"), _m(3, 20, "progress", percent=50), _m(4, 60, "end", 0, parts=1))
+    last = b.out[-2]
+    assert last["running"] is None and last["totals"]["running"] == 1 and (last["totals"]["video_live_did"], last["totals"]["video_live_took"]) == (5000, 50)
