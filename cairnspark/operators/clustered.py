@@ -67,3 +67,20 @@ def take_pending(spark: SparkSession, folder: str, job_id: int, kinds: list[str]
     here = [r["file"] for r in left.where(inside).select("file").collect()]
     files = here + [r["file"] for r in _until(left.where(~inside), n, limit).select("file").orderBy("first_id").collect()]
     return queue.take_pending(_rows(spark, folder, files), job_id, kinds, after_id, limit, more)
+
+
+def pending_range(spark: SparkSession, folder: str, job_id: int, kinds: list[str], after_id: int, taken: int, limit: int) -> DataFrame:
+    """The next limit pending items behind after_id, all but taken of the job's being behind it; in no order, by no sort.
+
+    The index tells in which file the last of them lies, and only that file is looked through for its id.
+    """
+    n = sum((F.col(f"pending_{k}") for k in kinds), F.lit(0))
+    mine = index(spark, folder).where((F.col("job_id") == job_id) & (n > 0))
+    end = _until(mine, n, taken + limit).agg(F.max(F.struct("first_id", "file", "last_id", "_n", "_before")).alias("end")).select("end.*").first()
+    pending = (F.col("job_id") == job_id) & (F.col("status") == "pending") & F.col("kind").isin(*kinds)
+    last = end["last_id"]
+    if last is not None and end["_before"] + end["_n"] > taken + limit:
+        rest = _rows(spark, folder, [end["file"]]).where(pending).orderBy("id").limit(taken + limit - end["_before"])
+        last = rest.agg(F.max("id")).first()[0]
+    files = [r["file"] for r in mine.where((F.col("last_id") > after_id) & (F.col("first_id") <= last)).select("file").collect()] if last is not None else []
+    return _rows(spark, folder, files).where(pending & (F.col("id") > after_id) & (F.col("id") <= F.lit(last)))

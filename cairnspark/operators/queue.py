@@ -440,21 +440,23 @@ def run_job(items: DataFrame, current: DataFrame, job_id: int, dst: Column, work
     fails is noted here. What is still pending makes the job paused, else it is done.
 
     Pending items are written down once, clustered, so a batch opens only the files that it lies in; an item behind the
-    cursor is never looked at again, so each batch only writes its changes, and all are folded in at the end. stopped() is
-    asked on the driver, between batches.
+    cursor is never looked at again, so each batch only writes its changes, and all are folded in at the end. The first has
+    batch items, each further one twice as many as the one before: passes, each of which looks at all of current, grow with
+    the logarithm of the queue. stopped() is asked on the driver, between them.
     """
     from cairnspark.operators import clustered
 
     spark, after = items.sparkSession, -(2**63)
     folder = f"{shared_dir(spark)}/job-{uuid.uuid4().hex}"
     clustered.write(items.where((F.col("job_id") == job_id) & (F.col("status") == "pending")), f"{folder}/queue", min(batch, clustered.FILE_ROWS))
-    none, done = F.lit(None).cast("string"), 0
+    none, done, taken = F.lit(None).cast("string"), 0, 0
     while not stopped():
-        rows = clustered.take_pending(spark, f"{folder}/queue", job_id, list(KINDS), after, batch, ["skip_reason"])
-        fed = cut(decide_batch(rows, current, dst))
-        last = fed.agg(F.max("id")).first()[0]
+        rows = clustered.pending_range(spark, f"{folder}/queue", job_id, list(KINDS), after, taken, batch << done)
+        fed = cut(decide_batch(rows.select("id", "src_path", "src_size", "src_mtime", "kind", "est_secs", "skip_reason"), current, dst))
+        last, n = fed.agg(F.max("id"), F.count("*")).first()
         if last is None:
             break
+        taken += n
         left = fed.where("action <> 'dispatch'").select(
             F.lit(0).cast("long").alias("seq"), F.when(F.col("action") == "skip", "skipped").otherwise("failed").alias("type"), "id", none.alias("dst_path"), F.lit(None).cast("long").alias("dst_size"),
             F.lit(None).cast("long").alias("elapsed_ms"), F.when(F.col("action") == "fail", "other").alias("code"), F.when(F.col("action") == "fail", "no free name").alias("msg"), "reason",

@@ -259,3 +259,21 @@ def test_only_names_that_meet_are_walked_through(spark):
         want[i] = None if name in used else name
         used.add(name)
     assert got == want
+
+
+def test_a_jobs_batches_grow(spark, sf_dir):
+    items = v.items(spark, sf_dir)
+    items = items.join(items.groupBy("id").count().where("count = 1").select("id"), "id", "left_semi").cache()
+    mine = items.where("job_id = 3 AND status = 'pending'")
+    now, n, fed = mine.select(F.col("src_path").alias("path"), F.col("src_size").alias("size"), F.col("src_mtime").alias("mtime")), mine.count(), []
+
+    def work(rows):
+        fed.append([r.id for r in rows.select("id").collect()])
+        none = F.lit(None).cast("string")
+        return rows.select(F.lit(0).cast("long").alias("seq"), F.lit("done").alias("type"), "id", F.col("dst").alias("dst_path"), F.lit(1).cast("long").alias("dst_size"), F.lit(1).cast("long").alias("elapsed_ms"), none.alias("code"), none.alias("msg"), none.alias("reason"))
+
+    first = max(1, n // 20)
+    _, status = queue.run_job(items.withColumn("skip_reason", F.lit(None).cast("string")), now, 3, F.concat(F.lit("/out/"), F.col("id").cast("string")), work, first)
+    assert status == "done" and [len(x) for x in fed][:3] == [first, 2 * first, 4 * first] and len(fed) <= 6
+    assert sorted(sum(fed, [])) == sorted(r.id for r in mine.collect()) and all(max(a) < min(b) for a, b in zip(fed, fed[1:], strict=False))
+    items.unpersist()
