@@ -54,7 +54,8 @@ def stage(outputs: DataFrame, folder: str) -> DataFrame:
     at = local_path(folder)
 
     def each(id: int, target: str, content: bytes | None, src_size: int, mtime: int | None) -> tuple:
-        name = f"{at}/{uuid.uuid4().hex}.tmp"
+        own = uuid.uuid4().hex
+        name = f"{at}/{own[:2]}/{own}.tmp"  # many folders, since tasks wait for each other at one
         replace_file(name, content or b"", mtime)
         return id, target, name, src_size, len(content or b""), hashlib.sha256(content or b"").hexdigest(), mtime
 
@@ -86,7 +87,8 @@ def publish(manifest: DataFrame, root: str, profile: Profile, gate: bool = True)
             if _digest(staged) == sha256:
                 os.makedirs(path.rpartition("/")[0], exist_ok=True)
                 os.replace(staged, path)
-            outcome = "written" if _digest(path) == sha256 else "failed"
+            elif _digest(path) != sha256:
+                outcome = "failed"
         elif os.path.exists(staged):
             os.unlink(staged)
         return id, target, outcome, size, sha256

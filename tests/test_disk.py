@@ -13,6 +13,8 @@ from cairnspark.functions import pictures
 from cairnspark.functions.policy import Profile
 from cairnspark.operators import clustered, filework, near, queue
 from cairnspark.plans import adapters as v
+from cairnspark.plans import catalog_more
+from cairnspark.plans.checkpoint import shared_dir
 from cairnspark.sources import tree
 
 
@@ -310,3 +312,18 @@ def test_extremes_are_searched_in_few_steps(spark):
     df = df.select(F.col("ord").alias("rep"), "fp0")
     want = sorted((a, b, 64 - _distance(x, y)) for a, x, _ in rows for b, y, _ in rows if a < b and _distance(x, y) >= 34)
     assert want and sorted(map(tuple, near.block_pairs(df, 30, ["fp0"], 64).collect())) == want
+
+
+def test_scanned_files_share_folders(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalog_more, "FOLDERS", 2)
+    at = tree.local_path(shared_dir(spark))
+    before = set(os.listdir(at))
+    n = catalog_more.QUERIES["scanned_files"](spark, sf_dir).count()
+    (new,) = (x for x in os.listdir(at) if x.startswith("scan-") and x not in before)
+    assert n > 20 and sum(len(folders) for _, folders, _ in os.walk(f"{at}/{new}")) <= 6
+
+
+def test_staged_files_share_many_folders(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id", "concat('/a/', id) AS target", "encode('x', 'utf-8') AS content", "9L AS src_size", "5L AS mtime")
+    staged = [r.staged for r in filework.stage(rows, str(tmp_path)).collect()]
+    assert all(os.path.isfile(x) for x in staged) and len({os.path.dirname(x) for x in staged}) > 50
