@@ -179,3 +179,18 @@ def test_frames_need_not_name_what_runs():
     b.feed(_m(1, 10, "claimed", est=100, video=True), _m(2, 10, "started"), _m(3, 20, "progress", percent=50), _m(4, 60, "end", 0, parts=1))
     last = b.out[-2]
     assert last["running"] is None and last["totals"]["running"] == 1 and (last["totals"]["video_live_did"], last["totals"]["video_live_took"]) == (5000, 50)
+
+
+def test_live_running_at_a_barriers_moment_equals_its_sql(spark, sf_dir, tmp_path):
+    import duckdb
+
+    import __spark_entry__
+
+    at = f"{tmp_path}/events.parquet"
+    # forty events a moment, and a barrier in the midst of one of them
+    duckdb.sql(f"COPY (SELECT * REPLACE (TIMESTAMP '2024-01-01' + event_id // 40 * INTERVAL 10000 SECOND AS ts) FROM '{sf_dir}/events.parquet') TO '{at}' (FORMAT parquet)")
+    found = __spark_entry__.queries()["live_running"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW events AS FROM '{at}'")
+        known = con.sql(__spark_entry__.oracle_sql()["live_running"]).fetchall()
+    assert len(known) > 100 and sorted(map(tuple, found)) == sorted(known)
