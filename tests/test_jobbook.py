@@ -181,6 +181,28 @@ def test_frames_need_not_name_what_runs():
     assert last["running"] is None and last["totals"]["running"] == 1 and (last["totals"]["video_live_did"], last["totals"]["video_live_took"]) == (5000, 50)
 
 
+class _Outside(_Map):
+    """A map state that is to be read piece by piece: a real one's iterator has all pieces in memory, some times over."""
+
+    def iterator(self):
+        assert len(self) <= 1
+        return super().iterator()
+
+    def getValue(self, k):  # noqa: N802
+        return self[k]
+
+
+def test_many_waiting_messages_are_read_piece_by_piece():
+    b, n = Book(listed=False), 120_000
+    b.book.waiting = _Outside()
+    b.feed(*(_m(k, 1000 + k, "started", k) for k in range(n)), watermark=5)
+    assert len(b.book.waiting) == 3
+    b.feed(_m(n, 5000 + n, "started", n), _m(n - 1, 999 + n, "started", n - 1), watermark=51_000)  # the second is a repeated one
+    assert len(b.book.waiting) == 2
+    b.feed(_m(n + 1, 10**9, "end", 0, parts=1))
+    assert b.of("change", "id") == [(k,) for k in range(n + 1)] and not b.book.waiting
+
+
 def test_live_running_at_a_barriers_moment_equals_its_sql(spark, sf_dir, tmp_path):
     import duckdb
 
