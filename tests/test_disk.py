@@ -327,3 +327,19 @@ def test_staged_files_share_many_folders(spark, tmp_path):
     rows = spark.range(200).selectExpr("id", "concat('/a/', id) AS target", "encode('x', 'utf-8') AS content", "9L AS src_size", "5L AS mtime")
     staged = [r.staged for r in filework.stage(rows, str(tmp_path)).collect()]
     assert all(os.path.isfile(x) for x in staged) and len({os.path.dirname(x) for x in staged}) > 50
+
+
+def test_files_of_one_task_are_written_by_many(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cairnspark.sources import tree
+
+    rows = spark.range(40).coalesce(1).select(F.concat(F.lit("d/"), F.col("id").cast("string")).alias("path"), F.lit("x").alias("content"), F.lit(5).alias("mtime"))
+    spark.sparkContext.setJobGroup("files-of-one-task", "")
+    try:
+        assert tree.write_files(rows, f"file://{tmp_path}") == 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    seen = spark.sparkContext.statusTracker()
+    stages = [s for j in seen.getJobIdsForGroup("files-of-one-task") for s in seen.getJobInfo(j).stageIds]
+    assert len(list((tmp_path / "d").iterdir())) == 40 and max(seen.getStageInfo(s).numTasks for s in stages) >= 16
