@@ -17,7 +17,7 @@ __all__ = ["ORACLE", "QUERIES"]
 JOBS, PARTS, STRIDE, COUNT = 8, 5, 500, 6
 #: Microseconds that become a millisecond, so that a few messages of a job fall into a tenth of a second.
 SQUEEZE = 100_000_000
-#: Files that a source partition's messages arrive in, one after another; partitions lag behind each other by up to 2.
+#: Files that a source partition's messages arrive in, one after another, in the order of seq; partitions lag behind each other by up to 2.
 CHUNKS = 4
 
 
@@ -50,16 +50,17 @@ def messages(spark: SparkSession, sf_dir: str, control: bool = False) -> DataFra
             steer = steer.when(F.col("event_id") % 211 == rest, kind)
         rows = e.select((F.col("event_id") % JOBS).alias("job_id"), F.lit(PARTS - 1).cast("long").alias("part"), (F.col("event_id") * 2 + 1).alias("seq"), "at", steer.alias("type"))
         all_rows = all_rows.unionByName(rows.where("type IS NOT NULL"), allowMissingColumns=True)
-    span = e.agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    chunk = F.least(F.floor((F.col("at") - F.col("low")) * CHUNKS / (F.col("high") - F.col("low") + 1)), F.lit(CHUNKS - 1))
+    span = e.agg(F.min("at").alias("low"), F.max("at").alias("high"), (F.min("event_id") * 2).alias("first"), (F.max("event_id") * 2 + 3).alias("behind"))
+    # by seq and not by time: a partition's messages come in its order, and one that comes after a later one is taken for a repeated one
+    chunk = F.floor((F.col("seq") - F.col("first")) * CHUNKS / (F.col("behind") - F.col("first")))
     timed = all_rows.crossJoin(F.broadcast(span)).withColumn("step", chunk + F.col("part") % 3)  # a row of bounds
     return timed.unionByName(timed.where("seq % 97 = 4").withColumn("step", F.col("step") + 1))
 
 
 def _delay(messages: DataFrame) -> str:
-    """Partitions lag by up to 2 of 4 chunks, and repeated messages by one more."""
+    """Partitions lag by up to 2 of 4 chunks, and repeated messages by one more; the end is at a second after all others."""
     low, high = messages.select("low", "high").first()
-    return f"{(high - low) + 1} milliseconds"
+    return f"{(high - low) + 1001} milliseconds"
 
 
 def _run(spark: SparkSession, sf_dir: str, stops: int = 1, listed: bool = False) -> DataFrame:

@@ -216,3 +216,20 @@ def test_live_running_at_a_barriers_moment_equals_its_sql(spark, sf_dir, tmp_pat
         con.sql(f"CREATE VIEW events AS FROM '{at}'")
         known = con.sql(__spark_entry__.oracle_sql()["live_running"]).fetchall()
     assert len(known) > 100 and sorted(map(tuple, found)) == sorted(known)
+
+
+def test_no_message_is_lost_where_time_starts_anew(spark, sf_dir, tmp_path):
+    import duckdb
+
+    import __spark_entry__
+
+    at = f"{tmp_path}/events.parquet"
+    # copies with shifted ids and users at the same times: ids ascend, time starts anew with each copy
+    columns = "event_id + k * 1000 AS event_id, user_id + k * 15 AS user_id"
+    duckdb.sql(f"COPY (SELECT e.* REPLACE ({columns}) FROM (FROM '{sf_dir}/events.parquet' WHERE event_id < 1000) e, range(3) t(k) ORDER BY event_id) TO '{at}' (FORMAT parquet)")
+    last = __spark_entry__.queries()["live_running"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW events AS FROM '{at}'")
+        known = con.sql(__spark_entry__.oracle_sql()["live_running"]).fetchall()
+    ends = [{r[0]: tuple(r[2:]) for r in sorted(map(tuple, rows))} for rows in (last, known)]
+    assert len(ends[1]) == 8 and ends[0] == ends[1]  # what runs at the last frame of each job, after all messages
