@@ -15,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairnspark.llm.telephony import media_digests, write_media
 
-    return media_digests(write_media(_read(spark, sf_dir, "documents")))
+    return media_digests(write_media(_read(spark, sf_dir, "documents"), packed=True))
 
 
 def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

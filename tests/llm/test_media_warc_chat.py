@@ -66,6 +66,30 @@ def test_resampling_keeps_a_tone():
     assert len(telephony.resample(x[:0], 8000, 16000)) == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=1200), st.sampled_from(["any", "mulaw", "alaw"]), st.integers(1, 3), st.booleans())
+def test_packed_pcm_comes_back_whatever_it_is(data, kind, up, resampled):
+    x = np.frombuffer(data[: len(data) // 2 * 2], "<i2") if kind == "any" else telephony.law_table(kind)[np.frombuffer(data, np.uint8)]
+    pcm = telephony.resample(x, 8000, 8000 * up) if resampled else x
+    packed = telephony.pack_pcm(pcm, up)
+    assert telephony.unpack_pcm(packed).tolist() == pcm.tolist()
+    if resampled:  # nothing but the samples that were there before
+        assert len(packed) <= telephony.PACKED.size + len(x) * (2 if kind == "any" else 1)
+
+
+def test_stored_media_and_pcm_are_small_and_whole(spark, sf_dir, tmp_path):
+    import os
+
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").where("length(text) > 0")
+    media = telephony.write_media(docs, f"file://{tmp_path}/media", packed=True)
+    stored = sum(os.path.getsize(f"{tmp_path}/media/{f}") for f in os.listdir(f"{tmp_path}/media") if f.endswith(".parquet"))
+    text = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert stored < 1.5 * text  # raw PCM made it several times the text
+    plain = telephony.to_pcm(media.drop("packed"))
+    found, again, known = (sorted(telephony.media_digests(m).collect()) for m in (media, telephony.unpacked(media), plain))
+    assert len(found) == docs.count() and found == again == known
+
+
 def test_media_rows_match_brute_force(odd_docs, no_docs):
     got = telephony.media_digests(telephony.write_media(odd_docs)).collect()
     rows = odd_docs.select("doc_id", "text").collect()
