@@ -67,6 +67,16 @@ def alaw_table() -> np.ndarray:
     return np.where(code & 0x80, size, -size).astype(np.int16)
 
 
+@lru_cache(1)
+def adpcm_moves() -> tuple[np.ndarray, np.ndarray]:
+    """For each step index and nibble (16 * index + nibble): by how much the sample changes, and 16 times the next index."""
+    step, nib = step_sizes()[:, None], np.arange(16)[None, :]
+    part = nib & 7
+    change = (step >> 3) + np.where(part & 4, step, 0) + np.where(part & 2, step >> 1, 0) + np.where(part & 1, step >> 2, 0)
+    index = np.clip(np.arange(LAST_STEP + 1)[:, None] + INDEX_STEPS[part], 0, LAST_STEP)
+    return np.where(nib & 8, -change, change).ravel(), (16 * index).ravel()
+
+
 def law_table(law: str) -> np.ndarray:
     return mulaw_table() if law == "mulaw" else alaw_table()
 
@@ -132,13 +142,12 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     nibbles[0::2], nibbles[1::2] = (blocks[:, 4:] & 15).T, (blocks[:, 4:] >> 4).T
     out = np.empty((2 * (size - 4) + 1, n), np.int16)
     out[0] = value
-    steps = step_sizes()
+    changes, nexts = adpcm_moves()
+    row = index * 16
     for k in range(len(nibbles)):
-        nib = nibbles[k].astype(np.int64)
-        step, part = steps[index], nib & 7
-        change = (step >> 3) + np.where(part & 4, step, 0) + np.where(part & 2, step >> 1, 0) + np.where(part & 1, step >> 2, 0)
-        value = np.clip(np.where(nib & 8, value - change, value + change), -32768, 32767)
-        index = np.clip(index + INDEX_STEPS[part], 0, LAST_STEP)
+        at = row + nibbles[k]
+        value = np.minimum(np.maximum(value + changes[at], -32768), 32767)
+        row = nexts[at]
         out[k + 1] = value
     return np.ascontiguousarray(out.T)
 
@@ -186,8 +195,13 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     x = np.concatenate([np.zeros(half - 1), samples.astype(np.float64), np.zeros(half + 1)])
     out = np.empty(n)
     for k in range(up):  # every up-th output has one phase; sums of integers below 2 ** 53 are exact in any order
-        mine = out[k::up]
-        mine[:] = np.convolve(x, taps[k * down % up][::-1], mode="valid")[k * down // up :: down][: len(mine)]
+        mine, row = out[k::up], taps[k * down % up]
+        if np.count_nonzero(row) == 1:  # the phase falls onto samples
+            at = int(np.argmax(row != 0))
+            found = x[at : len(x) - len(row) + 1 + at] * row[at]
+        else:
+            found = np.convolve(x, row[::-1], mode="valid")
+        mine[:] = found[k * down // up :: down][: len(mine)]
     return np.clip(np.floor((out + (1 << 13)) / (1 << 14)), -32768, 32767).astype(np.int16)
 
 
