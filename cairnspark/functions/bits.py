@@ -41,9 +41,14 @@ FULL_HASH_ALGO, PRINT_ALGO = "sha256", "mean-print-v1"
 def mean_print(values: Column, bits: int = 64, offset: float = 0.0) -> Column:
     """A 64-bit print of numbers: bit i is set where number i is over the mean and offset."""
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    mean = total / F.size(values) + offset
-    marks = F.transform(values, lambda x, i: F.when(x > mean, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(F.slice(marks, 1, bits), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    mean = F.try_divide(total, F.size(values)) + offset
+
+    def over(m: Column) -> Column:
+        marks = F.transform(values, lambda x, i: F.when(x > m, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(F.slice(marks, 1, bits), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+    # an array of one, so that the mean is taken once and not again for each number
+    return F.get(F.transform(F.array(mean), over), F.lit(0))
 
 
 def sample_hash(content: Column, size: Column, window: int) -> Column:

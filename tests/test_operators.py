@@ -1,7 +1,9 @@
 """Operators against small literal tables and sequential models."""
 
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cairnspark.functions import bits
@@ -83,6 +85,53 @@ def test_pairs_over_four_lanes(spark):
         assert len(want) > 100 and got == want
 
 
+def test_leaders_are_found_without_pairs(spark):
+    r = random.Random(2)
+    some = [[r.getrandbits(63) for _ in range(2)] for _ in range(9)]
+    prints = {}
+    for i in range(300):
+        x = list(r.choice(some)) if i % 3 else [r.getrandbits(63) for _ in range(2)]
+        for _ in range(r.randint(0, 8)):
+            x[r.randrange(2)] ^= 1 << r.randrange(64)
+        prints.setdefault(tuple(v - (1 << 64) if v >> 63 else v for v in x), i)
+    seeds, want = [], []
+    for x, i in prints.items():
+        near_by = [(s, d) for y, s in seeds if (d := sum((v % (1 << 64) ^ w % (1 << 64)).bit_count() for v, w in zip(x, y, strict=True))) <= 9]
+        want += [(i, *near_by[0])] if near_by else []
+        seeds += [] if near_by else [(x, i)]
+    df = spark.createDataFrame([(i, *x) for x, i in prints.items()], "rep bigint, fp0 bigint, fp1 bigint")
+    for walk in (20, 8192):
+        assert len(want) > 50 and sorted(map(tuple, near.leaders(df, 9, ["fp0", "fp1"], walk).collect())) == want
+    assert near.leaders(df.limit(0), 9, ["fp0", "fp1"]).count() == 0
+
+
+def test_prints_of_bits_that_are_seldom_set_do_not_meet_at_keys(spark, monkeypatch):
+    r = random.Random(3)
+    few = {tuple(sum({1 << r.randrange(63) for _ in range(3)}) for _ in range(4)) for _ in range(400)}
+    share = np.full((4, 64), 3 / 64)
+    assert near.scheme(10_000, 16, 4, 64) == near.scheme(10_000, 16, 4, 64, set_=np.full((4, 64), 0.5)) == (1, 1)
+    assert near.scheme(10_000, 16, 4, 64, set_=share) is None and near.scheme(50_000, 16, 4, 64, set_=share) is None
+    # crowded keys: neither side of the join is broadcast, however small the rows look that it is made of
+    monkeypatch.setattr(near, "MEET", 64)
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(few)], "ord bigint, fp0 bigint, fp1 bigint, fp2 bigint, fp3 bigint")
+    pairs = near.distinct_pairs(df, 9, ["fp0", "fp1", "fp2", "fp3"], hot=5, keys=(1, 1))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # a print that lacks a lane is near none
+    lacks = df.unionByName(df.limit(3).selectExpr("ord + 1000 AS ord", "fp0", "CAST(NULL AS bigint) AS fp1", "fp2", "fp3"))
+    assert sorted(map(tuple, near.distinct_pairs(lacks, 9, ["fp0", "fp1", "fp2", "fp3"]).collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_mean_prints_take_the_mean_once(spark):
+    from cairnspark.functions.bits import mean_print
+
+    rows = [([1.0, 3.0, 2.5, 2.0],), ([],), (None,), ([1.0, None, 5.0],), ([4.0] * 70 + [9.0],)]
+    df = spark.createDataFrame(rows, "v array<double>")
+    assert [tuple(x) for x in df.select(mean_print(F.col("v")), mean_print(F.col("v"), offset=0.5)).collect()] == [(6, 2), (0, 0), (None, None), (0, 0), (0, 0)]
+    plan = df.select(mean_print(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and not re.search(r"> \(+aggregate", plan)
+
+
 def test_running_items_count_by_their_fractions(spark):
     rows = [(1, 1, "video", "running", 8.0, None), (2, 2, "video", "running", 40.0, None), (3, 2, "video", "pending", 10.0, None), (4, 3, "image", "running", 3.0, None), (5, 4, "video", "done", 10.0, 5000), (6, 4, "video", "running", 20.0, None)]
     items = spark.createDataFrame(rows, "id bigint, job_id bigint, kind string, status string, est_secs double, elapsed_ms bigint")
